@@ -122,25 +122,445 @@ def sql_feature_projection(source: str, where: str = "") -> str:
     return f"SELECT {cols}, {rounded} FROM {source} f {where}"
 
 
-# ---- queries ---------------------------------------------------------------------------
+WARMUP = "WHERE energy_lag_1 IS NOT NULL AND energy_lag_24 IS NOT NULL"
+KEYCOLS = ["series_id", "ts", "arrival_no"]
 
-def q_serving_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_feature_projection(W.serving_features(load_readings(spark, sf_dir, "event_type")))
 
+def sql_features_warm(series_key: str = "event_type") -> str:
+    return f"(SELECT * FROM {sql_serving_features(series_key)} s {WARMUP})"
 
-def q_global_series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readings = load_readings(spark, sf_dir, "constant")
-    return spark_feature_projection(W.global_series_features(readings, chunk_rows=4096))
 
+def features_warm(spark: SparkSession, sf_dir: str, series_key: str = "event_type") -> DataFrame:
+    return W.serving_features(load_readings(spark, sf_dir, series_key))
 
-WARMUP = "WHERE energy_lag_1 IS NOT NULL AND energy_lag_24 IS NOT NULL"
 
-SPARK_QUERIES: dict[str, QueryFn] = {
-    "serving_features": q_serving_features,
-    "global_series_features": q_global_series_features,
-}
+def rounded(df: DataFrame, raw: list[str], dbl: list[str]) -> DataFrame:
+    return df.select(*raw, *[r6(F.col(c)).alias(c) for c in dbl])
 
-ORACLE_SQL: dict[str, str] = {
-    "serving_features": sql_feature_projection(sql_serving_features("event_type"), WARMUP),
-    "global_series_features": sql_feature_projection(sql_serving_features("constant"), WARMUP),
-}
+
+def sql_rounded(source: str, raw: list[str], dbl: list[str], where: str = "") -> str:
+    q = lambda c: f'"{c}"' if c == "current" else c
+    parts = [q(c) for c in raw] + [f"{R(q(c))} AS {c}" for c in dbl]
+    return f"SELECT {', '.join(parts)} FROM {source} t {where}"
+
+
+SPARK_QUERIES: dict[str, QueryFn] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: QueryFn) -> QueryFn:
+        SPARK_QUERIES[name] = fn
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return fn
+    return deco
+
+
+# ---- W13 / W15 (flagship) -------------------------------------------------------------
+
+register("serving_features", sql_feature_projection(sql_serving_features("event_type"), WARMUP))(
+    lambda spark, d: spark_feature_projection(W.serving_features(load_readings(spark, d, "event_type"))))
+
+register("global_series_features", sql_feature_projection(sql_serving_features("constant"), WARMUP))(
+    lambda spark, d: spark_feature_projection(
+        W.global_series_features(load_readings(spark, d, "constant"), chunk_rows=4096)))
+
+register("serving_features_by_user", sql_feature_projection(sql_serving_features("user_id"), WARMUP))(
+    lambda spark, d: spark_feature_projection(W.serving_features(load_readings(spark, d, "user_id"))))
+
+
+# ---- shared adapters --------------------------------------------------------------------
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the session's (shared) checkpoint directory."""
+    import uuid
+    from wattlane.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wattlane-scratch/{tag}-{uuid.uuid4().hex}"
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.readings import read_table
+    return read_table(spark, d, "events")
+
+
+def k_col():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+SQL_EVENTS_K = "(SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+
+
+def sql_weather() -> str:
+    return f"""(
+  SELECT 'loc_' || CAST(user_id % 7 AS VARCHAR) AS location, ts, event_id AS obs_id,
+         CAST(k - 20 AS DOUBLE) / 2.0::DOUBLE AS temp,
+         CAST((k * 3) % 101 AS DOUBLE) AS humidity,
+         CAST(event_id % 13 AS DOUBLE) / 2.0::DOUBLE AS wind_speed,
+         k AS weather_code,
+         CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN '' ELSE 'City ' || CAST(user_id % 7 AS VARCHAR) END AS city,
+         CASE WHEN k % 3 = 0 THEN NULL ELSE 'Town ' || CAST(user_id % 5 AS VARCHAR) END AS town,
+         CASE WHEN k % 5 = 0 THEN '' ELSE 'Village ' || CAST(user_id AS VARCHAR) END AS village
+  FROM {SQL_EVENTS_K} e
+)"""
+
+
+def weather(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.weather import weather_from_events
+    return weather_from_events(events(spark, d))
+
+
+def sql_weather_codes() -> str:
+    from wattlane.config import WEATHER_CODES
+    vals = ", ".join(f"({c}, '{t}')" for c, t in WEATHER_CODES.items())
+    return f"(SELECT * FROM (VALUES {vals}) v(weather_code, description))"
+
+
+READING_COLS = ["series_id", "ts", "arrival_no", "Power_Consumption", "voltage", "current",
+                "temperature", "humidity"]
+SQL_READING_COLS = 'series_id, ts, arrival_no, Power_Consumption, voltage, "current", temperature, humidity'
+
+
+# ---- S1, S2, S4, S5, S6, S7 ---------------------------------------------------------------
+
+def q_read_readings_csv(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.readings import read_readings_csv, write_readings_csv
+    path = scratch_path(spark, "csv")
+    write_readings_csv(load_readings(spark, d, "event_type"), path)
+    schema = ("series_id STRING, ts TIMESTAMP_NTZ, arrival_no BIGINT, Power_Consumption DOUBLE, "
+              "voltage DOUBLE, current DOUBLE, temperature DOUBLE, humidity DOUBLE")
+    return read_readings_csv(spark, path, schema=schema)
+
+
+register("read_readings_csv", f"SELECT {SQL_READING_COLS} FROM {sql_readings('event_type')} r")(q_read_readings_csv)
+
+
+def request_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Request bodies built from events: k % 10 = 0 null, 1 a lone object,
+    2 junk, 3 an empty array, 4 a truncated array, otherwise a two-point array
+    mixing numbers and numeric text."""
+    e = events(spark, d)
+    k = k_col()
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stamp2 = F.date_format(F.col("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    v = F.format_string("%.2f", F.col("value"))
+    v2 = F.format_string("%.2f", F.col("value") * F.lit(2.0))
+    volt = F.format_string("%d", F.lit(225) + F.col("event_id") % 11)
+    p1 = F.concat(F.lit('{"timestamp": "'), stamp, F.lit('Z", "Power_Consumption": '), v,
+                  F.lit(', "voltage": "'), volt, F.lit('", "current": 10, "temperature": '),
+                  F.when(k % 7 == 0, F.lit("null")).otherwise(k.cast("string")),
+                  F.lit(', "humidity": "50"}'))
+    p2 = F.concat(F.lit('{"timestamp": "'), stamp2, F.lit('", "Power_Consumption": "'), v2,
+                  F.lit('", "voltage": 230, "current": "'),
+                  F.when(k % 9 == 0, F.lit("abc")).otherwise(F.lit("12.5")),
+                  F.lit('", "temperature": 21.5, "humidity": 40}'))
+    body = (F.when(k % 10 == 0, F.lit(None).cast("string"))
+            .when(k % 10 == 1, p1)
+            .when(k % 10 == 2, F.lit("junk"))
+            .when(k % 10 == 3, F.lit(" [] "))
+            .when(k % 10 == 4, F.concat(F.lit("["), p1))
+            .otherwise(F.concat(F.lit("["), p1, F.lit(", "), p2, F.lit("]"))))
+    return e.select(F.col("event_id").alias("request_id"), body.alias("body"))
+
+
+def q_parse_reading_batches(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.readings import coerce_points, parse_reading_batches
+    accepted, _ = parse_reading_batches(request_bodies(spark, d))
+    pts = coerce_points(accepted)
+    return pts.select("series_id", "arrival_no", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                      "Power_Consumption", "voltage", "current", "temperature", "humidity")
+
+
+register("parse_reading_batches", f"""
+SELECT CAST(event_id AS VARCHAR) AS series_id, CAST(0 AS BIGINT) AS arrival_no, ts,
+       value AS Power_Consumption, CAST(225 + event_id % 11 AS DOUBLE) AS voltage, 10.0::DOUBLE AS "current",
+       CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(k AS DOUBLE) END AS temperature, 50.0::DOUBLE AS humidity
+FROM {SQL_EVENTS_K} e WHERE k % 10 >= 5
+UNION ALL
+SELECT CAST(event_id AS VARCHAR), CAST(1 AS BIGINT), ts + INTERVAL 1 HOUR,
+       CAST(printf('%.2f', value * 2.0::DOUBLE) AS DOUBLE), 230.0::DOUBLE,
+       CASE WHEN k % 9 = 0 THEN NULL ELSE 12.5::DOUBLE END, 21.5::DOUBLE, 40.0::DOUBLE
+FROM {SQL_EVENTS_K} e WHERE k % 10 >= 5
+""")(q_parse_reading_batches)
+
+
+def q_parse_reading_rejects(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.readings import parse_reading_batches
+    _, rejected = parse_reading_batches(request_bodies(spark, d))
+    return rejected.select("request_id", "reason")
+
+
+register("parse_reading_rejects", f"""
+SELECT event_id AS request_id,
+       CASE k % 10 WHEN 0 THEN 'null_body' WHEN 1 THEN 'not_an_array' WHEN 2 THEN 'not_an_array'
+                   WHEN 3 THEN 'empty_array' ELSE 'invalid_json' END AS reason
+FROM {SQL_EVENTS_K} e WHERE k % 10 <= 4
+""")(q_parse_reading_rejects)
+
+
+def q_row_count(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.operators.metrics import row_count
+    return row_count(load_readings(spark, d, "event_type"), ["series_id"])
+
+
+register("row_count", f"SELECT series_id, count(*) AS row_count FROM {sql_readings('event_type')} r GROUP BY series_id")(q_row_count)
+
+register("row_count_total", "SELECT count(*) AS row_count FROM events")(
+    lambda spark, d: __import__("wattlane.operators.metrics", fromlist=["row_count"]).row_count(events(spark, d)))
+
+
+def q_read_weather(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.weather import read_weather
+    path = scratch_path(spark, "weather")
+    weather(spark, d).write.mode("overwrite").parquet(path)
+    return read_weather(spark, path)
+
+
+register("read_weather", f"SELECT * FROM {sql_weather()} w")(q_read_weather)
+
+
+def sql_to_fixed(x: str, d: int) -> str:
+    """printf rounds the exact binary value like toFixed, except on products
+    that round to an exact .5: there the Dekker error term of |x|·10^d decides,
+    and an exact tie goes up (toFixed) instead of to even (printf)."""
+    from wattlane.functions.numeric import _split
+    m = float(10 ** d)
+    bh, bl = _split(m)
+    a = f"abs({x})"
+    p = f"({a} * {m!r})"
+    ah = f"(({a} * 134217729.0) - (({a} * 134217729.0) - {a}))"
+    al = f"({a} - {ah})"
+    err = f"(((({ah} * {bh!r}) - {p}) + ({ah} * {bl!r})) + ({al} * {bh!r})) + ({al} * {bl!r})"
+    sign = f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END)"
+    up = f"{sign} || printf('%.{d}f', (floor({p}) + 1) / {m!r})"
+    down = f"{sign} || printf('%.{d}f', floor({p}) / {m!r})"
+    return (f"CASE WHEN {p} - floor({p}) = 0.5 THEN (CASE WHEN {err} >= 0 THEN {up} ELSE {down} END) "
+            f"ELSE printf('%.{d}f', {x}) END")
+
+
+def stand_in_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Base-model stand-ins derived from the features: sequence = 24-row mean,
+    rf = lag 24, gbt = lag 168; target = energy_kwh."""
+    from wattlane.operators.models import weighted_ensemble
+    f = features_warm(spark, d)
+    return f.select(*KEYCOLS, F.col("energy_kwh").alias("y"),
+                    F.col("energy_mean_24h").alias("seq_pred"),
+                    F.col("energy_lag_24").alias("rf_pred"),
+                    F.col("energy_lag_168").alias("gbt_pred")).withColumn(
+        "prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred")))
+
+
+def sql_stand_in() -> str:
+    return f"""(SELECT series_id, ts, arrival_no, energy_kwh AS y, energy_mean_24h AS seq_pred,
+       energy_lag_24 AS rf_pred, energy_lag_168 AS gbt_pred,
+       0.5::DOUBLE * energy_mean_24h + 0.25::DOUBLE * energy_lag_24 + 0.25::DOUBLE * energy_lag_168 AS prediction
+FROM {sql_features_warm()} f)"""
+
+
+def q_write_predictions(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.sinks import with_display, write_predictions
+    preds = stand_in_predictions(spark, d).filter(F.col("prediction").isNotNull())
+    # compare through the rounded value: the 24-row mean differs between engines in the last bits
+    preds = with_display(preds.withColumn("prediction", r6(F.col("prediction"))))
+    path = scratch_path(spark, "predictions")
+    write_predictions(preds, path)
+    return spark.read.parquet(path).select(*KEYCOLS, "prediction", "prediction_display")
+
+
+register("write_predictions", f"""
+SELECT series_id, ts, arrival_no, x AS prediction, {sql_to_fixed('x', 3)} AS prediction_display
+FROM (SELECT *, {R('prediction')} AS x FROM {sql_stand_in()} p WHERE prediction IS NOT NULL) q""")(q_write_predictions)
+
+
+# ---- P1–P15 --------------------------------------------------------------------------------
+
+def _ops():
+    from wattlane.operators import clean
+    return clean
+
+
+register("drop_null_target", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} r WHERE temperature IS NOT NULL")(
+    lambda spark, d: _ops().drop_null_target(load_readings(spark, d, "user_id"), "temperature"))
+
+register("drop_duplicate_rows", f"""SELECT DISTINCT * FROM (
+  SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} a
+  UNION ALL SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} b) u""")(
+    lambda spark, d: _ops().drop_duplicate_rows(
+        load_readings(spark, d, "user_id").unionByName(load_readings(spark, d, "user_id"))))
+
+
+def q_parse_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.functions.text import parse_timestamp
+    k = k_col()
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = (F.when(k % 4 == 0, F.concat(iso, F.lit("Z")))
+            .when(k % 4 == 1, F.concat(iso, F.lit("+02:00")))
+            .when(k % 4 == 2, iso).otherwise(F.lit("not a time")))
+    return events(spark, d).select("event_id", parse_timestamp(text).cast("timestamp_ntz").alias("parsed"))
+
+
+register("parse_timestamp", f"""
+SELECT event_id, CASE k % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts END AS parsed
+FROM {SQL_EVENTS_K} e""")(q_parse_timestamp)
+
+
+def numeric_text():
+    k = k_col()
+    v = F.format_string("%.2f", F.col("value"))
+    return (F.when(k % 6 == 0, v).when(k % 6 == 1, F.concat(F.lit(" "), v))
+            .when(k % 6 == 2, F.concat(v, F.lit("abc"))).when(k % 6 == 3, F.lit("NaN"))
+            .when(k % 6 == 4, F.lit("")).otherwise(F.lit("1e3")))
+
+
+SQL_NUMERIC_TEXT = """CASE k % 6 WHEN 0 THEN printf('%.2f', value) WHEN 1 THEN ' ' || printf('%.2f', value)
+       WHEN 2 THEN printf('%.2f', value) || 'abc' WHEN 3 THEN 'NaN' WHEN 4 THEN '' ELSE '1e3' END"""
+
+
+def q_coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.functions.numeric import coerce_numeric
+    return events(spark, d).select("event_id", coerce_numeric(numeric_text()).alias("number"))
+
+
+register("coerce_numeric", f"""
+SELECT event_id, CASE WHEN isnan(x) THEN NULL ELSE x END AS number
+FROM (SELECT event_id, TRY_CAST(trim({SQL_NUMERIC_TEXT}) AS DOUBLE) AS x FROM {SQL_EVENTS_K} e) t""")(q_coerce_numeric)
+
+MEASURE_COLS = ["ts", "Power_Consumption", "voltage", "current", "temperature", "humidity"]
+
+register("null_profile", " UNION ALL ".join(
+    f"""SELECT series_id, '{c}' AS "column", CAST(count_if({'"current"' if c == 'current' else c} IS NULL) AS BIGINT) AS null_count
+        FROM {sql_readings('event_type')} r GROUP BY series_id""" for c in MEASURE_COLS))(
+    lambda spark, d: _ops().null_profile(load_readings(spark, d, "event_type"), MEASURE_COLS, ["series_id"]))
+
+
+def q_reject_series(spark: SparkSession, d: str) -> DataFrame:
+    valid, quarantine = _ops().reject_series_with_nulls(load_readings(spark, d, "user_event"))
+    return (valid.select(*KEYCOLS, F.lit(False).alias("quarantined"))
+            .unionByName(quarantine.select(*KEYCOLS, F.lit(True).alias("quarantined"))))
+
+
+register("reject_series_with_nulls", f"""
+SELECT series_id, ts, arrival_no, bool_or(temperature IS NULL OR humidity IS NULL OR ts IS NULL
+       OR Power_Consumption IS NULL OR voltage IS NULL OR "current" IS NULL) OVER (PARTITION BY series_id) AS quarantined
+FROM {sql_readings('user_event')} r""")(q_reject_series)
+
+register("impute_mean_or_default", sql_rounded(sql_imputed("user_id"), KEYCOLS + ["Power_Consumption", "voltage", "current"],
+                                               ["temperature", "humidity"]))(
+    lambda spark, d: rounded(_ops().impute_mean_or_default(load_readings(spark, d, "user_id")),
+                             KEYCOLS + ["Power_Consumption", "voltage", "current"], ["temperature", "humidity"]))
+
+register("series_means", f"""SELECT series_id, {R('avg(temperature)')} AS mean_temperature, {R('avg(humidity)')} AS mean_humidity
+FROM {sql_readings('user_id')} r GROUP BY series_id""")(
+    lambda spark, d: rounded(_ops().series_means(load_readings(spark, d, "user_id")), ["series_id"],
+                             ["mean_temperature", "mean_humidity"]))
+
+register("rename_target", f"""SELECT series_id, ts, arrival_no, Power_Consumption AS energy_kwh, voltage, "current",
+temperature, humidity FROM {sql_readings('event_type')} r""")(
+    lambda spark, d: _ops().rename_target(load_readings(spark, d, "event_type")))
+
+SEQ_RAW = ["energy_kwh", "hour", "day_of_week", "is_weekend", "is_peak_hours", "energy_lag_1", "energy_lag_24"]
+SEQ_DBL = ["temperature", "humidity", "energy_mean_24h"]
+
+register("select_sequence_features", sql_rounded(sql_features_warm(), KEYCOLS + SEQ_RAW, SEQ_DBL))(
+    lambda spark, d: rounded(_ops().select_sequence_features(features_warm(spark, d), KEYCOLS),
+                             KEYCOLS + SEQ_RAW, SEQ_DBL))
+
+
+def q_drop_warmup_rows(spark: SparkSession, d: str) -> DataFrame:
+    lags = W.energy_lags(load_readings(spark, d, "user_id"))
+    return _ops().drop_warmup_rows(lags).select(*KEYCOLS, "energy_lag_1", "energy_lag_24")
+
+
+register("drop_warmup_rows", f"""SELECT * FROM (
+  SELECT series_id, ts, arrival_no, lag(Power_Consumption, 1) {sql_win()} AS energy_lag_1,
+         lag(Power_Consumption, 24) {sql_win()} AS energy_lag_24 FROM {sql_readings('user_id')} r) t
+WHERE energy_lag_1 IS NOT NULL AND energy_lag_24 IS NOT NULL""")(q_drop_warmup_rows)
+
+register("drop_incomplete_rows", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} r WHERE temperature IS NOT NULL AND humidity IS NOT NULL")(
+    lambda spark, d: _ops().drop_incomplete_rows(load_readings(spark, d, "user_id")))
+
+
+def sql_status(source: str, checked: str) -> str:
+    return f"""SELECT series_id, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(greatest(count(*) - 24, 0) AS BIGINT) AS n_feature_rows,
+       CASE WHEN bool_or({checked}) THEN 'invalid_input'
+            WHEN greatest(count(*) - 24, 0) < 24 THEN 'insufficient_history'
+            WHEN count(*) <= 168 THEN 'missing_lag' ELSE 'scored' END AS status
+FROM {source} s GROUP BY series_id"""
+
+
+ALL_NULL_CHECK = ('ts IS NULL OR Power_Consumption IS NULL OR voltage IS NULL OR "current" IS NULL '
+                  'OR temperature IS NULL OR humidity IS NULL')
+
+register("history_status", sql_status(sql_imputed("user_id"), ALL_NULL_CHECK))(
+    lambda spark, d: _ops().history_status(_ops().impute_mean_or_default(load_readings(spark, d, "user_id"))))
+
+
+def sql_padded(series_key: str = "user_event") -> str:
+    return f"""(
+  SELECT {SQL_READING_COLS}, FALSE AS is_padding FROM {sql_readings(series_key)} r
+  UNION ALL
+  SELECT series_id, f.ts - to_hours(i) AS ts, -i AS arrival_no,
+         coalesce(f.Power_Consumption, 0.0::DOUBLE), coalesce(f.voltage, 230.0::DOUBLE),
+         coalesce(f."current", 10.0::DOUBLE), coalesce(f.temperature, 20.0::DOUBLE),
+         coalesce(f.humidity, 50.0::DOUBLE), TRUE AS is_padding
+  FROM (SELECT series_id, n, f, unnest(generate_series(1, 24 - n)) AS i FROM (
+          SELECT series_id, count(*) AS n,
+                 arg_min({{'ts': ts, 'Power_Consumption': Power_Consumption, 'voltage': voltage,
+                          'current': "current", 'temperature': temperature, 'humidity': humidity}}, arrival_no) AS f
+          FROM {sql_readings(series_key)} r GROUP BY series_id) s WHERE n < 24) p
+)"""
+
+
+register("pad_short_series", f"SELECT * FROM {sql_padded('user_event')} p")(
+    lambda spark, d: __import__("wattlane.operators.combine", fromlist=["x"]).pad_short_series(
+        load_readings(spark, d, "user_event")))
+
+register("history_status_padded", sql_status(sql_padded("user_event"), ALL_NULL_CHECK))(
+    lambda spark, d: _ops().history_status(
+        __import__("wattlane.operators.combine", fromlist=["x"]).pad_short_series(
+            load_readings(spark, d, "user_event")).drop("is_padding")))
+
+
+def q_default_if_missing(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.config import HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT
+    from wattlane.functions.numeric import default_if_absent, default_if_missing
+    w = weather(spark, d)
+    return w.select("obs_id",
+                    default_if_missing(F.col("temp"), TEMPERATURE_DEFAULT).alias("temperature"),
+                    default_if_missing(F.col("humidity"), HUMIDITY_DEFAULT).alias("humidity"),
+                    default_if_absent(F.when(F.col("wind_speed") > 3, F.col("wind_speed")), 0.0).alias("wind_speed"))
+
+
+register("default_if_missing", f"""SELECT obs_id,
+  coalesce(CASE WHEN temp = 0 OR isnan(temp) THEN NULL ELSE temp END, 20.0::DOUBLE) AS temperature,
+  coalesce(CASE WHEN humidity = 0 OR isnan(humidity) THEN NULL ELSE humidity END, 50.0::DOUBLE) AS humidity,
+  coalesce(CASE WHEN wind_speed > 3 THEN wind_speed END, 0.0::DOUBLE) AS wind_speed
+FROM {sql_weather()} w""")(q_default_if_missing)
+
+
+def q_first_non_null_name(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.functions.text import first_non_null_name
+    return weather(spark, d).select("obs_id", first_non_null_name(F.col("city"), F.col("town"), F.col("village")).alias("location_name"))
+
+
+register("first_non_null_name", f"""SELECT obs_id, coalesce(nullif(city, ''), nullif(town, ''), nullif(village, ''), 'Unknown Location') AS location_name
+FROM {sql_weather()} w""")(q_first_non_null_name)
+
+
+def response_text():
+    k = k_col()
+    kt = F.get_json_object("props", "$.k")
+    return (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, kt)
+            .when(k % 4 == 2, F.concat(kt, F.lit("x"))).otherwise(F.concat(F.lit(" "), kt, F.lit(" "))))
+
+
+def q_valid_prediction(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.functions.numeric import valid_prediction
+    v = valid_prediction(response_text())
+    return events(spark, d).select("event_id", v["valid"].alias("valid"), v["prediction"].alias("prediction"))
+
+
+register("valid_prediction", f"""SELECT event_id, x IS NOT NULL AS valid, x AS prediction FROM (
+  SELECT event_id, CASE k % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 2 THEN NULL ELSE CAST(k AS DOUBLE) END AS x
+  FROM {SQL_EVENTS_K} e) t""")(q_valid_prediction)

@@ -13,7 +13,7 @@ def nan_to_null(c: Column) -> Column:
 
 def coerce_numeric(c: Column) -> Column:
     """Text or number → DOUBLE; anything unparsable becomes NULL (never raises)."""
-    return nan_to_null(F.try_cast(c.cast("string"), "double"))
+    return nan_to_null(c.cast("string").try_cast("double"))
 
 
 def default_if_missing(c: Column, default: float, zero_is_missing: bool = True) -> Column:
@@ -29,9 +29,50 @@ def default_if_absent(c: Column, default: float) -> Column:
     return F.coalesce(c.cast("double"), F.lit(float(default)))
 
 
+_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
+
+
+def _split(v: float) -> tuple[float, float]:
+    t = v * _SPLIT
+    hi = t - (t - v)
+    return hi, v - hi
+
+
+def _two_product_error(a: Column, b: float) -> Column:
+    """Exact rounding error of ``a * b`` (Dekker), so ``a*b + err`` is exact."""
+    p = a * F.lit(b)
+    ta = a * F.lit(_SPLIT)
+    ah = ta - (ta - a)
+    al = a - ah
+    bh, bl = _split(b)
+    return (((ah * F.lit(bh) - p) + ah * F.lit(bl)) + al * F.lit(bh)) + al * F.lit(bl)
+
+
 def format_fixed(c: Column, decimals: int) -> Column:
-    """Fixed number of decimals as text."""
-    return F.format_string(f"%.{int(decimals)}f", c)
+    """Fixed decimals as text, rounding the exact binary value half up on
+    the magnitude, the way a browser's ``toFixed`` does (``1.0005`` → ``1.000``,
+    ``2.675`` → ``2.67``).  ``format_string`` would round the shortest decimal
+    text instead.  Values of 1e21 and above are out of scope."""
+    d = int(decimals)
+    x = c.cast("double")
+    a = F.abs(x)
+    scale = 10.0 ** d
+    p = a * F.lit(scale)
+    err = _two_product_error(a, scale)
+    n0 = F.floor(p)
+    frac_minus_half = (p - n0) - F.lit(0.5)
+    up = (frac_minus_half > 0) | ((frac_minus_half == 0) & (err >= 0))
+    n = (n0 + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)")
+    raw = n.cast("string")
+    digits = F.when(F.length(raw) < F.lit(d + 1), F.lpad(raw, d + 1, "0")).otherwise(raw)
+    if d:
+        head = digits.substr(F.lit(1), F.length(digits) - F.lit(d))
+        tail = digits.substr(F.length(digits) - F.lit(d - 1), F.lit(d))
+        body = F.concat(head, F.lit("."), tail)
+    else:
+        body = digits
+    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body)
+    return F.when(F.isnan(x), F.lit("NaN")).otherwise(text)
 
 
 def valid_prediction(text: Column) -> Column:
@@ -41,7 +82,7 @@ def valid_prediction(text: Column) -> Column:
     is rejected.  Returns ``struct(valid BOOLEAN, prediction DOUBLE)``.
     """
     t = F.trim(text.cast("string"))
-    value = F.when(t == "", F.lit(0.0)).otherwise(nan_to_null(F.try_cast(t, "double")))
+    value = F.when(t == "", F.lit(0.0)).otherwise(nan_to_null(t.try_cast("double")))
     return F.struct(value.isNotNull().alias("valid"), value.alias("prediction"))
 
 

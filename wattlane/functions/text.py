@@ -22,7 +22,7 @@ def _prefix_float(s: Column) -> Column:
     token = F.regexp_extract(F.trim(s), _FLOAT_PREFIX, 0)
     return (F.when(token.endswith("Infinity"),
                    F.when(token.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-            .otherwise(F.try_cast(token, "double")))
+            .otherwise(token.try_cast("double")))
 
 
 def parse_reading_list(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from wattlane.functions.numeric import coerce_numeric
 from wattlane.functions.text import parse_timestamp
 
+TS_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # keep microseconds in text files
 MEASURES = ["Power_Consumption", "voltage", "current", "temperature", "humidity"]
 
 # S3: the declared six-field schema of one reading
@@ -100,7 +101,8 @@ def read_readings_csv(spark: SparkSession, path: str, schema: T.StructType | Non
                       infer_schema: bool = False, timestamp_col: str = "timestamp") -> DataFrame:
     """CSV with a header row.  A declared schema avoids the inference pass; the
     inference option is kept for files whose columns are unknown."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+              .option("timestampNTZFormat", TS_TEXT).option("timestampFormat", TS_TEXT))
     if schema is not None:
         reader = reader.schema(schema)
     elif infer_schema:
@@ -113,7 +115,8 @@ def read_readings_csv(spark: SparkSession, path: str, schema: T.StructType | Non
 
 
 def write_readings_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    (df.write.mode("overwrite").option("header", True)
+     .option("timestampNTZFormat", TS_TEXT).option("timestampFormat", TS_TEXT).csv(path))
 
 
 # ---- S2 -----------------------------------------------------------------------
