@@ -564,3 +564,200 @@ def q_valid_prediction(spark: SparkSession, d: str) -> DataFrame:
 register("valid_prediction", f"""SELECT event_id, x IS NOT NULL AS valid, x AS prediction FROM (
   SELECT event_id, CASE k % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 2 THEN NULL ELSE CAST(k AS DOUBLE) END AS x
   FROM {SQL_EVENTS_K} e) t""")(q_valid_prediction)
+
+
+# ---- T1–T9 ----------------------------------------------------------------------------------
+
+def _fn():
+    from wattlane.functions import calendar, text
+    return calendar, text
+
+
+CAL_COLS = ["hour", "day_of_week", "day_of_month", "month", "quarter", "year", "week_of_year"]
+
+register("calendar_features", f"SELECT series_id, ts, arrival_no, {SQL_CALENDAR} FROM {sql_readings('event_type')} r")(
+    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, *_fn()[0].calendar_columns("ts")))
+
+register("dow_sunday1", f"SELECT series_id, ts, arrival_no, CAST(dayofweek(ts) + 1 AS INTEGER) AS dow FROM {sql_readings('event_type')} r")(
+    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, _fn()[0].dow_sunday1("ts").alias("dow")))
+
+register("flag_features", f"SELECT series_id, ts, arrival_no, {SQL_FLAGS} FROM {sql_readings('event_type')} r")(
+    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, *_fn()[0].calendar_columns("ts"))
+    .select(*KEYCOLS, *_fn()[0].flag_columns()))
+
+SQL_CYCLIC = ("sin((CAST(hour(ts) AS INTEGER) * 2) * 3.14159::DOUBLE / 24) AS sin_hour, "
+              "cos((CAST(hour(ts) AS INTEGER) * 2) * 3.14159::DOUBLE / 24) AS cos_hour")
+
+register("cyclic_hour", sql_rounded(f"(SELECT series_id, ts, arrival_no, CAST(hour(ts) AS INTEGER) AS hour, {SQL_CYCLIC} FROM {sql_readings('event_type')} r)",
+                                    KEYCOLS + ["hour"], ["sin_hour", "cos_hour"]))(
+    lambda spark, d: rounded(load_readings(spark, d, "event_type").select(*KEYCOLS, F.hour("ts").alias("hour"))
+                             .select("*", *_fn()[0].cyclic_hour()), KEYCOLS + ["hour"], ["sin_hour", "cos_hour"]))
+
+register("weather_interactions", sql_rounded(
+    f"""(SELECT series_id, ts, arrival_no, temperature * CAST(hour(ts) AS INTEGER) AS temp_hour_interaction,
+        humidity * temperature AS humidity_temp_interaction FROM {sql_imputed('user_id')} i)""",
+    KEYCOLS, ["temp_hour_interaction", "humidity_temp_interaction"]))(
+    lambda spark, d: rounded(_ops().impute_mean_or_default(load_readings(spark, d, "user_id"))
+                             .select(*KEYCOLS, "temperature", "humidity", F.hour("ts").alias("hour"))
+                             .select(*KEYCOLS, *_fn()[0].weather_interactions()),
+                             KEYCOLS, ["temp_hour_interaction", "humidity_temp_interaction"]))
+
+
+def list_text():
+    """A reading list per event: its value, junk, partial numbers, specials."""
+    k = k_col()
+    v = F.format_string("%.2f", F.col("value"))
+    kt = k.cast("string")
+    inf = F.when(k % 9 == 0, F.lit("Infinity")).otherwise(F.lit("x"))
+    return F.concat_ws(",", v, F.lit("abc"), F.concat(kt, F.lit("x")), F.lit(".5"), F.lit(" 1e3"),
+                       F.lit("7."), F.lit("NaN"), F.lit(""), F.concat(F.lit("-"), kt), inf, F.lit("+2.5e-1z"))
+
+
+SQL_LIST_TEXT = ("concat_ws(',', printf('%.2f', value), 'abc', CAST(k AS VARCHAR) || 'x', '.5', ' 1e3', '7.', 'NaN', '', "
+                 "'-' || CAST(k AS VARCHAR), CASE WHEN k % 9 = 0 THEN 'Infinity' ELSE 'x' END, '+2.5e-1z')")
+SQL_PREFIX = r"'^[+-]?(Infinity|([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)'"
+
+
+def sql_parse_list(text: str) -> str:
+    return (f"list_filter(list_transform(string_split({text}, ','), "
+            f"lambda x: TRY_CAST(regexp_extract(trim(x), {SQL_PREFIX}, 0) AS DOUBLE)), lambda x: x IS NOT NULL)")
+
+
+def q_parse_reading_list(spark: SparkSession, d: str) -> DataFrame:
+    vals = _fn()[1].parse_reading_list(list_text())
+    finite = F.filter(vals, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return events(spark, d).select(
+        "event_id", F.size(vals).alias("n_values"), F.size(finite).alias("n_finite"),
+        F.element_at(vals, 1).alias("first_value"), F.element_at(vals, -1).alias("last_value"),
+        r6(F.aggregate(finite, F.lit(0.0), lambda a, x: a + x)).alias("finite_sum"))
+
+
+register("parse_reading_list", f"""SELECT event_id, CAST(len(l) AS INTEGER) AS n_values,
+  CAST(len(list_filter(l, lambda x: NOT isinf(x))) AS INTEGER) AS n_finite,
+  l[1] AS first_value, l[-1] AS last_value,
+  {R('list_reduce(list_prepend(0.0::DOUBLE, list_filter(l, lambda x: NOT isinf(x))), lambda a, x: a + x)')} AS finite_sum
+FROM (SELECT event_id, {sql_parse_list(SQL_LIST_TEXT)} AS l FROM {SQL_EVENTS_K} e) t""")(q_parse_reading_list)
+
+
+def long_list_text():
+    """k % 40 values per event, value + 1 … value + n, as text."""
+    k = k_col()
+    items = F.transform(F.sequence(F.lit(1), F.greatest(k % 40, F.lit(1))),
+                        lambda i: F.format_string("%.2f", F.col("value") + i))
+    return F.when(k % 40 > 0, F.array_join(items, ",")).otherwise(F.lit(""))
+
+
+SQL_LONG_LIST = ("CASE WHEN k % 40 > 0 THEN array_to_string(list_transform(range(1, k % 40 + 1), "
+                 "lambda i: printf('%.2f', value + i)), ',') ELSE '' END")
+
+
+def q_last_n_values(spark: SparkSession, d: str) -> DataFrame:
+    t = _fn()[1]
+    vals = t.parse_reading_list(long_list_text())
+    kept = t.last_n_values(vals)
+    return events(spark, d).select("event_id", F.size(vals).alias("n_values"), F.size(kept).alias("n_kept"),
+                                   F.element_at(kept, 1).alias("first_kept"), F.element_at(kept, -1).alias("last_kept"),
+                                   r6(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)).alias("kept_sum"))
+
+
+register("last_n_values", f"""SELECT event_id, CAST(len(l) AS INTEGER) AS n_values,
+  CASE WHEN len(l) >= 24 THEN 24 END AS n_kept,
+  CASE WHEN len(l) >= 24 THEN l[len(l) - 23] END AS first_kept,
+  CASE WHEN len(l) >= 24 THEN l[len(l)] END AS last_kept,
+  CASE WHEN len(l) >= 24 THEN {R('list_reduce(list_prepend(0.0::DOUBLE, l[len(l) - 23:]), lambda a, x: a + x)')} END AS kept_sum
+FROM (SELECT event_id, {sql_parse_list(SQL_LONG_LIST)} AS l FROM {SQL_EVENTS_K} e) t""")(q_last_n_values)
+
+
+def q_request_points(spark: SparkSession, d: str) -> DataFrame:
+    """T6 → T7 → T8 → P13: the form's data points, one request per event."""
+    from wattlane.operators.combine import form_points
+    t = _fn()[1]
+    kept = t.last_n_values(t.parse_reading_list(long_list_text()))
+    pts = (events(spark, d).select("event_id", "ts", kept.alias("kept")).filter(F.col("kept").isNotNull())
+           .select("event_id", "ts", F.posexplode("kept").alias("pos", "Power_Consumption")))
+    pts = pts.select("event_id", F.col("pos").cast("int").alias("pos"),
+                     t.hourly_stamp(F.col("ts"), F.col("pos"), 24).alias("ts"), "Power_Consumption")
+    return form_points(pts)
+
+
+register("request_points", f"""SELECT event_id, CAST(pos - 1 AS INTEGER) AS pos, ts - to_hours(24 - pos) AS ts,
+  l[len(l) - 24 + pos] AS Power_Consumption, 230.0::DOUBLE AS voltage, 10.0::DOUBLE AS "current",
+  20.0::DOUBLE AS temperature, 50.0::DOUBLE AS humidity
+FROM (SELECT event_id, ts, l, unnest(range(1, 25)) AS pos FROM (
+  SELECT event_id, ts, {sql_parse_list(SQL_LONG_LIST)} AS l FROM {SQL_EVENTS_K} e) t WHERE len(l) >= 24) u""")(q_request_points)
+
+
+def q_format_fixed(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.functions.numeric import format_fixed
+    f = features_warm(spark, d).select(*KEYCOLS, r6(F.col("temperature")).alias("t"), r6(F.col("energy_mean_24h")).alias("m"))
+    return f.select(*KEYCOLS, format_fixed(F.col("t"), 1).alias("temperature_display"),
+                    format_fixed(F.col("m"), 3).alias("mean_display"))
+
+
+register("format_fixed", f"""SELECT series_id, ts, arrival_no, {sql_to_fixed('t', 1)} AS temperature_display,
+  {sql_to_fixed('m', 3)} AS mean_display
+FROM (SELECT series_id, ts, arrival_no, {R('temperature')} AS t, {R('energy_mean_24h')} AS m FROM {sql_features_warm()} f) q""")(q_format_fixed)
+
+
+# ---- J1–J3 ------------------------------------------------------------------------------------
+
+def _combine():
+    from wattlane.operators import combine
+    return combine
+
+
+SQL_DECODE = f"""SELECT w.obs_id, w.weather_code, coalesce(c.description, 'Unknown') AS description
+FROM {sql_weather()} w LEFT JOIN {sql_weather_codes()} c ON w.weather_code = c.weather_code"""
+
+register("decode_weather_code", SQL_DECODE)(
+    lambda spark, d: _combine().decode_weather_code(weather(spark, d).select("obs_id", "weather_code")))
+
+register("decode_weather_code_join", SQL_DECODE)(
+    lambda spark, d: _combine().decode_weather_code(weather(spark, d).select("obs_id", "weather_code"), use_join=True))
+
+
+def q_attach_current_weather(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.sources.weather import location_of_user
+    e = events(spark, d)
+    r = load_readings(spark, d, "user_id").join(
+        e.select(F.col("event_id").alias("arrival_no"), location_of_user(F.col("user_id")).alias("location")), "arrival_no")
+    out = _combine().attach_current_weather(r, weather(spark, d))
+    return out.select(*KEYCOLS, "location", "temperature", "humidity", "wind_speed", "weather_description",
+                      "location_name", "obs_ts")
+
+
+register("attach_current_weather", f"""
+WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY ts DESC, obs_id DESC) AS rn
+                               FROM {sql_weather()} w) x WHERE rn = 1),
+     r AS (SELECT CAST(user_id AS VARCHAR) AS series_id, ts, event_id AS arrival_no,
+                  'loc_' || CAST(user_id % 7 AS VARCHAR) AS location FROM events)
+SELECT r.series_id, r.ts, r.arrival_no, r.location,
+       coalesce(CASE WHEN l.temp = 0 THEN NULL ELSE l.temp END, 20.0::DOUBLE) AS temperature,
+       coalesce(CASE WHEN l.humidity = 0 THEN NULL ELSE l.humidity END, 50.0::DOUBLE) AS humidity,
+       l.wind_speed, coalesce(c.description, 'Unknown') AS weather_description,
+       coalesce(nullif(l.city, ''), nullif(l.town, ''), nullif(l.village, ''), 'Unknown Location') AS location_name,
+       l.ts AS obs_ts
+FROM r LEFT JOIN latest l USING (location) LEFT JOIN {sql_weather_codes()} c ON l.weather_code = c.weather_code""")(q_attach_current_weather)
+
+
+def _seq():
+    from wattlane.operators import sequences
+    return sequences
+
+
+def q_align_predictions(spark: SparkSession, d: str) -> DataFrame:
+    r = load_readings(spark, d, "event_type")
+    target = features_warm(spark, d).select(*KEYCOLS, F.col("energy_kwh").alias("y"))
+    seq = _seq().sliding_sequences(r).select(
+        *KEYCOLS, (F.aggregate("seq", F.lit(0.0), lambda a, x: a + x) / F.lit(24.0)).alias("seq_pred"))
+    boost = W.training_features(r).select(*KEYCOLS, F.col("lag_24").alias("boost_pred"))
+    out = _combine().align_predictions(target, seq, boost)
+    return out.select(*KEYCOLS, "y", r6(F.col("seq_pred")).alias("seq_pred"), "boost_pred")
+
+
+register("align_predictions", f"""
+WITH s AS (SELECT series_id, ts, arrival_no, avg(Power_Consumption) {sql_win(frame=rows(24, -1))} AS seq_pred,
+                  count(*) {sql_win(frame=rows(24, -1))} AS n, lag(Power_Consumption, 24) {sql_win()} AS boost_pred
+           FROM {sql_readings('event_type')} r)
+SELECT f.series_id, f.ts, f.arrival_no, f.energy_kwh AS y, {R('s.seq_pred')} AS seq_pred, s.boost_pred
+FROM {sql_features_warm()} f JOIN s USING (series_id, ts, arrival_no) WHERE s.n = 24""")(q_align_predictions)
