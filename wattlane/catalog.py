@@ -761,3 +761,142 @@ WITH s AS (SELECT series_id, ts, arrival_no, avg(Power_Consumption) {sql_win(fra
            FROM {sql_readings('event_type')} r)
 SELECT f.series_id, f.ts, f.arrival_no, f.energy_kwh AS y, {R('s.seq_pred')} AS seq_pred, s.boost_pred
 FROM {sql_features_warm()} f JOIN s USING (series_id, ts, arrival_no) WHERE s.n = 24""")(q_align_predictions)
+
+
+# ---- W1–W12, W14 -------------------------------------------------------------------------------
+
+LAG_COLS = [f"energy_lag_{k}" for k in (1, 2, 3, 24, 48, 168)]
+P = "Power_Consumption"
+
+register("energy_lags", f"""SELECT series_id, ts, arrival_no, {P},
+  {', '.join(f'lag({P}, {k}) {sql_win()} AS energy_lag_{k}' for k in (1, 2, 3, 24, 48, 168))}
+FROM {sql_readings('user_id')} r""")(
+    lambda spark, d: W.energy_lags(load_readings(spark, d, "user_id")).select(*KEYCOLS, P, *LAG_COLS))
+
+ROLL_DBL = ["energy_mean_24h", "energy_std_24h", "energy_mean_7d", "energy_std_7d"]
+ROLL_RAW = ["energy_min_24h", "energy_max_24h"]
+
+register("rolling_features", sql_rounded(f"""(SELECT series_id, ts, arrival_no,
+  avg({P}) {sql_win(frame=rows(23))} AS energy_mean_24h, stddev_samp({P}) {sql_win(frame=rows(23))} AS energy_std_24h,
+  min({P}) {sql_win(frame=rows(23))} AS energy_min_24h, max({P}) {sql_win(frame=rows(23))} AS energy_max_24h,
+  avg({P}) {sql_win(frame=rows(167))} AS energy_mean_7d, stddev_samp({P}) {sql_win(frame=rows(167))} AS energy_std_7d
+FROM {sql_readings('event_type')} r)""", KEYCOLS + ROLL_RAW, ROLL_DBL))(
+    lambda spark, d: rounded(W.rolling_features(load_readings(spark, d, "event_type")), KEYCOLS + ROLL_RAW, ROLL_DBL))
+
+TRAIN_RAW = ["Power_Consumption", "hour", "dow", "lag_1", "lag_24"]
+TRAIN_DBL = ["sin_hour", "cos_hour", "rolling_3h"]
+
+
+def sql_training(series_key: str = "event_type") -> str:
+    return f"""(SELECT series_id, ts, arrival_no, {P}, voltage, "current", temperature, humidity,
+  CAST(hour(ts) AS INTEGER) AS hour, CAST(dayofweek(ts) + 1 AS INTEGER) AS dow, {SQL_CYCLIC},
+  lag({P}, 1) {sql_win()} AS lag_1, lag({P}, 24) {sql_win()} AS lag_24,
+  avg({P}) {sql_win(frame=rows(3))} AS rolling_3h
+FROM (SELECT DISTINCT * FROM {sql_readings(series_key)} r0 WHERE {P} IS NOT NULL) r)"""
+
+
+register("training_features", sql_rounded(sql_training(), KEYCOLS + TRAIN_RAW, TRAIN_DBL))(
+    lambda spark, d: rounded(W.training_features(load_readings(spark, d, "event_type")), KEYCOLS + TRAIN_RAW, TRAIN_DBL))
+
+register("training_lags", f"SELECT series_id, ts, arrival_no, lag_1, lag_24 FROM {sql_training('user_id')} t")(
+    lambda spark, d: W.training_features(load_readings(spark, d, "user_id")).select(*KEYCOLS, "lag_1", "lag_24"))
+
+register("rolling_3h", sql_rounded(sql_training("user_id"), KEYCOLS, ["rolling_3h"]))(
+    lambda spark, d: rounded(W.training_features(load_readings(spark, d, "user_id")), KEYCOLS, ["rolling_3h"]))
+
+
+def value_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Generic ``value`` series: temperature per user (it has NULLs inside)."""
+    return load_readings(spark, d, "user_id").select(*KEYCOLS, F.col("temperature").alias("value"))
+
+
+def q_short_lags(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.plans.ordering import over_series
+    return over_series(value_frame(spark, d), ["series_id"], lambda f, s: f.select("*", *W.short_lag_cols(s)), halo=3)
+
+
+SQL_VALUE = f"(SELECT series_id, ts, arrival_no, temperature AS value FROM {sql_readings('user_id')} r)"
+
+register("short_lags", f"""SELECT series_id, ts, arrival_no, value,
+  {', '.join(f'lag(value, {k}) {sql_win()} AS lag_{k}' for k in (1, 2, 3))} FROM {SQL_VALUE} v""")(q_short_lags)
+
+
+def sql_strict(n: int) -> str:
+    w = sql_win(frame=rows(n - 1))
+    return f"CASE WHEN count(*) {w} = {n} AND count(value) {w} = {n} THEN avg(value) {w} END AS rolling_{n}"
+
+
+def q_rolling_strict(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.plans.ordering import over_series
+    out = over_series(value_frame(spark, d), ["series_id"], lambda f, s: f.select("*", *W.rolling_strict_cols(s)), halo=4)
+    return rounded(out, KEYCOLS, ["rolling_3", "rolling_5"])
+
+
+register("rolling_strict", sql_rounded(f"(SELECT series_id, ts, arrival_no, {sql_strict(3)}, {sql_strict(5)} FROM {SQL_VALUE} v)",
+                                       KEYCOLS, ["rolling_3", "rolling_5"]))(q_rolling_strict)
+
+register("build_value_features", sql_rounded(f"""(SELECT * FROM (SELECT series_id, ts, arrival_no, value,
+  {', '.join(f'lag(value, {k}) {sql_win()} AS lag_{k}' for k in (1, 2, 3))}, {sql_strict(3)}, {sql_strict(5)}
+  FROM {SQL_VALUE} v) t WHERE value IS NOT NULL AND lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL
+  AND rolling_3 IS NOT NULL AND rolling_5 IS NOT NULL)""", KEYCOLS + ["value", "lag_1", "lag_2", "lag_3"], ["rolling_3", "rolling_5"]))(
+    lambda spark, d: rounded(W.build_value_features(value_frame(spark, d)), KEYCOLS + ["value", "lag_1", "lag_2", "lag_3"],
+                             ["rolling_3", "rolling_5"]))
+
+register("last_n_rows", f"""SELECT * FROM (SELECT series_id, ts, arrival_no, {P},
+  CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, arrival_no DESC) AS INTEGER) AS recency
+  FROM {sql_readings('user_id')} r) t WHERE recency <= 24""")(
+    lambda spark, d: W.last_n_rows(load_readings(spark, d, "user_id"), 24, rank_col="recency")
+    .select(*KEYCOLS, P, "recency"))
+
+register("first_n_rows", f"""SELECT * FROM (SELECT series_id, ts, arrival_no, {P},
+  CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) AS INTEGER) AS position
+  FROM {sql_readings('user_id')} r) t WHERE position <= 3""")(
+    lambda spark, d: W.last_n_rows(load_readings(spark, d, "user_id"), 3, newest=False, rank_col="position")
+    .select(*KEYCOLS, P, "position"))
+
+
+def seq_summary(df: DataFrame, with_target: bool = True) -> DataFrame:
+    cols = [*KEYCOLS, F.size("seq").alias("seq_size"), F.element_at("seq", 1).alias("seq_first"),
+            F.element_at("seq", -1).alias("seq_last"),
+            r6(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x)).alias("seq_sum")]
+    if with_target:
+        cols.append("y")
+    return df.select(*cols)
+
+
+def sql_seq_summary(series_key: str, with_target: bool = True, part: str = "series_id") -> str:
+    w = sql_win(part, frame=rows(24, -1))
+    y = f", {P} AS y" if with_target else ""
+    return f"""SELECT series_id, ts, arrival_no, CAST(n AS INTEGER) AS seq_size, seq_first, seq_last, {R('s')} AS seq_sum{y}
+FROM (SELECT *, count(*) {w} AS n, first_value({P}) {w} AS seq_first, last_value({P}) {w} AS seq_last,
+             sum({P}) {w} AS s FROM {sql_readings(series_key)} r) t WHERE n = 24"""
+
+
+register("sliding_sequences", sql_seq_summary("event_type"))(
+    lambda spark, d: seq_summary(_seq().sliding_sequences(load_readings(spark, d, "event_type"))))
+
+register("sliding_sequences_x", sql_seq_summary("user_id", with_target=False))(
+    lambda spark, d: seq_summary(_seq().sliding_sequences(load_readings(spark, d, "user_id"), with_target=False), False))
+
+register("sliding_sequences_global", sql_seq_summary("constant"))(
+    lambda spark, d: seq_summary(_seq().sliding_sequences(load_readings(spark, d, "constant"), strategy="chunked",
+                                                          chunk_rows=1000)))
+
+
+def q_latest_sequence(spark: SparkSession, d: str) -> DataFrame:
+    s = _seq().latest_sequence(features_warm(spark, d, "user_id"))
+    energy = F.transform("seq", lambda st: st[0])
+    temp = F.transform("seq", lambda st: st[1])
+    return s.select("series_id", "n_steps", "last_ts",
+                    F.element_at(energy, 1).alias("first_energy"), F.element_at(energy, -1).alias("last_energy"),
+                    r6(F.aggregate(energy, F.lit(0.0), lambda a, x: a + x)).alias("sum_energy"),
+                    r6(F.aggregate(temp, F.lit(0.0), lambda a, x: a + x)).alias("sum_temperature"),
+                    F.size(F.element_at("seq", 1)).alias("n_features"))
+
+
+register("latest_sequence", f"""SELECT series_id, CAST(count(*) AS INTEGER) AS n_steps, max(ts) AS last_ts,
+  arg_min(energy_kwh, rk) AS first_energy, arg_max(energy_kwh, rk) AS last_energy,
+  {R('sum(energy_kwh)')} AS sum_energy, {R('sum(temperature)')} AS sum_temperature, 10 AS n_features
+FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) AS rk,
+             row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, arrival_no DESC) AS recency
+      FROM {sql_features_warm('user_id')} f) t WHERE recency <= 24 GROUP BY series_id""")(q_latest_sequence)
