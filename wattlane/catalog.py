@@ -900,3 +900,148 @@ register("latest_sequence", f"""SELECT series_id, CAST(count(*) AS INTEGER) AS n
 FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) AS rk,
              row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, arrival_no DESC) AS recency
       FROM {sql_features_warm('user_id')} f) t WHERE recency <= 24 GROUP BY series_id""")(q_latest_sequence)
+
+
+# ---- A1–A7, O1, M8, M10, M11 ---------------------------------------------------------------------
+
+def _metrics():
+    from wattlane.operators import metrics
+    return metrics
+
+
+AVG_COLS = ["arrival_no", "Power_Consumption", "voltage", "current", "humidity", "hour", "dow",
+            "sin_hour", "cos_hour", "lag_1", "lag_24", "rolling_3h"]
+
+
+def q_avg_by(spark: SparkSession, d: str) -> DataFrame:
+    tf = W.training_features(load_readings(spark, d, "event_type"))
+    out = _metrics().avg_by(tf, "temperature", AVG_COLS)
+    return rounded(out, ["temperature"], [f"avg_{c}" for c in AVG_COLS])
+
+
+register("avg_by", f"""SELECT temperature, {', '.join(f'{R(f"avg(CAST({chr(34) + c + chr(34) if c == 'current' else c} AS DOUBLE))")} AS avg_{c}' for c in AVG_COLS)}
+FROM {sql_training('event_type')} t GROUP BY temperature""")(q_avg_by)
+
+register("prediction_bounds", sql_rounded(f"""(SELECT series_id, least(min(y), min(prediction)) AS min_val,
+  greatest(max(y), max(prediction)) AS max_val FROM {sql_stand_in()} p GROUP BY series_id)""", ["series_id"], ["min_val", "max_val"]))(
+    lambda spark, d: rounded(_metrics().prediction_bounds(stand_in_predictions(spark, d), keys=["series_id"]),
+                             ["series_id"], ["min_val", "max_val"]))
+
+register("mae", f"SELECT series_id, {R('avg(abs(y - prediction))')} AS mae FROM {sql_stand_in()} p GROUP BY series_id")(
+    lambda spark, d: rounded(_metrics().mae(stand_in_predictions(spark, d), keys=["series_id"]), ["series_id"], ["mae"]))
+
+register("rmse", f"SELECT series_id, {R('sqrt(avg(pow(y - prediction, 2)))')} AS rmse FROM {sql_stand_in()} p GROUP BY series_id")(
+    lambda spark, d: rounded(_metrics().rmse(stand_in_predictions(spark, d), keys=["series_id"]), ["series_id"], ["rmse"]))
+
+register("evaluate", f"""SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - prediction))')} AS mae,
+  {R('sqrt(avg((y - prediction) * (y - prediction)))')} AS rmse FROM {sql_stand_in()} p WHERE prediction IS NOT NULL""")(
+    lambda spark, d: rounded(_metrics().evaluate(stand_in_predictions(spark, d).filter(F.col("prediction").isNotNull())),
+                             ["n"], ["mae", "rmse"]))
+
+register("actual_vs_predicted", sql_rounded(f"(SELECT series_id, ts, arrival_no, y AS actual, prediction AS predicted FROM {sql_stand_in()} p)",
+                                            KEYCOLS + ["actual"], ["predicted"]))(
+    lambda spark, d: rounded(_metrics().actual_vs_predicted(stand_in_predictions(spark, d), keep=KEYCOLS),
+                             KEYCOLS + ["actual"], ["predicted"]))
+
+register("weighted_ensemble", sql_rounded(sql_stand_in(), KEYCOLS + ["y", "rf_pred", "gbt_pred"], ["seq_pred", "prediction"]))(
+    lambda spark, d: rounded(stand_in_predictions(spark, d), KEYCOLS + ["y", "rf_pred", "gbt_pred"], ["seq_pred", "prediction"]))
+
+register("time_split", f"""SELECT series_id, ts, arrival_no,
+  CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1
+            < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
+FROM {sql_features_warm()} f""")(
+    lambda spark, d: _metrics().time_split(features_warm(spark, d)).select(*KEYCOLS, "split"))
+
+register("time_split_global", f"""SELECT series_id, ts, arrival_no,
+  CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1
+            < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
+FROM {sql_readings('constant')} f""")(
+    lambda spark, d: _metrics().time_split(load_readings(spark, d, "constant"), strategy="chunked")
+    .select(*KEYCOLS, "split"))
+
+register("sort_by_time", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} r ORDER BY series_id, ts, arrival_no")(
+    lambda spark, d: W.sort_by_time(load_readings(spark, d, "user_id")))
+
+
+# ---- M1, M5(b), M6, M7, M9 ----------------------------------------------------------------------
+
+def _models():
+    from wattlane.operators import models
+    return models
+
+
+TREE_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in
+                             ["hour", "day_of_week", "month", "is_weekend", "is_peak_hours", "temperature",
+                              "humidity", "temp_hour_interaction", "energy_lag_1", "energy_lag_24",
+                              "energy_lag_168", "energy_mean_24h", "energy_std_24h", "energy_mean_7d"])
+
+register("assemble_features", f"SELECT series_id, ts, arrival_no, energy_lag_168 FROM {sql_features_warm()} f WHERE {TREE_NOT_NULL}")(
+    lambda spark, d: _models().assemble_features(features_warm(spark, d)).select(*KEYCOLS, "energy_lag_168"))
+
+
+def q_sequence_model_udf(spark: SparkSession, d: str) -> DataFrame:
+    m = _models()
+    seqs = _seq().sliding_sequences(load_readings(spark, d, "event_type"))
+    udf = m.sequence_model_udf(m.mean_model, 24)
+    return seqs.select(*KEYCOLS, r6(udf(F.col("seq"))).alias("seq_pred"))
+
+
+register("sequence_model_udf", f"""SELECT series_id, ts, arrival_no, {R('s')} AS seq_pred FROM (
+  SELECT *, count(*) {sql_win(frame=rows(24, -1))} AS n, avg({P}) {sql_win(frame=rows(24, -1))} AS s
+  FROM {sql_readings('event_type')} r) t WHERE n = 24""")(q_sequence_model_udf)
+
+SEQ_FEATS = ["energy_kwh", "temperature", "humidity", "hour", "day_of_week", "is_weekend", "is_peak_hours",
+             "energy_lag_1", "energy_lag_24", "energy_mean_24h"]
+
+
+def q_scale_sequence(spark: SparkSession, d: str) -> DataFrame:
+    f = features_warm(spark, d).select(*KEYCOLS, *SEQ_FEATS)
+    scaler = _seq().fit_scaler(f)
+    return rounded(scaler.transform(f), KEYCOLS, SEQ_FEATS)
+
+
+def sql_minmax_scaled() -> str:
+    stats = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in SEQ_FEATS)
+    scaled = ", ".join(
+        f"(CAST(f.{c} AS DOUBLE) - s.lo_{c}) / (CASE WHEN s.hi_{c} - s.lo_{c} = 0 THEN 1.0 ELSE s.hi_{c} - s.lo_{c} END) AS {c}"
+        for c in SEQ_FEATS)
+    return f"""(SELECT f.series_id, f.ts, f.arrival_no, {scaled}, s.lo_energy_kwh, s.hi_energy_kwh
+FROM {sql_features_warm()} f, (SELECT {stats} FROM {sql_features_warm()} g) s)"""
+
+
+register("scale_sequence", sql_rounded(sql_minmax_scaled(), KEYCOLS, SEQ_FEATS))(q_scale_sequence)
+
+
+def q_inverse_scale_target(spark: SparkSession, d: str) -> DataFrame:
+    f = features_warm(spark, d).select(*KEYCOLS, *SEQ_FEATS)
+    scaler = _seq().fit_scaler(f)
+    scaled = scaler.transform(f)
+    return scaled.select(*KEYCOLS, r6(scaler.inverse_target(F.col("energy_kwh"))).alias("restored"))
+
+
+register("inverse_scale_target", f"""SELECT series_id, ts, arrival_no,
+  {R('energy_kwh * (hi_energy_kwh - lo_energy_kwh) + lo_energy_kwh')} AS restored FROM {sql_minmax_scaled()} t""")(q_inverse_scale_target)
+
+
+def q_train_stacker(spark: SparkSession, d: str) -> DataFrame:
+    m = _models()
+    f = features_warm(spark, d).select(F.col("energy_kwh").alias("y"), F.col("energy_mean_24h").alias("a"),
+                                       F.col("energy_lag_24").alias("b"))
+    model = m.train_stacker(f, ["a", "b"])
+    b0, (b1, b2) = m.stacker_coefficients(model)
+    ev = _metrics().evaluate(model.transform(f))
+    return rounded(ev.select("n", "mae", "rmse", F.lit(b0).alias("intercept"), F.lit(b1).alias("coef_seq"),
+                             F.lit(b2).alias("coef_boost")), ["n"], ["mae", "rmse", "intercept", "coef_seq", "coef_boost"])
+
+
+register("train_stacker", f"""
+WITH d AS (SELECT energy_kwh AS y, energy_mean_24h AS a, energy_lag_24 AS b FROM {sql_features_warm()} f),
+s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS cab,
+             covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM d),
+c AS (SELECT (vbb * cay - cab * cby) / (vaa * vbb - cab * cab) AS b1, (vaa * cby - cab * cay) / (vaa * vbb - cab * cab) AS b2,
+             my, ma, mb FROM s),
+k AS (SELECT b1, b2, my - b1 * ma - b2 * mb AS b0 FROM c)
+SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - (b0 + b1 * a + b2 * b)))')} AS mae,
+       {R('sqrt(avg((y - (b0 + b1 * a + b2 * b)) * (y - (b0 + b1 * a + b2 * b))))')} AS rmse,
+       {R('any_value(b0)')} AS intercept, {R('any_value(b1)')} AS coef_seq, {R('any_value(b2)')} AS coef_boost
+FROM d, k""")(q_train_stacker)
