@@ -1045,3 +1045,95 @@ SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - (b0 + b1 * a + b2 * b)))')
        {R('sqrt(avg((y - (b0 + b1 * a + b2 * b)) * (y - (b0 + b1 * a + b2 * b))))')} AS rmse,
        {R('any_value(b0)')} AS intercept, {R('any_value(b1)')} AS coef_seq, {R('any_value(b2)')} AS coef_boost
 FROM d, k""")(q_train_stacker)
+
+
+# ---- model fits, scoring, persistence (rows-only: no SQL twin for a tree ensemble) ---------------
+
+SMALL_RF = {"numTrees": 10, "maxDepth": 5}
+SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
+
+
+def tree_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows for the tree models; fixed partitioning so the forest's
+    per-partition bootstrap is reproducible."""
+    return features_warm(spark, d).repartitionByRange(4, *KEYCOLS)
+
+
+def q_train_random_forest(spark: SparkSession, d: str) -> DataFrame:
+    f = tree_frame(spark, d)
+    model = _models().train_random_forest(f, **SMALL_RF)
+    return model.transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
+
+
+def q_train_gbt(spark: SparkSession, d: str) -> DataFrame:
+    f = tree_frame(spark, d)
+    model = _models().train_gbt(f, **SMALL_GBT)
+    return model.transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
+
+
+def q_train_boosted(spark: SparkSession, d: str) -> DataFrame:
+    tf = W.training_features(load_readings(spark, d, "event_type"))
+    model = _models().train_boosted(tf, maxIter=20, maxDepth=4)
+    return model.transform(tf.dropna(subset=["lag_1", "lag_24"])).select(*KEYCOLS, P, "prediction")
+
+
+def q_train_sequence_model(spark: SparkSession, d: str) -> DataFrame:
+    m = _models()
+    seqs = _seq().sliding_sequences(load_readings(spark, d, "event_type"))
+    model = m.train_sequence_model(seqs)
+    return m.score_sequence_model(model, seqs).select(*KEYCOLS, "y", "seq_pred")
+
+
+def q_save_load_model(spark: SparkSession, d: str) -> DataFrame:
+    f = tree_frame(spark, d)
+    model = _models().train_gbt(f, **SMALL_GBT)
+    path = scratch_path(spark, "gbt-model")
+    _models().save_model(model, path)
+    reloaded = _models().load_pipeline(path)
+    a = model.transform(f).select(*KEYCOLS, F.col("prediction").alias("pred_fitted"))
+    b = reloaded.transform(f).select(*KEYCOLS, F.col("prediction").alias("pred_reloaded"))
+    return a.join(b, KEYCOLS)
+
+
+def q_score_series(spark: SparkSession, d: str) -> DataFrame:
+    from wattlane.operators.score import fit_forecast_models, score_series
+    models = fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
+    readings = load_readings(spark, d, "event_type").unionByName(load_readings(spark, d, "user_event"))
+    return score_series(readings, models, mode="impute")
+
+
+register("train_random_forest")(q_train_random_forest)
+register("train_gbt")(q_train_gbt)
+register("train_boosted")(q_train_boosted)
+register("train_sequence_model")(q_train_sequence_model)
+register("save_load_model")(q_save_load_model)
+register("score_series")(q_score_series)
+
+
+# ---- M13 stream ------------------------------------------------------------------------------------
+
+STREAM_DBL = ["energy_mean_24h", "energy_std_24h", "energy_mean_7d", "energy_std_7d"]
+STREAM_RAW = ["energy_kwh", *LAG_COLS, "energy_min_24h", "energy_max_24h", "late_rows"]
+
+
+def q_score_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Readings replayed as a file stream in four time-ordered micro-batches;
+    per-series state carries the history between batches."""
+    from wattlane.streaming.stream import run_stream_to_table, stage_stream_input
+    r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P)
+    base = scratch_path(spark, "stream")
+    slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
+              ("2024-01-22", "2100-01-01"), ("1900-01-01", "2024-01-01")]
+    stage_stream_input(r, f"{base}/in", slices)
+    out = run_stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema)
+    out = out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(out, KEYCOLS + STREAM_RAW, STREAM_DBL)
+
+
+register("score_stream", sql_rounded(f"""(SELECT series_id, ts, arrival_no, {P} AS energy_kwh,
+  {', '.join(f'lag({P}, {k}) {sql_win()} AS energy_lag_{k}' for k in (1, 2, 3, 24, 48, 168))},
+  min({P}) {sql_win(frame=rows(23))} AS energy_min_24h, max({P}) {sql_win(frame=rows(23))} AS energy_max_24h,
+  CAST(0 AS BIGINT) AS late_rows,
+  avg({P}) {sql_win(frame=rows(23))} AS energy_mean_24h, stddev_samp({P}) {sql_win(frame=rows(23))} AS energy_std_24h,
+  avg({P}) {sql_win(frame=rows(167))} AS energy_mean_7d, stddev_samp({P}) {sql_win(frame=rows(167))} AS energy_std_7d
+FROM {sql_readings('event_type')} r)""", KEYCOLS + STREAM_RAW, STREAM_DBL))(q_score_stream)
