@@ -97,3 +97,15 @@ def test_input_order_does_not_matter(spark):
     a = as_map(W.serving_features(df, strategy="plain"))
     b = as_map(W.serving_features(df.orderBy(F.rand(1)).repartition(7), strategy="plain"))
     assert a == b
+
+
+def test_horizon_label_chunked_equals_plain(spark):
+    df = random_readings(spark, {"a": 600, "b": 40}, seed=13)
+    feats = W.serving_features(df, strategy="plain", drop_warmup=False)
+    plain = {r["arrival_no"]: r["label"] for r in W.with_horizon(feats, 1, strategy="plain").collect()}
+    chunk = {r["arrival_no"]: r["label"] for r in W.with_horizon(feats, 1, strategy="chunked", chunk_rows=50,
+                                                                  num_partitions=4).collect()}
+    assert plain == chunk
+    assert sum(v is None for v in plain.values()) == 2
+    same = W.with_horizon(feats, 0).filter("label != energy_kwh").count()
+    assert same == 0

@@ -10,9 +10,9 @@ from wattlane.sources.readings import coerce_points, parse_reading_batches, read
 
 
 def test_parse_reading_list_prefix_semantics(spark):
-    df = spark.createDataFrame([("12abc, 1e3,abc,.5,7.,NaN,,-3,+2,Infinity",)], "t STRING")
+    df = spark.createDataFrame([("12abc, 1e3,abc,.5,7.,NaN,,-3,+2,Infinity,-Infinity, x5,\t4,1e,infinity",)], "t STRING")
     got = df.select(parse_reading_list(F.col("t")).alias("v")).first()["v"]
-    assert got == [12.0, 1000.0, 0.5, 7.0, -3.0, 2.0, float("inf")]
+    assert got == [12.0, 1000.0, 0.5, 7.0, -3.0, 2.0, float("inf"), float("-inf"), 4.0, 1.0]
 
 
 def test_last_n_values_and_stamps(spark):

@@ -673,8 +673,8 @@ def q_request_points(spark: SparkSession, d: str) -> DataFrame:
     from wattlane.operators.combine import form_points
     t = _fn()[1]
     kept = t.last_n_values(t.parse_reading_list(long_list_text()))
-    pts = (events(spark, d).select("event_id", "ts", kept.alias("kept")).filter(F.col("kept").isNotNull())
-           .select("event_id", "ts", F.posexplode("kept").alias("pos", "Power_Consumption")))
+    # posexplode of a NULL list yields no rows: no separate filter that would parse twice
+    pts = events(spark, d).select("event_id", "ts", F.posexplode(kept).alias("pos", "Power_Consumption"))
     pts = pts.select("event_id", F.col("pos").cast("int").alias("pos"),
                      t.hourly_stamp(F.col("ts"), F.col("pos"), 24).alias("ts"), "Power_Consumption")
     return form_points(pts)
@@ -1137,3 +1137,56 @@ register("score_stream", sql_rounded(f"""(SELECT series_id, ts, arrival_no, {P}
   avg({P}) {sql_win(frame=rows(23))} AS energy_mean_24h, stddev_samp({P}) {sql_win(frame=rows(23))} AS energy_std_24h,
   avg({P}) {sql_win(frame=rows(167))} AS energy_mean_7d, stddev_samp({P}) {sql_win(frame=rows(167))} AS energy_std_7d
 FROM {sql_readings('event_type')} r)""", KEYCOLS + STREAM_RAW, STREAM_DBL))(q_score_stream)
+
+
+# ---- per-name entries for W2, W3, T8, B10, M6 (standard) ------------------------------------------
+
+register("rolling_24h", sql_rounded(f"""(SELECT series_id, ts, arrival_no,
+  avg({P}) {sql_win(frame=rows(23))} AS energy_mean_24h, stddev_samp({P}) {sql_win(frame=rows(23))} AS energy_std_24h,
+  min({P}) {sql_win(frame=rows(23))} AS energy_min_24h, max({P}) {sql_win(frame=rows(23))} AS energy_max_24h
+FROM {sql_readings('user_id')} r)""", KEYCOLS + ROLL_RAW, ["energy_mean_24h", "energy_std_24h"]))(
+    lambda spark, d: rounded(W.rolling_features(load_readings(spark, d, "user_id")), KEYCOLS + ROLL_RAW,
+                             ["energy_mean_24h", "energy_std_24h"]))
+
+register("rolling_7d", sql_rounded(f"""(SELECT series_id, ts, arrival_no,
+  avg({P}) {sql_win(frame=rows(167))} AS energy_mean_7d, stddev_samp({P}) {sql_win(frame=rows(167))} AS energy_std_7d
+FROM {sql_readings('constant')} r)""", KEYCOLS, ["energy_mean_7d", "energy_std_7d"]))(
+    lambda spark, d: rounded(W.rolling_features(load_readings(spark, d, "constant"), strategy="chunked", chunk_rows=2048),
+                             KEYCOLS, ["energy_mean_7d", "energy_std_7d"]))
+
+
+def q_assign_hourly_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """T8 alone: each event's own reading list (T6) stamped hourly, ending at
+    the event's time."""
+    t = _fn()[1]
+    e = events(spark, d).select("event_id", "ts", t.parse_reading_list(list_text()).alias("v"))
+    return e.select("event_id", "ts", F.size("v").alias("n"), F.posexplode("v").alias("pos", "value")).select(
+        "event_id", F.col("pos").cast("int").alias("pos"),
+        t.hourly_stamp(F.col("ts"), F.col("pos"), F.col("n")).alias("ts"), "value")
+
+
+register("assign_hourly_timestamps", f"""SELECT event_id, CAST(pos - 1 AS INTEGER) AS pos,
+  ts - to_hours(CAST(len(l) - pos AS BIGINT)) AS ts, l[pos] AS value
+FROM (SELECT event_id, ts, l, unnest(range(1, len(l) + 1)) AS pos FROM (
+  SELECT event_id, ts, {sql_parse_list(SQL_LIST_TEXT)} AS l FROM {SQL_EVENTS_K} e) t) u""")(q_assign_hourly_timestamps)
+
+register("horizon_label", f"""SELECT series_id, ts, arrival_no, energy_kwh,
+  lead(energy_kwh, 1) OVER (PARTITION BY series_id ORDER BY ts, arrival_no) AS label FROM {sql_features_warm('user_id')} f""")(
+    lambda spark, d: W.with_horizon(features_warm(spark, d, "user_id"), 1).select(*KEYCOLS, "energy_kwh", "label"))
+
+
+def q_scale_sequence_standard(spark: SparkSession, d: str) -> DataFrame:
+    f = features_warm(spark, d).select(*KEYCOLS, *SEQ_FEATS)
+    scaler = _seq().fit_scaler(f, kind="standard")
+    return rounded(scaler.transform(f), KEYCOLS, SEQ_FEATS)
+
+
+def sql_standard_scaled() -> str:
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in SEQ_FEATS)
+    scaled = ", ".join(
+        f"(CAST(f.{c} AS DOUBLE) - s.m_{c}) / (CASE WHEN s.s_{c} = 0 OR s.s_{c} IS NULL THEN 1.0 ELSE s.s_{c} END) AS {c}"
+        for c in SEQ_FEATS)
+    return f"(SELECT f.series_id, f.ts, f.arrival_no, {scaled} FROM {sql_features_warm()} f, (SELECT {stats} FROM {sql_features_warm()} g) s)"
+
+
+register("scale_sequence_standard", sql_rounded(sql_standard_scaled(), KEYCOLS, SEQ_FEATS))(q_scale_sequence_standard)

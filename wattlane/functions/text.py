@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from wattlane.config import LOCATION_UNKNOWN, SEQUENCE_LENGTH
 
-# prefix of a text that a browser's parseFloat accepts
-_FLOAT_PREFIX = r"^[+-]?(Infinity|([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?)"
+# the numeric prefix a browser's parseFloat accepts, at the start of each
+# comma-separated item (after leading white space)
+_ITEM_PREFIX = (r"(?:^|,)\s*([+-]?(?:Infinity|(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)"
+                r"(?:[eE][+-]?[0-9]+)?))")
 
 
 def parse_timestamp(c: Column, as_of: Column | None = None) -> Column:
@@ -18,21 +20,16 @@ def parse_timestamp(c: Column, as_of: Column | None = None) -> Column:
     return parsed if as_of is None else F.coalesce(parsed, as_of)
 
 
-def _prefix_float(s: Column) -> Column:
-    token = F.regexp_extract(F.trim(s), _FLOAT_PREFIX, 0)
-    return (F.when(token.endswith("Infinity"),
-                   F.when(token.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-            .otherwise(token.try_cast("double")))
-
-
 def parse_reading_list(text: Column) -> Column:
     """Comma-separated text → ARRAY<DOUBLE> with prefix parsing.
 
     ``12abc`` → 12, `` 1e3`` → 1000, ``.5`` → 0.5, ``7.`` → 7; an item with
     no numeric prefix is dropped.  ``Infinity`` is kept as an infinite value
     (it is not NaN); it cannot be sent as JSON and later counts as missing.
+    One regular expression over the whole text and one array cast: no
+    per-element lambda, so it stays a plain JVM expression.
     """
-    return F.filter(F.transform(F.split(text, ","), _prefix_float), lambda x: x.isNotNull())
+    return F.regexp_extract_all(text, F.lit(_ITEM_PREFIX), 1).try_cast("array<double>")
 
 
 def last_n_values(values: Column, n: int = SEQUENCE_LENGTH) -> Column:

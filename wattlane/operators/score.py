@@ -84,11 +84,13 @@ def score_series(readings: DataFrame, models: ForecastModels, keys: Sequence[str
     feats = serving_features(padded.join(ok, keys, "left_semi"), keys, impute=True,
                              strategy=strategy, hot_rows=hot_rows, chunk_rows=chunk_rows)
 
-    newest = last_n_rows(feats, 1, keys)
+    # one window-group-limited tail per series feeds both model families
+    tail = last_n_rows(feats, seq_len, keys, rank_col="_recency")
+    newest = tail.filter(F.col("_recency") == 1).drop("_recency")
     trees = score_trees(newest, models.rf, models.gbt).select(
         *keys, F.col("ts").alias("scored_ts"), "rf_pred", "gbt_pred")
 
-    seqs = latest_sequence(feats, keys, seq_len=seq_len)
+    seqs = latest_sequence(tail.drop("_recency"), keys, seq_len=seq_len)
     scaled = seqs.select(*keys, flatten_sequence(scale_sequence(F.col("seq"), models.scaler)).alias("seq_features"))
     seq_scaled = models.sequence.transform(scaled).select(*keys, F.col("seq_pred").alias("_seq_scaled"))
     seq_pred = seq_scaled.select(*keys, models.scaler.inverse_target(F.col("_seq_scaled")).alias("seq_pred"))

@@ -186,6 +186,19 @@ def training_features(raw: DataFrame, keys: Sequence[str] = KEYS, target: str =
                        **_plan(strategy, hot_rows, chunk_rows, num_partitions))
 
 
+def with_horizon(features: DataFrame, horizon: int = 0, label: str = "energy_kwh",
+                 out_col: str = "label", keys: Sequence[str] = KEYS, strategy: str = "auto",
+                 hot_rows: int = HOT_SERIES_ROWS, chunk_rows: int = CHUNK_ROWS,
+                 num_partitions: int | None = None) -> DataFrame:
+    """The training label.  ``horizon=0`` is the same-row value (the
+    stored tree models' behaviour); ``horizon=h`` is the value ``h`` rows
+    later (``lead``), NULL for the last ``h`` rows of a series."""
+    if horizon == 0:
+        return features.withColumn(out_col, F.col(label))
+    return over_series(features, keys, lambda f, s: f.select("*", F.lead(F.col(label), horizon).over(s).alias(out_col)),
+                       halo=0, lookahead=horizon, **_plan(strategy, hot_rows, chunk_rows, num_partitions))
+
+
 def sort_by_time(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """O1: total order, for sinks only (windows sort by themselves)."""
     return df.orderBy(*keys, *order)

@@ -63,14 +63,19 @@ def global_position(df: DataFrame, sort_cols: Sequence[str], num_partitions: int
             .drop("_pid", "_local", "_off"))
 
 
-def with_chunks(positioned: DataFrame, halo: int, chunk_rows: int, pos_col: str = "_g") -> DataFrame:
+def with_chunks(positioned: DataFrame, halo: int, chunk_rows: int, pos_col: str = "_g",
+                lookahead: int = 0) -> DataFrame:
     """Each row in its own chunk, plus a copy in the next chunk when it is one
-    of the last ``halo`` rows of its chunk (one pass, no self-union)."""
-    c = max(int(chunk_rows), int(halo), 1)
+    of the last ``halo`` rows of its chunk, and a copy in the previous chunk
+    when it is one of the first ``lookahead`` rows (for ``lead``).  One pass,
+    no self-union."""
+    c = max(int(chunk_rows), int(halo), int(lookahead), 1)
     g = F.col(pos_col)
     own = F.floor(g / F.lit(c)).cast("long")
-    last = F.when((g % F.lit(c)) >= F.lit(c - halo), own + 1).otherwise(own) if halo > 0 else own
-    return (positioned.withColumn("_chunk", F.explode(F.sequence(own, last)))
+    r = g % F.lit(c)
+    last = F.when(r >= F.lit(c - halo), own + 1).otherwise(own) if halo > 0 else own
+    first = F.when((r < F.lit(lookahead)) & (own > 0), own - 1).otherwise(own) if lookahead > 0 else own
+    return (positioned.withColumn("_chunk", F.explode(F.sequence(first, last)))
             .withColumn("_own", F.col("_chunk") == own))
 
 
@@ -80,9 +85,10 @@ def plain_window(keys: Sequence[str], order: Sequence[str] = ORDER) -> WindowSpe
 
 def chunked_apply(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
                   order: Sequence[str] = ORDER, chunk_rows: int = CHUNK_ROWS,
-                  num_partitions: int | None = None, keep_position: bool = False) -> DataFrame:
+                  num_partitions: int | None = None, keep_position: bool = False,
+                  lookahead: int = 0) -> DataFrame:
     pos = global_position(df, [*keys, *order], num_partitions)
-    chunked = with_chunks(pos, halo, chunk_rows)
+    chunked = with_chunks(pos, halo, chunk_rows, lookahead=lookahead)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_g")
     out = fn(chunked, w).filter(F.col("_own")).drop("_chunk", "_own")
     return out if keep_position else out.drop("_g")
@@ -97,17 +103,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
 def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
                 order: Sequence[str] = ORDER, strategy: str = "auto",
                 hot_rows: int = HOT_SERIES_ROWS, chunk_rows: int = CHUNK_ROWS,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, lookahead: int = 0) -> DataFrame:
     """Apply ``fn(frame, window_spec)`` positionally within every series.
 
     ``fn`` must add columns with ``select('*', ...)`` over the given ordered
     window spec (use ``spec.rowsBetween`` for frames) and keep all others.
+    ``halo`` is the deepest look-back in rows, ``lookahead`` the furthest
+    look-ahead (``lead``).
     """
     keys = list(keys)
     if strategy == "plain":
         return fn(df, plain_window(keys, order))
     if strategy == "chunked":
-        return chunked_apply(df, keys, fn, halo, order, chunk_rows, num_partitions)
+        return chunked_apply(df, keys, fn, halo, order, chunk_rows, num_partitions, lookahead=lookahead)
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
     hot = hot_keys(df, keys, hot_rows)
@@ -116,7 +124,7 @@ def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
     hot_b = F.broadcast(hot)  # bounded: total_rows / hot_rows keys at most
     cold_part = fn(df.join(hot_b, keys, "left_anti"), plain_window(keys, order))
     hot_part = chunked_apply(df.join(hot_b, keys, "left_semi"), keys, fn, halo, order,
-                             chunk_rows, num_partitions)
+                             chunk_rows, num_partitions, lookahead=lookahead)
     return cold_part.unionByName(hot_part)
 
 
