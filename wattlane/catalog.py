@@ -150,7 +150,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        SPARK_QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from wattlane.session import pin_semantics
+            pin_semantics(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = getattr(fn, "__name__", name)
+        run.__doc__ = fn.__doc__
+        SPARK_QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = sql
         return fn

@@ -49,17 +49,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when nothing is configured (local tests) a scratch folder
     is created.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key
-            configured = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: only the SQL conf is reachable
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+    configured = _conf(spark, "spark.checkpoint.dir")
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="wattlane-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def _conf(spark: SparkSession, key: str) -> str | None:
+    try:
+        return spark.conf.get(key, None)
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def pin_semantics(spark: SparkSession) -> None:
+    """Settings the results depend on, applied to whatever session runs a query."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
