@@ -50,3 +50,33 @@ def test_stream_drops_late_rows_and_duplicates(spark):
     last = max(out, key=lambda r: r["arrival_no"])
     assert last["late_rows"] == 1
     assert last["energy_lag_1"] == 13.0
+
+
+def test_scoring_stream_final_responses_equal_batch_scores(spark):
+    import math
+
+    from wattlane.operators.score import fit_forecast_models, score_series
+    from wattlane.streaming.stream import run_scoring_stream
+
+    rows = []
+    for s, base in (("a", 0), ("b", 10000)):
+        rows += hourly(spark, 260, series=s, arrival_base=base,
+                       power=lambda i: round(10 + 3 * math.sin(i / 5.0) + (i % 4), 2))
+    rows = [r[:6] + ((None if r[2] % 9 == 0 else 15.0 + r[2] % 7),) + r[7:] for r in rows]
+    df = frame(spark, rows)
+    models = fit_forecast_models(W.serving_features(df), rf_params={"numTrees": 3, "maxDepth": 3},
+                                 gbt_params={"maxIter": 3, "maxDepth": 3})
+    base = f"{ensure_checkpoint_dir(spark)}/scoring-{uuid.uuid4().hex}"
+    r = df.select("series_id", "ts", "arrival_no", "Power_Consumption", "temperature", "humidity")
+    stage_stream_input(r, f"{base}/in", [("2024-01-01", "2024-01-03"), ("2024-01-03", "2024-01-08"),
+                                         ("2024-01-08", "2030-01-01")])
+    out = run_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema, models).collect()
+    assert len(out) == 6  # one response per series per micro-batch
+    first = {x["series_id"]: x for x in out if x["epoch"] == 0}
+    assert first["a"]["status"] == "missing_lag" and first["a"]["prediction"] is None
+    final = {x["series_id"]: x for x in out if x["epoch"] == 2}
+    batch = {x["series_id"]: x for x in score_series(df, models, mode="impute").collect()}
+    for s in ("a", "b"):
+        assert final[s]["status"] == batch[s]["status"] == "scored"
+        for c in ("rf_pred", "gbt_pred", "seq_pred", "prediction"):
+            assert abs(final[s][c] - batch[s][c]) < 1e-6, (s, c, final[s][c], batch[s][c])

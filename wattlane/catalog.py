@@ -1196,3 +1196,20 @@ def sql_standard_scaled() -> str:
 
 
 register("scale_sequence_standard", sql_rounded(sql_standard_scaled(), KEYCOLS, SEQ_FEATS))(q_scale_sequence_standard)
+
+
+def q_score_stream_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """M13 end to end: readings replayed as ordered micro-batches, per-series
+    state, ``foreachBatch`` scoring with the three models and the blend."""
+    from wattlane.operators.score import fit_forecast_models
+    from wattlane.streaming.stream import run_scoring_stream, stage_stream_input
+    models = fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
+    r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P, "temperature", "humidity")
+    base = scratch_path(spark, "scoring-stream")
+    slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
+              ("2024-01-22", "2100-01-01")]
+    stage_stream_input(r, f"{base}/in", slices)
+    return run_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema, models)
+
+
+register("score_stream_predictions")(q_score_stream_predictions)

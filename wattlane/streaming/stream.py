@@ -1,18 +1,27 @@
-"""Streaming scorer (M13): readings arrive as a stream, every series keeps its
-newest ``history`` power values as state, and each arriving row leaves with
-its lag and rolling features.
+"""Streaming scorer.
+
+Readings arrive as a stream. Each series keeps bounded state: the newest
+power values, the newest ``seq_len`` stamps/temperatures/humidities, running
+weather sums and the last emitted stamp. Each arriving row leaves with its
+lag and rolling features. The newest row of each series in a micro-batch also
+carries the ``seq_len`` × 10 sequence window the sequence model needs.
+``foreachBatch`` scores those rows with the tree and sequence models; that
+gives one response per series per micro-batch.
 
 * ``dropDuplicatesWithinWatermark`` removes repeated deliveries.
-* ``applyInPandasWithState`` keeps per-series state bounded to ``history``
-  values plus the last emitted stamp; it is keyed by series, so the work is
-  spread by Spark's state-store partitioning.
+* ``applyInPandasWithState`` is keyed by series, so Spark's state-store
+  partitioning spreads the work.  The state size is fixed per series.
 * Rows older than the last emitted stamp of their series cannot be placed
-  positionally any more: they are dropped and counted in ``late_rows``.
-  For in-order input the output equals the batch features.
+  positionally any more.  They are dropped and counted in ``late_rows``.
+  For in-order input the features equal the batch features.
+* Missing temperature/humidity are filled with the running mean of the
+  series (``mean or default`` as in batch).  At the last micro-batch this is
+  the whole-series mean, so the final response equals the batch scorer's.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,10 +31,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wattlane.config import ENERGY_LAGS, LONG_FRAME, SHORT_FRAME
+from wattlane.config import (ENERGY_LAGS, HUMIDITY_DEFAULT, LONG_FRAME, MIN_FEATURE_ROWS,
+                             PEAK_HOURS, SEQUENCE_LENGTH, SHORT_FRAME, TEMPERATURE_DEFAULT,
+                             WEEKEND_DAYS)
+
+HISTORY = max(max(ENERGY_LAGS), LONG_FRAME - 1)
+KEEP = HISTORY + SEQUENCE_LENGTH  # power values kept: lags of the oldest row of a window
 
 STATE_SCHEMA = T.StructType([
     T.StructField("hist", T.ArrayType(T.DoubleType()), True),
+    T.StructField("ts_hist", T.ArrayType(T.TimestampType()), True),
+    T.StructField("temp_hist", T.ArrayType(T.DoubleType()), True),
+    T.StructField("hum_hist", T.ArrayType(T.DoubleType()), True),
+    T.StructField("t_sum", T.DoubleType(), True),
+    T.StructField("t_cnt", T.LongType(), True),
+    T.StructField("h_sum", T.DoubleType(), True),
+    T.StructField("h_cnt", T.LongType(), True),
+    T.StructField("n_seen", T.LongType(), True),
     T.StructField("last_ts", T.TimestampType(), True),
     T.StructField("last_no", T.LongType(), True),
     T.StructField("late", T.LongType(), True),
@@ -33,16 +55,17 @@ STATE_SCHEMA = T.StructType([
 
 OUT_FIELDS = (["energy_kwh"] + [f"energy_lag_{k}" for k in ENERGY_LAGS]
               + ["energy_mean_24h", "energy_std_24h", "energy_min_24h", "energy_max_24h",
-                 "energy_mean_7d", "energy_std_7d"])
+                 "energy_mean_7d", "energy_std_7d", "temperature", "humidity"])
 
 OUTPUT_SCHEMA = T.StructType(
     [T.StructField("series_id", T.StringType(), True),
      T.StructField("ts", T.TimestampType(), True),
      T.StructField("arrival_no", T.LongType(), True)]
     + [T.StructField(c, T.DoubleType(), True) for c in OUT_FIELDS]
-    + [T.StructField("late_rows", T.LongType(), True)])
-
-HISTORY = max(max(ENERGY_LAGS), LONG_FRAME - 1)
+    + [T.StructField("late_rows", T.LongType(), True),
+       T.StructField("n_seen", T.LongType(), True),
+       T.StructField("is_newest", T.BooleanType(), True),
+       T.StructField("seq_window", T.ArrayType(T.ArrayType(T.DoubleType())), True)])
 
 
 def _rolling(values: np.ndarray, start: int, width: int) -> dict[str, np.ndarray]:
@@ -51,12 +74,42 @@ def _rolling(values: np.ndarray, start: int, width: int) -> dict[str, np.ndarray
             "min": s.min().to_numpy()[start:], "max": s.max().to_numpy()[start:]}
 
 
+def _fill(mean_sum: float, count: int, default: float) -> float:
+    """``mean() or default``: the default only when the mean is exactly 0."""
+    if not count:
+        return float("nan")
+    m = mean_sum / count
+    return default if m == 0 else m
+
+
+def _window(values: np.ndarray, stamps: list, temps: list, hums: list, t_fill: float, h_fill: float,
+            seq_len: int) -> list[list[float]]:
+    """The newest ``seq_len`` rows × the ten sequence features, oldest first."""
+    n = len(values)
+    out = []
+    for j in range(seq_len):
+        i = n - seq_len + j
+        ts = pd.Timestamp(stamps[j])
+        hour, dow = ts.hour, ts.dayofweek
+        t = temps[j] if temps[j] is not None and not math.isnan(temps[j]) else t_fill
+        h = hums[j] if hums[j] is not None and not math.isnan(hums[j]) else h_fill
+        lag1 = values[i - 1] if i >= 1 else float("nan")
+        lag24 = values[i - 24] if i >= 24 else float("nan")
+        mean24 = float(np.mean(values[max(0, i - SHORT_FRAME + 1): i + 1]))
+        out.append([float(values[i]), t, h, float(hour), float(dow), float(dow in WEEKEND_DAYS),
+                    float(PEAK_HOURS[0] <= hour <= PEAK_HOURS[1]), lag1, lag24, mean24])
+    return out
+
+
 def _features_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.exists:
-        hist, last_ts, last_no, late = state.get
-        hist = list(hist or [])
+        (hist, ts_hist, temp_hist, hum_hist, t_sum, t_cnt, h_sum, h_cnt, n_seen,
+         last_ts, last_no, late) = state.get
+        hist, ts_hist = list(hist or []), list(ts_hist or [])
+        temp_hist, hum_hist = list(temp_hist or []), list(hum_hist or [])
     else:
-        hist, last_ts, last_no, late = [], None, None, 0
+        hist, ts_hist, temp_hist, hum_hist = [], [], [], []
+        t_sum, t_cnt, h_sum, h_cnt, n_seen, last_ts, last_no, late = 0.0, 0, 0.0, 0, 0, None, None, 0
     pdf = pd.concat(list(batches), ignore_index=True)
     pdf = pdf.sort_values(["ts", "arrival_no"], kind="mergesort").reset_index(drop=True)
     if last_ts is not None:
@@ -67,12 +120,26 @@ def _features_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
         is_late = (ts < lt) | ((ts == lt) & (pdf["arrival_no"] <= last_no))
         late += int(is_late.sum())
         pdf = pdf[~is_late].reset_index(drop=True)
+
+    def save() -> None:
+        state.update((hist, ts_hist, temp_hist, hum_hist, t_sum, t_cnt, h_sum, h_cnt, n_seen,
+                      last_ts, last_no, late))
+
     if pdf.empty:
-        state.update((hist, last_ts, last_no, late))
+        save()
         return
+    temps = pdf["temperature"].astype("float64")
+    hums = pdf["humidity"].astype("float64")
+    t_sum += float(temps.sum(skipna=True))
+    t_cnt += int(temps.notna().sum())
+    h_sum += float(hums.sum(skipna=True))
+    h_cnt += int(hums.notna().sum())
+    t_fill = _fill(t_sum, t_cnt, TEMPERATURE_DEFAULT)
+    h_fill = _fill(h_sum, h_cnt, HUMIDITY_DEFAULT)
+
     start = len(hist)
     values = np.concatenate([np.asarray(hist, dtype="float64"),
-                             pdf["Power_Consumption"].to_numpy(dtype="float64")])
+                             pdf["Power_Consumption"].fillna(0.0).to_numpy(dtype="float64")])
     out = pd.DataFrame({"series_id": pdf["series_id"], "ts": pdf["ts"], "arrival_no": pdf["arrival_no"],
                         "energy_kwh": values[start:]})
     idx = np.arange(start, len(values))
@@ -84,25 +151,74 @@ def _features_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     out["energy_mean_24h"], out["energy_std_24h"] = short["mean"], short["std"]
     out["energy_min_24h"], out["energy_max_24h"] = short["min"], short["max"]
     out["energy_mean_7d"], out["energy_std_7d"] = long["mean"], long["std"]
+    out["temperature"] = temps.fillna(t_fill).to_numpy()
+    out["humidity"] = hums.fillna(h_fill).to_numpy()
     out["late_rows"] = late
+    n_seen += len(pdf)
+    out["n_seen"] = n_seen
+    out["is_newest"] = False
+    out.loc[out.index[-1], "is_newest"] = True
+
+    ts_hist = (ts_hist + [pd.Timestamp(x).to_pydatetime() for x in pdf["ts"]])[-SEQUENCE_LENGTH:]
+    temp_hist = (temp_hist + [None if pd.isna(x) else float(x) for x in temps])[-SEQUENCE_LENGTH:]
+    hum_hist = (hum_hist + [None if pd.isna(x) else float(x) for x in hums])[-SEQUENCE_LENGTH:]
+    window = None
+    if len(values) >= SEQUENCE_LENGTH and len(ts_hist) == SEQUENCE_LENGTH:
+        window = _window(values, ts_hist, temp_hist, hum_hist, t_fill, h_fill, SEQUENCE_LENGTH)
+    out["seq_window"] = [None] * len(out)
+    out.at[out.index[-1], "seq_window"] = window
+
+    hist = values[-KEEP:].tolist()
     last = pdf.iloc[-1]
-    state.update((values[-HISTORY:].tolist(), pd.Timestamp(last["ts"]).to_pydatetime(),
-                  int(last["arrival_no"]), late))
+    last_ts, last_no = pd.Timestamp(last["ts"]).to_pydatetime(), int(last["arrival_no"])
+    save()
     yield out
 
 
 def stream_features(readings_stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """The stateful part: streaming readings → per-row features."""
+    """The stateful part: streaming readings → per-row features (+ the
+    sequence window on each series' newest row of the micro-batch)."""
     events = (readings_stream
               .withColumn("ts", F.col("ts").cast("timestamp"))
               .withWatermark("ts", watermark)
               .dropDuplicatesWithinWatermark(["series_id", "arrival_no"]))
-    return (events.select("series_id", "ts", "arrival_no", "Power_Consumption")
+    cols = ["series_id", "ts", "arrival_no", "Power_Consumption"]
+    for c in ("temperature", "humidity"):
+        cols.append(c if c in readings_stream.columns else F.lit(None).cast("double").alias(c))
+    return (events.select(*cols)
             .groupBy("series_id")
             .applyInPandasWithState(_features_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.NoTimeout))
 
 
+def score_micro_batch(batch: DataFrame, models) -> DataFrame:
+    """One response per series: status from the rows seen so far (same
+    thresholds as the batch gate) and, when scored, the blend of the tree
+    models on the newest row and the sequence model on its window."""
+    from wattlane.functions.calendar import calendar_columns, flag_columns, weather_interactions
+    from wattlane.operators.models import flatten_sequence, score_trees, weighted_ensemble
+    from wattlane.operators.sequences import scale_sequence
+
+    newest = batch.filter(F.col("is_newest"))
+    n = F.col("n_seen")
+    status = (F.when(F.greatest(n - F.lit(SEQUENCE_LENGTH), F.lit(0)) < F.lit(MIN_FEATURE_ROWS),
+                     F.lit("insufficient_history"))
+              .when(n <= F.lit(max(ENERGY_LAGS)), F.lit("missing_lag"))
+              .otherwise(F.lit("scored")))
+    rows = newest.withColumn("status", status).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    feats = rows.select("*", *calendar_columns("ts"))
+    feats = feats.select("*", *flag_columns()).select("*", *weather_interactions())
+    ok = feats.filter(F.col("status") == "scored")
+    trees = score_trees(ok, models.rf, models.gbt)
+    scaled = trees.withColumn("seq_features", flatten_sequence(scale_sequence(F.col("seq_window"), models.scaler)))
+    seq = models.sequence.transform(scaled).withColumnRenamed("seq_pred", "_seq_scaled")
+    preds = seq.select("series_id", "arrival_no", "rf_pred", "gbt_pred",
+                       models.scaler.inverse_target(F.col("_seq_scaled")).alias("seq_pred"))
+    preds = preds.withColumn("prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred")))
+    return rows.select("series_id", "ts", "arrival_no", "n_seen", "late_rows", "status").join(
+        preds, ["series_id", "arrival_no"], "left")
+
+
 def stage_stream_input(readings: DataFrame, path: str, slices: Sequence[tuple[str, str]]) -> None:
     """Write the readings as files in time order, one file group per slice, so a
     file stream with ``maxFilesPerTrigger`` replays them as ordered micro-batches."""
@@ -112,15 +228,40 @@ def stage_stream_input(readings: DataFrame, path: str, slices: Sequence[tuple[st
         part.coalesce(1).write.mode("append").parquet(path)
 
 
+def _source(spark: SparkSession, source_path: str, schema: T.StructType, max_files_per_trigger: int) -> DataFrame:
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(source_path))
+
+
 def run_stream_to_table(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
                         schema: T.StructType, max_files_per_trigger: int = 1,
                         watermark: str = "1 day") -> DataFrame:
-    """Run the stream over everything available (``availableNow``) into a
-    parquet table and return that table as a batch frame."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_path))
-    q = (stream_features(src, watermark).writeStream.format("parquet")
+    """Run the feature stream over everything available (``availableNow``) into
+    a parquet table and return that table as a batch frame."""
+    feats = stream_features(_source(spark, source_path, schema, max_files_per_trigger), watermark)
+    q = (feats.drop("seq_window").writeStream.format("parquet")
          .option("checkpointLocation", checkpoint).option("path", out_path)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_path)
+
+
+def run_scoring_stream(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
+                       schema: T.StructType, models, max_files_per_trigger: int = 1,
+                       watermark: str = "1 day") -> DataFrame:
+    """Features stream → ``foreachBatch`` scoring.  Each epoch overwrites its
+    own folder, so a replayed epoch is idempotent."""
+    feats = stream_features(_source(spark, source_path, schema, max_files_per_trigger), watermark)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.persist()  # used by two branches below; do not rerun the stateful step
+        try:
+            (score_micro_batch(batch, models).withColumn("epoch", F.lit(epoch_id))
+             .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}"))
+        finally:
+            batch.unpersist()
+
+    q = (feats.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_path)
