@@ -1213,3 +1213,34 @@ def q_score_stream_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("score_stream_predictions")(q_score_stream_predictions)
+
+
+def q_stacker_time_split(spark: SparkSession, d: str) -> DataFrame:
+    """M9 with M10: fit the stacker on each series' older 80 %, report MAE/RMSE
+    on the newest 20 % per series."""
+    m = _models()
+    f = _metrics().time_split(features_warm(spark, d)).select(
+        "series_id", "split", F.col("energy_kwh").alias("y"), F.col("energy_mean_24h").alias("a"),
+        F.col("energy_lag_24").alias("b"))
+    model = m.train_stacker(f, ["a", "b"], split_col="split")
+    b0, (b1, b2) = m.stacker_coefficients(model)
+    ev = _metrics().evaluate(model.transform(f.filter(F.col("split") == "validation")), keys=["series_id"])
+    return rounded(ev.select("series_id", "n", "mae", "rmse", F.lit(b0).alias("intercept"), F.lit(b1).alias("coef_seq"),
+                             F.lit(b2).alias("coef_boost")), ["series_id", "n"],
+                   ["mae", "rmse", "intercept", "coef_seq", "coef_boost"])
+
+
+register("stacker_time_split", f"""
+WITH s0 AS (SELECT series_id, energy_kwh AS y, energy_mean_24h AS a, energy_lag_24 AS b,
+                   CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1
+                        < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
+            FROM {sql_features_warm()} f),
+s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS cab,
+             covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM s0 WHERE split = 'train'),
+c AS (SELECT (vbb * cay - cab * cby) / (vaa * vbb - cab * cab) AS b1, (vaa * cby - cab * cay) / (vaa * vbb - cab * cab) AS b2,
+             my, ma, mb FROM s),
+k AS (SELECT b1, b2, my - b1 * ma - b2 * mb AS b0 FROM c)
+SELECT series_id, CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - (b0 + b1 * a + b2 * b)))')} AS mae,
+       {R('sqrt(avg((y - (b0 + b1 * a + b2 * b)) * (y - (b0 + b1 * a + b2 * b))))')} AS rmse,
+       {R('any_value(b0)')} AS intercept, {R('any_value(b1)')} AS coef_seq, {R('any_value(b2)')} AS coef_boost
+FROM s0, k WHERE split = 'validation' GROUP BY series_id""")(q_stacker_time_split)

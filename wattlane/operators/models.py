@@ -127,13 +127,16 @@ def weighted_ensemble(seq_pred: Column, rf_pred: Column, gbt_pred: Column,
     return (F.lit(w["sequence"]) * seq_pred + F.lit(w["rf"]) * rf_pred + F.lit(w["gbt"]) * gbt_pred)
 
 
-def train_stacker(df: DataFrame, inputs: Sequence[str], label: str = "y"):
+def train_stacker(df: DataFrame, inputs: Sequence[str], label: str = "y", split_col: str | None = None,
+                  train_value: str = "train"):
     """M9: ordinary least squares on the base predictions (normal equations,
-    no regularisation), fitted on whatever rows are given."""
+    no regularisation).  Fitted on every given row (in-sample, as the
+    original), or only on rows whose ``split_col`` equals ``train_value``."""
     vec = VectorAssembler(inputCols=list(inputs), outputCol="stack_features", handleInvalid="skip")
     lr = LinearRegression(featuresCol="stack_features", labelCol=label, predictionCol="prediction",
                           regParam=0.0, solver="normal", standardization=False)
-    return Pipeline(stages=[vec, lr]).fit(df)
+    train = df if split_col is None else df.filter(F.col(split_col) == F.lit(train_value))
+    return Pipeline(stages=[vec, lr]).fit(train)
 
 
 def stacker_coefficients(model: PipelineModel) -> tuple[float, list[float]]:
