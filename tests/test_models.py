@@ -124,3 +124,11 @@ def test_sequence_model_hooks(spark):
     udf = M.sequence_model_udf(M.mean_model, 24)
     got = seqs.select(udf(F.col("seq")).alias("m"), "y").first()
     assert abs(got["m"] - (got["y"] - 12.5)) < 1e-9
+
+
+def test_horizon_one_trains_on_next_row(spark, feats):
+    models = fit_forecast_models(feats, rf_params={"numTrees": 2, "maxDepth": 2},
+                                 gbt_params={"maxIter": 2, "maxDepth": 2}, horizon=1)
+    assert models.rf.stages[-1].getLabelCol() == "label"
+    out = score_series(frame(spark, hourly(spark, 200)), models).first()
+    assert out["status"] == "scored" and out["prediction"] is not None

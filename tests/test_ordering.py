@@ -109,3 +109,22 @@ def test_horizon_label_chunked_equals_plain(spark):
     assert sum(v is None for v in plain.values()) == 2
     same = W.with_horizon(feats, 0).filter("label != energy_kwh").count()
     assert same == 0
+
+
+def test_chunk_halo_property(spark):
+    """Random series sizes, chunk sizes and partition counts: chunked == plain."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(sizes=st.lists(st.integers(min_value=1, max_value=700), min_size=1, max_size=3),
+           chunk=st.integers(min_value=168, max_value=600), parts=st.integers(min_value=1, max_value=9),
+           seed=st.integers(min_value=0, max_value=10_000))
+    def check(sizes, chunk, parts, seed):
+        df = random_readings(spark, {f"s{i}": n for i, n in enumerate(sizes)}, seed=seed)
+        plain = as_map(W.serving_features(df, strategy="plain", drop_warmup=False))
+        chunked = as_map(W.serving_features(df, strategy="chunked", chunk_rows=chunk, num_partitions=parts,
+                                            drop_warmup=False))
+        assert plain == chunked
+
+    check()

@@ -77,3 +77,22 @@ def test_request_bodies(spark):
     assert pts[0]["arrival_no"] == 0 and pts[0]["current"] is None
     assert [f.name for f in readings_schema().fields] == ["timestamp", "Power_Consumption", "voltage",
                                                           "current", "temperature", "humidity"]
+
+
+def test_csv_round_trip_and_inference(spark, tmp_path):
+    from datetime import datetime as dt
+
+    from wattlane.sources.readings import read_readings_csv, write_readings_csv
+    df = spark.createDataFrame([("s", dt(2024, 1, 1, 0, 0, 0, 123456), 1, 2.5, None)],
+                               "series_id STRING, ts TIMESTAMP_NTZ, arrival_no BIGINT, Power_Consumption DOUBLE, temperature DOUBLE")
+    path = str(tmp_path / "csv")
+    write_readings_csv(df, path)
+    back = read_readings_csv(spark, path, schema=df.schema).first()
+    assert back["ts"] == dt(2024, 1, 1, 0, 0, 0, 123456) and back["temperature"] is None
+    inferred = read_readings_csv(spark, path, infer_schema=True)
+    assert dict(inferred.dtypes)["Power_Consumption"] == "double"
+    raw = spark.createDataFrame([("2024-01-01T05:00:00Z", 1.0)], "timestamp STRING, Power_Consumption DOUBLE")
+    raw_path = str(tmp_path / "raw")
+    raw.write.option("header", True).csv(raw_path)
+    got = read_readings_csv(spark, raw_path, schema="timestamp STRING, Power_Consumption DOUBLE").first()
+    assert got["timestamp"] is not None

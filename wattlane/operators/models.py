@@ -46,12 +46,12 @@ def train_pipeline(df: DataFrame, estimator, inputs: Sequence[str] = TREE_FEATUR
     return Pipeline(stages=[assembler(inputs), estimator]).fit(df)
 
 
-def train_random_forest(df: DataFrame, **params) -> PipelineModel:
-    return train_pipeline(df, random_forest(**params))
+def train_random_forest(df: DataFrame, label: str = LABEL, **params) -> PipelineModel:
+    return train_pipeline(df.dropna(subset=[label]), random_forest(label=label, **params))
 
 
-def train_gbt(df: DataFrame, **params) -> PipelineModel:
-    return train_pipeline(df, gbt(**params))
+def train_gbt(df: DataFrame, label: str = LABEL, **params) -> PipelineModel:
+    return train_pipeline(df.dropna(subset=[label]), gbt(label=label, **params))
 
 
 def train_boosted(df: DataFrame, label: str = "Power_Consumption", **params) -> PipelineModel:

@@ -24,7 +24,7 @@ from wattlane.operators.models import (flatten_sequence, save_model, score_trees
                                        weighted_ensemble)
 from wattlane.operators.sequences import (SequenceScaler, feature_windows, fit_scaler,
                                           latest_sequence, scale_sequence, scaler_from_rows)
-from wattlane.operators.windows import last_n_rows, serving_features
+from wattlane.operators.windows import last_n_rows, serving_features, with_horizon
 
 
 @dataclass
@@ -56,10 +56,16 @@ class ForecastModels:
 
 def fit_forecast_models(features: DataFrame, keys: Sequence[str] = KEYS,
                         rf_params: dict | None = None, gbt_params: dict | None = None,
-                        scaler_kind: str = "minmax", seq_len: int = SEQUENCE_LENGTH) -> ForecastModels:
-    """Train the three base models on a serving-feature frame."""
-    rf = train_random_forest(features, **(rf_params or {}))
-    gb = train_gbt(features, **(gbt_params or {}))
+                        scaler_kind: str = "minmax", seq_len: int = SEQUENCE_LENGTH,
+                        horizon: int = 0) -> ForecastModels:
+    """Train the three base models on a serving-feature frame.
+
+    ``horizon=0`` trains the tree models on the same-row ``energy_kwh`` (the
+    stored models' behaviour); ``horizon=1`` on the next row's value.  The
+    sequence model always learns the value that follows its window."""
+    labelled = with_horizon(features, horizon, keys=keys)
+    rf = train_random_forest(labelled, label="label", **(rf_params or {}))
+    gb = train_gbt(labelled, label="label", **(gbt_params or {}))
     scaler = fit_scaler(features, kind=scaler_kind)
     windows = feature_windows(scaler.transform(features), keys, seq_len=seq_len)
     seq = train_sequence_model(windows)
