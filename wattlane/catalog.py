@@ -11,9 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattlane.config import HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT, WEATHER_CODES
+from wattlane.functions import calendar as CAL
+from wattlane.functions import numeric as NUM
+from wattlane.functions import text as TXT
 from wattlane.functions.numeric import r6
+from wattlane.operators import clean as C
+from wattlane.operators import combine as J
+from wattlane.operators import metrics as A
+from wattlane.operators import models as M
+from wattlane.operators import score as SC
+from wattlane.operators import sequences as S
 from wattlane.operators import windows as W
+from wattlane.plans.ordering import over_series
+from wattlane.session import ensure_checkpoint_dir, pin_semantics
+from wattlane.sources import readings as RD
+from wattlane.sources import sinks as SK
+from wattlane.sources import weather as WX
 from wattlane.sources.readings import load_readings
+from wattlane.streaming import stream as ST
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -151,7 +167,6 @@ ORACLE_SQL: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            from wattlane.session import pin_semantics
             pin_semantics(spark)
             return fn(spark, sf_dir)
         run.__name__ = getattr(fn, "__name__", name)
@@ -181,13 +196,11 @@ register("serving_features_by_user", sql_feature_projection(sql_serving_features
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the session's (shared) checkpoint directory."""
     import uuid
-    from wattlane.session import ensure_checkpoint_dir
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wattlane-scratch/{tag}-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.readings import read_table
-    return read_table(spark, d, "events")
+    return RD.read_table(spark, d, "events")
 
 
 def k_col():
@@ -212,12 +225,10 @@ def sql_weather() -> str:
 
 
 def weather(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.weather import weather_from_events
-    return weather_from_events(events(spark, d))
+    return WX.weather_from_events(events(spark, d))
 
 
 def sql_weather_codes() -> str:
-    from wattlane.config import WEATHER_CODES
     vals = ", ".join(f"({c}, '{t}')" for c, t in WEATHER_CODES.items())
     return f"(SELECT * FROM (VALUES {vals}) v(weather_code, description))"
 
@@ -230,12 +241,11 @@ SQL_READING_COLS = 'series_id, ts, arrival_no, Power_Consumption, voltage, "curr
 # ---- S1, S2, S4, S5, S6, S7 ---------------------------------------------------------------
 
 def q_read_readings_csv(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.readings import read_readings_csv, write_readings_csv
     path = scratch_path(spark, "csv")
-    write_readings_csv(load_readings(spark, d, "event_type"), path)
+    RD.write_readings_csv(load_readings(spark, d, "event_type"), path)
     schema = ("series_id STRING, ts TIMESTAMP_NTZ, arrival_no BIGINT, Power_Consumption DOUBLE, "
               "voltage DOUBLE, current DOUBLE, temperature DOUBLE, humidity DOUBLE")
-    return read_readings_csv(spark, path, schema=schema)
+    return RD.read_readings_csv(spark, path, schema=schema)
 
 
 register("read_readings_csv", f"SELECT {SQL_READING_COLS} FROM {sql_readings('event_type')} r")(q_read_readings_csv)
@@ -270,9 +280,8 @@ def request_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_parse_reading_batches(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.readings import coerce_points, parse_reading_batches
-    accepted, _ = parse_reading_batches(request_bodies(spark, d))
-    pts = coerce_points(accepted)
+    accepted, _ = RD.parse_reading_batches(request_bodies(spark, d))
+    pts = RD.coerce_points(accepted)
     return pts.select("series_id", "arrival_no", F.col("ts").cast("timestamp_ntz").alias("ts"),
                       "Power_Consumption", "voltage", "current", "temperature", "humidity")
 
@@ -291,8 +300,7 @@ FROM {SQL_EVENTS_K} e WHERE k % 10 >= 5
 
 
 def q_parse_reading_rejects(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.readings import parse_reading_batches
-    _, rejected = parse_reading_batches(request_bodies(spark, d))
+    _, rejected = RD.parse_reading_batches(request_bodies(spark, d))
     return rejected.select("request_id", "reason")
 
 
@@ -305,21 +313,19 @@ FROM {SQL_EVENTS_K} e WHERE k % 10 <= 4
 
 
 def q_row_count(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.operators.metrics import row_count
-    return row_count(load_readings(spark, d, "event_type"), ["series_id"])
+    return A.row_count(load_readings(spark, d, "event_type"), ["series_id"])
 
 
 register("row_count", f"SELECT series_id, count(*) AS row_count FROM {sql_readings('event_type')} r GROUP BY series_id")(q_row_count)
 
 register("row_count_total", "SELECT count(*) AS row_count FROM events")(
-    lambda spark, d: __import__("wattlane.operators.metrics", fromlist=["row_count"]).row_count(events(spark, d)))
+    lambda spark, d: A.row_count(events(spark, d)))
 
 
 def q_read_weather(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.weather import read_weather
     path = scratch_path(spark, "weather")
     weather(spark, d).write.mode("overwrite").parquet(path)
-    return read_weather(spark, path)
+    return WX.read_weather(spark, path)
 
 
 register("read_weather", f"SELECT * FROM {sql_weather()} w")(q_read_weather)
@@ -329,9 +335,8 @@ def sql_to_fixed(x: str, d: int) -> str:
     """printf rounds the exact binary value like toFixed, except on products
     that round to an exact .5: there the Dekker error term of |x|·10^d decides,
     and an exact tie goes up (toFixed) instead of to even (printf)."""
-    from wattlane.functions.numeric import _split
     m = float(10 ** d)
-    bh, bl = _split(m)
+    bh, bl = NUM._split(m)
     a = f"abs({x})"
     p = f"({a} * {m!r})"
     ah = f"(({a} * 134217729.0) - (({a} * 134217729.0) - {a}))"
@@ -347,13 +352,12 @@ def sql_to_fixed(x: str, d: int) -> str:
 def stand_in_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Base-model stand-ins derived from the features: sequence = 24-row mean,
     rf = lag 24, gbt = lag 168; target = energy_kwh."""
-    from wattlane.operators.models import weighted_ensemble
     f = features_warm(spark, d)
     return f.select(*KEYCOLS, F.col("energy_kwh").alias("y"),
                     F.col("energy_mean_24h").alias("seq_pred"),
                     F.col("energy_lag_24").alias("rf_pred"),
                     F.col("energy_lag_168").alias("gbt_pred")).withColumn(
-        "prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred")))
+        "prediction", M.weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred")))
 
 
 def sql_stand_in() -> str:
@@ -364,12 +368,11 @@ FROM {sql_features_warm()} f)"""
 
 
 def q_write_predictions(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.sinks import with_display, write_predictions
     preds = stand_in_predictions(spark, d).filter(F.col("prediction").isNotNull())
     # compare through the rounded value: the 24-row mean differs between engines in the last bits
-    preds = with_display(preds.withColumn("prediction", r6(F.col("prediction"))))
+    preds = SK.with_display(preds.withColumn("prediction", r6(F.col("prediction"))))
     path = scratch_path(spark, "predictions")
-    write_predictions(preds, path)
+    SK.write_predictions(preds, path)
     return spark.read.parquet(path).select(*KEYCOLS, "prediction", "prediction_display")
 
 
@@ -380,29 +383,24 @@ FROM (SELECT *, {R('prediction')} AS x FROM {sql_stand_in()} p WHERE prediction
 
 # ---- P1–P15 --------------------------------------------------------------------------------
 
-def _ops():
-    from wattlane.operators import clean
-    return clean
-
 
 register("drop_null_target", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} r WHERE temperature IS NOT NULL")(
-    lambda spark, d: _ops().drop_null_target(load_readings(spark, d, "user_id"), "temperature"))
+    lambda spark, d: C.drop_null_target(load_readings(spark, d, "user_id"), "temperature"))
 
 register("drop_duplicate_rows", f"""SELECT DISTINCT * FROM (
   SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} a
   UNION ALL SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} b) u""")(
-    lambda spark, d: _ops().drop_duplicate_rows(
+    lambda spark, d: C.drop_duplicate_rows(
         load_readings(spark, d, "user_id").unionByName(load_readings(spark, d, "user_id"))))
 
 
 def q_parse_timestamp(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.functions.text import parse_timestamp
     k = k_col()
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     text = (F.when(k % 4 == 0, F.concat(iso, F.lit("Z")))
             .when(k % 4 == 1, F.concat(iso, F.lit("+02:00")))
             .when(k % 4 == 2, iso).otherwise(F.lit("not a time")))
-    return events(spark, d).select("event_id", parse_timestamp(text).cast("timestamp_ntz").alias("parsed"))
+    return events(spark, d).select("event_id", TXT.parse_timestamp(text).cast("timestamp_ntz").alias("parsed"))
 
 
 register("parse_timestamp", f"""
@@ -423,8 +421,7 @@ SQL_NUMERIC_TEXT = """CASE k % 6 WHEN 0 THEN printf('%.2f', value) WHEN 1 THEN '
 
 
 def q_coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.functions.numeric import coerce_numeric
-    return events(spark, d).select("event_id", coerce_numeric(numeric_text()).alias("number"))
+    return events(spark, d).select("event_id", NUM.coerce_numeric(numeric_text()).alias("number"))
 
 
 register("coerce_numeric", f"""
@@ -436,11 +433,11 @@ MEASURE_COLS = ["ts", "Power_Consumption", "voltage", "current", "temperature",
 register("null_profile", " UNION ALL ".join(
     f"""SELECT series_id, '{c}' AS "column", CAST(count_if({'"current"' if c == 'current' else c} IS NULL) AS BIGINT) AS null_count
         FROM {sql_readings('event_type')} r GROUP BY series_id""" for c in MEASURE_COLS))(
-    lambda spark, d: _ops().null_profile(load_readings(spark, d, "event_type"), MEASURE_COLS, ["series_id"]))
+    lambda spark, d: C.null_profile(load_readings(spark, d, "event_type"), MEASURE_COLS, ["series_id"]))
 
 
 def q_reject_series(spark: SparkSession, d: str) -> DataFrame:
-    valid, quarantine = _ops().reject_series_with_nulls(load_readings(spark, d, "user_event"))
+    valid, quarantine = C.reject_series_with_nulls(load_readings(spark, d, "user_event"))
     return (valid.select(*KEYCOLS, F.lit(False).alias("quarantined"))
             .unionByName(quarantine.select(*KEYCOLS, F.lit(True).alias("quarantined"))))
 
@@ -452,29 +449,29 @@ FROM {sql_readings('user_event')} r""")(q_reject_series)
 
 register("impute_mean_or_default", sql_rounded(sql_imputed("user_id"), KEYCOLS + ["Power_Consumption", "voltage", "current"],
                                                ["temperature", "humidity"]))(
-    lambda spark, d: rounded(_ops().impute_mean_or_default(load_readings(spark, d, "user_id")),
+    lambda spark, d: rounded(C.impute_mean_or_default(load_readings(spark, d, "user_id")),
                              KEYCOLS + ["Power_Consumption", "voltage", "current"], ["temperature", "humidity"]))
 
 register("series_means", f"""SELECT series_id, {R('avg(temperature)')} AS mean_temperature, {R('avg(humidity)')} AS mean_humidity
 FROM {sql_readings('user_id')} r GROUP BY series_id""")(
-    lambda spark, d: rounded(_ops().series_means(load_readings(spark, d, "user_id")), ["series_id"],
+    lambda spark, d: rounded(C.series_means(load_readings(spark, d, "user_id")), ["series_id"],
                              ["mean_temperature", "mean_humidity"]))
 
 register("rename_target", f"""SELECT series_id, ts, arrival_no, Power_Consumption AS energy_kwh, voltage, "current",
 temperature, humidity FROM {sql_readings('event_type')} r""")(
-    lambda spark, d: _ops().rename_target(load_readings(spark, d, "event_type")))
+    lambda spark, d: C.rename_target(load_readings(spark, d, "event_type")))
 
 SEQ_RAW = ["energy_kwh", "hour", "day_of_week", "is_weekend", "is_peak_hours", "energy_lag_1", "energy_lag_24"]
 SEQ_DBL = ["temperature", "humidity", "energy_mean_24h"]
 
 register("select_sequence_features", sql_rounded(sql_features_warm(), KEYCOLS + SEQ_RAW, SEQ_DBL))(
-    lambda spark, d: rounded(_ops().select_sequence_features(features_warm(spark, d), KEYCOLS),
+    lambda spark, d: rounded(C.select_sequence_features(features_warm(spark, d), KEYCOLS),
                              KEYCOLS + SEQ_RAW, SEQ_DBL))
 
 
 def q_drop_warmup_rows(spark: SparkSession, d: str) -> DataFrame:
     lags = W.energy_lags(load_readings(spark, d, "user_id"))
-    return _ops().drop_warmup_rows(lags).select(*KEYCOLS, "energy_lag_1", "energy_lag_24")
+    return C.drop_warmup_rows(lags).select(*KEYCOLS, "energy_lag_1", "energy_lag_24")
 
 
 register("drop_warmup_rows", f"""SELECT * FROM (
@@ -483,7 +480,7 @@ register("drop_warmup_rows", f"""SELECT * FROM (
 WHERE energy_lag_1 IS NOT NULL AND energy_lag_24 IS NOT NULL""")(q_drop_warmup_rows)
 
 register("drop_incomplete_rows", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} r WHERE temperature IS NOT NULL AND humidity IS NOT NULL")(
-    lambda spark, d: _ops().drop_incomplete_rows(load_readings(spark, d, "user_id")))
+    lambda spark, d: C.drop_incomplete_rows(load_readings(spark, d, "user_id")))
 
 
 def sql_status(source: str, checked: str) -> str:
@@ -499,7 +496,7 @@ ALL_NULL_CHECK = ('ts IS NULL OR Power_Consumption IS NULL OR voltage IS NULL OR
                   'OR temperature IS NULL OR humidity IS NULL')
 
 register("history_status", sql_status(sql_imputed("user_id"), ALL_NULL_CHECK))(
-    lambda spark, d: _ops().history_status(_ops().impute_mean_or_default(load_readings(spark, d, "user_id"))))
+    lambda spark, d: C.history_status(C.impute_mean_or_default(load_readings(spark, d, "user_id"))))
 
 
 def sql_padded(series_key: str = "user_event") -> str:
@@ -519,23 +516,21 @@ def sql_padded(series_key: str = "user_event") -> str:
 
 
 register("pad_short_series", f"SELECT * FROM {sql_padded('user_event')} p")(
-    lambda spark, d: __import__("wattlane.operators.combine", fromlist=["x"]).pad_short_series(
+    lambda spark, d: J.pad_short_series(
         load_readings(spark, d, "user_event")))
 
 register("history_status_padded", sql_status(sql_padded("user_event"), ALL_NULL_CHECK))(
-    lambda spark, d: _ops().history_status(
-        __import__("wattlane.operators.combine", fromlist=["x"]).pad_short_series(
+    lambda spark, d: C.history_status(
+        J.pad_short_series(
             load_readings(spark, d, "user_event")).drop("is_padding")))
 
 
 def q_default_if_missing(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.config import HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT
-    from wattlane.functions.numeric import default_if_absent, default_if_missing
     w = weather(spark, d)
     return w.select("obs_id",
-                    default_if_missing(F.col("temp"), TEMPERATURE_DEFAULT).alias("temperature"),
-                    default_if_missing(F.col("humidity"), HUMIDITY_DEFAULT).alias("humidity"),
-                    default_if_absent(F.when(F.col("wind_speed") > 3, F.col("wind_speed")), 0.0).alias("wind_speed"))
+                    NUM.default_if_missing(F.col("temp"), TEMPERATURE_DEFAULT).alias("temperature"),
+                    NUM.default_if_missing(F.col("humidity"), HUMIDITY_DEFAULT).alias("humidity"),
+                    NUM.default_if_absent(F.when(F.col("wind_speed") > 3, F.col("wind_speed")), 0.0).alias("wind_speed"))
 
 
 register("default_if_missing", f"""SELECT obs_id,
@@ -546,8 +541,7 @@ FROM {sql_weather()} w""")(q_default_if_missing)
 
 
 def q_first_non_null_name(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.functions.text import first_non_null_name
-    return weather(spark, d).select("obs_id", first_non_null_name(F.col("city"), F.col("town"), F.col("village")).alias("location_name"))
+    return weather(spark, d).select("obs_id", TXT.first_non_null_name(F.col("city"), F.col("town"), F.col("village")).alias("location_name"))
 
 
 register("first_non_null_name", f"""SELECT obs_id, coalesce(nullif(city, ''), nullif(town, ''), nullif(village, ''), 'Unknown Location') AS location_name
@@ -562,8 +556,7 @@ def response_text():
 
 
 def q_valid_prediction(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.functions.numeric import valid_prediction
-    v = valid_prediction(response_text())
+    v = NUM.valid_prediction(response_text())
     return events(spark, d).select("event_id", v["valid"].alias("valid"), v["prediction"].alias("prediction"))
 
 
@@ -574,22 +567,18 @@ register("valid_prediction", f"""SELECT event_id, x IS NOT NULL AS valid, x AS p
 
 # ---- T1–T9 ----------------------------------------------------------------------------------
 
-def _fn():
-    from wattlane.functions import calendar, text
-    return calendar, text
-
 
 CAL_COLS = ["hour", "day_of_week", "day_of_month", "month", "quarter", "year", "week_of_year"]
 
 register("calendar_features", f"SELECT series_id, ts, arrival_no, {SQL_CALENDAR} FROM {sql_readings('event_type')} r")(
-    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, *_fn()[0].calendar_columns("ts")))
+    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, *CAL.calendar_columns("ts")))
 
 register("dow_sunday1", f"SELECT series_id, ts, arrival_no, CAST(dayofweek(ts) + 1 AS INTEGER) AS dow FROM {sql_readings('event_type')} r")(
-    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, _fn()[0].dow_sunday1("ts").alias("dow")))
+    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, CAL.dow_sunday1("ts").alias("dow")))
 
 register("flag_features", f"SELECT series_id, ts, arrival_no, {SQL_FLAGS} FROM {sql_readings('event_type')} r")(
-    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, *_fn()[0].calendar_columns("ts"))
-    .select(*KEYCOLS, *_fn()[0].flag_columns()))
+    lambda spark, d: load_readings(spark, d, "event_type").select(*KEYCOLS, *CAL.calendar_columns("ts"))
+    .select(*KEYCOLS, *CAL.flag_columns()))
 
 SQL_CYCLIC = ("sin((CAST(hour(ts) AS INTEGER) * 2) * 3.14159::DOUBLE / 24) AS sin_hour, "
               "cos((CAST(hour(ts) AS INTEGER) * 2) * 3.14159::DOUBLE / 24) AS cos_hour")
@@ -597,15 +586,15 @@ SQL_CYCLIC = ("sin((CAST(hour(ts) AS INTEGER) * 2) * 3.14159::DOUBLE / 24) AS si
 register("cyclic_hour", sql_rounded(f"(SELECT series_id, ts, arrival_no, CAST(hour(ts) AS INTEGER) AS hour, {SQL_CYCLIC} FROM {sql_readings('event_type')} r)",
                                     KEYCOLS + ["hour"], ["sin_hour", "cos_hour"]))(
     lambda spark, d: rounded(load_readings(spark, d, "event_type").select(*KEYCOLS, F.hour("ts").alias("hour"))
-                             .select("*", *_fn()[0].cyclic_hour()), KEYCOLS + ["hour"], ["sin_hour", "cos_hour"]))
+                             .select("*", *CAL.cyclic_hour()), KEYCOLS + ["hour"], ["sin_hour", "cos_hour"]))
 
 register("weather_interactions", sql_rounded(
     f"""(SELECT series_id, ts, arrival_no, temperature * CAST(hour(ts) AS INTEGER) AS temp_hour_interaction,
         humidity * temperature AS humidity_temp_interaction FROM {sql_imputed('user_id')} i)""",
     KEYCOLS, ["temp_hour_interaction", "humidity_temp_interaction"]))(
-    lambda spark, d: rounded(_ops().impute_mean_or_default(load_readings(spark, d, "user_id"))
+    lambda spark, d: rounded(C.impute_mean_or_default(load_readings(spark, d, "user_id"))
                              .select(*KEYCOLS, "temperature", "humidity", F.hour("ts").alias("hour"))
-                             .select(*KEYCOLS, *_fn()[0].weather_interactions()),
+                             .select(*KEYCOLS, *CAL.weather_interactions()),
                              KEYCOLS, ["temp_hour_interaction", "humidity_temp_interaction"]))
 
 
@@ -630,7 +619,7 @@ def sql_parse_list(text: str) -> str:
 
 
 def q_parse_reading_list(spark: SparkSession, d: str) -> DataFrame:
-    vals = _fn()[1].parse_reading_list(list_text())
+    vals = TXT.parse_reading_list(list_text())
     finite = F.filter(vals, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return events(spark, d).select(
         "event_id", F.size(vals).alias("n_values"), F.size(finite).alias("n_finite"),
@@ -658,8 +647,8 @@ SQL_LONG_LIST = ("CASE WHEN k % 40 > 0 THEN array_to_string(list_transform(range
 
 
 def q_last_n_values(spark: SparkSession, d: str) -> DataFrame:
-    t = _fn()[1]
-    vals = t.parse_reading_list(long_list_text())
+    t = TXT
+    vals = TXT.parse_reading_list(long_list_text())
     kept = t.last_n_values(vals)
     return events(spark, d).select("event_id", F.size(vals).alias("n_values"), F.size(kept).alias("n_kept"),
                                    F.element_at(kept, 1).alias("first_kept"), F.element_at(kept, -1).alias("last_kept"),
@@ -676,14 +665,13 @@ FROM (SELECT event_id, {sql_parse_list(SQL_LONG_LIST)} AS l FROM {SQL_EVENTS_K}
 
 def q_request_points(spark: SparkSession, d: str) -> DataFrame:
     """T6 → T7 → T8 → P13: the form's data points, one request per event."""
-    from wattlane.operators.combine import form_points
-    t = _fn()[1]
+    t = TXT
     kept = t.last_n_values(t.parse_reading_list(long_list_text()))
     # posexplode of a NULL list yields no rows: no separate filter that would parse twice
     pts = events(spark, d).select("event_id", "ts", F.posexplode(kept).alias("pos", "Power_Consumption"))
     pts = pts.select("event_id", F.col("pos").cast("int").alias("pos"),
                      t.hourly_stamp(F.col("ts"), F.col("pos"), 24).alias("ts"), "Power_Consumption")
-    return form_points(pts)
+    return J.form_points(pts)
 
 
 register("request_points", f"""SELECT event_id, CAST(pos - 1 AS INTEGER) AS pos, ts - to_hours(24 - pos) AS ts,
@@ -694,10 +682,9 @@ FROM (SELECT event_id, ts, l, unnest(range(1, 25)) AS pos FROM (
 
 
 def q_format_fixed(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.functions.numeric import format_fixed
     f = features_warm(spark, d).select(*KEYCOLS, r6(F.col("temperature")).alias("t"), r6(F.col("energy_mean_24h")).alias("m"))
-    return f.select(*KEYCOLS, format_fixed(F.col("t"), 1).alias("temperature_display"),
-                    format_fixed(F.col("m"), 3).alias("mean_display"))
+    return f.select(*KEYCOLS, NUM.format_fixed(F.col("t"), 1).alias("temperature_display"),
+                    NUM.format_fixed(F.col("m"), 3).alias("mean_display"))
 
 
 register("format_fixed", f"""SELECT series_id, ts, arrival_no, {sql_to_fixed('t', 1)} AS temperature_display,
@@ -707,27 +694,22 @@ FROM (SELECT series_id, ts, arrival_no, {R('temperature')} AS t, {R('energy_mean
 
 # ---- J1–J3 ------------------------------------------------------------------------------------
 
-def _combine():
-    from wattlane.operators import combine
-    return combine
-
 
 SQL_DECODE = f"""SELECT w.obs_id, w.weather_code, coalesce(c.description, 'Unknown') AS description
 FROM {sql_weather()} w LEFT JOIN {sql_weather_codes()} c ON w.weather_code = c.weather_code"""
 
 register("decode_weather_code", SQL_DECODE)(
-    lambda spark, d: _combine().decode_weather_code(weather(spark, d).select("obs_id", "weather_code")))
+    lambda spark, d: J.decode_weather_code(weather(spark, d).select("obs_id", "weather_code")))
 
 register("decode_weather_code_join", SQL_DECODE)(
-    lambda spark, d: _combine().decode_weather_code(weather(spark, d).select("obs_id", "weather_code"), use_join=True))
+    lambda spark, d: J.decode_weather_code(weather(spark, d).select("obs_id", "weather_code"), use_join=True))
 
 
 def q_attach_current_weather(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.sources.weather import location_of_user
     e = events(spark, d)
     r = load_readings(spark, d, "user_id").join(
-        e.select(F.col("event_id").alias("arrival_no"), location_of_user(F.col("user_id")).alias("location")), "arrival_no")
-    out = _combine().attach_current_weather(r, weather(spark, d))
+        e.select(F.col("event_id").alias("arrival_no"), WX.location_of_user(F.col("user_id")).alias("location")), "arrival_no")
+    out = J.attach_current_weather(r, weather(spark, d))
     return out.select(*KEYCOLS, "location", "temperature", "humidity", "wind_speed", "weather_description",
                       "location_name", "obs_ts")
 
@@ -746,18 +728,14 @@ SELECT r.series_id, r.ts, r.arrival_no, r.location,
 FROM r LEFT JOIN latest l USING (location) LEFT JOIN {sql_weather_codes()} c ON l.weather_code = c.weather_code""")(q_attach_current_weather)
 
 
-def _seq():
-    from wattlane.operators import sequences
-    return sequences
-
 
 def q_align_predictions(spark: SparkSession, d: str) -> DataFrame:
     r = load_readings(spark, d, "event_type")
     target = features_warm(spark, d).select(*KEYCOLS, F.col("energy_kwh").alias("y"))
-    seq = _seq().sliding_sequences(r).select(
+    seq = S.sliding_sequences(r).select(
         *KEYCOLS, (F.aggregate("seq", F.lit(0.0), lambda a, x: a + x) / F.lit(24.0)).alias("seq_pred"))
     boost = W.training_features(r).select(*KEYCOLS, F.col("lag_24").alias("boost_pred"))
-    out = _combine().align_predictions(target, seq, boost)
+    out = J.align_predictions(target, seq, boost)
     return out.select(*KEYCOLS, "y", r6(F.col("seq_pred")).alias("seq_pred"), "boost_pred")
 
 
@@ -817,7 +795,6 @@ def value_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_short_lags(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.plans.ordering import over_series
     return over_series(value_frame(spark, d), ["series_id"], lambda f, s: f.select("*", *W.short_lag_cols(s)), halo=3)
 
 
@@ -833,7 +810,6 @@ def sql_strict(n: int) -> str:
 
 
 def q_rolling_strict(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.plans.ordering import over_series
     out = over_series(value_frame(spark, d), ["series_id"], lambda f, s: f.select("*", *W.rolling_strict_cols(s)), halo=4)
     return rounded(out, KEYCOLS, ["rolling_3", "rolling_5"])
 
@@ -879,18 +855,18 @@ FROM (SELECT *, count(*) {w} AS n, first_value({P}) {w} AS seq_first, last_value
 
 
 register("sliding_sequences", sql_seq_summary("event_type"))(
-    lambda spark, d: seq_summary(_seq().sliding_sequences(load_readings(spark, d, "event_type"))))
+    lambda spark, d: seq_summary(S.sliding_sequences(load_readings(spark, d, "event_type"))))
 
 register("sliding_sequences_x", sql_seq_summary("user_id", with_target=False))(
-    lambda spark, d: seq_summary(_seq().sliding_sequences(load_readings(spark, d, "user_id"), with_target=False), False))
+    lambda spark, d: seq_summary(S.sliding_sequences(load_readings(spark, d, "user_id"), with_target=False), False))
 
 register("sliding_sequences_global", sql_seq_summary("constant"))(
-    lambda spark, d: seq_summary(_seq().sliding_sequences(load_readings(spark, d, "constant"), strategy="chunked",
+    lambda spark, d: seq_summary(S.sliding_sequences(load_readings(spark, d, "constant"), strategy="chunked",
                                                           chunk_rows=1000)))
 
 
 def q_latest_sequence(spark: SparkSession, d: str) -> DataFrame:
-    s = _seq().latest_sequence(features_warm(spark, d, "user_id"))
+    s = S.latest_sequence(features_warm(spark, d, "user_id"))
     energy = F.transform("seq", lambda st: st[0])
     temp = F.transform("seq", lambda st: st[1])
     return s.select("series_id", "n_steps", "last_ts",
@@ -910,10 +886,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_n
 
 # ---- A1–A7, O1, M8, M10, M11 ---------------------------------------------------------------------
 
-def _metrics():
-    from wattlane.operators import metrics
-    return metrics
-
 
 AVG_COLS = ["arrival_no", "Power_Consumption", "voltage", "current", "humidity", "hour", "dow",
             "sin_hour", "cos_hour", "lag_1", "lag_24", "rolling_3h"]
@@ -921,7 +893,7 @@ AVG_COLS = ["arrival_no", "Power_Consumption", "voltage", "current", "humidity",
 
 def q_avg_by(spark: SparkSession, d: str) -> DataFrame:
     tf = W.training_features(load_readings(spark, d, "event_type"))
-    out = _metrics().avg_by(tf, "temperature", AVG_COLS)
+    out = A.avg_by(tf, "temperature", AVG_COLS)
     return rounded(out, ["temperature"], [f"avg_{c}" for c in AVG_COLS])
 
 
@@ -930,23 +902,23 @@ FROM {sql_training('event_type')} t GROUP BY temperature""")(q_avg_by)
 
 register("prediction_bounds", sql_rounded(f"""(SELECT series_id, least(min(y), min(prediction)) AS min_val,
   greatest(max(y), max(prediction)) AS max_val FROM {sql_stand_in()} p GROUP BY series_id)""", ["series_id"], ["min_val", "max_val"]))(
-    lambda spark, d: rounded(_metrics().prediction_bounds(stand_in_predictions(spark, d), keys=["series_id"]),
+    lambda spark, d: rounded(A.prediction_bounds(stand_in_predictions(spark, d), keys=["series_id"]),
                              ["series_id"], ["min_val", "max_val"]))
 
 register("mae", f"SELECT series_id, {R('avg(abs(y - prediction))')} AS mae FROM {sql_stand_in()} p GROUP BY series_id")(
-    lambda spark, d: rounded(_metrics().mae(stand_in_predictions(spark, d), keys=["series_id"]), ["series_id"], ["mae"]))
+    lambda spark, d: rounded(A.mae(stand_in_predictions(spark, d), keys=["series_id"]), ["series_id"], ["mae"]))
 
 register("rmse", f"SELECT series_id, {R('sqrt(avg(pow(y - prediction, 2)))')} AS rmse FROM {sql_stand_in()} p GROUP BY series_id")(
-    lambda spark, d: rounded(_metrics().rmse(stand_in_predictions(spark, d), keys=["series_id"]), ["series_id"], ["rmse"]))
+    lambda spark, d: rounded(A.rmse(stand_in_predictions(spark, d), keys=["series_id"]), ["series_id"], ["rmse"]))
 
 register("evaluate", f"""SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - prediction))')} AS mae,
   {R('sqrt(avg((y - prediction) * (y - prediction)))')} AS rmse FROM {sql_stand_in()} p WHERE prediction IS NOT NULL""")(
-    lambda spark, d: rounded(_metrics().evaluate(stand_in_predictions(spark, d).filter(F.col("prediction").isNotNull())),
+    lambda spark, d: rounded(A.evaluate(stand_in_predictions(spark, d).filter(F.col("prediction").isNotNull())),
                              ["n"], ["mae", "rmse"]))
 
 register("actual_vs_predicted", sql_rounded(f"(SELECT series_id, ts, arrival_no, y AS actual, prediction AS predicted FROM {sql_stand_in()} p)",
                                             KEYCOLS + ["actual"], ["predicted"]))(
-    lambda spark, d: rounded(_metrics().actual_vs_predicted(stand_in_predictions(spark, d), keep=KEYCOLS),
+    lambda spark, d: rounded(A.actual_vs_predicted(stand_in_predictions(spark, d), keep=KEYCOLS),
                              KEYCOLS + ["actual"], ["predicted"]))
 
 register("weighted_ensemble", sql_rounded(sql_stand_in(), KEYCOLS + ["y", "rf_pred", "gbt_pred"], ["seq_pred", "prediction"]))(
@@ -956,13 +928,13 @@ register("time_split", f"""SELECT series_id, ts, arrival_no,
   CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1
             < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
 FROM {sql_features_warm()} f""")(
-    lambda spark, d: _metrics().time_split(features_warm(spark, d)).select(*KEYCOLS, "split"))
+    lambda spark, d: A.time_split(features_warm(spark, d)).select(*KEYCOLS, "split"))
 
 register("time_split_global", f"""SELECT series_id, ts, arrival_no,
   CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1
             < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
 FROM {sql_readings('constant')} f""")(
-    lambda spark, d: _metrics().time_split(load_readings(spark, d, "constant"), strategy="chunked")
+    lambda spark, d: A.time_split(load_readings(spark, d, "constant"), strategy="chunked")
     .select(*KEYCOLS, "split"))
 
 register("sort_by_time", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id')} r ORDER BY series_id, ts, arrival_no")(
@@ -971,10 +943,6 @@ register("sort_by_time", f"SELECT {SQL_READING_COLS} FROM {sql_readings('user_id
 
 # ---- M1, M5(b), M6, M7, M9 ----------------------------------------------------------------------
 
-def _models():
-    from wattlane.operators import models
-    return models
-
 
 TREE_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in
                              ["hour", "day_of_week", "month", "is_weekend", "is_peak_hours", "temperature",
@@ -982,12 +950,12 @@ TREE_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in
                               "energy_lag_168", "energy_mean_24h", "energy_std_24h", "energy_mean_7d"])
 
 register("assemble_features", f"SELECT series_id, ts, arrival_no, energy_lag_168 FROM {sql_features_warm()} f WHERE {TREE_NOT_NULL}")(
-    lambda spark, d: _models().assemble_features(features_warm(spark, d)).select(*KEYCOLS, "energy_lag_168"))
+    lambda spark, d: M.assemble_features(features_warm(spark, d)).select(*KEYCOLS, "energy_lag_168"))
 
 
 def q_sequence_model_udf(spark: SparkSession, d: str) -> DataFrame:
-    m = _models()
-    seqs = _seq().sliding_sequences(load_readings(spark, d, "event_type"))
+    m = M
+    seqs = S.sliding_sequences(load_readings(spark, d, "event_type"))
     udf = m.sequence_model_udf(m.mean_model, 24)
     return seqs.select(*KEYCOLS, r6(udf(F.col("seq"))).alias("seq_pred"))
 
@@ -1002,17 +970,18 @@ SEQ_FEATS = ["energy_kwh", "temperature", "humidity", "hour", "day_of_week", "is
 
 def q_scale_sequence(spark: SparkSession, d: str) -> DataFrame:
     f = features_warm(spark, d).select(*KEYCOLS, *SEQ_FEATS)
-    scaler = _seq().fit_scaler(f)
+    scaler = S.fit_scaler(f)
     return rounded(scaler.transform(f), KEYCOLS, SEQ_FEATS)
 
 
 def sql_minmax_scaled() -> str:
-    stats = ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in SEQ_FEATS)
+    stats = ", ".join(f"min(CAST({c} AS DOUBLE)) OVER () AS lo_{c}, max(CAST({c} AS DOUBLE)) OVER () AS hi_{c}"
+                      for c in SEQ_FEATS)
     scaled = ", ".join(
-        f"(CAST(f.{c} AS DOUBLE) - s.lo_{c}) / (CASE WHEN s.hi_{c} - s.lo_{c} = 0 THEN 1.0 ELSE s.hi_{c} - s.lo_{c} END) AS {c}"
+        f"(CAST({c} AS DOUBLE) - lo_{c}) / (CASE WHEN hi_{c} - lo_{c} = 0 THEN 1.0 ELSE hi_{c} - lo_{c} END) AS {c}"
         for c in SEQ_FEATS)
-    return f"""(SELECT f.series_id, f.ts, f.arrival_no, {scaled}, s.lo_energy_kwh, s.hi_energy_kwh
-FROM {sql_features_warm()} f, (SELECT {stats} FROM {sql_features_warm()} g) s)"""
+    return f"""(SELECT series_id, ts, arrival_no, {scaled}, lo_energy_kwh, hi_energy_kwh
+FROM (SELECT *, {stats} FROM {sql_features_warm()} f) t)"""
 
 
 register("scale_sequence", sql_rounded(sql_minmax_scaled(), KEYCOLS, SEQ_FEATS))(q_scale_sequence)
@@ -1020,7 +989,7 @@ register("scale_sequence", sql_rounded(sql_minmax_scaled(), KEYCOLS, SEQ_FEATS))
 
 def q_inverse_scale_target(spark: SparkSession, d: str) -> DataFrame:
     f = features_warm(spark, d).select(*KEYCOLS, *SEQ_FEATS)
-    scaler = _seq().fit_scaler(f)
+    scaler = S.fit_scaler(f)
     scaled = scaler.transform(f)
     return scaled.select(*KEYCOLS, r6(scaler.inverse_target(F.col("energy_kwh"))).alias("restored"))
 
@@ -1030,27 +999,29 @@ register("inverse_scale_target", f"""SELECT series_id, ts, arrival_no,
 
 
 def q_train_stacker(spark: SparkSession, d: str) -> DataFrame:
-    m = _models()
+    m = M
     f = features_warm(spark, d).select(F.col("energy_kwh").alias("y"), F.col("energy_mean_24h").alias("a"),
                                        F.col("energy_lag_24").alias("b"))
     model = m.train_stacker(f, ["a", "b"])
     b0, (b1, b2) = m.stacker_coefficients(model)
-    ev = _metrics().evaluate(model.transform(f))
+    ev = A.evaluate(model.transform(f))
     return rounded(ev.select("n", "mae", "rmse", F.lit(b0).alias("intercept"), F.lit(b1).alias("coef_seq"),
                              F.lit(b2).alias("coef_boost")), ["n"], ["mae", "rmse", "intercept", "coef_seq", "coef_boost"])
 
 
 register("train_stacker", f"""
 WITH d AS (SELECT energy_kwh AS y, energy_mean_24h AS a, energy_lag_24 AS b FROM {sql_features_warm()} f),
-s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS cab,
-             covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM d),
-c AS (SELECT (vbb * cay - cab * cby) / (vaa * vbb - cab * cab) AS b1, (vaa * cby - cab * cay) / (vaa * vbb - cab * cab) AS b2,
-             my, ma, mb FROM s),
-k AS (SELECT b1, b2, my - b1 * ma - b2 * mb AS b0 FROM c)
+s AS (SELECT *, avg(y) OVER () AS my, avg(a) OVER () AS ma, avg(b) OVER () AS mb,
+             var_pop(a) OVER () AS vaa, var_pop(b) OVER () AS vbb,
+             covar_pop(a, b) OVER () AS cab, covar_pop(a, y) OVER () AS cay,
+             covar_pop(b, y) OVER () AS cby FROM d),
+c AS (SELECT *, (vbb * cay - cab * cby) / (vaa * vbb - cab * cab) AS b1,
+             (vaa * cby - cab * cay) / (vaa * vbb - cab * cab) AS b2 FROM s),
+k AS (SELECT *, my - b1 * ma - b2 * mb AS b0 FROM c)
 SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - (b0 + b1 * a + b2 * b)))')} AS mae,
        {R('sqrt(avg((y - (b0 + b1 * a + b2 * b)) * (y - (b0 + b1 * a + b2 * b))))')} AS rmse,
        {R('any_value(b0)')} AS intercept, {R('any_value(b1)')} AS coef_seq, {R('any_value(b2)')} AS coef_boost
-FROM d, k""")(q_train_stacker)
+FROM k  """)(q_train_stacker)
 
 
 # ---- model fits, scoring, persistence (rows-only: no SQL twin for a tree ensemble) ---------------
@@ -1067,45 +1038,44 @@ def tree_frame(spark: SparkSession, d: str) -> DataFrame:
 
 def q_train_random_forest(spark: SparkSession, d: str) -> DataFrame:
     f = tree_frame(spark, d)
-    model = _models().train_random_forest(f, **SMALL_RF)
+    model = M.train_random_forest(f, **SMALL_RF)
     return model.transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
 
 
 def q_train_gbt(spark: SparkSession, d: str) -> DataFrame:
     f = tree_frame(spark, d)
-    model = _models().train_gbt(f, **SMALL_GBT)
+    model = M.train_gbt(f, **SMALL_GBT)
     return model.transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
 
 
 def q_train_boosted(spark: SparkSession, d: str) -> DataFrame:
     tf = W.training_features(load_readings(spark, d, "event_type"))
-    model = _models().train_boosted(tf, maxIter=20, maxDepth=4)
+    model = M.train_boosted(tf, maxIter=20, maxDepth=4)
     return model.transform(tf.dropna(subset=["lag_1", "lag_24"])).select(*KEYCOLS, P, "prediction")
 
 
 def q_train_sequence_model(spark: SparkSession, d: str) -> DataFrame:
-    m = _models()
-    seqs = _seq().sliding_sequences(load_readings(spark, d, "event_type"))
+    m = M
+    seqs = S.sliding_sequences(load_readings(spark, d, "event_type"))
     model = m.train_sequence_model(seqs)
     return m.score_sequence_model(model, seqs).select(*KEYCOLS, "y", "seq_pred")
 
 
 def q_save_load_model(spark: SparkSession, d: str) -> DataFrame:
     f = tree_frame(spark, d)
-    model = _models().train_gbt(f, **SMALL_GBT)
+    model = M.train_gbt(f, **SMALL_GBT)
     path = scratch_path(spark, "gbt-model")
-    _models().save_model(model, path)
-    reloaded = _models().load_pipeline(path)
+    M.save_model(model, path)
+    reloaded = M.load_pipeline(path)
     a = model.transform(f).select(*KEYCOLS, F.col("prediction").alias("pred_fitted"))
     b = reloaded.transform(f).select(*KEYCOLS, F.col("prediction").alias("pred_reloaded"))
     return a.join(b, KEYCOLS)
 
 
 def q_score_series(spark: SparkSession, d: str) -> DataFrame:
-    from wattlane.operators.score import fit_forecast_models, score_series
-    models = fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
+    models = SC.fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
     readings = load_readings(spark, d, "event_type").unionByName(load_readings(spark, d, "user_event"))
-    return score_series(readings, models, mode="impute")
+    return SC.score_series(readings, models, mode="impute")
 
 
 register("train_random_forest")(q_train_random_forest)
@@ -1125,13 +1095,12 @@ STREAM_RAW = ["energy_kwh", *LAG_COLS, "energy_min_24h", "energy_max_24h", "late
 def q_score_stream(spark: SparkSession, d: str) -> DataFrame:
     """Readings replayed as a file stream in four time-ordered micro-batches;
     per-series state carries the history between batches."""
-    from wattlane.streaming.stream import run_stream_to_table, stage_stream_input
     r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P)
     base = scratch_path(spark, "stream")
     slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
               ("2024-01-22", "2100-01-01"), ("1900-01-01", "2024-01-01")]
-    stage_stream_input(r, f"{base}/in", slices)
-    out = run_stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema)
+    ST.stage_stream_input(r, f"{base}/in", slices)
+    out = ST.run_stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema)
     out = out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return rounded(out, KEYCOLS + STREAM_RAW, STREAM_DBL)
 
@@ -1164,7 +1133,7 @@ FROM {sql_readings('constant')} r)""", KEYCOLS, ["energy_mean_7d", "energy_std_7
 def q_assign_hourly_timestamps(spark: SparkSession, d: str) -> DataFrame:
     """T8 alone: each event's own reading list (T6) stamped hourly, ending at
     the event's time."""
-    t = _fn()[1]
+    t = TXT
     e = events(spark, d).select("event_id", "ts", t.parse_reading_list(list_text()).alias("v"))
     return e.select("event_id", "ts", F.size("v").alias("n"), F.posexplode("v").alias("pos", "value")).select(
         "event_id", F.col("pos").cast("int").alias("pos"),
@@ -1183,16 +1152,17 @@ register("horizon_label", f"""SELECT series_id, ts, arrival_no, energy_kwh,
 
 def q_scale_sequence_standard(spark: SparkSession, d: str) -> DataFrame:
     f = features_warm(spark, d).select(*KEYCOLS, *SEQ_FEATS)
-    scaler = _seq().fit_scaler(f, kind="standard")
+    scaler = S.fit_scaler(f, kind="standard")
     return rounded(scaler.transform(f), KEYCOLS, SEQ_FEATS)
 
 
 def sql_standard_scaled() -> str:
-    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in SEQ_FEATS)
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) OVER () AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) OVER () AS s_{c}"
+                      for c in SEQ_FEATS)
     scaled = ", ".join(
-        f"(CAST(f.{c} AS DOUBLE) - s.m_{c}) / (CASE WHEN s.s_{c} = 0 OR s.s_{c} IS NULL THEN 1.0 ELSE s.s_{c} END) AS {c}"
+        f"(CAST({c} AS DOUBLE) - m_{c}) / (CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END) AS {c}"
         for c in SEQ_FEATS)
-    return f"(SELECT f.series_id, f.ts, f.arrival_no, {scaled} FROM {sql_features_warm()} f, (SELECT {stats} FROM {sql_features_warm()} g) s)"
+    return f"(SELECT series_id, ts, arrival_no, {scaled} FROM (SELECT *, {stats} FROM {sql_features_warm()} f) t)"
 
 
 register("scale_sequence_standard", sql_rounded(sql_standard_scaled(), KEYCOLS, SEQ_FEATS))(q_scale_sequence_standard)
@@ -1201,15 +1171,13 @@ register("scale_sequence_standard", sql_rounded(sql_standard_scaled(), KEYCOLS,
 def q_score_stream_predictions(spark: SparkSession, d: str) -> DataFrame:
     """M13 end to end: readings replayed as ordered micro-batches, per-series
     state, ``foreachBatch`` scoring with the three models and the blend."""
-    from wattlane.operators.score import fit_forecast_models
-    from wattlane.streaming.stream import run_scoring_stream, stage_stream_input
-    models = fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
+    models = SC.fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
     r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P, "temperature", "humidity")
     base = scratch_path(spark, "scoring-stream")
     slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
               ("2024-01-22", "2100-01-01")]
-    stage_stream_input(r, f"{base}/in", slices)
-    return run_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema, models)
+    ST.stage_stream_input(r, f"{base}/in", slices)
+    return ST.run_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema, models)
 
 
 register("score_stream_predictions")(q_score_stream_predictions)
@@ -1218,29 +1186,28 @@ register("score_stream_predictions")(q_score_stream_predictions)
 def q_stacker_time_split(spark: SparkSession, d: str) -> DataFrame:
     """M9 with M10: fit the stacker on each series' older 80 %, report MAE/RMSE
     on the newest 20 % per series."""
-    m = _models()
-    f = _metrics().time_split(features_warm(spark, d)).select(
+    m = M
+    f = A.time_split(features_warm(spark, d)).select(
         "series_id", "split", F.col("energy_kwh").alias("y"), F.col("energy_mean_24h").alias("a"),
         F.col("energy_lag_24").alias("b"))
     model = m.train_stacker(f, ["a", "b"], split_col="split")
     b0, (b1, b2) = m.stacker_coefficients(model)
-    ev = _metrics().evaluate(model.transform(f.filter(F.col("split") == "validation")), keys=["series_id"])
+    ev = A.evaluate(model.transform(f.filter(F.col("split") == "validation")), keys=["series_id"])
     return rounded(ev.select("series_id", "n", "mae", "rmse", F.lit(b0).alias("intercept"), F.lit(b1).alias("coef_seq"),
                              F.lit(b2).alias("coef_boost")), ["series_id", "n"],
                    ["mae", "rmse", "intercept", "coef_seq", "coef_boost"])
 
 
 register("stacker_time_split", f"""
-WITH s0 AS (SELECT series_id, energy_kwh AS y, energy_mean_24h AS a, energy_lag_24 AS b,
-                   CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1
-                        < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
-            FROM {sql_features_warm()} f),
-s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS vaa, var_pop(b) AS vbb, covar_pop(a, b) AS cab,
-             covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM s0 WHERE split = 'train'),
-c AS (SELECT (vbb * cay - cab * cby) / (vaa * vbb - cab * cab) AS b1, (vaa * cby - cab * cay) / (vaa * vbb - cab * cab) AS b2,
-             my, ma, mb FROM s),
-k AS (SELECT b1, b2, my - b1 * ma - b2 * mb AS b0 FROM c)
+WITH d AS (SELECT series_id, energy_kwh AS y, energy_mean_24h AS a, energy_lag_24 AS b, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY ts, arrival_no) - 1 < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split FROM {sql_features_warm()} f),
+s AS (SELECT *, avg(CASE WHEN split = 'train' THEN y END) OVER () AS my, avg(CASE WHEN split = 'train' THEN a END) OVER () AS ma, avg(CASE WHEN split = 'train' THEN b END) OVER () AS mb,
+             var_pop(CASE WHEN split = 'train' THEN a END) OVER () AS vaa, var_pop(CASE WHEN split = 'train' THEN b END) OVER () AS vbb,
+             covar_pop(CASE WHEN split = 'train' THEN a END, CASE WHEN split = 'train' THEN b END) OVER () AS cab, covar_pop(CASE WHEN split = 'train' THEN a END, CASE WHEN split = 'train' THEN y END) OVER () AS cay,
+             covar_pop(CASE WHEN split = 'train' THEN b END, CASE WHEN split = 'train' THEN y END) OVER () AS cby FROM d),
+c AS (SELECT *, (vbb * cay - cab * cby) / (vaa * vbb - cab * cab) AS b1,
+             (vaa * cby - cab * cay) / (vaa * vbb - cab * cab) AS b2 FROM s),
+k AS (SELECT *, my - b1 * ma - b2 * mb AS b0 FROM c)
 SELECT series_id, CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - (b0 + b1 * a + b2 * b)))')} AS mae,
        {R('sqrt(avg((y - (b0 + b1 * a + b2 * b)) * (y - (b0 + b1 * a + b2 * b))))')} AS rmse,
        {R('any_value(b0)')} AS intercept, {R('any_value(b1)')} AS coef_seq, {R('any_value(b2)')} AS coef_boost
-FROM s0, k WHERE split = 'validation' GROUP BY series_id""")(q_stacker_time_split)
+FROM k WHERE split = 'validation' GROUP BY series_id""")(q_stacker_time_split)
