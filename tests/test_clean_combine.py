@@ -107,3 +107,17 @@ def test_weather_code_and_current_weather(spark):
     assert out["s"]["location_name"] == "Town" and out["s"]["weather_description"] == "Unknown"
     assert out["t"]["temperature"] == 20.0 and out["t"]["humidity"] == 50.0  # zero counts as missing (B15)
     assert out["t"]["location_name"] == "City"
+
+
+def test_series_gate_equals_gate_over_padding(spark):
+    from wattlane.operators.combine import pad_short_series
+    rows = []
+    for n, s in ((1, "n1"), (23, "n23"), (30, "n30"), (47, "n47"), (48, "n48"), (169, "n169")):
+        rows += hourly(spark, n, series=s, arrival_base=len(rows) * 10)
+    bad = hourly(spark, 5, series="bad", arrival_base=99999)
+    bad[2] = bad[2][:3] + (None,) + bad[2][4:]
+    df = frame(spark, rows + bad)
+    a = {r["series_id"]: tuple(r) for r in C.series_gate(df).collect()}
+    b = {r["series_id"]: tuple(r) for r in C.history_status(pad_short_series(df).drop("is_padding")).collect()}
+    assert a == b
+    assert a["n1"][1:] == (24, 0, "insufficient_history") and a["bad"][3] == "invalid_input"

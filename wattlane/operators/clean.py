@@ -131,3 +131,26 @@ def history_status(readings: DataFrame, keys: Sequence[str] = KEYS,
     return readings.groupBy(*keys).agg(n.cast("long").alias("n_rows"),
                                        feature_rows.cast("long").alias("n_feature_rows"),
                                        status.alias("status"))
+
+
+def series_gate(readings: DataFrame, keys: Sequence[str] = KEYS,
+                columns: Sequence[str] = READING_COLUMNS, seq_len: int = SEQUENCE_LENGTH,
+                deepest_lag: int = 168) -> DataFrame:
+    """P12 after J4, from one aggregate over the unpadded readings.
+
+    Padding lifts a series of 1 ≤ n < ``seq_len`` rows to ``seq_len`` rows
+    built from its first point with defaults, so it never adds a NULL the
+    real rows do not already have and never lifts a series out of
+    ``insufficient_history``.  Same result as ``history_status(pad_short_series(...))``
+    without materialising the padding.
+    """
+    n = F.count(F.lit(1))
+    n_padded = F.greatest(n, F.lit(seq_len))
+    feature_rows = F.greatest(n_padded - F.lit(seq_len), F.lit(0))
+    status = (F.when(F.bool_or(_any_null(columns)), F.lit("invalid_input"))
+              .when(feature_rows < F.lit(MIN_FEATURE_ROWS), F.lit("insufficient_history"))
+              .when(n_padded <= F.lit(deepest_lag), F.lit("missing_lag"))
+              .otherwise(F.lit("scored")))
+    return readings.groupBy(*keys).agg(n_padded.cast("long").alias("n_rows"),
+                                       feature_rows.cast("long").alias("n_feature_rows"),
+                                       status.alias("status"))

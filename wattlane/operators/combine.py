@@ -85,16 +85,18 @@ def pad_short_series(readings: DataFrame, keys: Sequence[str] = KEYS,
     from it (≤ seq_len − 1 rows per series), then unioned."""
     keys = list(keys)
     measures = [m for m in PAD_DEFAULTS if m in readings.columns]
-    first = F.min_by(F.struct("ts", *measures), F.col("arrival_no"))
+    # one min_by per field (fixed-width buffers → hash aggregation); a NULL
+    # value at the first arrival is kept and then takes the default
+    firsts = [F.min_by(F.col(c), F.col("arrival_no")).alias(f"_first_{c}") for c in ["ts", *measures]]
     summary = (readings.groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
+               .agg(F.count(F.lit(1)).alias("_n"), *firsts)
                .filter(F.col("_n") < F.lit(seq_len)))
-    first_ts = F.col("_first.ts") if as_of is None else F.coalesce(F.col("_first.ts"), as_of)
-    pads = (summary.select(*keys, "_first", F.explode(F.sequence(F.lit(1), F.lit(seq_len) - F.col("_n"))).alias("_i"))
+    first_ts = F.col("_first_ts") if as_of is None else F.coalesce(F.col("_first_ts"), as_of)
+    pads = (summary.select("*", F.explode(F.sequence(F.lit(1), F.lit(seq_len) - F.col("_n"))).alias("_i"))
             .select(*keys,
                     (first_ts - F.make_dt_interval(hours=F.col("_i"))).alias("ts"),
                     (-F.col("_i")).cast("long").alias("arrival_no"),
-                    *[F.coalesce(F.col(f"_first.{m}"), F.lit(PAD_DEFAULTS[m])).alias(m) for m in measures],
+                    *[F.coalesce(F.col(f"_first_{m}"), F.lit(PAD_DEFAULTS[m])).alias(m) for m in measures],
                     F.lit(True).alias("is_padding")))
     real = readings.withColumn("is_padding", F.lit(False))
     extra = [c for c in real.columns if c not in pads.columns]

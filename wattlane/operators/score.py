@@ -11,14 +11,14 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, SEQUENCE_LENGTH
-from wattlane.operators.clean import KEYS, READING_COLUMNS, history_status
-from wattlane.operators.combine import pad_short_series
+from wattlane.operators.clean import KEYS, READING_COLUMNS, series_gate
 from wattlane.operators.models import (flatten_sequence, save_model, score_trees,
                                        train_gbt, train_random_forest, train_sequence_model,
                                        weighted_ensemble)
@@ -63,12 +63,17 @@ def fit_forecast_models(features: DataFrame, keys: Sequence[str] = KEYS,
     ``horizon=0`` trains the tree models on the same-row ``energy_kwh`` (the
     stored models' behaviour); ``horizon=1`` on the next row's value.  The
     sequence model always learns the value that follows its window."""
-    labelled = with_horizon(features, horizon, keys=keys)
-    rf = train_random_forest(labelled, label="label", **(rf_params or {}))
-    gb = train_gbt(labelled, label="label", **(gbt_params or {}))
-    scaler = fit_scaler(features, kind=scaler_kind)
-    windows = feature_windows(scaler.transform(features), keys, seq_len=seq_len)
-    seq = train_sequence_model(windows)
+    # four fits read the same frame: keep it once (recomputed from lineage if a block is lost)
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        labelled = with_horizon(features, horizon, keys=keys)
+        rf = train_random_forest(labelled, label="label", **(rf_params or {}))
+        gb = train_gbt(labelled, label="label", **(gbt_params or {}))
+        scaler = fit_scaler(features, kind=scaler_kind)
+        windows = feature_windows(scaler.transform(features), keys, seq_len=seq_len)
+        seq = train_sequence_model(windows)
+    finally:
+        features.unpersist()
     return ForecastModels(rf, gb, seq, scaler)
 
 
@@ -83,11 +88,12 @@ def score_series(readings: DataFrame, models: ForecastModels, keys: Sequence[str
     ``mode='impute'`` fills NULLs instead and only rejects a missing stamp.
     """
     keys = list(keys)
-    padded = pad_short_series(readings, keys, seq_len).drop("is_padding")
     checked = READING_COLUMNS if mode == "reject" else ("ts",)
-    status = history_status(padded, keys, checked, seq_len)
+    # validate → pad → gate in one aggregate; a scored series (≥ 169 rows) is
+    # never padded, so the features read the unpadded rows of scored series
+    status = series_gate(readings, keys, checked, seq_len)
     ok = status.filter(F.col("status") == "scored").select(*keys)
-    feats = serving_features(padded.join(ok, keys, "left_semi"), keys, impute=True,
+    feats = serving_features(readings.join(ok, keys, "left_semi"), keys, impute=True,
                              strategy=strategy, hot_rows=hot_rows, chunk_rows=chunk_rows)
 
     # one window-group-limited tail per series feeds both model families

@@ -1,9 +1,9 @@
 """Sequence operators (W10–W12) and sequence scaling (M6, M7).
 
-Sliding windows are framed ``collect_list`` over the same ordered spec as
-the lags, so they ride on the same exchange and the chunk+halo plan covers
-them with a halo of ``seq_len`` rows.  NULL values keep their slot (the list
-is built from one-field structs, which are never NULL themselves).
+Sliding windows are arrays of ``lag`` offsets over the same ordered spec as
+the other lags, so they ride on the same exchange, cost O(1) per row and
+offset, and the chunk+halo plan covers them with a halo of ``seq_len``
+rows.  NULL values keep their slot.
 """
 
 from __future__ import annotations
@@ -22,10 +22,20 @@ from wattlane.plans.ordering import ORDER, over_series
 POWER = "Power_Consumption"
 
 
+def window_is_full(spec: WindowSpec, seq_len: int, order_col: str = "arrival_no") -> Column:
+    """True when ``seq_len`` rows precede the current one (the ordering column
+    is never NULL)."""
+    return F.lag(F.col(order_col), seq_len).over(spec).isNotNull()
+
+
 def window_values(spec: WindowSpec, col: str, seq_len: int) -> Column:
-    """The ``seq_len`` values before the current row, oldest first."""
-    frame = spec.rowsBetween(-seq_len, -1)
-    return F.transform(F.collect_list(F.struct(F.col(col).alias("v"))).over(frame), lambda s: s["v"])
+    """The ``seq_len`` values before the current row, oldest first, built from
+    ``lag`` offsets (O(1) per row each; NULL values keep their slot).  Until
+    the window is full the array is empty, never padded with NULLs, so an
+    expression that Catalyst evaluates ahead of the size filter (a model UDF
+    in a pushed-down predicate, say) never sees a half window."""
+    lags = F.array(*[F.lag(F.col(col), seq_len - j).over(spec) for j in range(seq_len)])
+    return F.when(window_is_full(spec, seq_len), lags).otherwise(F.array().cast("array<double>"))
 
 
 def sliding_sequences(df: DataFrame, keys: Sequence[str] = KEYS, col: str = POWER,
@@ -143,12 +153,12 @@ def feature_windows(features: DataFrame, keys: Sequence[str] = KEYS,
                     num_partitions: int | None = None) -> DataFrame:
     """Multivariate training windows: the previous ``seq_len`` rows × features
     as ``ARRAY<ARRAY<DOUBLE>>`` and the current row's label as ``y``."""
-    step = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    cols = [F.col(c).cast("double") for c in feature_cols]
 
     def fn(f: DataFrame, s: WindowSpec) -> DataFrame:
-        frame = s.rowsBetween(-seq_len, -1)
-        seq = F.transform(F.collect_list(F.struct(step.alias("x"))).over(frame), lambda r: r["x"])
-        return f.select("*", seq.alias("seq"))
+        steps = F.array(*[F.array(*[F.lag(c, seq_len - j).over(s) for c in cols]) for j in range(seq_len)])
+        empty = F.array().cast("array<array<double>>")
+        return f.select("*", F.when(window_is_full(s, seq_len), steps).otherwise(empty).alias("seq"))
 
     out = over_series(features, keys, fn, halo=seq_len, strategy=strategy, hot_rows=hot_rows,
                       chunk_rows=chunk_rows, num_partitions=num_partitions)
