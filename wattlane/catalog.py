@@ -40,6 +40,7 @@ SERIES_SQL = {
     "user_id": "CAST(user_id AS VARCHAR)",
     "user_event": "concat_ws(':', CAST(user_id AS VARCHAR), event_type)",
     "constant": "'all'",
+    "skewed": "CASE WHEN event_type = 'view' THEN 'hot' ELSE CAST(user_id AS VARCHAR) END",
 }
 
 
@@ -286,7 +287,7 @@ def q_parse_reading_batches(spark: SparkSession, d: str) -> DataFrame:
                       "Power_Consumption", "voltage", "current", "temperature", "humidity")
 
 
-register("parse_reading_batches", f"""
+SQL_PARSED_POINTS = f"""
 SELECT CAST(event_id AS VARCHAR) AS series_id, CAST(0 AS BIGINT) AS arrival_no, ts,
        value AS Power_Consumption, CAST(225 + event_id % 11 AS DOUBLE) AS voltage, 10.0::DOUBLE AS "current",
        CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(k AS DOUBLE) END AS temperature, 50.0::DOUBLE AS humidity
@@ -296,7 +297,8 @@ SELECT CAST(event_id AS VARCHAR), CAST(1 AS BIGINT), ts + INTERVAL 1 HOUR,
        CAST(printf('%.2f', value * 2.0::DOUBLE) AS DOUBLE), 230.0::DOUBLE,
        CASE WHEN k % 9 = 0 THEN NULL ELSE 12.5::DOUBLE END, 21.5::DOUBLE, 40.0::DOUBLE
 FROM {SQL_EVENTS_K} e WHERE k % 10 >= 5
-""")(q_parse_reading_batches)
+"""
+register("parse_reading_batches", SQL_PARSED_POINTS)(q_parse_reading_batches)
 
 
 def q_parse_reading_rejects(spark: SparkSession, d: str) -> DataFrame:
@@ -1244,3 +1246,24 @@ def q_train_gbt_hourly(spark: SparkSession, d: str) -> DataFrame:
 
 register("train_forest_hourly")(q_train_forest_hourly)
 register("train_gbt_hourly")(q_train_gbt_hourly)
+
+
+
+def q_read_request_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """S2 from files: the request bodies written as JSON lines, read back with
+    a declared schema, parsed and coerced."""
+    path = scratch_path(spark, "requests")
+    request_bodies(spark, d).write.mode("overwrite").json(path)
+    accepted, _ = RD.parse_reading_batches(RD.read_request_bodies(spark, path))
+    return RD.coerce_points(accepted).select(
+        "series_id", "arrival_no", F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "Power_Consumption", "voltage", "current", "temperature", "humidity")
+
+
+register("read_request_bodies", SQL_PARSED_POINTS)(q_read_request_bodies)
+
+# one hot series (all 'view' events) among per-user series: the auto plan sends
+# the hot one through chunk+halo and the rest through the plain window
+register("serving_features_skewed", sql_feature_projection(sql_serving_features("skewed"), WARMUP))(
+    lambda spark, d: spark_feature_projection(
+        W.serving_features(load_readings(spark, d, "skewed"), hot_rows=1000, chunk_rows=512)))

@@ -52,6 +52,8 @@ def series_key_expr(series_key: str) -> Column:
         return F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_type"))
     if series_key == "constant":
         return F.lit("all")
+    if series_key == "skewed":  # every 'view' event in one hot series, the rest per user
+        return F.when(F.col("event_type") == "view", F.lit("hot")).otherwise(F.col("user_id").cast("string"))
     raise ValueError(f"unknown series key {series_key!r}")
 
 
@@ -147,6 +149,11 @@ def parse_reading_batches(bodies: DataFrame, body_col: str = "body",
     return accepted, rejected
 
 
+def read_request_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Request bodies stored as JSON lines ``{"request_id": …, "body": "<json text>"}``."""
+    return spark.read.schema("request_id BIGINT, body STRING").json(path)
+
+
 def coerce_points(points: DataFrame) -> DataFrame:
     """Text point values → TIMESTAMP ``ts`` and DOUBLE measures (bad → NULL)."""
     cols = [c for c in points.columns if c not in MEASURES and c != "timestamp"]
