@@ -35,7 +35,8 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_a_model():
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing <= {"train_random_forest", "train_gbt", "train_boosted", "train_sequence_model",
-                       "save_load_model", "score_series"}
+                       "save_load_model", "score_series", "score_stream_predictions",
+                       "train_forest_hourly", "train_gbt_hourly"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
