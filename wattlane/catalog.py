@@ -1267,3 +1267,14 @@ register("read_request_bodies", SQL_PARSED_POINTS)(q_read_request_bodies)
 register("serving_features_skewed", sql_feature_projection(sql_serving_features("skewed"), WARMUP))(
     lambda spark, d: spark_feature_projection(
         W.serving_features(load_readings(spark, d, "skewed"), hot_rows=1000, chunk_rows=512)))
+
+
+def q_series_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The scorer's gate (validate → pad → gate in one aggregate) over long and
+    short series together."""
+    readings = load_readings(spark, d, "event_type").unionByName(load_readings(spark, d, "user_event"))
+    return C.series_gate(readings)
+
+
+register("series_gate", sql_status(f"""(SELECT * FROM {sql_padded('event_type')} a
+  UNION ALL SELECT * FROM {sql_padded('user_event')} b)""", ALL_NULL_CHECK))(q_series_gate)

@@ -29,8 +29,6 @@ from wattlane.session import ensure_checkpoint_dir
 ORDER = ("ts", "arrival_no")
 FeatureFn = Callable[[DataFrame, WindowSpec], DataFrame]
 
-_HELPERS = ("_g", "_chunk", "_own")
-
 
 def global_position(df: DataFrame, sort_cols: Sequence[str], num_partitions: int | None = None,
                     pos_col: str = "_g", checkpoint: bool = True) -> DataFrame:
