@@ -128,3 +128,14 @@ def test_chunk_halo_property(spark):
         assert plain == chunked
 
     check()
+
+
+def test_null_series_key_is_a_series(spark):
+    rows = [(None,) + r[1:] for r in random_readings(spark, {"x": 60}, seed=1).collect()]
+    rows += [tuple(r) for r in random_readings(spark, {"y": 40}, seed=2).collect()]
+    df = spark.createDataFrame(rows, random_readings(spark, {"z": 1}, seed=3).schema)
+    for kw in ({"strategy": "plain"}, {"strategy": "chunked", "chunk_rows": 168}, {"hot_rows": 10, "chunk_rows": 168}):
+        got = {r["series_id"]: r["count"] for r in W.serving_features(df, **kw).groupBy("series_id").count().collect()}
+        assert got == {None: 36, "y": 16}, kw
+    split = {(r["series_id"], r["split"]): r["count"] for r in time_split(df, hot_rows=10).groupBy("series_id", "split").count().collect()}
+    assert split[(None, "train")] == 48 and split[(None, "validation")] == 12

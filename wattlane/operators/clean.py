@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattlane.config import (HUMIDITY_DEFAULT, MIN_FEATURE_ROWS, POWER_DEFAULT,
                              SEQUENCE_FEATURES, SEQUENCE_LENGTH, TEMPERATURE_DEFAULT)
+from wattlane.plans.keys import join_on_keys
 
 KEYS = ("series_id",)
 READING_COLUMNS = ("ts", "Power_Consumption", "voltage", "current", "temperature", "humidity")
@@ -48,7 +49,7 @@ def reject_series_with_nulls(df: DataFrame, keys: Sequence[str] = KEYS,
     keys = list(keys)
     bad = (df.groupBy(*keys).agg(F.bool_or(_any_null(columns)).alias("_bad"))
            .filter("_bad").select(*keys))
-    return df.join(bad, keys, "left_anti"), df.join(bad, keys, "left_semi")
+    return join_on_keys(df, bad, keys, "left_anti"), join_on_keys(df, bad, keys, "left_semi")
 
 
 def series_means(df: DataFrame, keys: Sequence[str] = KEYS,
@@ -64,7 +65,7 @@ def impute_mean_or_default(df: DataFrame, keys: Sequence[str] = KEYS,
     ``all_null_default``.  Target NULL → 0."""
     keys = list(keys)
     means = series_means(df, keys)
-    out = df.join(means, keys, "left")
+    out = join_on_keys(df, means, keys, "left")
     fills = {"temperature": TEMPERATURE_DEFAULT, "humidity": HUMIDITY_DEFAULT}
     cols = []
     for c in df.columns:

@@ -13,6 +13,7 @@ from wattlane.functions.numeric import default_if_missing
 from wattlane.functions.text import first_non_null_name
 from wattlane.operators.clean import KEYS
 from wattlane.sources.weather import describe_weather_code, weather_code_table
+from wattlane.plans.keys import join_on_keys
 
 PAD_DEFAULTS = {
     "Power_Consumption": POWER_DEFAULT,
@@ -71,7 +72,7 @@ def align_predictions(target: DataFrame, *predictions: DataFrame,
     """Align model outputs with the target by row key (not by position)."""
     out = target
     for p in predictions:
-        out = out.join(p, list(keys), "inner")
+        out = join_on_keys(out, p, keys, "inner")
     return out
 
 

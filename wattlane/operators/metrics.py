@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from wattlane.config import HOT_SERIES_ROWS, VALIDATION_FRACTION
 from wattlane.operators.clean import KEYS
+from wattlane.plans.keys import join_on_keys
 from wattlane.plans.ordering import ORDER, series_row_number
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -85,6 +86,6 @@ def time_split(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] =
     numbered = series_row_number(df, keys, order, strategy=strategy, hot_rows=hot_rows)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.floor(F.col("_n") * F.lit(1.0 - validation_fraction))
-    return (numbered.join(counts, keys)
+    return (join_on_keys(numbered, counts, keys)
             .withColumn("split", F.when(F.col("rn") < cut, F.lit("train")).otherwise(F.lit("validation")))
             .drop("_n"))

@@ -25,6 +25,7 @@ from wattlane.operators.models import (flatten_sequence, save_model, score_trees
 from wattlane.operators.sequences import (SequenceScaler, feature_windows, fit_scaler,
                                           latest_sequence, scale_sequence, scaler_from_rows)
 from wattlane.operators.windows import last_n_rows, serving_features, with_horizon
+from wattlane.plans.keys import join_on_keys
 
 
 @dataclass
@@ -93,7 +94,7 @@ def score_series(readings: DataFrame, models: ForecastModels, keys: Sequence[str
     # never padded, so the features read the unpadded rows of scored series
     status = series_gate(readings, keys, checked, seq_len)
     ok = status.filter(F.col("status") == "scored").select(*keys)
-    feats = serving_features(readings.join(ok, keys, "left_semi"), keys, impute=True,
+    feats = serving_features(join_on_keys(readings, ok, keys, "left_semi"), keys, impute=True,
                              strategy=strategy, hot_rows=hot_rows, chunk_rows=chunk_rows)
 
     # one window-group-limited tail per series feeds both model families
@@ -107,7 +108,7 @@ def score_series(readings: DataFrame, models: ForecastModels, keys: Sequence[str
     seq_scaled = models.sequence.transform(scaled).select(*keys, F.col("seq_pred").alias("_seq_scaled"))
     seq_pred = seq_scaled.select(*keys, models.scaler.inverse_target(F.col("_seq_scaled")).alias("seq_pred"))
 
-    preds = trees.join(seq_pred, keys, "inner").withColumn(
+    preds = join_on_keys(trees, seq_pred, keys, "inner").withColumn(
         "prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred"), weights))
-    return status.join(preds, keys, "left").select(
+    return join_on_keys(status, preds, keys, "left").select(
         *keys, "n_rows", "status", "scored_ts", "seq_pred", "rf_pred", "gbt_pred", "prediction")

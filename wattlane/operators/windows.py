@@ -21,7 +21,7 @@ from wattlane.functions.calendar import (calendar_columns, cyclic_hour, dow_sund
 from wattlane.functions.text import parse_timestamp
 from wattlane.operators.clean import (KEYS, drop_duplicate_rows, drop_null_target,
                                       drop_warmup_rows, impute_mean_or_default, rename_target)
-from wattlane.plans.ordering import ORDER, over_series
+from wattlane.plans.ordering import ORDER, hot_keys, over_series
 
 POWER = "Power_Consumption"
 
@@ -153,7 +153,10 @@ def serving_features(readings: DataFrame, keys: Sequence[str] = KEYS, impute: bo
     def fn(f: DataFrame, s: WindowSpec) -> DataFrame:
         return f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
 
-    feats = over_series(base, keys, fn, halo=max(max(ENERGY_LAGS), LONG_FRAME - 1),
+    # imputation keeps the rows of every series, so hot series are counted on
+    # the raw readings (key column only) rather than above the means join
+    hot = hot_keys(readings, keys, hot_rows) if strategy == "auto" else None
+    feats = over_series(base, keys, fn, halo=max(max(ENERGY_LAGS), LONG_FRAME - 1), hot=hot,
                         **_plan(strategy, hot_rows, chunk_rows, num_partitions))
     feats = rename_target(feats.select("*", *weather_interactions()))
     return drop_warmup_rows(feats) if drop_warmup else feats

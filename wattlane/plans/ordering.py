@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS
 from wattlane.session import ensure_checkpoint_dir
+from wattlane.plans.keys import join_on_keys
 
 ORDER = ("ts", "arrival_no")
 FeatureFn = Callable[[DataFrame, WindowSpec], DataFrame]
@@ -101,13 +102,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
 def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
                 order: Sequence[str] = ORDER, strategy: str = "auto",
                 hot_rows: int = HOT_SERIES_ROWS, chunk_rows: int = CHUNK_ROWS,
-                num_partitions: int | None = None, lookahead: int = 0) -> DataFrame:
+                num_partitions: int | None = None, lookahead: int = 0,
+                hot: DataFrame | None = None) -> DataFrame:
     """Apply ``fn(frame, window_spec)`` positionally within every series.
 
     ``fn`` must add columns with ``select('*', ...)`` over the given ordered
     window spec (use ``spec.rowsBetween`` for frames) and keep all others.
     ``halo`` is the deepest look-back in rows, ``lookahead`` the furthest
-    look-ahead (``lead``).
+    look-ahead (``lead``).  ``hot`` may pass hot keys counted upstream (on a
+    cheaper frame with the same rows per series).
     """
     keys = list(keys)
     if strategy == "plain":
@@ -116,12 +119,12 @@ def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
         return chunked_apply(df, keys, fn, halo, order, chunk_rows, num_partitions, lookahead=lookahead)
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
-    hot = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     if hot.isEmpty():
         return fn(df, plain_window(keys, order))
     hot_b = F.broadcast(hot)  # bounded: total_rows / hot_rows keys at most
-    cold_part = fn(df.join(hot_b, keys, "left_anti"), plain_window(keys, order))
-    hot_part = chunked_apply(df.join(hot_b, keys, "left_semi"), keys, fn, halo, order,
+    cold_part = fn(join_on_keys(df, hot_b, keys, "left_anti"), plain_window(keys, order))
+    hot_part = chunked_apply(join_on_keys(df, hot_b, keys, "left_semi"), keys, fn, halo, order,
                              chunk_rows, num_partitions, lookahead=lookahead)
     return cold_part.unionByName(hot_part)
 
@@ -143,7 +146,7 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
         pos = global_position(frame, [*keys, *order], num_partitions)
         starts = pos.groupBy(*keys).agg(F.min("_g").alias("_start"))
         starts = F.broadcast(starts) if bounded else starts
-        return (pos.join(starts, keys).withColumn(col, (F.col("_g") - F.col("_start")).cast("long"))
+        return (join_on_keys(pos, starts, keys).withColumn(col, (F.col("_g") - F.col("_start")).cast("long"))
                 .drop("_g", "_start"))
 
     if strategy == "plain":
@@ -154,5 +157,5 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     if hot.isEmpty():
         return plain(df)
     hot_b = F.broadcast(hot)
-    return plain(df.join(hot_b, keys, "left_anti")).unionByName(
-        chunked(df.join(hot_b, keys, "left_semi"), bounded=True))
+    return plain(join_on_keys(df, hot_b, keys, "left_anti")).unionByName(
+        chunked(join_on_keys(df, hot_b, keys, "left_semi"), bounded=True))
