@@ -121,3 +121,26 @@ def test_series_gate_equals_gate_over_padding(spark):
     b = {r["series_id"]: tuple(r) for r in C.history_status(pad_short_series(df).drop("is_padding")).collect()}
     assert a == b
     assert a["n1"][1:] == (24, 0, "insufficient_history") and a["bad"][3] == "invalid_input"
+
+
+def test_form_request_flow(spark):
+    from wattlane.operators.combine import form_request_points
+    t = datetime(2024, 5, 1, 12)
+    reqs = spark.createDataFrame([
+        (1, ",".join(str(i) for i in range(30)), t, "L1"),
+        (2, "1,2,3", t, "L1"),
+        (3, ",".join(["5"] * 23 + ["Infinity"]), t, "L2"),
+    ], "request_id BIGINT, text STRING, as_of TIMESTAMP_NTZ, location STRING")
+    obs = spark.createDataFrame([("L1", datetime(2024, 5, 1, 11), 1, 0.0, 40.0, 2.0, 3, "C", None, None)],
+                                "location STRING, ts TIMESTAMP_NTZ, obs_id BIGINT, temp DOUBLE, humidity DOUBLE, "
+                                "wind_speed DOUBLE, weather_code INT, city STRING, town STRING, village STRING")
+    pts, errors = form_request_points(reqs, obs)
+    assert [(r["request_id"], r["n_values"]) for r in errors.collect()] == [(2, 3)]
+    one = sorted((r for r in pts.collect() if r["series_id"] == "1"), key=lambda r: r["arrival_no"])
+    assert len(one) == 24 and one[0]["Power_Consumption"] == 6.0 and one[-1]["Power_Consumption"] == 29.0
+    assert one[0]["ts"] == t - timedelta(hours=23) and one[-1]["ts"] == t
+    assert one[0]["temperature"] == 20.0 and one[0]["humidity"] == 40.0 and one[0]["voltage"] == 230.0
+    gate = {r["series_id"]: r["status"] for r in C.series_gate(
+        pts.select("series_id", "ts", "arrival_no", "Power_Consumption", "voltage", "current",
+                   "temperature", "humidity")).collect()}
+    assert gate == {"1": "insufficient_history", "3": "invalid_input"}

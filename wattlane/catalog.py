@@ -1278,3 +1278,31 @@ def q_series_gate(spark: SparkSession, d: str) -> DataFrame:
 
 register("series_gate", sql_status(f"""(SELECT * FROM {sql_padded('event_type')} a
   UNION ALL SELECT * FROM {sql_padded('user_event')} b)""", ALL_NULL_CHECK))(q_series_gate)
+
+
+def form_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One form request per event: its long reading list (an ``Infinity`` at
+    the end when k % 9 = 0), sent at the event's time from its user's location."""
+    k = k_col()
+    text = F.when(k % 9 == 0, F.concat(long_list_text(), F.lit(",Infinity"))).otherwise(long_list_text())
+    return events(spark, d).select(F.col("event_id").alias("request_id"), text.alias("text"),
+                                   F.col("ts").alias("as_of"), WX.location_of_user(F.col("user_id")).alias("location"))
+
+
+def q_form_request_status(spark: SparkSession, d: str) -> DataFrame:
+    """SURVEY 3.3 end to end up to the gate: every request the form lets
+    through carries exactly 24 points, so none survives warm-up (B1)."""
+    pts, errors = J.form_request_points(form_requests(spark, d), weather(spark, d))
+    gate = C.series_gate(pts.drop("location", "weather_description", "location_name", "obs_ts", "wind_speed"))
+    return (gate.select(F.col("series_id").cast("long").alias("request_id"), "n_rows", "status")
+            .unionByName(errors.select("request_id", F.lit(None).cast("long").alias("n_rows"), "status")))
+
+
+register("form_request_status", f"""
+SELECT event_id AS request_id,
+       CASE WHEN len(l) >= 24 THEN CAST(24 AS BIGINT) END AS n_rows,
+       CASE WHEN len(l) < 24 THEN 'form_error'
+            WHEN len(list_filter(l[len(l) - 23:], lambda x: isinf(x))) > 0 THEN 'invalid_input'
+            ELSE 'insufficient_history' END AS status
+FROM (SELECT event_id, {sql_parse_list("CASE WHEN k % 9 = 0 THEN (" + SQL_LONG_LIST + ") || ',Infinity' ELSE " + SQL_LONG_LIST + " END")} AS l
+      FROM {SQL_EVENTS_K} e) t""")(q_form_request_status)

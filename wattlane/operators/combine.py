@@ -115,3 +115,42 @@ def form_points(values: DataFrame, voltage: Column | None = None, current: Colum
         default_if_missing(temperature if temperature is not None else F.lit(None), TEMPERATURE_DEFAULT).alias("temperature"),
         default_if_missing(humidity if humidity is not None else F.lit(None), HUMIDITY_DEFAULT).alias("humidity"),
     )
+
+
+def form_request_points(requests: DataFrame, weather: DataFrame | None = None,
+                        text_col: str = "text", as_of_col: str = "as_of",
+                        location_col: str = "location", request_col: str = "request_id",
+                        voltage: Column | None = None, current: Column | None = None,
+                        seq_len: int = SEQUENCE_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """The form's client-side preparation over a table of requests (T6 → T7 →
+    J2 → P13 → T8): parse the comma-separated text, keep the newest
+    ``seq_len`` values (fewer is a form error), stamp them hourly back from
+    ``as_of``, stamp the location's current weather and the form defaults on
+    every point.  An infinite value cannot travel as JSON and arrives as
+    NULL.  Returns ``(points, form_errors)``; points are reading rows keyed
+    by ``series_id`` = request id."""
+    from wattlane.functions.text import hourly_stamp, last_n_values, parse_reading_list
+    vals = parse_reading_list(F.col(text_col))
+    parsed = requests.select(F.col(request_col), F.col(as_of_col), F.col(location_col),
+                             vals.alias("_vals"), last_n_values(vals, seq_len).alias("_kept"))
+    errors = parsed.filter(F.col("_kept").isNull()).select(
+        request_col, F.size("_vals").alias("n_values"), F.lit("form_error").alias("status"))
+    pts = parsed.select(request_col, as_of_col, location_col,
+                        F.posexplode("_kept").alias("_pos", "_p"))
+    pts = pts.select(
+        F.col(request_col).cast("string").alias("series_id"),
+        hourly_stamp(F.col(as_of_col), F.col("_pos"), seq_len).alias("ts"),
+        F.col("_pos").cast("long").alias("arrival_no"),
+        F.when(F.abs(F.col("_p")) == F.lit(float("inf")), F.lit(None).cast("double"))
+        .otherwise(F.col("_p")).alias("Power_Consumption"),
+        default_if_missing(voltage if voltage is not None else F.lit(None), VOLTAGE_DEFAULT).alias("voltage"),
+        default_if_missing(current if current is not None else F.lit(None), CURRENT_DEFAULT).alias("current"),
+        F.col(location_col))
+    if weather is None:
+        pts = pts.select("*", F.lit(TEMPERATURE_DEFAULT).alias("temperature"),
+                         F.lit(HUMIDITY_DEFAULT).alias("humidity"))
+    else:
+        pts = attach_current_weather(pts.select("*", F.lit(None).cast("double").alias("temperature"),
+                                                F.lit(None).cast("double").alias("humidity")),
+                                     weather, location_col)
+    return pts, errors
