@@ -82,11 +82,26 @@ def plain_window(keys: Sequence[str], order: Sequence[str] = ORDER) -> WindowSpe
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def range_partitions(df: DataFrame, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> int:
+    """Range partitions for numbering: one per ``chunk_rows`` rows when the row
+    count is known (hot-key counts), else as many as the input has (file
+    splits follow data size), never fewer than the shuffle setting."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        return max(n, -(-int(rows) // max(int(chunk_rows), 1)))
+    try:
+        return max(n, df.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - no RDD view (remote session)
+        return n
+
+
 def chunked_apply(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
                   order: Sequence[str] = ORDER, chunk_rows: int = CHUNK_ROWS,
                   num_partitions: int | None = None, keep_position: bool = False,
-                  lookahead: int = 0) -> DataFrame:
-    pos = global_position(df, [*keys, *order], num_partitions)
+                  lookahead: int = 0, rows: int | None = None) -> DataFrame:
+    n = num_partitions or range_partitions(df, rows, chunk_rows)
+    pos = global_position(df, [*keys, *order], n)
     chunked = with_chunks(pos, halo, chunk_rows, lookahead=lookahead)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_g")
     out = fn(chunked, w).filter(F.col("_own")).drop("_chunk", "_own")
@@ -94,9 +109,17 @@ def chunked_apply(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Series with more than ``hot_rows`` rows; at most total/hot_rows keys."""
+    """Series with more than ``hot_rows`` rows and their row counts ``_n``; at
+    most total/hot_rows keys."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > F.lit(hot_rows)).select(*keys))
+            .filter(F.col("_n") > F.lit(hot_rows)))
+
+
+def _hot_rows_total(hot: DataFrame) -> int | None:
+    if "_n" not in hot.columns:
+        return None
+    total = hot.agg(F.sum("_n")).first()[0]  # one number from the bounded hot table
+    return int(total or 0)
 
 
 def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
@@ -120,12 +143,13 @@ def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
     hot = hot_keys(df, keys, hot_rows) if hot is None else hot
-    if hot.isEmpty():
+    total = _hot_rows_total(hot)
+    if total == 0 or (total is None and hot.isEmpty()):
         return fn(df, plain_window(keys, order))
-    hot_b = F.broadcast(hot)  # bounded: total_rows / hot_rows keys at most
+    hot_b = F.broadcast(hot.select(*keys))  # bounded: total_rows / hot_rows keys at most
     cold_part = fn(join_on_keys(df, hot_b, keys, "left_anti"), plain_window(keys, order))
     hot_part = chunked_apply(join_on_keys(df, hot_b, keys, "left_semi"), keys, fn, halo, order,
-                             chunk_rows, num_partitions, lookahead=lookahead)
+                             chunk_rows, num_partitions, lookahead=lookahead, rows=total)
     return cold_part.unionByName(hot_part)
 
 
@@ -142,8 +166,9 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     def plain(frame: DataFrame) -> DataFrame:
         return frame.withColumn(col, (F.row_number().over(plain_window(keys, order)) - 1).cast("long"))
 
-    def chunked(frame: DataFrame, bounded: bool) -> DataFrame:
-        pos = global_position(frame, [*keys, *order], num_partitions)
+    def chunked(frame: DataFrame, bounded: bool, rows: int | None = None) -> DataFrame:
+        n = num_partitions or range_partitions(frame, rows)
+        pos = global_position(frame, [*keys, *order], n)
         starts = pos.groupBy(*keys).agg(F.min("_g").alias("_start"))
         starts = F.broadcast(starts) if bounded else starts
         return (join_on_keys(pos, starts, keys).withColumn(col, (F.col("_g") - F.col("_start")).cast("long"))
@@ -154,8 +179,9 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     if strategy == "chunked":
         return chunked(df, bounded=False)
     hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
+    total = _hot_rows_total(hot)
+    if not total:
         return plain(df)
-    hot_b = F.broadcast(hot)
+    hot_b = F.broadcast(hot.select(*keys))
     return plain(join_on_keys(df, hot_b, keys, "left_anti")).unionByName(
-        chunked(join_on_keys(df, hot_b, keys, "left_semi"), bounded=True))
+        chunked(join_on_keys(df, hot_b, keys, "left_semi"), bounded=True, rows=total))
