@@ -43,9 +43,10 @@ def test_every_query_has_an_oracle_or_is_a_model():
 def test_query_matches_oracle_sf0001(spark, con, name):
     sdf = E.queries()[name](spark, SF001)
     cols = sorted(sdf.columns)
-    srows = [r.asDict() for r in sdf.collect()]
-    rel = con.execute(E.oracle_sql()[name])
-    dcols = [d[0] for d in rel.description]
-    drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
-    assert sorted(dcols) == cols
-    assert rowset(srows, cols) == rowset(drows, cols)
+    table = sdf.toArrow()
+    srows = table.to_pylist()
+    dtable = con.sql(E.oracle_sql()[name]).to_arrow_table()
+    assert sorted(dtable.column_names) == cols
+    # same Arrow types (integer widths, timestamp kinds), not only equal values
+    assert {f.name: str(f.type) for f in table.schema} == {f.name: str(f.type) for f in dtable.schema}
+    assert rowset(srows, cols) == rowset(dtable.to_pylist(), cols)

@@ -86,8 +86,10 @@ def load_readings(spark: SparkSession, sf_dir: str, series_key: str = "event_typ
 
 
 def hourly_readings(readings: DataFrame) -> DataFrame:
-    """One row per series and clock hour: summed power, mean weather."""
-    hour = F.date_trunc("hour", "ts")
+    """One row per series and clock hour: summed power, mean weather.  The
+    stamp keeps the input's timestamp type (``date_trunc`` alone would turn a
+    TIMESTAMP_NTZ into a TIMESTAMP)."""
+    hour = F.date_trunc("hour", "ts").cast(readings.schema["ts"].dataType)
     return (readings.groupBy("series_id", hour.alias("ts"))
             .agg(F.sum("Power_Consumption").alias("Power_Consumption"),
                  F.avg("voltage").alias("voltage"),
