@@ -80,3 +80,23 @@ def test_scoring_stream_final_responses_equal_batch_scores(spark):
         assert final[s]["status"] == batch[s]["status"] == "scored"
         for c in ("rf_pred", "gbt_pred", "seq_pred", "prediction"):
             assert abs(final[s][c] - batch[s][c]) < 1e-6, (s, c, final[s][c], batch[s][c])
+
+
+def test_table_state_stream_late_rows_and_hot_series(spark):
+    from wattlane.streaming.stream import run_table_state_stream
+    t = datetime(2024, 1, 1)
+    first = [("s", t + timedelta(hours=i), i, float(i), 0.0, 0.0, 0.0, 0.0) for i in range(200)]
+    later = [("s", t + timedelta(hours=200 + i), 200 + i, float(200 + i), 0.0, 0.0, 0.0, 0.0) for i in range(50)]
+    late = [("s", t + timedelta(hours=3, minutes=30), 999, 99.0, 0.0, 0.0, 0.0, 0.0)]
+    base = f"{ensure_checkpoint_dir(spark)}/tstream-{uuid.uuid4().hex}"
+    for batch in (first, later + late + [later[0]]):
+        frame(spark, batch).select("series_id", "ts", "arrival_no", "Power_Consumption") \
+            .coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = frame(spark, first).select("series_id", "ts", "arrival_no", "Power_Consumption").schema
+    out = run_table_state_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt", schema,
+                                 hot_rows=100, chunk_rows=168).collect()
+    assert sorted(r["arrival_no"] for r in out) == list(range(250))
+    r249 = [r for r in out if r["arrival_no"] == 249][0]
+    assert r249["energy_lag_168"] == 81.0 and r249["energy_lag_1"] == 248.0
+    assert abs(r249["energy_mean_7d"] - sum(range(82, 250)) / 168) < 1e-9
+    assert r249["late_rows"] == 1

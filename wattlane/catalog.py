@@ -1306,3 +1306,21 @@ SELECT event_id AS request_id,
             ELSE 'insufficient_history' END AS status
 FROM (SELECT event_id, {sql_parse_list("CASE WHEN k % 9 = 0 THEN (" + SQL_LONG_LIST + ") || ',Infinity' ELSE " + SQL_LONG_LIST + " END")} AS l
       FROM {SQL_EVENTS_K} e) t""")(q_form_request_status)
+
+
+def q_score_stream_table_state(spark: SparkSession, d: str) -> DataFrame:
+    """M13, table-state form: the same features as ``score_stream`` but each
+    micro-batch goes through the batch plan, so a series above ``hot_rows``
+    (here every series: 500) is chunked inside the micro-batch."""
+    r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P)
+    base = scratch_path(spark, "table-stream")
+    slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
+              ("2024-01-22", "2100-01-01")]
+    ST.stage_stream_input(r, f"{base}/in", slices)
+    out = ST.run_table_state_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt",
+                                    r.schema, hot_rows=500, chunk_rows=512)
+    out = out.withColumn("late_rows", F.coalesce(F.col("late_rows"), F.lit(0)).cast("long"))
+    return rounded(out, KEYCOLS + STREAM_RAW, STREAM_DBL)
+
+
+register("score_stream_table_state", ORACLE_SQL["score_stream"])(q_score_stream_table_state)
