@@ -88,3 +88,4 @@ LOCATION_UNKNOWN = "Unknown Location"
 # Engine parameters (ours, not the reference's).
 HOT_SERIES_ROWS = 1_000_000     # a series above this is split into chunks with a halo
 CHUNK_ROWS = 1 << 20            # rows per chunk in the chunk+halo plan
+BROADCAST_KEYS_LIMIT = 1_000_000  # largest measured key set that is broadcast

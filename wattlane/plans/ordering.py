@@ -23,7 +23,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS
+from wattlane.config import BROADCAST_KEYS_LIMIT, CHUNK_ROWS, HOT_SERIES_ROWS
 from wattlane.session import ensure_checkpoint_dir
 from wattlane.plans.keys import join_on_keys
 
@@ -115,11 +115,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
             .filter(F.col("_n") > F.lit(hot_rows)))
 
 
-def _hot_rows_total(hot: DataFrame) -> int | None:
+def _hot_summary(hot: DataFrame) -> tuple[int, int]:
+    """(number of hot keys, rows in them): two numbers from the hot table."""
     if "_n" not in hot.columns:
-        return None
-    total = hot.agg(F.sum("_n")).first()[0]  # one number from the bounded hot table
-    return int(total or 0)
+        hot = hot.withColumn("_n", F.lit(None).cast("long"))
+    row = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def _maybe_broadcast(keys_df: DataFrame, n_keys: int) -> DataFrame:
+    """Broadcast the key set only behind its measured size; above the limit
+    the join stays a shuffle join (AQE may still pick broadcast at run time)."""
+    return F.broadcast(keys_df) if n_keys <= BROADCAST_KEYS_LIMIT else keys_df
 
 
 def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
@@ -143,10 +150,11 @@ def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
     hot = hot_keys(df, keys, hot_rows) if hot is None else hot
-    total = _hot_rows_total(hot)
-    if total == 0 or (total is None and hot.isEmpty()):
+    n_hot, total = _hot_summary(hot)
+    if n_hot == 0:
         return fn(df, plain_window(keys, order))
-    hot_b = F.broadcast(hot.select(*keys))  # bounded: total_rows / hot_rows keys at most
+    hot_b = _maybe_broadcast(hot.select(*keys), n_hot)  # at most total_rows / hot_rows keys
+    total = total or None
     cold_part = fn(join_on_keys(df, hot_b, keys, "left_anti"), plain_window(keys, order))
     hot_part = chunked_apply(join_on_keys(df, hot_b, keys, "left_semi"), keys, fn, halo, order,
                              chunk_rows, num_partitions, lookahead=lookahead, rows=total)
@@ -159,29 +167,30 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     """0-based position of each row within its series.
 
     Hot series get it from the global position minus the series start; the
-    start table has one row per hot series and is broadcast (bounded).
+    start table has one row per hot series and is broadcast behind its
+    measured size.
     """
     keys = list(keys)
 
     def plain(frame: DataFrame) -> DataFrame:
         return frame.withColumn(col, (F.row_number().over(plain_window(keys, order)) - 1).cast("long"))
 
-    def chunked(frame: DataFrame, bounded: bool, rows: int | None = None) -> DataFrame:
+    def chunked(frame: DataFrame, bounded: int | None, rows: int | None = None) -> DataFrame:
         n = num_partitions or range_partitions(frame, rows)
         pos = global_position(frame, [*keys, *order], n)
         starts = pos.groupBy(*keys).agg(F.min("_g").alias("_start"))
-        starts = F.broadcast(starts) if bounded else starts
+        starts = _maybe_broadcast(starts, bounded) if bounded is not None else starts
         return (join_on_keys(pos, starts, keys).withColumn(col, (F.col("_g") - F.col("_start")).cast("long"))
                 .drop("_g", "_start"))
 
     if strategy == "plain":
         return plain(df)
     if strategy == "chunked":
-        return chunked(df, bounded=False)
+        return chunked(df, bounded=None)
     hot = hot_keys(df, keys, hot_rows)
-    total = _hot_rows_total(hot)
-    if not total:
+    n_hot, total = _hot_summary(hot)
+    if n_hot == 0:
         return plain(df)
-    hot_b = F.broadcast(hot.select(*keys))
+    hot_b = _maybe_broadcast(hot.select(*keys), n_hot)
     return plain(join_on_keys(df, hot_b, keys, "left_anti")).unionByName(
-        chunked(join_on_keys(df, hot_b, keys, "left_semi"), bounded=True, rows=total))
+        chunked(join_on_keys(df, hot_b, keys, "left_semi"), bounded=n_hot, rows=total))
