@@ -146,9 +146,7 @@ def serving_features(readings: DataFrame, keys: Sequence[str] = KEYS, impute: bo
     one plan."""
     keys = list(keys)
     df = impute_mean_or_default(readings, keys) if impute else readings
-    base = df.select(*keys, "ts", "arrival_no", POWER, "voltage", "current", "temperature",
-                     "humidity", *calendar_columns("ts"))
-    base = base.select("*", *flag_columns())
+    base = df.select(*keys, "ts", "arrival_no", POWER, "voltage", "current", "temperature", "humidity")
 
     def fn(f: DataFrame, s: WindowSpec) -> DataFrame:
         return f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
@@ -158,8 +156,11 @@ def serving_features(readings: DataFrame, keys: Sequence[str] = KEYS, impute: bo
     hot = hot_keys(readings, keys, hot_rows) if strategy == "auto" else None
     feats = over_series(base, keys, fn, halo=max(max(ENERGY_LAGS), LONG_FRAME - 1), hot=hot,
                         **_plan(strategy, hot_rows, chunk_rows, num_partitions))
-    feats = rename_target(feats.select("*", *weather_interactions()))
-    return drop_warmup_rows(feats) if drop_warmup else feats
+    if drop_warmup:
+        feats = drop_warmup_rows(feats)
+    # row-local columns come after the window: they are not shuffled, sorted or checkpointed
+    feats = feats.select("*", *calendar_columns("ts")).select("*", *flag_columns())
+    return rename_target(feats.select("*", *weather_interactions()))
 
 
 def global_series_features(readings: DataFrame, chunk_rows: int = CHUNK_ROWS,
@@ -179,14 +180,14 @@ def training_features(raw: DataFrame, keys: Sequence[str] = KEYS, target: str =
     df = drop_duplicate_rows(drop_null_target(raw, target))
     if "ts" not in df.columns:
         df = df.withColumn("ts", parse_timestamp(F.col("timestamp")))
-    df = df.select("*", F.hour("ts").alias("hour"), dow_sunday1("ts").alias("dow"))
-    df = df.select("*", *cyclic_hour())
 
     def fn(f: DataFrame, s: WindowSpec) -> DataFrame:
         return f.select("*", *training_lag_cols(s, target), rolling_3h_col(s, target))
 
-    return over_series(df, keys, fn, halo=max(max(TRAINING_LAGS), ROLLING_3H_PRECEDING),
-                       **_plan(strategy, hot_rows, chunk_rows, num_partitions))
+    out = over_series(df, keys, fn, halo=max(max(TRAINING_LAGS), ROLLING_3H_PRECEDING),
+                      **_plan(strategy, hot_rows, chunk_rows, num_partitions))
+    out = out.select("*", F.hour("ts").alias("hour"), dow_sunday1("ts").alias("dow"))
+    return out.select("*", *cyclic_hour())
 
 
 def with_horizon(features: DataFrame, horizon: int = 0, label: str = "energy_kwh",
