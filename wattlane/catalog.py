@@ -1324,3 +1324,24 @@ def q_score_stream_table_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("score_stream_table_state", ORACLE_SQL["score_stream"])(q_score_stream_table_state)
+
+
+def q_request_status(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction endpoint over a table of request bodies, up to the gate:
+    S2 parse → P4 coerce → J4 pad → P6/P12 gate, one status per request;
+    rejected bodies keep their reason."""
+    accepted, rejected = RD.parse_reading_batches(request_bodies(spark, d))
+    points = RD.coerce_points(accepted)
+    gate = C.series_gate(points)
+    return (gate.select(F.col("series_id").cast("long").alias("request_id"), "n_rows", "status")
+            .unionByName(rejected.select("request_id", F.lit(None).cast("long").alias("n_rows"),
+                                         F.col("reason").alias("status"))))
+
+
+register("request_status", f"""
+SELECT event_id AS request_id,
+       CASE WHEN k % 10 >= 5 THEN CAST(24 AS BIGINT) END AS n_rows,
+       CASE k % 10 WHEN 0 THEN 'null_body' WHEN 1 THEN 'not_an_array' WHEN 2 THEN 'not_an_array'
+                   WHEN 3 THEN 'empty_array' WHEN 4 THEN 'invalid_json'
+                   ELSE CASE WHEN k % 7 = 0 OR k % 9 = 0 THEN 'invalid_input' ELSE 'insufficient_history' END END AS status
+FROM {SQL_EVENTS_K} e""")(q_request_status)
