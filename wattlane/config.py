@@ -89,3 +89,4 @@ LOCATION_UNKNOWN = "Unknown Location"
 HOT_SERIES_ROWS = 1_000_000     # a series above this is split into chunks with a halo
 CHUNK_ROWS = 1 << 20            # rows per chunk in the chunk+halo plan
 BROADCAST_KEYS_LIMIT = 1_000_000  # largest measured key set that is broadcast
+RANGE_PARTITION_ROWS = 1 << 22  # target rows per task when numbering and when windowing chunks

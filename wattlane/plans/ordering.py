@@ -23,7 +23,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from wattlane.config import BROADCAST_KEYS_LIMIT, CHUNK_ROWS, HOT_SERIES_ROWS
+from wattlane.config import BROADCAST_KEYS_LIMIT, CHUNK_ROWS, HOT_SERIES_ROWS, RANGE_PARTITION_ROWS
 from wattlane.session import ensure_checkpoint_dir
 from wattlane.plans.keys import join_on_keys
 
@@ -82,14 +82,16 @@ def plain_window(keys: Sequence[str], order: Sequence[str] = ORDER) -> WindowSpe
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def range_partitions(df: DataFrame, rows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> int:
-    """Range partitions for numbering: one per ``chunk_rows`` rows when the row
-    count is known (hot-key counts), else as many as the input has (file
-    splits follow data size), never fewer than the shuffle setting."""
+def range_partitions(df: DataFrame, rows: int | None = None,
+                     target_rows: int = RANGE_PARTITION_ROWS) -> int:
+    """Tasks for numbering and for the chunk windows: one per ``target_rows``
+    rows when the row count is known (hot-key counts), else as many as the
+    input has (file splits follow data size), never fewer than the shuffle
+    setting."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rows is not None:
-        return max(n, -(-int(rows) // max(int(chunk_rows), 1)))
+        return max(n, -(-int(rows) // max(int(target_rows), 1)))
     try:
         return max(n, df.rdd.getNumPartitions())
     except Exception:  # noqa: BLE001 - no RDD view (remote session)
@@ -100,9 +102,11 @@ def chunked_apply(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
                   order: Sequence[str] = ORDER, chunk_rows: int = CHUNK_ROWS,
                   num_partitions: int | None = None, keep_position: bool = False,
                   lookahead: int = 0, rows: int | None = None) -> DataFrame:
-    n = num_partitions or range_partitions(df, rows, chunk_rows)
+    n = num_partitions or range_partitions(df, rows)
     pos = global_position(df, [*keys, *order], n)
-    chunked = with_chunks(pos, halo, chunk_rows, lookahead=lookahead)
+    # the window's exchange gets the data-sized task count too (a window
+    # shuffle is never split by AQE); the window reuses this distribution
+    chunked = with_chunks(pos, halo, chunk_rows, lookahead=lookahead).repartition(n, *keys, "_chunk")
     w = Window.partitionBy(*keys, "_chunk").orderBy("_g")
     out = fn(chunked, w).filter(F.col("_own")).drop("_chunk", "_own")
     return out if keep_position else out.drop("_g")
