@@ -45,6 +45,9 @@ def test_format_fixed_matches_to_fixed(spark):
     for (x, d, want) in cases:
         got = df.filter(F.col("x") == x).select(format_fixed(F.col("x"), d).alias("s")).first()["s"]
         assert got == want, (x, d, got)
+    edge = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1e17,), (-0.0,), (None,)], "x DOUBLE")
+    got = [r["s"] for r in edge.select(format_fixed(F.col("x"), 3).alias("s")).collect()]
+    assert got == ["Infinity", "-Infinity", "100000000000000000.000", "0.000", None]
 
 
 def test_parse_timestamp_formats(spark):

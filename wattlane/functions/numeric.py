@@ -55,8 +55,13 @@ def format_fixed(c: Column, decimals: int) -> Column:
     text instead.  Values of 1e21 and above are out of scope."""
     d = int(decimals)
     x = c.cast("double")
-    a = F.abs(x)
     scale = 10.0 ** d
+    # beyond 2**53 / 10**d every double is an integer and the scaled value no
+    # longer fits the exact path: arithmetic runs on a safe stand-in there
+    limit = float(2 ** 53) / scale
+    a_raw = F.abs(x)
+    exact = a_raw < F.lit(limit)
+    a = F.when(exact, a_raw).otherwise(F.lit(0.0))
     p = a * F.lit(scale)
     err = _two_product_error(a, scale)
     n0 = F.floor(p)
@@ -71,8 +76,14 @@ def format_fixed(c: Column, decimals: int) -> Column:
         body = F.concat(head, F.lit("."), tail)
     else:
         body = digits
-    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body)
-    return F.when(F.isnan(x), F.lit("NaN")).otherwise(text)
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, body)
+    whole = F.concat(sign, F.format_string("%.0f", a_raw), F.lit("." + "0" * d if d else ""))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), F.lit("NaN"))
+            .when(a_raw == F.lit(float("inf")), F.concat(sign, F.lit("Infinity")))
+            .when(~exact, whole)
+            .otherwise(text))
 
 
 def valid_prediction(text: Column) -> Column:
