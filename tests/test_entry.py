@@ -57,3 +57,7 @@ def test_rows_only_query_runs_sf0001(spark, name):
     df = E.queries()[name](spark, SF001)
     assert df.count() > 0
     assert len(df.columns) == len(set(df.columns))
+
+
+def test_entry_schema_is_stable(spark):
+    assert E.entry(spark).schema == E.entry(spark).schema
