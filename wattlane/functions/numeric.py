@@ -39,51 +39,48 @@ def _split(v: float) -> tuple[float, float]:
 
 
 def _two_product_error(a: Column, b: float) -> Column:
-    """Exact rounding error of ``a * b`` (Dekker), so ``a*b + err`` is exact."""
+    """Exact rounding error of ``a * b`` (Dekker), so ``a*b + err`` is exact.
+    ``b`` is a literal; when its significand fits 26 bits (10**d for d ≤ 11)
+    its low half is zero and two terms drop out, keeping the expression small."""
     p = a * F.lit(b)
     ta = a * F.lit(_SPLIT)
     ah = ta - (ta - a)
     al = a - ah
     bh, bl = _split(b)
-    return (((ah * F.lit(bh) - p) + ah * F.lit(bl)) + al * F.lit(bh)) + al * F.lit(bl)
+    err = ((ah * F.lit(bh) - p) + al * F.lit(bh))
+    return err if bl == 0.0 else (err + ah * F.lit(bl)) + al * F.lit(bl)
 
 
 def format_fixed(c: Column, decimals: int) -> Column:
     """Fixed decimals as text, rounding the exact binary value half up on
     the magnitude, the way a browser's ``toFixed`` does (``1.0005`` → ``1.000``,
     ``2.675`` → ``2.67``).  ``format_string`` would round the shortest decimal
-    text instead.  Values of 1e21 and above are out of scope."""
+    text instead.  Exact below 2**53 / 10**d; above that every double is an
+    integer and prints through ``%.0f``."""
     d = int(decimals)
+    m = 10 ** d
     x = c.cast("double")
-    scale = 10.0 ** d
-    # beyond 2**53 / 10**d every double is an integer and the scaled value no
-    # longer fits the exact path: arithmetic runs on a safe stand-in there
-    limit = float(2 ** 53) / scale
     a_raw = F.abs(x)
-    exact = a_raw < F.lit(limit)
+    # beyond 2**53 / 10**d the scaled value no longer fits the exact path:
+    # the arithmetic runs on a safe stand-in there and another branch prints it
+    exact = a_raw < F.lit(float(2 ** 53) / m)
     a = F.when(exact, a_raw).otherwise(F.lit(0.0))
-    p = a * F.lit(scale)
-    err = _two_product_error(a, scale)
+    p = a * F.lit(float(m))
     n0 = F.floor(p)
     frac_minus_half = (p - n0) - F.lit(0.5)
-    up = (frac_minus_half > 0) | ((frac_minus_half == 0) & (err >= 0))
-    n = (n0 + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)")
-    raw = n.cast("string")
-    digits = F.when(F.length(raw) < F.lit(d + 1), F.lpad(raw, d + 1, "0")).otherwise(raw)
+    up = (frac_minus_half > 0) | ((frac_minus_half == 0) & (_two_product_error(a, float(m)) >= 0))
+    n = n0 + up.cast("long")                      # units of 10**-d, below 2**53
+    low = n % F.lit(m)
+    body = ((n - low) / F.lit(m)).cast("long").cast("string")
     if d:
-        head = digits.substr(F.lit(1), F.length(digits) - F.lit(d))
-        tail = digits.substr(F.length(digits) - F.lit(d - 1), F.lit(d))
-        body = F.concat(head, F.lit("."), tail)
-    else:
-        body = digits
+        body = F.concat(body, F.lit("."), F.lpad(low.cast("string"), d, "0"))
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    text = F.concat(sign, body)
     whole = F.concat(sign, F.format_string("%.0f", a_raw), F.lit("." + "0" * d if d else ""))
     return (F.when(x.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(x), F.lit("NaN"))
             .when(a_raw == F.lit(float("inf")), F.concat(sign, F.lit("Infinity")))
             .when(~exact, whole)
-            .otherwise(text))
+            .otherwise(F.concat(sign, body)))
 
 
 def valid_prediction(text: Column) -> Column:
