@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, quality
+from wattlane.llm import bpe, quality, rlz
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,8 +29,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.removal_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
+    "op5_substring": op5_substring,
 }
 ORACLE_SQL: dict[str, str] = {}
