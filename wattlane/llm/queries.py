@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, quality, rlz
+from wattlane.llm import bpe, quality, rlz, suffix
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,9 +33,14 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
+    "op6_suffix": op6_suffix,
 }
 ORACLE_SQL: dict[str, str] = {}
