@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, quality, rlz, suffix
+from wattlane.llm import bpe, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,10 +37,18 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return urls.judge_urls(pages, urls.page_labels(pages, labels)).withColumn("purity", F.round("purity", 9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
     "op6_suffix": op6_suffix,
+    "op7_urls": op7_urls,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_urls": urls.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
