@@ -31,11 +31,13 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written, so that AQE can split the join at a node with very many edges
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         # large star: larger neighbours go to the smallest one
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every node and its smaller neighbours go to its smallest one
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large, "large")
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         edges = cut(small, "edges")

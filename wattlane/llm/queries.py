@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, quality, rlz, suffix, urls
+from wattlane.llm import bpe, ngram, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,12 +42,17 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.page_labels(pages, labels)).withColumn("purity", F.round("purity", 9))
 
 
+def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
     "op6_suffix": op6_suffix,
     "op7_urls": op7_urls,
+    "op10_ngram": op10_ngram,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": urls.ORACLE_SQL,
