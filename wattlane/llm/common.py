@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +52,67 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = state
     raise RuntimeError(f"connected components did not settle within {max_rounds} rounds of {spark.sparkContext.applicationId}")
+
+
+def comparison_blocks(groups: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """(component, block_a, block_b, side, *payload): members of candidate groups, dealt to comparison blocks.
+
+    ``groups`` is (node, component); ``payload`` has node and what a comparison needs. A group of more than ``block``
+    members is cut by a hash into slots, and every pair of slots is a row group of its own (``side`` 0 against ``side`` 1;
+    a slot against itself is all side 0), so no task holds more than about two slots.
+    """
+    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "group-sizes")
+    members = (groups.join(sizes, "component")
+               .withColumn("slots", F.expr(f"cast(ceil(size / {block}D) as int)"))
+               .withColumn("slot", F.expr("cast(pmod(xxhash64(node), slots) as int)")).drop("size"))
+    return (payload.join(members, "node").withColumn("other", F.explode(F.expr("sequence(0, slots - 1)")))
+            .select("component", F.least("slot", "other").alias("block_a"), F.greatest("slot", "other").alias("block_b"),
+                    F.expr("cast(slot > other as int)").alias("side"), *payload.columns))
+
+
+def solve_blocks(rows: DataFrame, solve: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``solve`` on the rows (side, *payload) of each comparison block; it returns rows of longs."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    key = ["component", "block_a", "block_b"]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(len(names))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(stream, itemgetter(0, 1, 2)):
+            out += solve([r[3:] for r in group])
+            if len(out) > 5000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs (a, b) of 0..n-1: each node and the smallest of its tree."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            return [(i, int(r)) for i, r in enumerate(root) if i != r]
+        root = least
+
+
+def link_rows(nodes: list[int], copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """(node, links, other): the links of each node, counted in copies of the other end, and the spanning forest of the pairs."""
+    links = np.zeros(len(nodes), np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(links, b, copies[a])
+    return ([(nodes[i], int(n), None) for i, n in enumerate(links) if n]
+            + [(nodes[i], 0, nodes[r]) for i, r in forest(len(nodes), a, b)])
+
+
+LINKS = "node long, links long, other long"

@@ -33,9 +33,7 @@ the smaller doc_id; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 from math import comb
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import components, cut
+from wattlane.llm.common import LINKS, comparison_blocks, components, cut, link_rows, solve_blocks
 from wattlane.llm.repeats import U, Hasher, mix, packed_texts
 from wattlane.llm.rlz import word_units
 
@@ -69,6 +67,12 @@ def shingles(data: bytes) -> np.ndarray:
     return np.unique(Hasher(words).of(at, at + size) + U(size))
 
 
+def set_hash(found: np.ndarray) -> tuple[int, int]:
+    """Two hashes that stand for a shingle set."""
+    h1, h2 = (int(np.bitwise_xor.reduce(mix(found * U(f))).view(np.int64)) for f in (3, 5))
+    return h1, h2 ^ len(found)
+
+
 def minhash(found: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(found), 2048):
@@ -162,19 +166,6 @@ def block_links(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, n
     return a, b
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs: each node and the smallest of its tree."""
-    root = np.arange(n)
-    while True:
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        np.minimum.at(least, b, root[a])
-        least = np.minimum(least, least[least])
-        if (least == root).all():
-            return [(i, int(r)) for i, r in enumerate(root) if i != r]
-        root = least
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, bands) of each document that has a shingle; h1 and h2 stand for its set."""
 
@@ -186,8 +177,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = shingles((text or "").encode("utf-8", "surrogatepass"))
                     if len(found):
-                        h = [int(np.bitwise_xor.reduce(mix(found * U(f))).view(np.int64)) for f in (3, 5)]
-                        rows.append((doc_id, h[0], h[1] ^ len(found), bands(minhash(found))))
+                        rows.append((doc_id, *set_hash(found), bands(minhash(found))))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -209,48 +199,21 @@ def candidate_groups(representatives: DataFrame) -> DataFrame:
 
 def compared(groups: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, links, other): per block the links of a node (counted in documents), and its edge of the spanning forest."""
-    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")), "ngram-sizes")
-    members = (groups.join(sizes, "component")
-               .withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}D) as int)"))
-               .withColumn("slot", F.expr("cast(pmod(xxhash64(node), blocks) as int)")))
-    members = members.join(classes.select(F.col("rep").alias("node"), "copies", "h1"), "node")
-    rows = (texts.join(members, texts.doc_id == members.node)
-            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .selectExpr("component", "least(slot, other) block_a", "greatest(slot, other) block_b",
-                        "cast(slot > other as int) side", "node", "copies", "z", "h1"))
 
     def solve(rows: list[tuple]) -> list[tuple]:
         unpress = zstandard.ZstdDecompressor()
-        sets = [shingles(unpress.decompress(r[6])) for r in rows]
-        keep = [k for k, (r, s) in enumerate(zip(rows, sets, strict=True)) if len(s) and int(np.bitwise_xor.reduce(mix(s * U(3))).view(np.int64)) == r[7]]
-        rows, sets = [rows[k] for k in keep], [sets[k] for k in keep]
+        rows = list({(r[1], r[3]): r for r in rows}.values())
+        sets = [shingles(unpress.decompress(r[4])) for r in rows]
+        own = [k for k, (r, s) in enumerate(zip(rows, sets, strict=True)) if len(s) and set_hash(s)[0] == r[3]]
+        rows, sets = [rows[k] for k in own], [sets[k] for k in own]
         if len(sets) < 2:
             return []
-        a, b = block_links(sets, np.array([r[3] for r in rows]))
-        copies = np.array([r[5] for r in rows], np.int64)
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        out = [(rows[i][4], int(n), None) for i, n in enumerate(links) if n]
-        return out + [(rows[i][4], 0, rows[r][4]) for i, r in forest(len(rows), a, b)]
+        a, b = block_links(sets, np.array([r[0] for r in rows]))
+        return link_rows([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), a, b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        out: list[tuple] = []
-        for _, group in groupby(stream, itemgetter(0, 1, 2)):
-            out += solve(list({(r[4], r[7]): r for r in group}.values()))
-            if len(out) > 5000:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["node", "links", "other"])
-
-    key = ["component", "block_a", "block_b"]
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "node long, links long, other long")
+    needed = groups.select("node").join(classes.select(F.col("rep").alias("node"), "copies", "h1"), "node")
+    payload = needed.join(texts.select(F.col("doc_id").alias("node"), "z"), "node").select("node", "copies", "h1", "z")
+    return solve_blocks(comparison_blocks(groups, payload, BLOCK), solve, LINKS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
