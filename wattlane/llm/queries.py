@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, ngram, quality, rlz, suffix, urls
+from wattlane.llm import bpe, crosspolytope, ngram, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,12 +46,17 @@ def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
     "op6_suffix": op6_suffix,
     "op7_urls": op7_urls,
+    "op8_embedding": op8_embedding,
     "op10_ngram": op10_ngram,
 }
 ORACLE_SQL: dict[str, str] = {
