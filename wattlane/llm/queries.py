@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, crosspolytope, ngram, quality, rlz, suffix, urls
+from wattlane.llm import bpe, crosspolytope, kmeanstree, ngram, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -50,6 +50,10 @@ def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeanstree.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix": op6_suffix,
     "op7_urls": op7_urls,
     "op8_embedding": op8_embedding,
+    "op9_neighbours": op9_neighbours,
     "op10_ngram": op10_ngram,
 }
 ORACLE_SQL: dict[str, str] = {
