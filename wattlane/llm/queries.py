@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, crosspolytope, kmeanstree, ngram, quality, rlz, suffix, urls
+from wattlane.llm import bpe, crosspolytope, kmeanstree, lines, ngram, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score_quality(docs.select("doc_id", "text"), quality.fit_quality(docs, labels))
@@ -56,6 +61,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_lines": op3_lines,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
     "op6_suffix": op6_suffix,
@@ -65,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram": op10_ngram,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_lines": lines.ORACLE_SQL,
     "op7_urls": urls.ORACLE_SQL,
 }
