@@ -31,6 +31,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -216,7 +217,8 @@ def _over_texts(docs: DataFrame, tokenizer_path: str, schema: str, row) -> DataF
                 part = batch.slice(lo, 256)
                 rows = [row(i, *codec.encode(t or "")) for i, t in
                         zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                kinds = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()) if "ids array" in schema else None}
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n)) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
@@ -229,6 +231,16 @@ def _digest_row(doc_id, ids: bytes, decoded: bytes):
     return doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+def _row(doc_id, ids: bytes, decoded: bytes):
+    return (doc_id, len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32).tolist(), hashlib.sha256(ids).hexdigest(),
+            hashlib.sha256(decoded).hexdigest())
+
+
+def encode_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): what a training job reads."""
+    return _over_texts(docs, tokenizer_path, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", _row)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids, decoded): ids as packed little-endian 32-bit integers. No shuffle; one pass over the texts."""
     return _over_texts(docs, tokenizer_path, ENCODED, _encoded_row)

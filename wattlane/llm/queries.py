@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, crosspolytope, kmeanstree, lines, ngram, quality, rlz, suffix, urls
+from wattlane.llm import bpe, crosspolytope, kmeanstree, lines, mixing, ngram, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shares of a mix of as many tokens as the corpus has.
+WEIGHTS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = mixing.mix(docs, labels, WEIGHTS, carry=False)
+    return out.select("doc_id", F.col(mixing.N).alias("n_tokens"), *[F.col(p).alias(f"p_{d}") for p, d in zip(mixing.P, mixing.DOMAINS, strict=True)],
+                      F.col(mixing.RATE).alias("rate"), F.col(mixing.COPIES).alias("copies"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -60,6 +71,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
     "op3_lines": op3_lines,
     "op4_quality": op4_quality,
