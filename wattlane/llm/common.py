@@ -9,7 +9,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattlane.session import ensure_checkpoint_dir
@@ -23,6 +23,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, quoted: names with dots or back-ticks stay whole."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): smallest node reachable over ``edges`` (a, b: long), for every node with an edge.
 

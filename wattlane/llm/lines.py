@@ -24,7 +24,8 @@ split the joins, and a document's runs are bounded by its own lines.
 Edge cases: a null text stays null and has no lines; an empty text has one empty
 line; a null doc_id sorts before all others; rows that share doc_id and text are
 one document (each is rewritten alike), rows that share only the doc_id are
-ordered by a hash of their texts; extra columns stay as they are.
+ordered by a hash of their texts; extra columns stay as they are (but for
+``n_lines`` and ``n_removed``, which the result has of its own).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import cut
+from wattlane.llm.common import cut, own_columns
 
 LONG_LINE = 20
 NO_ID = -(1 << 63)
@@ -114,8 +115,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_lines = F.size(F.filter(lines, lambda x: x["full"]))
     removed = F.size(F.filter("line_dedup_at", gone))
     return out.select(
-        *[(F.when(F.col(RUNS).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c))
-          for c in docs.columns if c not in ("n_lines", "n_removed")],
+        *[(F.when(F.col(RUNS).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if name == "text" else c)
+          for name, c in zip(docs.columns, own_columns(docs), strict=True) if name not in ("n_lines", "n_removed")],
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         F.when(F.col(RUNS).isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 

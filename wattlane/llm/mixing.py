@@ -37,7 +37,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import cut
+from wattlane.llm.common import cut, own_columns
 
 DOMAINS = ("clean", "low", "toxic")
 MAX_TRAIN_ROWS = 12_000
@@ -78,7 +78,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, max_train_rows: int = MA
     train = cut(hashing.transform(train.select("mixing_label", marks(words(F.col("text"))).alias("mixing_marks"))).select("mixing_label", "mixing_x"), "mixing-train")
     kinds = sorted(r[0] for r in train.select("mixing_label").distinct().collect())  # three at most
     tokens = docs.withColumn("mixing_words", words(F.col("text")))
-    tokens = tokens.select(*docs.columns, F.size("mixing_words").cast("long").alias(N), marks(F.col("mixing_words")).alias("mixing_marks"))
+    tokens = tokens.select(*own_columns(docs), F.size("mixing_words").cast("long").alias(N), marks(F.col("mixing_words")).alias("mixing_marks"))
     if len(kinds) < 2:
         out = tokens.withColumns({c: F.lit(1.0 if c == P[0] else 0.0) for c in P})
     else:
@@ -86,7 +86,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, max_train_rows: int = MA
                                    predictionCol="mixing_best", family="multinomial", maxIter=40, regParam=1e-4, standardization=False).fit(train)
         scored = model.transform(hashing.transform(tokens)).withColumn("mixing_p", vector_to_array("mixing_p"))
         out = scored.withColumns({c: F.coalesce(F.get("mixing_p", F.lit(k)), F.lit(0.0)) for k, c in enumerate(P)})
-    return out.select(*docs.columns, N, *P)
+    return out.select(*own_columns(docs), N, *P)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float | None = None) -> tuple[Column, np.ndarray]:
@@ -135,5 +135,5 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget:
     """The rows of ``docs``, each as often as its copies say."""
     out = mix(docs, labels, weights, budget, max_rate).where(F.col(COPIES) > 0)
     if max_rate is not None and max_rate <= 1:
-        return out.select(*docs.columns)
-    return out.withColumn("mixing_copy", F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).select(*docs.columns)
+        return out.select(*own_columns(docs))
+    return out.withColumn("mixing_copy", F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).select(*own_columns(docs))

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import LINKS, comparison_blocks, components, cut, link_rows, solve_blocks
+from wattlane.llm.common import LINKS, comparison_blocks, components, cut, link_rows, own_columns, solve_blocks
 from wattlane.llm.repeats import U, Hasher, mix, packed_texts
 from wattlane.llm.rlz import word_units
 
@@ -248,5 +248,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their class, once each; rows without doc_id stay."""
     gone = near_duplicates(docs).where("not kept").select("doc_id")
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "leftanti").withColumn("text_hash", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "leftanti").withColumn("ngram_join_text", F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", "ngram_join_text"]).select(*own_columns(docs)).union(docs.where("doc_id is null"))

@@ -29,10 +29,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from wattlane.llm.common import own_columns
 
 WORD_SLOTS = 1 << 13
 FACTORS = 8
@@ -200,25 +202,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TR
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, name: str = "score") -> DataFrame:
-    """``docs`` (all its columns) with the score of each whole text added under ``name``."""
+    """``docs`` with the score of each whole text as column ``name``; only the text goes through Python."""
     model = docs.sparkSession.sparkContext.broadcast(machine)  # size fixed by WORD_SLOTS x FACTORS
-    column = docs.columns.index("text")
-    if name in docs.columns:
-        docs = docs.drop(name)
-        column = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                score = model.value.score([vector(t) for t in texts_of(part, column)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, name])
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            parts = [model.value.score([vector(t or "") for t in texts.iloc[lo:lo + 64]]) for lo in range(0, len(texts), 64)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                  max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their own columns."""
-    scored = score_quality(docs, fit_quality(docs, labels, max_train_rows), "quality_score")
-    return scored.where(F.col("quality_score") >= threshold).select(*docs.columns)
+    score = "quality_classifier_score"
+    return score_quality(docs, fit_quality(docs, labels, max_train_rows), score).where(F.col(score) >= threshold).select(*own_columns(docs))
