@@ -4,9 +4,10 @@ Method.  Per host the path segments form a tree, built level by level over all
 pages.  A segment stays literal if it leads at least ``MIN_PAGES`` pages and
 ``MIN_SHARE`` of its node's pages; every other one becomes the wildcard ``*``
 (so a node has at most 1 / MIN_SHARE literal children, however many ids stand
-there).  From the deepest level up, sibling branches whose share of bad labels
-does not differ from that of the other siblings (two-proportion z-test) merge
-into the wildcard.  A template is rejected if its smoothed purity
+there).  From the deepest level up, sibling branches merge if their shares of
+bad labels are alike: in the order of their shares, a branch joins the one
+before unless a two-proportion z-test tells them apart; a merged segment reads
+``a|b``.  A template is rejected if its smoothed purity
 
     (good + SMOOTHING * overall purity) / (labelled + SMOOTHING)
 
@@ -26,7 +27,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import cut
@@ -83,24 +84,31 @@ def generalise(paths: DataFrame) -> DataFrame:
 
 
 def merge_branches(templates: DataFrame) -> DataFrame:
-    """(host, t1..tD, m1..mD, labelled, bad) of each template: m are its segments after similar siblings merged."""
+    """(host, t1..tD, m1..mD, labelled, bad) of each template: m are its segments after siblings that are alike merged."""
     levels = [f"m{i}" for i in range(1, DEPTH + 1)]
     out = templates.select("*", *[F.col(f"t{i}").alias(f"m{i}") for i in range(1, DEPTH + 1)])
     for level in reversed(levels):
-        key = ["host", *[x for x in levels if x != level]]
-        branch = out.groupBy("host", *levels).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-        siblings = branch.where(F.col(level) != "").groupBy(*key).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-        similar = (branch.where(F.col(level) != "").join(siblings, key)
-                   .withColumn("alike", F.expr(f"""case when n = 0 or all_n = n or all_b = 0 or all_b = all_n then true else
-                       power(b / cast(n as double) - (all_b - b) / cast(all_n - n as double), 2)
-                       < {SAME_Z2}D * (all_b / cast(all_n as double)) * (1 - all_b / cast(all_n as double)) * (1 / cast(n as double) + 1 / cast(all_n - n as double)) end"""))
-                   .where("alike").select("host", *levels, "alike"))
-        out = (out.join(similar, ["host", *levels], "left")
-               .withColumn(level, F.when(F.col("alike"), "*").otherwise(F.col(level))).drop("alike"))
+        rest = ["host", *[x for x in levels if x != level]]
+        branch = (out.where(F.col(level) != "").groupBy("host", *levels).agg(F.sum("labelled").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
+                  .where("n > 0"))
+        # at most 1 / MIN_SHARE + 1 siblings, whatever the host holds
+        by_share = Window.partitionBy(*rest).orderBy(F.expr("b / n"), level)
+        near = branch.withColumns({"pn": F.lag("n").over(by_share), "pb": F.lag("b").over(by_share)}).withColumn("cut", F.expr(_differs("n", "b", "pn", "pb")))
+        group = near.withColumn("kin", F.sum("cut").over(by_share))
+        names = group.groupBy(*rest, "kin").agg(F.concat_ws("|", F.sort_array(F.collect_list(level))).alias("merged"))
+        merged = group.join(names, [*rest, "kin"]).select("host", *levels, "merged")
+        out = out.join(merged, ["host", *levels], "left").withColumn(level, F.coalesce("merged", level)).drop("merged")
         out = cut(out, "url-branches")
     return out
 
 
+def _differs(n: str, b: str, pn: str, pb: str) -> str:
+    """1 if two shares of bad labels differ (pooled two-proportion z-test), else 0; the text is the same for both engines."""
+    pooled = f"(({b} + {pb}) / ({n} + {pn}))"
+    return (f"case when {pn} is null or {b} + {pb} = 0 or {b} + {pb} = {n} + {pn} then 0 when power({b} / {n} - {pb} / {pn}, 2) < "
+            f"cast({SAME_Z2} as double) * {pooled} * (1 - {pooled}) * (1 / {n} + 1 / {pn}) then 0 else 1 end")
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page; ``labelled``: (url, bad)."""
     host, path = split_url(F.col("url"))
@@ -151,13 +159,16 @@ y{DEPTH} AS (SELECT host, {ts}, {', '.join(f't{i} AS m{i}' for i in range(1, DEP
     for i in range(DEPTH, 0, -1):
         others = ", ".join(["host", *[m for m in ms if m != f"m{i}"]])
         rest = ", ".join(f"y{i}.{m}" for m in ms if m != f"m{i}")
+        every = ", ".join(["host", *ms])
+        order = f"OVER (PARTITION BY {others} ORDER BY b / n, m{i})"
         sql += f""",
-b{i} AS (SELECT host, {', '.join(ms)}, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM y{i} GROUP BY ALL),
-c{i} AS (SELECT {others}, sum(n) AS all_n, sum(b) AS all_b FROM b{i} WHERE m{i} <> '' GROUP BY ALL),
-d{i} AS (SELECT host, {', '.join(ms)} FROM b{i} JOIN c{i} USING ({others}) WHERE m{i} <> '' AND CASE WHEN n = 0 OR all_n = n OR all_b = 0 OR all_b = all_n THEN true
-  ELSE power(b / n - (all_b - b) / (all_n - n), 2) < CAST({SAME_Z2} AS DOUBLE) * (all_b / all_n) * (1 - all_b / all_n) * (1 / n + 1 / (all_n - n)) END),
-y{i - 1} AS (SELECT y{i}.host, {', '.join(f'y{i}.t{j}' for j in range(1, DEPTH + 1))}, {rest}, CASE WHEN d{i}.host IS NOT NULL THEN '*' ELSE y{i}.m{i} END AS m{i}, labelled, bad
-  FROM y{i} LEFT JOIN d{i} USING (host, {', '.join(ms)}))"""
+b{i} AS (SELECT {every}, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM y{i} WHERE m{i} <> '' GROUP BY ALL HAVING sum(labelled) > 0),
+c{i} AS (SELECT *, lag(n) {order} AS pn, lag(b) {order} AS pb FROM b{i}),
+d{i} AS (SELECT *, sum({_differs("n", "b", "pn", "pb")}) {order} AS kin FROM c{i}),
+e{i} AS (SELECT {others}, kin, string_agg(m{i}, '|' ORDER BY m{i}) AS merged FROM d{i} GROUP BY {others}, kin),
+f{i} AS (SELECT {every}, merged FROM d{i} JOIN e{i} USING ({others}, kin)),
+y{i - 1} AS (SELECT y{i}.host, {', '.join(f'y{i}.t{j}' for j in range(1, DEPTH + 1))}, {rest}, coalesce(f{i}.merged, y{i}.m{i}) AS m{i}, labelled, bad
+  FROM y{i} LEFT JOIN f{i} USING ({every}))"""
     mk = ", ".join(ms)
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(v, h + q, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{q}'))") for v, h, q in longest]
