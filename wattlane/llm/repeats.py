@@ -11,14 +11,14 @@ look at the windows themselves.  Grams thin the rows that are shuffled to about
 aggregates and joined (AQE can split such joins), never gathered.
 
 A segment travels as one long: 15 bits of a text's own hash (rows that share a
-doc_id but differ in text stay apart), 36 bits of the first window, 12 bits of
-the number of windows.  A segment that stands at several places of one text is
-shuffled once; the text itself tells the other places when it is rewritten.
+doc_id but differ in text stay apart), 1 bit "stands at several places of this
+text", 35 bits of the first window, 12 bits of the number of windows.  A segment
+that stands at several places of one text is shuffled once; the text itself
+tells the other places when it is rewritten.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattlane.llm.common import cut
+
 U = np.uint64
 NO_ID = -(1 << 63)
 #: Odd multipliers of the polynomial hashes (modulo 2**64) and of the final mixing.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-RUN_BITS, AT_BITS = 12, 36
+RUN_BITS, AT_BITS = 12, 35
+TAG_AT = RUN_BITS + AT_BITS + 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,13 +48,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=4)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse."""
+    """Powers of a base and of its inverse, at least ``n`` of them; the longest table so far is kept."""
+    if which in _tables and len(_tables[which][0]) >= n:
+        return _tables[which]
+    n = 1 << max(16, (n - 1).bit_length())
     base = BASES[which]
-    inverse = pow(base, -1, 1 << 64)
     out = []
-    for b in (base, inverse):
+    for b in (base, pow(base, -1, 1 << 64)):
         p = np.empty(n, U)
         p[0] = 1
         done = 1
@@ -60,15 +67,15 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[done:done + step] = p[:step] * U(pow(b, done, 1 << 64))
             done += step
         out.append(p)
-    return out[0], out[1]
+    _tables[which] = out[0], out[1]
+    return _tables[which]
 
 
 class Hasher:
     """Hashes of any stretch of one array of units, in constant time each."""
 
     def __init__(self, units: np.ndarray, which: int = 0):
-        size = 1 << max(12, int(len(units)).bit_length())
-        powers, self.inverse = _powers(which, size)
+        powers, self.inverse = _powers(which, len(units) + 1)
         self.prefix = np.zeros(len(units) + 1, U)
         np.cumsum(units * powers[:len(units)], out=self.prefix[1:])
 
@@ -118,13 +125,18 @@ def tag_of(data: bytes) -> int:
     return zlib.crc32(data) & 0x7FFF
 
 
-def pack(tag: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (np.int64(tag) << (AT_BITS + RUN_BITS)) | (first.astype(np.int64) << RUN_BITS) | count.astype(np.int64)
+def pack(tag: int, again: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (np.int64(tag) << TAG_AT) | (again.astype(np.int64) << (TAG_AT - 1)) | (first.astype(np.int64) << RUN_BITS) | count.astype(np.int64)
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tag, first window, windows)."""
-    return packed >> (AT_BITS + RUN_BITS), (packed >> RUN_BITS) & ((1 << AT_BITS) - 1), packed & ((1 << RUN_BITS) - 1)
+    return packed >> TAG_AT, (packed >> RUN_BITS) & ((1 << AT_BITS) - 1), packed & ((1 << RUN_BITS) - 1)
+
+
+#: The parts of a packed segment in SQL; {} is the column.
+SQL_TAG, SQL_AGAIN = f"shiftright({{}}, {TAG_AT})", f"(shiftright({{}}, {TAG_AT - 1}) & 1L)"
+SQL_FIRST, SQL_COUNT = f"(shiftright({{}}, {RUN_BITS}) & {(1 << AT_BITS) - 1}L)", f"({{}} & {(1 << RUN_BITS) - 1}L)"
 
 
 def local_copies(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +145,19 @@ def local_copies(anchor: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, n
     return first[inverse], n[inverse]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that a task holds few whole texts as Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, z): texts under zstd, which halves what the two joins by doc_id shuffle. Null: the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             z = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
@@ -154,41 +173,34 @@ def occurrences(docs: DataFrame, units_of, length: int, gram: int) -> DataFrame:
     """(anchor, content, doc_id, segment): each distinct segment of each text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
-            held = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 anchor, content, first, count, _ = segments(units_of(data), length, gram)
                 if len(anchor):
-                    own = np.unique(local_copies(anchor, content)[0])
+                    copy_of, times = local_copies(anchor, content)
+                    own = np.flatnonzero(copy_of == np.arange(len(anchor)))
                     for to, a in zip(out, (anchor[own].view(np.int64), (content[own] >> U(32)).astype(np.uint32).view(np.int32),
-                                           np.full(len(own), doc_id, np.int64), pack(tag_of(data), first[own], count[own])), strict=True):
+                                           np.full(len(own), doc_id, np.int64), pack(tag_of(data), times[own] > 1, first[own], count[own])), strict=True):
                         to.append(a)
-                    held += len(own)
-                if held > 100_000:
-                    yield _rows(out)
-                    out, held = [[], [], [], []], 0
-            if held:
-                yield _rows(out)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "content", "doc_id", "segment"])
 
     return keyed(docs).mapInArrow(run, "anchor long, content int, doc_id long, segment long")
 
 
-def _rows(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "content", "doc_id", "segment"])
-
-
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """The occurrences whose anchor stands in more than one of them."""
-    twice = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    """The occurrences whose anchor stands in more than one of them, or that stand at several places of their text."""
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.expr(SQL_AGAIN.format("segment"))).alias("again"))
+    twice = cut(twice.where("n > 1 or again = 1").select("anchor"), "anchors")  # written, so that AQE can split the join
     return found.join(twice, "anchor", "leftsemi")
 
 
 def contents(candidates: DataFrame) -> DataFrame:
     """(anchor, content, first, last, mixed): first and last place of each content; whether its anchor has other contents."""
     place = F.struct("doc_id", "segment")
-    own = candidates.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    own = cut(candidates.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max(place).alias("last")), "contents")
     kinds = candidates.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-    mixed = kinds.where("lo <> hi").select("anchor", F.lit(True).alias("mixed"))
+    mixed = cut(kinds.where("lo <> hi").select("anchor", F.lit(True).alias("mixed")), "mixed")
     return own.join(mixed, "anchor", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))

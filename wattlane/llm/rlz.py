@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import cut
-from wattlane.llm.repeats import (AT_BITS, BASES, NO_ID, RUN_BITS, U, Hasher, contents, local_copies, occurrences, packed_texts,
-                                  repeated_anchors, segments, tag_of, unpack)
+from wattlane.llm.repeats import (AT_BITS, BASES, NO_ID, SQL_AGAIN, SQL_COUNT, SQL_FIRST, SQL_TAG, U, Hasher, contents, local_copies,
+                                  occurrences, packed_texts, repeated_anchors, segments, slices, tag_of, unpack)
 
 WORDS, GRAM = 20, 8
 #: The white space between words.
@@ -60,7 +60,7 @@ def index_windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             for doc_id, z, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = unpress.decompress(z)
                 tag, first, count = unpack(np.unique(np.array(found, np.int64)))
@@ -86,39 +86,42 @@ def duplicate_sources(docs: DataFrame, texts: DataFrame) -> DataFrame:
     # whole segments that stand earlier
     whole = (found.join(known.select("anchor", "content", "first"), ["anchor", "content"]).where(here > F.col("first"))
              .selectExpr("doc_id", "segment", "first.doc_id src_doc", "first.segment src"))
-    span = (1 << AT_BITS) - 1
-    runs = whole.selectExpr("doc_id", f"shiftright(segment, {AT_BITS + RUN_BITS}) tag", f"shiftright(segment, {RUN_BITS}) & {span}L at",
-                            f"segment & {(1 << RUN_BITS) - 1}L windows", "src_doc", f"shiftright(src, {RUN_BITS}) & {span}L src_at")
+    runs = whole.selectExpr("doc_id", f"{SQL_TAG.format('segment')} tag", f"{SQL_FIRST.format('segment')} at",
+                            f"{SQL_COUNT.format('segment')} windows", "src_doc", f"{SQL_FIRST.format('src')} src_at")
+    # no windows: a mark that the text repeats segments of its own
+    marks = found.where(f"{SQL_AGAIN.format('segment')} = 1").selectExpr(
+        "doc_id", f"{SQL_TAG.format('segment')} tag", "0L at", "0L windows", "0L src_doc", "0L src_at")
     # first stands of contents whose anchor also has other contents: ask the index window by window
     wanted = known.where("mixed").select("first.doc_id", "first.segment")
     windows = cut(index_windows(texts, wanted), "rlz-windows")
     index = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
-    index = index.where("first < last").select("h1", "h2", "first")
+    index = cut(index.where("first < last").select("h1", "h2", "first"), "rlz-index")
+    first_of = (1 << AT_BITS) - 1
     hits = (windows.join(index, ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-            .selectExpr("doc_id", f"shiftright(at, {AT_BITS}) tag", f"at & {span}L at", "1L windows", "first.doc_id src_doc",
-                        f"first.at & {span}L src_at"))
-    return runs.union(hits)
+            .selectExpr("doc_id", f"shiftright(at, {AT_BITS}) tag", f"at & {first_of}L at", "1L windows", "first.doc_id src_doc",
+                        f"first.at & {first_of}L src_at"))
+    return runs.union(hits).union(marks)
 
 
 def factors(data: bytes, doc_id: int, at: np.ndarray, windows: np.ndarray, src_doc: np.ndarray, src_at: np.ndarray):
     """Greedy factors of one document: (first word, words, reference document, its first word)."""
-    n = len(word_bounds(data)[0])
-    if n < WORDS:
+    if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none
+    n = len(word_bounds(data)[0])
     doc = np.full(n - WORDS + 1, NO_ID, np.int64)
     source = np.full(n - WORDS + 1, -1, np.int64)
-    if len(at):
-        each = np.repeat(np.arange(len(at)), windows)
-        offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
-        doc[at[each] + offset] = src_doc[each]
-        source[at[each] + offset] = src_at[each] + offset
-    anchor, content, first, count, _ = segments(word_units(data), WORDS, GRAM)
-    copy_of, _ = local_copies(anchor, content) if len(anchor) else (anchor, anchor)
-    for i in np.flatnonzero(copy_of != np.arange(len(anchor))):  # later places of a segment of this very text
-        f, g, c = first[i], first[copy_of[i]], count[i]
-        doc[f:f + c] = doc_id
-        source[f:f + c] = np.arange(g, g + c)
+    each = np.repeat(np.arange(len(at)), windows)
+    offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
+    doc[at[each] + offset] = src_doc[each]
+    source[at[each] + offset] = src_at[each] + offset
+    if (windows == 0).any():  # later places of a segment of this very text
+        anchor, content, first, count, _ = segments(word_units(data), WORDS, GRAM)
+        copy_of, _ = local_copies(anchor, content)
+        for i in np.flatnonzero(copy_of != np.arange(len(anchor))):
+            f, g, c = first[i], first[copy_of[i]], count[i]
+            doc[f:f + c] = doc_id
+            source[f:f + c] = np.arange(g, g + c)
     found = np.flatnonzero(source >= 0)
     if not len(found):
         return found, found, found, found
@@ -136,21 +139,19 @@ def _per_text(docs: DataFrame, schema: str, emit) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = []
-                lists = part.column(2)
-                flat = np.stack([lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5)]) if lists.null_count < len(lists) else None
-                size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                end = np.cumsum(size)
-                for i, (doc_id, z) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    data = unpress.decompress(z)
-                    own = flat[:, end[i] - size[i]:end[i]] if size[i] else np.zeros((5, 0), np.int64)
-                    own = own[1:, own[0] == tag_of(data)]
-                    rows += emit(None if doc_id == NO_ID else doc_id, data, factors(data, doc_id, *own))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+        for part in slices(batches):
+            rows = []
+            lists = part.column(2)
+            flat = np.stack([lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5)]) if lists.null_count < len(lists) else None
+            size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            end = np.cumsum(size)
+            for i, (doc_id, z) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                data = unpress.decompress(z)
+                own = flat[:, end[i] - size[i]:end[i]] if size[i] else np.zeros((5, 0), np.int64)
+                own = own[1:, own[0] == tag_of(data)]
+                rows += emit(None if doc_id == NO_ID else doc_id, data, factors(data, doc_id, *own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
     names = [c.split(" ")[0] for c in schema.split(", ")]
     return texts.join(by_doc, "doc_id", "left").select("doc_id", "z", "found").mapInArrow(run, schema)
@@ -162,12 +163,21 @@ def _factor_rows(doc_id, data, found):
 
 def kept_words(data: bytes, first: np.ndarray, size: np.ndarray) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by a space)."""
+    if not len(first):
+        words = data.split()  # of bytes: the same white space
+        return len(words), 0, b" ".join(words)
     start, end = word_bounds(data)
     change = np.zeros(len(start) + 1, np.int64)
     np.add.at(change, first, 1)
     np.add.at(change, first + size, -1)
     gone = np.cumsum(change[:-1]) > 0
-    kept = b" ".join([data[s:e] for s, e in zip(start[~gone].tolist(), end[~gone].tolist(), strict=True)])
+    # the bytes of kept words, each with the one byte behind it made a space
+    out = np.append(np.frombuffer(data, np.uint8), np.uint8(0x20))
+    out[end] = 0x20
+    edge = np.zeros(len(out) + 1, np.int8)
+    edge[start[~gone]] = 1
+    edge[end[~gone] + 1] -= 1
+    kept = out[np.cumsum(edge[:-1]) > 0].tobytes()[:-1]
     return len(start), int(gone.sum()), kept
 
 

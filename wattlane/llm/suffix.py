@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import cut
-from wattlane.llm.repeats import (NO_ID, RUN_BITS, U, Hasher, contents, local_copies, occurrences, packed_texts, repeated_anchors,
-                                  segments, tag_of, unpack)
+from wattlane.llm.repeats import (NO_ID, SQL_AGAIN, SQL_COUNT, U, Hasher, contents, local_copies, occurrences, packed_texts,
+                                  repeated_anchors, segments, slices, tag_of, unpack)
 
 BYTES, GRAM = 400, 64
 BLOCK_STRINGS, ANCHOR_STRINGS = 4000, 20_000
@@ -142,7 +142,7 @@ def segment_strings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             for doc_id, z, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = unpress.decompress(z)
                 packed = np.unique(np.array([f["segment"] for f in found], np.int64))
@@ -216,15 +216,17 @@ def counted_repeats(strings: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, segment, start, windows): windows of a segment (from its first one) that start somewhere else too."""
     found = cut(repeated_anchors(occurrences(docs, byte_units, BYTES, GRAM)), "suffix")
-    known = cut(contents(found), "suffix-contents")
+    known = contents(found)
     copies = known.where("first < last").select("anchor", "content")
     whole = (found.join(copies, ["anchor", "content"], "leftsemi")
-             .selectExpr("doc_id", "segment", "0L start", f"segment & {(1 << RUN_BITS) - 1}L windows"))
+             .selectExpr("doc_id", "segment", "0L start", f"{SQL_COUNT.format('segment')} windows"))
+    # no windows: a mark that the text repeats segments of its own
+    marks = found.where(f"{SQL_AGAIN.format('segment')} = 1").selectExpr("doc_id", "segment", "0L start", "0L windows")
     mixed = known.where("mixed").select("anchor", "first.doc_id", "first.segment")
     strings = segment_strings(texts, mixed.select("doc_id", "segment"))
     huge = mixed.groupBy("anchor").count().where(f"count > {ANCHOR_STRINGS}").select("anchor")
     strings = cut(strings, "suffix-strings")
-    return (whole.union(block_repeats(strings.join(huge, "anchor", "leftanti").select("anchor", "doc_id", "segment", "before", "string")))
+    return (whole.union(marks).union(block_repeats(strings.join(huge, "anchor", "leftanti").select("anchor", "doc_id", "segment", "before", "string")))
             .union(counted_repeats(strings.join(huge, "anchor", "leftsemi").select("anchor", "doc_id", "segment", "before", "string"))))
 
 
@@ -237,13 +239,12 @@ def removed_bytes(data: bytes, segment: np.ndarray, start: np.ndarray, windows:
         np.add.at(change, at, 1)
         np.add.at(change, at + count + BYTES - 1, -1)
 
-    if n >= BYTES:
-        _, first, _ = unpack(segment)
-        add(first + start, windows)
+    some = windows > 0
+    add(unpack(segment[some])[1] + start[some], windows[some])
+    if not some.all():  # segments that stand at several places of this very text
         anchor, content, at, count, _ = segments(byte_units(data), BYTES, GRAM)
         _, times = local_copies(anchor, content)
-        own = times > 1  # stands at several places of this very text
-        add(at[own], count[own])
+        add(at[times > 1], count[times > 1])
     return np.cumsum(change[:-1]) > 0
 
 
@@ -254,17 +255,15 @@ def _per_text(docs: DataFrame, schema: str, emit) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = []
-                for doc_id, z, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    data = unpress.decompress(z)
-                    own = np.array([[f["segment"], f["start"], f["windows"]] for f in found or ()], np.int64).reshape(-1, 3)
-                    own = own[unpack(own[:, 0])[0] == tag_of(data)]
-                    rows += emit(None if doc_id == NO_ID else doc_id, data, removed_bytes(data, *own.T))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+        for part in slices(batches):
+            rows = []
+            for doc_id, z, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                data = unpress.decompress(z)
+                own = np.array([[f["segment"], f["start"], f["windows"]] for f in found or ()], np.int64).reshape(-1, 3)
+                own = own[unpack(own[:, 0])[0] == tag_of(data)]
+                rows += emit(None if doc_id == NO_ID else doc_id, data, removed_bytes(data, *own.T))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
     return texts.join(by_doc, "doc_id", "left").select("doc_id", "z", "found").mapInArrow(run, schema)
 
