@@ -243,7 +243,9 @@ SQL_READING_COLS = 'series_id, ts, arrival_no, Power_Consumption, voltage, "curr
 
 def q_read_readings_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "csv")
-    RD.write_readings_csv(load_readings(spark, d, "event_type"), path)
+    # other column order, and a column that the schema does not know
+    r = load_readings(spark, d, "event_type")
+    RD.write_readings_csv(r.select(*reversed(r.columns), F.lit("x").alias("note")), path)
     schema = ("series_id STRING, ts TIMESTAMP_NTZ, arrival_no BIGINT, Power_Consumption DOUBLE, "
               "voltage DOUBLE, current DOUBLE, temperature DOUBLE, humidity DOUBLE")
     return RD.read_readings_csv(spark, path, schema=schema)
@@ -254,8 +256,9 @@ register("read_readings_csv", f"SELECT {SQL_READING_COLS} FROM {sql_readings('ev
 
 def request_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Request bodies built from events: k % 10 = 0 null, 1 a lone object,
-    2 junk, 3 an empty array, 4 a truncated array, otherwise a two-point array
-    mixing numbers and numeric text."""
+    2 junk or an array with junk behind it, 3 an empty array, 4 a truncated
+    array, otherwise a two-point array mixing numbers and numeric text (at times
+    with white space around it)."""
     e = events(spark, d)
     k = k_col()
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -273,7 +276,9 @@ def request_bodies(spark: SparkSession, d: str) -> DataFrame:
                   F.lit('", "temperature": 21.5, "humidity": 40}'))
     body = (F.when(k % 10 == 0, F.lit(None).cast("string"))
             .when(k % 10 == 1, p1)
-            .when(k % 10 == 2, F.lit("junk"))
+            .when(k % 20 == 2, F.lit("junk"))
+            .when(k % 20 == 12, F.concat(F.lit("["), p1, F.lit("] junk")))
+            .when(k % 20 == 15, F.concat(F.lit("\n\t["), p1, F.lit(", "), p2, F.lit("]\n")))
             .when(k % 10 == 3, F.lit(" [] "))
             .when(k % 10 == 4, F.concat(F.lit("["), p1))
             .otherwise(F.concat(F.lit("["), p1, F.lit(", "), p2, F.lit("]"))))
@@ -308,8 +313,8 @@ def q_parse_reading_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 register("parse_reading_rejects", f"""
 SELECT event_id AS request_id,
-       CASE k % 10 WHEN 0 THEN 'null_body' WHEN 1 THEN 'not_an_array' WHEN 2 THEN 'not_an_array'
-                   WHEN 3 THEN 'empty_array' ELSE 'invalid_json' END AS reason
+       CASE WHEN k % 20 = 12 THEN 'invalid_json' ELSE CASE k % 10 WHEN 0 THEN 'null_body' WHEN 1 THEN 'not_an_array'
+                   WHEN 2 THEN 'not_an_array' WHEN 3 THEN 'empty_array' ELSE 'invalid_json' END END AS reason
 FROM {SQL_EVENTS_K} e WHERE k % 10 <= 4
 """)(q_parse_reading_rejects)
 
@@ -399,27 +404,33 @@ register("drop_duplicate_rows", f"""SELECT DISTINCT * FROM (
 def q_parse_timestamp(spark: SparkSession, d: str) -> DataFrame:
     k = k_col()
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    text = (F.when(k % 4 == 0, F.concat(iso, F.lit("Z")))
-            .when(k % 4 == 1, F.concat(iso, F.lit("+02:00")))
-            .when(k % 4 == 2, iso).otherwise(F.lit("not a time")))
+    text = (F.when(k % 8 == 0, F.concat(iso, F.lit("Z")))
+            .when(k % 8 == 1, F.concat(iso, F.lit("+02:00")))
+            .when(k % 8 == 2, iso).when(k % 8 == 3, F.lit("not a time"))
+            .when(k % 8 == 4, F.lit("12:30")).when(k % 8 == 5, F.lit("T12:30:00"))
+            .when(k % 8 == 6, F.concat(F.lit(" "), iso)).otherwise(F.date_format("ts", "yyyy-MM-dd")))
     return events(spark, d).select("event_id", TXT.parse_timestamp(text).cast("timestamp_ntz").alias("parsed"))
 
 
 register("parse_timestamp", f"""
-SELECT event_id, CASE k % 4 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts END AS parsed
+SELECT event_id, CASE k % 8 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts WHEN 6 THEN ts
+       WHEN 7 THEN date_trunc('day', ts) END AS parsed
 FROM {SQL_EVENTS_K} e""")(q_parse_timestamp)
 
 
 def numeric_text():
     k = k_col()
     v = F.format_string("%.2f", F.col("value"))
-    return (F.when(k % 6 == 0, v).when(k % 6 == 1, F.concat(F.lit(" "), v))
-            .when(k % 6 == 2, F.concat(v, F.lit("abc"))).when(k % 6 == 3, F.lit("NaN"))
-            .when(k % 6 == 4, F.lit("")).otherwise(F.lit("1e3")))
+    return (F.when(k % 10 == 0, v).when(k % 10 == 1, F.concat(F.lit(" "), v))
+            .when(k % 10 == 2, F.concat(v, F.lit("abc"))).when(k % 10 == 3, F.lit("NaN"))
+            .when(k % 10 == 4, F.lit("")).when(k % 10 == 5, F.lit("1e3"))
+            .when(k % 10 == 6, F.concat(v, F.lit("d"))).when(k % 10 == 7, F.concat(v, F.lit("f")))
+            .when(k % 10 == 8, F.lit("0x10")).otherwise(F.lit("1.5D")))
 
 
-SQL_NUMERIC_TEXT = """CASE k % 6 WHEN 0 THEN printf('%.2f', value) WHEN 1 THEN ' ' || printf('%.2f', value)
-       WHEN 2 THEN printf('%.2f', value) || 'abc' WHEN 3 THEN 'NaN' WHEN 4 THEN '' ELSE '1e3' END"""
+SQL_NUMERIC_TEXT = """CASE k % 10 WHEN 0 THEN printf('%.2f', value) WHEN 1 THEN ' ' || printf('%.2f', value)
+       WHEN 2 THEN printf('%.2f', value) || 'abc' WHEN 3 THEN 'NaN' WHEN 4 THEN '' WHEN 5 THEN '1e3'
+       WHEN 6 THEN printf('%.2f', value) || 'd' WHEN 7 THEN printf('%.2f', value) || 'f' WHEN 8 THEN 'zero' ELSE '1.5D' END"""
 
 
 def q_coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
@@ -553,8 +564,10 @@ FROM {sql_weather()} w""")(q_first_non_null_name)
 def response_text():
     k = k_col()
     kt = F.get_json_object("props", "$.k")
-    return (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, kt)
-            .when(k % 4 == 2, F.concat(kt, F.lit("x"))).otherwise(F.concat(F.lit(" "), kt, F.lit(" "))))
+    return (F.when(k % 8 == 0, F.lit(" \n")).when(k % 8 == 1, kt)
+            .when(k % 8 == 2, F.concat(kt, F.lit("x"))).when(k % 8 == 3, F.concat(F.lit(" "), kt, F.lit(" ")))
+            .when(k % 8 == 4, F.concat(kt, F.lit("d"))).when(k % 8 == 5, F.lit("inf"))
+            .when(k % 8 == 6, F.lit("-Infinity")).otherwise(F.lit("0x1F")))
 
 
 def q_valid_prediction(spark: SparkSession, d: str) -> DataFrame:
@@ -563,7 +576,8 @@ def q_valid_prediction(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("valid_prediction", f"""SELECT event_id, x IS NOT NULL AS valid, x AS prediction FROM (
-  SELECT event_id, CASE k % 4 WHEN 0 THEN 0.0::DOUBLE WHEN 2 THEN NULL ELSE CAST(k AS DOUBLE) END AS x
+  SELECT event_id, CASE k % 8 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN CAST(k AS DOUBLE) WHEN 3 THEN CAST(k AS DOUBLE)
+         WHEN 6 THEN '-Infinity'::DOUBLE WHEN 7 THEN 31.0::DOUBLE END AS x
   FROM {SQL_EVENTS_K} e) t""")(q_valid_prediction)
 
 
@@ -773,22 +787,35 @@ TRAIN_RAW = ["Power_Consumption", "hour", "dow", "lag_1", "lag_24"]
 TRAIN_DBL = ["sin_hour", "cos_hour", "rolling_3h"]
 
 
+def delivered(spark: SparkSession, d: str, series_key: str = "event_type") -> DataFrame:
+    """Readings of which every tenth was delivered again under a later arrival number."""
+    r = load_readings(spark, d, series_key)
+    again = r.where("arrival_no % 10 = 3").withColumn("arrival_no", F.col("arrival_no") + 1_000_000_000)
+    return r.unionByName(again)
+
+
+def sql_delivered(series_key: str = "event_type") -> str:
+    return f"""(SELECT * FROM {sql_readings(series_key)} a UNION ALL BY NAME
+  SELECT * REPLACE (arrival_no + 1000000000 AS arrival_no) FROM {sql_readings(series_key)} b WHERE arrival_no % 10 = 3)"""
+
+
 def sql_training(series_key: str = "event_type") -> str:
     return f"""(SELECT series_id, ts, arrival_no, {P}, voltage, "current", temperature, humidity,
   CAST(hour(ts) AS INTEGER) AS hour, CAST(dayofweek(ts) + 1 AS INTEGER) AS dow, {SQL_CYCLIC},
   lag({P}, 1) {sql_win()} AS lag_1, lag({P}, 24) {sql_win()} AS lag_24,
   avg({P}) {sql_win(frame=rows(3))} AS rolling_3h
-FROM (SELECT DISTINCT * FROM {sql_readings(series_key)} r0 WHERE {P} IS NOT NULL) r)"""
+FROM (SELECT series_id, ts, {P}, voltage, "current", temperature, humidity, min(arrival_no) AS arrival_no
+      FROM {sql_delivered(series_key)} r0 WHERE {P} IS NOT NULL GROUP BY ALL) r)"""
 
 
 register("training_features", sql_rounded(sql_training(), KEYCOLS + TRAIN_RAW, TRAIN_DBL))(
-    lambda spark, d: rounded(W.training_features(load_readings(spark, d, "event_type")), KEYCOLS + TRAIN_RAW, TRAIN_DBL))
+    lambda spark, d: rounded(W.training_features(delivered(spark, d)), KEYCOLS + TRAIN_RAW, TRAIN_DBL))
 
 register("training_lags", f"SELECT series_id, ts, arrival_no, lag_1, lag_24 FROM {sql_training('user_id')} t")(
-    lambda spark, d: W.training_features(load_readings(spark, d, "user_id")).select(*KEYCOLS, "lag_1", "lag_24"))
+    lambda spark, d: W.training_features(delivered(spark, d, "user_id")).select(*KEYCOLS, "lag_1", "lag_24"))
 
 register("rolling_3h", sql_rounded(sql_training("user_id"), KEYCOLS, ["rolling_3h"]))(
-    lambda spark, d: rounded(W.training_features(load_readings(spark, d, "user_id")), KEYCOLS, ["rolling_3h"]))
+    lambda spark, d: rounded(W.training_features(delivered(spark, d, "user_id")), KEYCOLS, ["rolling_3h"]))
 
 
 def value_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -894,7 +921,7 @@ AVG_COLS = ["arrival_no", "Power_Consumption", "voltage", "current", "humidity",
 
 
 def q_avg_by(spark: SparkSession, d: str) -> DataFrame:
-    tf = W.training_features(load_readings(spark, d, "event_type"))
+    tf = W.training_features(delivered(spark, d))
     out = A.avg_by(tf, "temperature", AVG_COLS)
     return rounded(out, ["temperature"], [f"avg_{c}" for c in AVG_COLS])
 
@@ -1341,7 +1368,7 @@ def q_request_status(spark: SparkSession, d: str) -> DataFrame:
 register("request_status", f"""
 SELECT event_id AS request_id,
        CASE WHEN k % 10 >= 5 THEN CAST(24 AS BIGINT) END AS n_rows,
-       CASE k % 10 WHEN 0 THEN 'null_body' WHEN 1 THEN 'not_an_array' WHEN 2 THEN 'not_an_array'
-                   WHEN 3 THEN 'empty_array' WHEN 4 THEN 'invalid_json'
+       CASE WHEN k % 20 = 12 THEN 'invalid_json' WHEN k % 10 = 0 THEN 'null_body' WHEN k % 10 <= 2 THEN 'not_an_array'
+            WHEN k % 10 = 3 THEN 'empty_array' WHEN k % 10 = 4 THEN 'invalid_json'
                    ELSE CASE WHEN k % 7 = 0 OR k % 9 = 0 THEN 'invalid_input' ELSE 'insufficient_history' END END AS status
 FROM {SQL_EVENTS_K} e""")(q_request_status)

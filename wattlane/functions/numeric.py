@@ -11,9 +11,14 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+# decimal text, or a name of an infinite or missing value; a Java type suffix (12d, 1.5F) is not a number
+_NUMBER = r"(?i)^\s*([+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?inf(inity)?|nan)\s*$"
+
+
 def coerce_numeric(c: Column) -> Column:
     """Text or number → DOUBLE; anything unparsable becomes NULL (never raises)."""
-    return nan_to_null(c.cast("string").try_cast("double"))
+    text = c.cast("string")
+    return nan_to_null(F.when(text.rlike(_NUMBER), text.try_cast("double")))
 
 
 def default_if_missing(c: Column, default: float, zero_is_missing: bool = True) -> Column:
@@ -86,11 +91,18 @@ def format_fixed(c: Column, decimals: int) -> Column:
 def valid_prediction(text: Column) -> Column:
     """Accept a numeric or numeric-looking response.
 
-    Number() semantics: blank text is 0, text that is not a number (or NaN)
-    is rejected.  Returns ``struct(valid BOOLEAN, prediction DOUBLE)``.
+    Number() semantics: blank text is 0; decimal text, ``Infinity`` (in this
+    spelling) and unsigned ``0x``/``0o``/``0b`` integers of up to 63 bits count;
+    anything else (or NaN) is rejected.  Returns ``struct(valid BOOLEAN,
+    prediction DOUBLE)``.
     """
-    t = F.trim(text.cast("string"))
-    value = F.when(t == "", F.lit(0.0)).otherwise(nan_to_null(t.try_cast("double")))
+    t = F.btrim(text.cast("string"), F.lit(" \t\n\r\x0b\x0c\u00a0\ufeff"))
+    value = (F.when(t == "", F.lit(0.0))
+             .when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+             .when(t.rlike("^[+]?Infinity$"), F.lit(float("inf")))
+             .when(t == "-Infinity", F.lit(float("-inf"))))
+    for base, pattern in ((16, "^0[xX][0-9a-fA-F]+$"), (8, "^0[oO][0-7]+$"), (2, "^0[bB][01]+$")):
+        value = value.when(t.rlike(pattern), F.conv(F.substr(t, F.lit(3)), base, 10).try_cast("double"))
     return F.struct(value.isNotNull().alias("valid"), value.alias("prediction"))
 
 

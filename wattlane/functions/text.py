@@ -15,8 +15,10 @@ _ITEM_PREFIX = (r"(?:^|,)\s*([+-]?(?:Infinity|(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)
 
 def parse_timestamp(c: Column, as_of: Column | None = None) -> Column:
     """Each value parsed on its own (ISO with ``Z``, offsets or no zone);
-    junk becomes NULL, or the caller's ``as_of`` when given (no wall clock)."""
-    parsed = F.try_to_timestamp(c.cast("string"))
+    junk, and text without a date (which a cast would complete with today's),
+    becomes NULL, or the caller's ``as_of`` when given (no wall clock)."""
+    text = c.cast("string")
+    parsed = F.when(text.rlike(r"^\s*[+-]?\d{4,7}(-\d|\s*$)"), F.try_to_timestamp(text))
     return parsed if as_of is None else F.coalesce(parsed, as_of)
 
 

@@ -82,11 +82,12 @@ def impute_mean_or_default(df: DataFrame, keys: Sequence[str] = KEYS,
     return out.select(*cols)
 
 
-def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fail before any job when a column is missing."""
-    missing = [c for c in columns if c not in df.columns]
+def require_columns(df: DataFrame | Sequence[str], columns: Sequence[str]) -> DataFrame | Sequence[str]:
+    """Fail before any job when a column of the frame (or name of the list) is missing."""
+    present = set(df.columns if isinstance(df, DataFrame) else df)
+    missing = [c for c in columns if c not in present]
     if missing:
-        raise ValueError(f"Missing feature columns: {missing}")
+        raise ValueError(f"the frame lacks {', '.join(missing)}")
     return df
 
 

@@ -54,11 +54,14 @@ def train_gbt(df: DataFrame, label: str = LABEL, **params) -> PipelineModel:
     return train_pipeline(df.dropna(subset=[label]), gbt(label=label, **params))
 
 
-def train_boosted(df: DataFrame, label: str = "Power_Consumption", **params) -> PipelineModel:
+def train_boosted(df: DataFrame, label: str = "Power_Consumption", drop_incomplete: bool = True,
+                  **params) -> PipelineModel:
     """M4: gradient-boosted trees on lag_1, lag_24, hour, dow, sin_hour,
     cos_hour (500 rounds, rate 0.05, depth 6 by default).  Same model family
-    as the original booster, not numerically the same algorithm."""
-    train = df.dropna(subset=BOOST_FEATURES + [label])
+    as the original booster, not numerically the same algorithm.  As there, a
+    row with a NULL in any column does not train; ``drop_incomplete=False``
+    drops only rows whose inputs or label are NULL."""
+    train = df.dropna(how="any") if drop_incomplete else df.dropna(subset=BOOST_FEATURES + [label])
     est = GBTRegressor(featuresCol="features", labelCol=label, **{**BOOST_PARAMS, **params})
     return Pipeline(stages=[assembler(BOOST_FEATURES), est]).fit(train)
 

@@ -175,9 +175,15 @@ def global_series_features(readings: DataFrame, chunk_rows: int = CHUNK_ROWS,
 def training_features(raw: DataFrame, keys: Sequence[str] = KEYS, target: str = POWER,
                       strategy: str = "auto", hot_rows: int = HOT_SERIES_ROWS,
                       chunk_rows: int = CHUNK_ROWS, num_partitions: int | None = None) -> DataFrame:
-    """Drop NULL target, full-row dedupe, parse ``ts``, hour, dow (Sunday
-    = 1), sin/cos hour, lag_1, lag_24, rolling_3h."""
-    df = drop_duplicate_rows(drop_null_target(raw, target))
+    """Drop NULL target, dedupe, parse ``ts``, hour, dow (Sunday = 1),
+    sin/cos hour, lag_1, lag_24, rolling_3h.
+
+    A re-delivered reading differs in nothing but our own ``arrival_no``; the
+    earliest arrival stays (a partial aggregate, then one shuffle)."""
+    df = drop_null_target(raw, target)
+    own = [c for c in df.columns if c != "arrival_no"]
+    df = (df.groupBy(*own).agg(F.min("arrival_no").alias("arrival_no")).select(*df.columns)
+          if "arrival_no" in df.columns else drop_duplicate_rows(df))
     if "ts" not in df.columns:
         df = df.withColumn("ts", parse_timestamp(F.col("timestamp")))
 

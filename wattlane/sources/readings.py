@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattlane.functions.numeric import coerce_numeric
+from wattlane.operators.clean import require_columns
 from wattlane.functions.text import parse_timestamp
 
 TS_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # keep microseconds in text files
@@ -101,17 +102,24 @@ def hourly_readings(readings: DataFrame) -> DataFrame:
 
 # ---- S1 -----------------------------------------------------------------------
 
-def read_readings_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def read_readings_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                       infer_schema: bool = False, timestamp_col: str = "timestamp") -> DataFrame:
-    """CSV with a header row.  A declared schema avoids the inference pass; the
-    inference option is kept for files whose columns are unknown."""
+    """CSV with a header row.  Declared columns are found by their header name
+    (not by position) and read as text, then cast to their type (bad → NULL); a
+    file whose header differs from the first file's raises.  Columns the schema
+    does not name are left out, a missing one is an error.  The inference option
+    is kept for files whose columns are unknown."""
     reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
               .option("timestampNTZFormat", TS_TEXT).option("timestampFormat", TS_TEXT))
     if schema is not None:
-        reader = reader.schema(schema)
-    elif infer_schema:
-        reader = reader.option("inferSchema", True)
-    df = reader.csv(path)
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        header = reader.csv(path).columns
+        require_columns(header, [f.name for f in fields])
+        text = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+        raw = reader.option("enforceSchema", False).schema(text).csv(path)
+        df = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+    else:
+        df = reader.option("inferSchema", infer_schema).csv(path)
     if timestamp_col in df.columns and not isinstance(
             df.schema[timestamp_col].dataType, (T.TimestampType, T.TimestampNTZType)):
         df = df.withColumn(timestamp_col, parse_timestamp(F.col(timestamp_col)))
@@ -129,16 +137,19 @@ def parse_reading_batches(bodies: DataFrame, body_col: str = "body",
                           request_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """JSON request bodies → one row per point, plus a frame of rejected bodies.
 
-    A body is accepted only when it is a non-empty JSON array: a lone object,
-    junk, null and ``[]`` are rejected with a reason.  The position in the
+    A body is accepted only when it is a non-empty JSON array, with white space
+    around it at most: a lone object, junk (also behind an array), null and ``[]``
+    are rejected with a reason.  The position in the
     array becomes ``arrival_no``.  Values stay text until ``coerce_points``.
     """
     body = F.col(body_col)
     parsed = F.from_json(body, POINT_SCHEMA)
-    is_array = F.trim(body).startswith("[")
+    is_array = body.rlike(r"^\s*\[")
+    # as the only element of an array the whole body must parse: trailing text makes it invalid or a second element
+    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))), F.lit(0)) == 1
     reason = (F.when(body.isNull(), F.lit("null_body"))
               .when(~is_array, F.lit("not_an_array"))
-              .when(parsed.isNull(), F.lit("invalid_json"))
+              .when(parsed.isNull() | ~whole, F.lit("invalid_json"))
               .when(F.size(parsed) == 0, F.lit("empty_array")))
     tagged = bodies.select(F.col(request_col), body, parsed.alias("_points"), reason.alias("reason"))
     rejected = tagged.filter(F.col("reason").isNotNull()).select(request_col, body_col, "reason")
