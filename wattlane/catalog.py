@@ -722,9 +722,8 @@ register("decode_weather_code_join", SQL_DECODE)(
 
 
 def q_attach_current_weather(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    r = load_readings(spark, d, "user_id").join(
-        e.select(F.col("event_id").alias("arrival_no"), WX.location_of_user(F.col("user_id")).alias("location")), "arrival_no")
+    r = load_readings(spark, d, "user_id")
+    r = r.withColumn("location", WX.location_of_user(F.col("series_id").cast("long")))  # the series key is the user
     out = J.attach_current_weather(r, weather(spark, d))
     return out.select(*KEYCOLS, "location", "temperature", "humidity", "wind_speed", "weather_description",
                       "location_name", "obs_ts")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattlane.config import (HUMIDITY_DEFAULT, MIN_FEATURE_ROWS, POWER_DEFAULT,
                              SEQUENCE_FEATURES, SEQUENCE_LENGTH, TEMPERATURE_DEFAULT)
 from wattlane.plans.keys import join_on_keys
+from wattlane.plans.ordering import count_series, maybe_broadcast
 
 KEYS = ("series_id",)
 READING_COLUMNS = ("ts", "Power_Consumption", "voltage", "current", "temperature", "humidity")
@@ -59,16 +60,26 @@ def series_means(df: DataFrame, keys: Sequence[str] = KEYS,
 
 
 def impute_mean_or_default(df: DataFrame, keys: Sequence[str] = KEYS,
-                           all_null_default: bool = False) -> DataFrame:
+                           all_null_default: bool = False, n_series: int | None = None) -> DataFrame:
     """temperature/humidity NULL → series mean, or 20/50 when that mean is
     exactly 0 (``mean() or default``); an all-NULL column stays NULL unless
-    ``all_null_default``.  Target NULL → 0."""
+    ``all_null_default``.  Target NULL → 0.
+
+    The means (one row per series) are broadcast behind their measured count
+    (``n_series``, counted here unless given), so the readings are not shuffled
+    for them and a hot series is not gathered; beyond the limit it is a shuffle
+    join, which AQE can split."""
     keys = list(keys)
-    means = series_means(df, keys)
-    out = join_on_keys(df, means, keys, "left")
+    n = count_series(df, keys).n_series if n_series is None else n_series
+    return fill_from_means(join_on_keys(df, maybe_broadcast(series_means(df, keys), n), keys, "left"),
+                           df.columns, all_null_default)
+
+
+def fill_from_means(out: DataFrame, columns: Sequence[str], all_null_default: bool = False) -> DataFrame:
+    """The filling of P7 on a frame that carries its series' means."""
     fills = {"temperature": TEMPERATURE_DEFAULT, "humidity": HUMIDITY_DEFAULT}
     cols = []
-    for c in df.columns:
+    for c in columns:
         if c in fills:
             m = F.col(f"mean_{c}")
             fill = F.when(m == 0, F.lit(fills[c])).otherwise(m)

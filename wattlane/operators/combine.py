@@ -14,6 +14,7 @@ from wattlane.functions.text import first_non_null_name
 from wattlane.operators.clean import KEYS
 from wattlane.sources.weather import describe_weather_code, weather_code_table
 from wattlane.plans.keys import join_on_keys
+from wattlane.plans.ordering import maybe_broadcast
 
 PAD_DEFAULTS = {
     "Power_Consumption": POWER_DEFAULT,
@@ -49,7 +50,9 @@ def attach_current_weather(readings: DataFrame, weather: DataFrame,
                            location_col: str = "location") -> DataFrame:
     """Stamp the current observation of the reading's location on every
     reading; temperature/humidity take ``x || default`` (0 counts as missing);
-    the code is decoded and a display name chosen (P14)."""
+    the code is decoded and a display name chosen (P14).  The newest observation
+    per location is broadcast behind the measured number of locations: the
+    readings are not shuffled onto a few location keys."""
     obs = latest_observation(weather, location_col).select(
         location_col,
         F.col("ts").alias("obs_ts"),
@@ -60,7 +63,8 @@ def attach_current_weather(readings: DataFrame, weather: DataFrame,
         first_non_null_name(F.col("city"), F.col("town"), F.col("village")).alias("location_name"),
     )
     base = readings.drop("temperature", "humidity")
-    out = base.join(obs, location_col, "left")
+    n_locations = weather.select(F.count_distinct(location_col)).first()[0]
+    out = base.join(maybe_broadcast(obs, n_locations), location_col, "left")
     return out.select(*base.columns,
                       default_if_missing(F.col("_temp"), TEMPERATURE_DEFAULT).alias("temperature"),
                       default_if_missing(F.col("_hum"), HUMIDITY_DEFAULT).alias("humidity"),

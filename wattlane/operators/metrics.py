@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from wattlane.config import HOT_SERIES_ROWS, VALIDATION_FRACTION
 from wattlane.operators.clean import KEYS
-from wattlane.plans.keys import join_on_keys
-from wattlane.plans.ordering import ORDER, series_row_number
+from wattlane.plans.ordering import ORDER, SeriesCounts, series_row_number
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -78,14 +77,13 @@ def actual_vs_predicted(df: DataFrame, actual: str = "y", predicted: str = "pred
 
 def time_split(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
                validation_fraction: float = VALIDATION_FRACTION,
-               hot_rows: int = HOT_SERIES_ROWS, strategy: str = "auto") -> DataFrame:
+               hot_rows: int = HOT_SERIES_ROWS, strategy: str = "auto", counts: SeriesCounts | None = None) -> DataFrame:
     """The newest ``validation_fraction`` of each series, unshuffled, is
     ``validation``: a row is ``train`` when its 0-based position is below
-    ``floor(n · (1 − fraction))``."""
-    keys = list(keys)
-    numbered = series_row_number(df, keys, order, strategy=strategy, hot_rows=hot_rows)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ``floor(n · (1 − fraction))``.  Position and size come from one
+    partitioning of the rows."""
+    numbered = series_row_number(df, list(keys), order, strategy=strategy, hot_rows=hot_rows, size_col="_n", counts=counts)
     cut = F.floor(F.col("_n") * F.lit(1.0 - validation_fraction))
-    return (join_on_keys(numbered, counts, keys)
+    return (numbered
             .withColumn("split", F.when(F.col("rn") < cut, F.lit("train")).otherwise(F.lit("validation")))
             .drop("_n"))

@@ -21,7 +21,7 @@ from wattlane.functions.calendar import (calendar_columns, cyclic_hour, dow_sund
 from wattlane.functions.text import parse_timestamp
 from wattlane.operators.clean import (KEYS, drop_duplicate_rows, drop_null_target,
                                       drop_warmup_rows, impute_mean_or_default, rename_target)
-from wattlane.plans.ordering import ORDER, hot_keys, over_series
+from wattlane.plans.ordering import ORDER, SeriesCounts, count_series, over_series
 
 POWER = "Power_Consumption"
 
@@ -145,16 +145,15 @@ def serving_features(readings: DataFrame, keys: Sequence[str] = KEYS, impute: bo
     frames → interactions → rename → drop warm-up rows, for every series in
     one plan."""
     keys = list(keys)
-    df = impute_mean_or_default(readings, keys) if impute else readings
+    # one count on the raw readings (key columns only) serves the means join and the window plan
+    counts = count_series(readings, keys, hot_rows) if strategy != "plain" or impute else None
+    df = impute_mean_or_default(readings, keys, n_series=counts.n_series) if impute else readings
     base = df.select(*keys, "ts", "arrival_no", POWER, "voltage", "current", "temperature", "humidity")
 
     def fn(f: DataFrame, s: WindowSpec) -> DataFrame:
         return f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
 
-    # imputation keeps the rows of every series, so hot series are counted on
-    # the raw readings (key column only) rather than above the means join
-    hot = hot_keys(readings, keys, hot_rows) if strategy == "auto" else None
-    feats = over_series(base, keys, fn, halo=max(max(ENERGY_LAGS), LONG_FRAME - 1), hot=hot,
+    feats = over_series(base, keys, fn, halo=max(max(ENERGY_LAGS), LONG_FRAME - 1), counts=counts,
                         **_plan(strategy, hot_rows, chunk_rows, num_partitions))
     if drop_warmup:
         feats = drop_warmup_rows(feats)
@@ -199,14 +198,14 @@ def training_features(raw: DataFrame, keys: Sequence[str] = KEYS, target: str =
 def with_horizon(features: DataFrame, horizon: int = 0, label: str = "energy_kwh",
                  out_col: str = "label", keys: Sequence[str] = KEYS, strategy: str = "auto",
                  hot_rows: int = HOT_SERIES_ROWS, chunk_rows: int = CHUNK_ROWS,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, counts: SeriesCounts | None = None) -> DataFrame:
     """The training label.  ``horizon=0`` is the same-row value (the
     stored tree models' behaviour); ``horizon=h`` is the value ``h`` rows
     later (``lead``), NULL for the last ``h`` rows of a series."""
     if horizon == 0:
         return features.withColumn(out_col, F.col(label))
     return over_series(features, keys, lambda f, s: f.select("*", F.lead(F.col(label), horizon).over(s).alias(out_col)),
-                       halo=0, lookahead=horizon, **_plan(strategy, hot_rows, chunk_rows, num_partitions))
+                       halo=0, lookahead=horizon, counts=counts, **_plan(strategy, hot_rows, chunk_rows, num_partitions))
 
 
 def sort_by_time(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:

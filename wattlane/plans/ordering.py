@@ -19,6 +19,7 @@ Lags and framed aggregates are row-positional within a series ordered by
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -85,17 +86,11 @@ def plain_window(keys: Sequence[str], order: Sequence[str] = ORDER) -> WindowSpe
 def range_partitions(df: DataFrame, rows: int | None = None,
                      target_rows: int = RANGE_PARTITION_ROWS) -> int:
     """Tasks for numbering and for the chunk windows: one per ``target_rows``
-    rows when the row count is known (hot-key counts), else as many as the
-    input has (file splits follow data size), never fewer than the shuffle
-    setting."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if rows is not None:
-        return max(n, -(-int(rows) // max(int(target_rows), 1)))
-    try:
-        return max(n, df.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - no RDD view (remote session)
-        return n
+    rows (counted here unless the caller knows them from its key counts),
+    never fewer than the shuffle setting."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count() if rows is None else int(rows)
+    return max(n, -(-rows // max(int(target_rows), 1)))
 
 
 def chunked_apply(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
@@ -112,22 +107,28 @@ def chunked_apply(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
     return out if keep_position else out.drop("_g")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Series with more than ``hot_rows`` rows and their row counts ``_n``; at
-    most total/hot_rows keys."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > F.lit(hot_rows)))
+@dataclass(frozen=True)
+class SeriesCounts:
+    """What one pass over the key columns tells: the hot series (a table of at
+    most rows / hot_rows keys) and four numbers."""
+
+    hot: DataFrame
+    n_series: int
+    n_rows: int
+    n_hot: int
+    hot_row_count: int
 
 
-def _hot_summary(hot: DataFrame) -> tuple[int, int]:
-    """(number of hot keys, rows in them): two numbers from the hot table."""
-    if "_n" not in hot.columns:
-        hot = hot.withColumn("_n", F.lit(None).cast("long"))
-    row = hot.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+def count_series(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_SERIES_ROWS) -> SeriesCounts:
+    """Count on the cheapest frame that has the series' rows (only the key
+    columns are read) and pass the result to whatever runs above it."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    is_hot = F.col("_n") > F.lit(hot_rows)
+    row = sizes.agg(F.count(F.lit(1)), F.sum("_n"), F.count_if(is_hot), F.sum(F.when(is_hot, F.col("_n")))).first()
+    return SeriesCounts(sizes.filter(is_hot).select(*keys), *[int(x or 0) for x in row])
 
 
-def _maybe_broadcast(keys_df: DataFrame, n_keys: int) -> DataFrame:
+def maybe_broadcast(keys_df: DataFrame, n_keys: int) -> DataFrame:
     """Broadcast the key set only behind its measured size; above the limit
     the join stays a shuffle join (AQE may still pick broadcast at run time)."""
     return F.broadcast(keys_df) if n_keys <= BROADCAST_KEYS_LIMIT else keys_df
@@ -137,28 +138,28 @@ def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
                 order: Sequence[str] = ORDER, strategy: str = "auto",
                 hot_rows: int = HOT_SERIES_ROWS, chunk_rows: int = CHUNK_ROWS,
                 num_partitions: int | None = None, lookahead: int = 0,
-                hot: DataFrame | None = None) -> DataFrame:
+                counts: SeriesCounts | None = None) -> DataFrame:
     """Apply ``fn(frame, window_spec)`` positionally within every series.
 
     ``fn`` must add columns with ``select('*', ...)`` over the given ordered
     window spec (use ``spec.rowsBetween`` for frames) and keep all others.
     ``halo`` is the deepest look-back in rows, ``lookahead`` the furthest
-    look-ahead (``lead``).  ``hot`` may pass hot keys counted upstream (on a
-    cheaper frame with the same rows per series).
+    look-ahead (``lead``).  ``counts`` may pass what ``count_series`` found
+    upstream, on a cheaper frame with (about) the same rows per series.
     """
     keys = list(keys)
     if strategy == "plain":
         return fn(df, plain_window(keys, order))
     if strategy == "chunked":
-        return chunked_apply(df, keys, fn, halo, order, chunk_rows, num_partitions, lookahead=lookahead)
+        return chunked_apply(df, keys, fn, halo, order, chunk_rows, num_partitions, lookahead=lookahead,
+                             rows=None if counts is None else counts.n_rows)
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
-    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
-    n_hot, total = _hot_summary(hot)
-    if n_hot == 0:
+    counts = count_series(df, keys, hot_rows) if counts is None else counts
+    if counts.n_hot == 0:
         return fn(df, plain_window(keys, order))
-    hot_b = _maybe_broadcast(hot.select(*keys), n_hot)  # at most total_rows / hot_rows keys
-    total = total or None
+    hot_b = maybe_broadcast(counts.hot, counts.n_hot)  # at most total_rows / hot_rows keys
+    total = counts.hot_row_count
     cold_part = fn(join_on_keys(df, hot_b, keys, "left_anti"), plain_window(keys, order))
     hot_part = chunked_apply(join_on_keys(df, hot_b, keys, "left_semi"), keys, fn, halo, order,
                              chunk_rows, num_partitions, lookahead=lookahead, rows=total)
@@ -167,8 +168,10 @@ def over_series(df: DataFrame, keys: Sequence[str], fn: FeatureFn, halo: int,
 
 def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER,
                       strategy: str = "auto", hot_rows: int = HOT_SERIES_ROWS,
-                      num_partitions: int | None = None, col: str = "rn") -> DataFrame:
-    """0-based position of each row within its series.
+                      num_partitions: int | None = None, col: str = "rn", size_col: str | None = None,
+                      counts: SeriesCounts | None = None) -> DataFrame:
+    """0-based position of each row within its series, and on demand the
+    series' row count (``size_col``), over the same partitioning.
 
     Hot series get it from the global position minus the series start; the
     start table has one row per hot series and is broadcast behind its
@@ -177,24 +180,24 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str] =
     keys = list(keys)
 
     def plain(frame: DataFrame) -> DataFrame:
-        return frame.withColumn(col, (F.row_number().over(plain_window(keys, order)) - 1).cast("long"))
+        frame = frame.withColumn(col, (F.row_number().over(plain_window(keys, order)) - 1).cast("long"))
+        return frame.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if size_col else frame
 
-    def chunked(frame: DataFrame, bounded: int | None, rows: int | None = None) -> DataFrame:
+    def chunked(frame: DataFrame, n_keys: int, rows: int) -> DataFrame:
         n = num_partitions or range_partitions(frame, rows)
         pos = global_position(frame, [*keys, *order], n)
-        starts = pos.groupBy(*keys).agg(F.min("_g").alias("_start"))
-        starts = _maybe_broadcast(starts, bounded) if bounded is not None else starts
+        size = [F.count(F.lit(1)).alias(size_col)] if size_col else []
+        starts = maybe_broadcast(pos.groupBy(*keys).agg(F.min("_g").alias("_start"), *size), n_keys)
         return (join_on_keys(pos, starts, keys).withColumn(col, (F.col("_g") - F.col("_start")).cast("long"))
                 .drop("_g", "_start"))
 
     if strategy == "plain":
         return plain(df)
+    counts = count_series(df, keys, hot_rows) if counts is None else counts
     if strategy == "chunked":
-        return chunked(df, bounded=None)
-    hot = hot_keys(df, keys, hot_rows)
-    n_hot, total = _hot_summary(hot)
-    if n_hot == 0:
+        return chunked(df, counts.n_series, counts.n_rows)
+    if counts.n_hot == 0:
         return plain(df)
-    hot_b = _maybe_broadcast(hot.select(*keys), n_hot)
+    hot_b = maybe_broadcast(counts.hot, counts.n_hot)
     return plain(join_on_keys(df, hot_b, keys, "left_anti")).unionByName(
-        chunked(join_on_keys(df, hot_b, keys, "left_semi"), bounded=n_hot, rows=total))
+        chunked(join_on_keys(df, hot_b, keys, "left_semi"), counts.n_hot, counts.hot_row_count))
