@@ -1,102 +1,106 @@
+import math
 import uuid
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import frame, hourly
 from wattlane.operators import windows as W
+from wattlane.operators.score import fit_forecast_models, score_series
 from wattlane.session import ensure_checkpoint_dir
-from wattlane.streaming.stream import run_stream_to_table, stage_stream_input
+from wattlane.streaming.state import StateTable
+from wattlane.streaming.stream import replay, run_stream, stream_counts, time_slices
 
+T0 = datetime(2024, 1, 1)
 
-def _run(spark, readings, slices):
+
+def run(spark, sliced, n, models=None, columns=("Power_Consumption",), **plan):
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    r = readings.select("series_id", "ts", "arrival_no", "Power_Consumption")
-    stage_stream_input(r, f"{base}/in", slices)
-    return run_stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema)
+    r = sliced.select("series_id", "ts", "arrival_no", *columns, "_slice")
+    replay(r, f"{base}/in", n, lambda: run_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt",
+                                                   r.drop("_slice").schema, models, **plan))
+    counts = {x.series_id: (x.n_seen, x.late_rows) for x in stream_counts(spark, f"{base}/state").collect()}
+    return spark.read.parquet(f"{base}/out").collect(), counts, base
+
 
+def slices(spark, *batches):
+    out = None
+    for k, rows in enumerate(batches):
+        part = frame(spark, rows).withColumn("_slice", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-def test_stream_equals_batch_for_in_order_input(spark):
-    rows = hourly(spark, 300, power=lambda i: float(i % 17)) + hourly(spark, 250, series="t", arrival_base=1000,
-                                                                       power=lambda i: float(i % 5))
+
+@pytest.mark.parametrize("plan", [{}, {"hot_rows": 100, "chunk_rows": 200}])
+def test_stream_equals_batch_for_in_order_input(spark, plan):
+    rows = hourly(spark, 300, power=lambda i: float(i % 17)) + hourly(spark, 250, series="t", arrival_base=1000, power=lambda i: float(i % 5))
     df = frame(spark, rows)
-    out = _run(spark, df, [("2024-01-01", "2024-01-04"), ("2024-01-04", "2024-01-09"), ("2024-01-09", "2030-01-01")])
+    got, counts, _ = run(spark, time_slices(df, 3), 3, **plan)
     batch = {r["arrival_no"]: r for r in W.serving_features(df, impute=False, drop_warmup=False).collect()}
-    got = out.collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and counts == {"s": (300, 0), "t": (250, 0)}
     for r in got:
         b = batch[r["arrival_no"]]
         for c in ("energy_lag_1", "energy_lag_24", "energy_lag_168", "energy_min_24h", "energy_max_24h"):
             assert r[c] == b[c], (c, r["arrival_no"])
         for c in ("energy_mean_24h", "energy_std_24h", "energy_mean_7d", "energy_std_7d"):
             assert (r[c] is None and b[c] is None) or abs(r[c] - b[c]) < 1e-9, (c, r[c], b[c])
-        assert r["late_rows"] == 0
 
 
-def test_stream_drops_late_rows_and_duplicates(spark):
-    t = datetime(2024, 1, 1)
-    first = [("s", t + timedelta(hours=i), i, float(i), 0.0, 0.0, 0.0, 0.0) for i in range(10)]
-    later = [("s", t + timedelta(hours=10 + i), 10 + i, float(10 + i), 0.0, 0.0, 0.0, 0.0) for i in range(5)]
-    late = [("s", t + timedelta(hours=3, minutes=30), 99, 99.0, 0.0, 0.0, 0.0, 0.0)]
-    dup = [later[0]]
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    for batch in (first, later + late + dup):
-        frame(spark, batch).select("series_id", "ts", "arrival_no", "Power_Consumption") \
-            .coalesce(1).write.mode("append").parquet(f"{base}/in")
-    schema = frame(spark, first).select("series_id", "ts", "arrival_no", "Power_Consumption").schema
-    out = run_stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", schema).collect()
-    ids = sorted(r["arrival_no"] for r in out)
-    assert ids == list(range(15))
-    last = max(out, key=lambda r: r["arrival_no"])
-    assert last["late_rows"] == 1
-    assert last["energy_lag_1"] == 13.0
+def reading(series, hours, no, power=1.0):
+    ts = None if hours is None else T0 + timedelta(hours=hours)
+    return (series, ts, no, power, 0.0, 0.0, 0.0, 0.0)
 
 
-def test_scoring_stream_final_responses_equal_batch_scores(spark):
-    import math
+def test_slow_late_repeated_and_unstamped_rows_are_placed_or_counted(spark):
+    first = [reading("s", i, i, float(i)) for i in range(10)]
+    # ``slow`` is nine days behind ``s``: in order for itself, so nothing of it is late
+    slow = [reading("slow", i - 216, 500 + i) for i in range(15)]
+    later = [reading("s", 10 + i, 10 + i, float(10 + i)) for i in range(5)]
+    late = [reading("s", 3.5, 99), later[0], later[0], reading("s", None, 98)]
+    only_late = [reading("s", 1.5, 97), reading("u", None, 900)]
+    got, counts, _ = run(spark, slices(spark, first, later + late + slow[:8], only_late + slow[8:]), 3)
+    ids = sorted(r["arrival_no"] for r in got)
+    assert ids == [*range(15), *range(500, 515)]
+    assert counts == {"s": (15, 5), "slow": (15, 0), "u": (0, 1)}
+    last = max((r for r in got if r["series_id"] == "s"), key=lambda r: r["arrival_no"])
+    assert last["energy_lag_1"] == 13.0 and last["late_rows"] == 4
 
-    from wattlane.operators.score import fit_forecast_models, score_series
-    from wattlane.streaming.stream import run_scoring_stream
 
+def test_scoring_stream_final_responses_equal_batch_scores(spark):
     rows = []
-    for s, base in (("a", 0), ("b", 10000)):
-        rows += hourly(spark, 260, series=s, arrival_base=base,
-                       power=lambda i: round(10 + 3 * math.sin(i / 5.0) + (i % 4), 2))
-    rows = [r[:6] + ((None if r[2] % 9 == 0 else 15.0 + r[2] % 7),) + r[7:] for r in rows]
+    for s, base in (("a", 0), ("b", 10000), ("blind", 20000)):
+        rows += hourly(spark, 260, series=s, arrival_base=base, power=lambda i: round(10 + 3 * math.sin(i / 5.0) + (i % 4), 2))
+    rows = [r[:6] + ((None if r[2] % 9 == 0 or r[0] == "blind" else 15.0 + r[2] % 7),) + r[7:] for r in rows]
     df = frame(spark, rows)
-    models = fit_forecast_models(W.serving_features(df), rf_params={"numTrees": 3, "maxDepth": 3},
+    models = fit_forecast_models(W.serving_features(df.where("series_id <> 'blind'")), rf_params={"numTrees": 3, "maxDepth": 3},
                                  gbt_params={"maxIter": 3, "maxDepth": 3})
-    base = f"{ensure_checkpoint_dir(spark)}/scoring-{uuid.uuid4().hex}"
-    r = df.select("series_id", "ts", "arrival_no", "Power_Consumption", "temperature", "humidity")
-    stage_stream_input(r, f"{base}/in", [("2024-01-01", "2024-01-03"), ("2024-01-03", "2024-01-08"),
-                                         ("2024-01-08", "2030-01-01")])
-    out = run_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema, models).collect()
-    assert len(out) == 6  # one response per series per micro-batch
+    out, _, _ = run(spark, time_slices(df, 3), 3, models, ("Power_Consumption", "temperature", "humidity"))
+    assert len(out) == 9  # one response per series per micro-batch
     first = {x["series_id"]: x for x in out if x["epoch"] == 0}
     assert first["a"]["status"] == "missing_lag" and first["a"]["prediction"] is None
     final = {x["series_id"]: x for x in out if x["epoch"] == 2}
     batch = {x["series_id"]: x for x in score_series(df, models, mode="impute").collect()}
+    # a series without any temperature neither fails the others nor gets a score, in batch and stream alike
+    assert final["blind"]["status"] == batch["blind"]["status"] == "invalid_input" and batch["blind"]["prediction"] is None
     for s in ("a", "b"):
         assert final[s]["status"] == batch[s]["status"] == "scored"
         for c in ("rf_pred", "gbt_pred", "seq_pred", "prediction"):
             assert abs(final[s][c] - batch[s][c]) < 1e-6, (s, c, final[s][c], batch[s][c])
 
 
-def test_table_state_stream_late_rows_and_hot_series(spark):
-    from wattlane.streaming.stream import run_table_state_stream
-    t = datetime(2024, 1, 1)
-    first = [("s", t + timedelta(hours=i), i, float(i), 0.0, 0.0, 0.0, 0.0) for i in range(200)]
-    later = [("s", t + timedelta(hours=200 + i), 200 + i, float(200 + i), 0.0, 0.0, 0.0, 0.0) for i in range(50)]
-    late = [("s", t + timedelta(hours=3, minutes=30), 999, 99.0, 0.0, 0.0, 0.0, 0.0)]
-    base = f"{ensure_checkpoint_dir(spark)}/tstream-{uuid.uuid4().hex}"
-    for batch in (first, later + late + [later[0]]):
-        frame(spark, batch).select("series_id", "ts", "arrival_no", "Power_Consumption") \
-            .coalesce(1).write.mode("append").parquet(f"{base}/in")
-    schema = frame(spark, first).select("series_id", "ts", "arrival_no", "Power_Consumption").schema
-    out = run_table_state_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt", schema,
-                                 hot_rows=100, chunk_rows=168).collect()
-    assert sorted(r["arrival_no"] for r in out) == list(range(250))
-    r249 = [r for r in out if r["arrival_no"] == 249][0]
-    assert r249["energy_lag_168"] == 81.0 and r249["energy_lag_1"] == 248.0
-    assert abs(r249["energy_mean_7d"] - sum(range(82, 250)) / 168) < 1e-9
-    assert r249["late_rows"] == 1
+def test_state_table_writes_touched_rows_compacts_and_replays(spark):
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    table = StateTable(spark, path, compact_every=4)
+    assert table.before(0) is None and table.stored() == []
+
+    def rows(**values):
+        return spark.createDataFrame(list(values.items()), "series_id string, v long")
+
+    for epoch in range(10):
+        table.write(epoch, rows(a=epoch, **({"b": epoch} if epoch % 3 == 0 else {})))
+    assert {r.series_id: r.v for r in table.latest().collect()} == {"a": 9, "b": 9}
+    assert {r.series_id: r.v for r in table.before(9).collect()} == {"a": 8, "b": 6}
+    table.write(9, rows(a=90))  # a replayed epoch replaces its own rows
+    assert {r.series_id: r.v for r in table.latest().collect()} == {"a": 90, "b": 6}
+    assert [e for e, _ in table.stored()] == [8, 9]  # what the full write of epoch 8 replaced is gone

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.config import HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT, WEATHER_CODES
+from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT, WEATHER_CODES
 from wattlane.functions import calendar as CAL
 from wattlane.functions import numeric as NUM
 from wattlane.functions import text as TXT
@@ -1101,10 +1101,37 @@ def q_save_load_model(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, KEYCOLS)
 
 
-def q_score_series(spark: SparkSession, d: str) -> DataFrame:
+def scored_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Long series, short series, and one long series (``blind``) without any temperature."""
+    long = load_readings(spark, d, "event_type")
+    blind = load_readings(spark, d, "constant").withColumns({"series_id": F.lit("blind"), "temperature": F.lit(None).cast("double")})
+    return long.unionByName(load_readings(spark, d, "user_event")).unionByName(blind)
+
+
+def sql_scored_readings() -> str:
+    return f"""(SELECT * FROM {sql_readings('event_type')} a UNION ALL SELECT * FROM {sql_readings('user_event')} b
+  UNION ALL SELECT * REPLACE ('blind' AS series_id, CAST(NULL AS DOUBLE) AS temperature) FROM {sql_readings('constant')} c)"""
+
+
+def with_blend_flag(df: DataFrame) -> DataFrame:
+    """``blend_ok``: exactly the scored series have a prediction, and it is the weighted sum of the three."""
+    blend = M.weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred"))
+    right = F.when(F.col("status") == "scored", F.abs(F.col("prediction") - blend) < 1e-9).otherwise(F.col("prediction").isNull())
+    return df.withColumn("blend_ok", F.coalesce(right, F.lit(False)))
+
+
+def q_score_series(spark: SparkSession, d: str, mode: str = "impute") -> DataFrame:
     models = SC.fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
-    readings = load_readings(spark, d, "event_type").unionByName(load_readings(spark, d, "user_event"))
-    return SC.score_series(readings, models, mode="impute")
+    out = SC.score_series(scored_readings(spark, d), models, mode=mode)
+    return with_blend_flag(out).select("series_id", "n_rows", "status", "scored_ts", "blend_ok")
+
+
+def sql_score_series(invalid: str) -> str:
+    return f"""SELECT series_id, n_rows, status, CASE WHEN status = 'scored' THEN newest END AS scored_ts, TRUE AS blend_ok FROM (
+  SELECT series_id, CAST(greatest(count(*), 24) AS BIGINT) AS n_rows, max(ts) AS newest,
+         CASE WHEN {invalid} THEN 'invalid_input' WHEN count(*) < 48 THEN 'insufficient_history'
+              WHEN count(*) <= 168 THEN 'missing_lag' ELSE 'scored' END AS status
+  FROM {sql_scored_readings()} r GROUP BY series_id) t"""
 
 
 register("train_random_forest")(q_train_random_forest)
@@ -1112,7 +1139,8 @@ register("train_gbt")(q_train_gbt)
 register("train_boosted")(q_train_boosted)
 register("train_sequence_model")(q_train_sequence_model)
 register("save_load_model")(q_save_load_model)
-register("score_series")(q_score_series)
+register("score_series", sql_score_series("bool_or(ts IS NULL) OR count(temperature) = 0 OR count(humidity) = 0"))(q_score_series)
+register("score_series_reject", sql_score_series(f"bool_or({ALL_NULL_CHECK})"))(lambda spark, d: q_score_series(spark, d, "reject"))
 
 
 # ---- M13 stream ------------------------------------------------------------------------------------
@@ -1121,17 +1149,25 @@ STREAM_DBL = ["energy_mean_24h", "energy_std_24h", "energy_mean_7d", "energy_std
 STREAM_RAW = ["energy_kwh", *LAG_COLS, "energy_min_24h", "energy_max_24h", "late_rows"]
 
 
+SLICES = 4
+
+
+def replayed(spark: SparkSession, readings: DataFrame, tag: str, models=None, hot_rows: int = HOT_SERIES_ROWS,
+             chunk_rows: int = CHUNK_ROWS, slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
+    """A table replayed as ordered micro-batches: (output rows, counts per series)."""
+    base = scratch_path(spark, tag)
+    sliced = readings if "_slice" in readings.columns else ST.time_slices(readings, slices)
+    schema = readings.drop("_slice").schema
+    ST.replay(sliced, f"{base}/in", slices, lambda: ST.run_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt", schema, models, hot_rows, chunk_rows))
+    return spark.read.parquet(f"{base}/out"), ST.stream_counts(spark, f"{base}/state")
+
+
 def q_score_stream(spark: SparkSession, d: str) -> DataFrame:
     """Readings replayed as a file stream in four time-ordered micro-batches;
-    per-series state carries the history between batches."""
+    the per-series state table carries the history between batches."""
     r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P)
-    base = scratch_path(spark, "stream")
-    slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
-              ("2024-01-22", "2100-01-01"), ("1900-01-01", "2024-01-01")]
-    ST.stage_stream_input(r, f"{base}/in", slices)
-    out = ST.run_stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema)
-    out = out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return rounded(out, KEYCOLS + STREAM_RAW, STREAM_DBL)
+    return rounded(replayed(spark, r, "stream")[0], KEYCOLS + STREAM_RAW, STREAM_DBL)
 
 
 register("score_stream", sql_rounded(f"""(SELECT series_id, ts, arrival_no, {P} AS energy_kwh,
@@ -1198,18 +1234,55 @@ register("scale_sequence_standard", sql_rounded(sql_standard_scaled(), KEYCOLS,
 
 
 def q_score_stream_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """M13 end to end: readings replayed as ordered micro-batches, per-series
-    state, ``foreachBatch`` scoring with the three models and the blend."""
+    """M13 end to end: readings replayed as ordered micro-batches (a series
+    without any temperature among them); the last response of each series, and
+    whether its blend is the weighted sum of the three predictions."""
     models = SC.fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
-    r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P, "temperature", "humidity")
-    base = scratch_path(spark, "scoring-stream")
-    slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
-              ("2024-01-22", "2100-01-01")]
-    ST.stage_stream_input(r, f"{base}/in", slices)
-    return ST.run_scoring_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", r.schema, models)
+    r = scored_readings(spark, d).select("series_id", "ts", "arrival_no", P, "temperature", "humidity")
+    out, _ = replayed(spark, r, "scoring-stream", models)
+    last = out.groupBy("series_id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "series_id"]), "epoch").alias("r")).select("series_id", "r.*")
+    return with_blend_flag(last).select("series_id", F.col("n_seen").alias("n_rows"), "late_rows", "status", "scored_ts", "blend_ok")
+
+
+register("score_stream_predictions", f"""SELECT series_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS late_rows,
+  CASE WHEN count(temperature) = 0 OR count(humidity) = 0 THEN 'invalid_input' WHEN count(*) < 48 THEN 'insufficient_history'
+       WHEN count(*) <= 168 THEN 'missing_lag' ELSE 'scored' END AS status,
+  CASE WHEN count(temperature) > 0 AND count(humidity) > 0 AND count(*) > 168 THEN max(ts) END AS scored_ts, TRUE AS blend_ok
+FROM {sql_scored_readings()} r GROUP BY series_id""")(q_score_stream_predictions)
+
+
+def late_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Six deliveries of the readings: four by time, the series ``view`` one delivery behind the others (its clock is slow,
+    none of its rows is late); every eleventh row of the other series comes two deliveries late, every thirteenth comes again
+    in the last one, which brings nothing else to most series."""
+    r = ST.time_slices(load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P), SLICES)
+    slow = F.col("series_id") == "view"
+    r = r.withColumn("_slice", F.when(slow, F.col("_slice") + 1).when(F.col("arrival_no") % 11 == 0, F.col("_slice") + 2).otherwise(F.col("_slice")))
+    again = r.where(~slow & (F.col("arrival_no") % 13 == 0)).withColumn("_slice", F.lit(5))
+    return r.unionByName(again)
+
+
+def q_score_stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Per series: rows delivered, rows that came out, rows counted as late; the last two make up the first."""
+    rows = late_deliveries(spark, d)
+    out, counts = replayed(spark, rows, "late-stream", slices=6)
+    read = rows.groupBy("series_id").agg(F.count("*").alias("n_read"))
+    emitted = out.groupBy("series_id").agg(F.count("*").alias("n_out"), F.count_distinct("arrival_no").alias("n_distinct"))
+    return (read.join(emitted, "series_id").join(counts, "series_id")
+            .select("series_id", "n_read", "n_out", "n_distinct", "n_seen", "late_rows", (F.col("n_out") + F.col("late_rows") == F.col("n_read")).alias("all_counted")))
 
 
-register("score_stream_predictions")(q_score_stream_predictions)
+register("score_stream_late", f"""
+WITH c AS (SELECT quantile_disc(epoch_us(ts), [0.25, 0.5, 0.75]) AS q FROM events),
+s AS (SELECT event_type AS series_id, ts, event_id AS no, (epoch_us(ts) > q[1])::INT + (epoch_us(ts) > q[2])::INT + (epoch_us(ts) > q[3])::INT AS k FROM events, c),
+t AS (SELECT series_id, ts, no, CASE WHEN series_id = 'view' THEN k + 1 WHEN no % 11 = 0 THEN k + 2 ELSE k END AS k FROM s),
+u AS (SELECT *, FALSE AS again FROM t UNION ALL SELECT series_id, ts, no, 5, TRUE FROM t WHERE series_id <> 'view' AND no % 13 = 0),
+w AS (SELECT *, max({{'ts': ts, 'no': no}}) OVER (PARTITION BY series_id ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest,
+             row_number() OVER (PARTITION BY series_id, k, no) AS copy FROM u),
+x AS (SELECT series_id, copy > 1 OR coalesce(newest >= {{'ts': ts, 'no': no}}, FALSE) AS late FROM w)
+SELECT series_id, count(*) AS n_read, count(*) FILTER (NOT late) AS n_out, count(*) FILTER (NOT late) AS n_distinct,
+       count(*) FILTER (NOT late) AS n_seen, count(*) FILTER (late) AS late_rows, TRUE AS all_counted
+FROM x GROUP BY series_id""")(q_score_stream_late)
 
 
 def q_stacker_time_split(spark: SparkSession, d: str) -> DataFrame:
@@ -1335,17 +1408,9 @@ FROM (SELECT event_id, {sql_parse_list("CASE WHEN k % 9 = 0 THEN (" + SQL_LONG_L
 
 
 def q_score_stream_table_state(spark: SparkSession, d: str) -> DataFrame:
-    """M13, table-state form: the same features as ``score_stream`` but each
-    micro-batch goes through the batch plan, so a series above ``hot_rows``
-    (here every series: 500) is chunked inside the micro-batch."""
+    """The same stream with every series hot: each one is chunked inside the micro-batch."""
     r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P)
-    base = scratch_path(spark, "table-stream")
-    slices = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"),
-              ("2024-01-22", "2100-01-01")]
-    ST.stage_stream_input(r, f"{base}/in", slices)
-    out = ST.run_table_state_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt",
-                                    r.schema, hot_rows=500, chunk_rows=512)
-    out = out.withColumn("late_rows", F.coalesce(F.col("late_rows"), F.lit(0)).cast("long"))
+    out, _ = replayed(spark, r, "hot-stream", hot_rows=500, chunk_rows=512)
     return rounded(out, KEYCOLS + STREAM_RAW, STREAM_DBL)
 
 

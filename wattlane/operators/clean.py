@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.config import (HUMIDITY_DEFAULT, MIN_FEATURE_ROWS, POWER_DEFAULT,
@@ -123,6 +123,15 @@ def drop_incomplete_rows(df: DataFrame) -> DataFrame:
     return df.dropna(how="any")
 
 
+def gate_status(n_rows: Column, invalid: Column, seq_len: int = SEQUENCE_LENGTH, deepest_lag: int = 168) -> Column:
+    """The one rule of batch and stream, over a series' row count (padding
+    included) and whether its input is invalid."""
+    return (F.when(invalid, F.lit("invalid_input"))
+            .when(n_rows - F.lit(seq_len) < F.lit(MIN_FEATURE_ROWS), F.lit("insufficient_history"))
+            .when(n_rows <= F.lit(deepest_lag), F.lit("missing_lag"))
+            .otherwise(F.lit("scored")))
+
+
 def history_status(readings: DataFrame, keys: Sequence[str] = KEYS,
                    columns: Sequence[str] = READING_COLUMNS,
                    seq_len: int = SEQUENCE_LENGTH, deepest_lag: int = 168) -> DataFrame:
@@ -137,10 +146,7 @@ def history_status(readings: DataFrame, keys: Sequence[str] = KEYS,
     """
     n = F.count(F.lit(1))
     feature_rows = F.greatest(n - F.lit(seq_len), F.lit(0))
-    status = (F.when(F.bool_or(_any_null(columns)), F.lit("invalid_input"))
-              .when(feature_rows < F.lit(MIN_FEATURE_ROWS), F.lit("insufficient_history"))
-              .when(n <= F.lit(deepest_lag), F.lit("missing_lag"))
-              .otherwise(F.lit("scored")))
+    status = gate_status(n, F.bool_or(_any_null(columns)), seq_len, deepest_lag)
     return readings.groupBy(*keys).agg(n.cast("long").alias("n_rows"),
                                        feature_rows.cast("long").alias("n_feature_rows"),
                                        status.alias("status"))
@@ -148,22 +154,23 @@ def history_status(readings: DataFrame, keys: Sequence[str] = KEYS,
 
 def series_gate(readings: DataFrame, keys: Sequence[str] = KEYS,
                 columns: Sequence[str] = READING_COLUMNS, seq_len: int = SEQUENCE_LENGTH,
-                deepest_lag: int = 168) -> DataFrame:
+                deepest_lag: int = 168, filled: Sequence[str] = (), keep: Sequence[Column] = ()) -> DataFrame:
     """P12 after J4, from one aggregate over the unpadded readings.
 
     Padding lifts a series of 1 ≤ n < ``seq_len`` rows to ``seq_len`` rows
     built from its first point with defaults, so it never adds a NULL the
     real rows do not already have and never lifts a series out of
     ``insufficient_history``.  Same result as ``history_status(pad_short_series(...))``
-    without materialising the padding.
+    without materialising the padding.  ``filled`` columns are imputed later:
+    only a series that has no value at all in one of them is invalid.  ``keep``
+    adds aggregates of the same pass.
     """
-    n = F.count(F.lit(1))
-    n_padded = F.greatest(n, F.lit(seq_len))
+    n_padded = F.greatest(F.count(F.lit(1)), F.lit(seq_len))
     feature_rows = F.greatest(n_padded - F.lit(seq_len), F.lit(0))
-    status = (F.when(F.bool_or(_any_null(columns)), F.lit("invalid_input"))
-              .when(feature_rows < F.lit(MIN_FEATURE_ROWS), F.lit("insufficient_history"))
-              .when(n_padded <= F.lit(deepest_lag), F.lit("missing_lag"))
-              .otherwise(F.lit("scored")))
+    invalid = F.bool_or(_any_null(columns))
+    for c in filled:
+        invalid = invalid | (F.count(c) == 0)
+    status = gate_status(n_padded, invalid, seq_len, deepest_lag)
     return readings.groupBy(*keys).agg(n_padded.cast("long").alias("n_rows"),
                                        feature_rows.cast("long").alias("n_feature_rows"),
-                                       status.alias("status"))
+                                       status.alias("status"), *keep)

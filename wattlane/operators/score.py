@@ -1,7 +1,7 @@
 """End-to-end scoring of every series in one plan (M12) and the model bundle.
 
-validate → pad → gate → impute → features → newest row to the tree models,
-newest 24×10 window to the sequence model → inverse-scale → blend.  Errors
+validate → pad → gate; newest rows → impute → features → newest row to the tree
+models, newest 24×10 window to the sequence model → inverse-scale → blend.  Errors
 become a ``status`` per series instead of exceptions; nothing is collected.
 """
 
@@ -17,16 +17,19 @@ from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, SEQUENCE_LENGTH
-from wattlane.operators.clean import KEYS, READING_COLUMNS, series_gate
+from wattlane.config import ENERGY_LAGS, LONG_FRAME, SEQUENCE_FEATURES, SEQUENCE_LENGTH, TREE_FEATURES
+from wattlane.operators.clean import KEYS, READING_COLUMNS, fill_from_means, series_gate
 from wattlane.operators.models import (flatten_sequence, save_model, score_trees,
                                        train_gbt, train_random_forest, train_sequence_model,
                                        weighted_ensemble)
 from wattlane.operators.sequences import (SequenceScaler, feature_windows, fit_scaler,
-                                          latest_sequence, scale_sequence, scaler_from_rows)
-from wattlane.operators.windows import last_n_rows, serving_features, with_horizon
+                                          scale_sequence, scaler_from_rows)
+from wattlane.operators.windows import last_n_rows, row_features, with_horizon
 from wattlane.plans.keys import join_on_keys
 
+#: Rows that the features of a series' newest ``SEQUENCE_LENGTH`` rows look back on.
+RECENT = max(max(ENERGY_LAGS), LONG_FRAME - 1) + SEQUENCE_LENGTH
+
 
 @dataclass
 class ForecastModels:
@@ -78,37 +81,56 @@ def fit_forecast_models(features: DataFrame, keys: Sequence[str] = KEYS,
     return ForecastModels(rf, gb, seq, scaler)
 
 
+def score_recent(recent: DataFrame, models: ForecastModels, keys: Sequence[str] = KEYS,
+                 seq_len: int = SEQUENCE_LENGTH, weights: dict | None = None) -> DataFrame:
+    """Predictions of series that passed the gate, from their newest ``RECENT``
+    rows (measures filled): one window for the features, one aggregate that
+    leaves a row per series with the newest features and the ``seq_len`` × 10
+    sequence, and both model families on that row."""
+    keys = list(keys)
+    feats = row_features(recent, keys)
+    tail = last_n_rows(feats, seq_len, keys)
+    place = F.struct("ts", "arrival_no")
+    step = F.struct("ts", "arrival_no", F.array(*[F.col(c).cast("double") for c in SEQUENCE_FEATURES]).alias("x"))
+    one = tail.groupBy(*keys).agg(F.max_by(F.struct("ts", *TREE_FEATURES), place).alias("_new"),
+                                  F.array_sort(F.collect_list(step)).alias("_steps"))  # at most seq_len steps
+    one = one.select(*keys, F.col("_new.ts").alias("scored_ts"), *[F.col(f"_new.{c}").alias(c) for c in TREE_FEATURES],
+                     F.transform("_steps", lambda s: s["x"]).alias("seq"))
+    one = one.dropna(subset=list(TREE_FEATURES)).filter(F.size("seq") == F.lit(seq_len))
+    trees = score_trees(one, models.rf, models.gbt)
+    scaled = trees.withColumn("seq_features", flatten_sequence(scale_sequence(F.col("seq"), models.scaler)))
+    scored = models.sequence.transform(scaled).withColumnRenamed("seq_pred", "_seq_scaled")
+    scored = scored.select(*keys, "scored_ts", "rf_pred", "gbt_pred",
+                           models.scaler.inverse_target(F.col("_seq_scaled")).alias("seq_pred"))
+    return scored.withColumn("prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred"), weights))
+
+
 def score_series(readings: DataFrame, models: ForecastModels, keys: Sequence[str] = KEYS,
-                 mode: str = "reject", seq_len: int = SEQUENCE_LENGTH, weights: dict | None = None,
-                 strategy: str = "auto", hot_rows: int = HOT_SERIES_ROWS,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                 mode: str = "reject", seq_len: int = SEQUENCE_LENGTH, weights: dict | None = None) -> DataFrame:
     """One row per series: ``status`` and, for scored series, the three
     base predictions and the blend.
 
     ``mode='reject'`` quarantines any series with a NULL (API parity);
-    ``mode='impute'`` fills NULLs instead and only rejects a missing stamp.
+    ``mode='impute'`` fills NULLs and rejects a series with a missing stamp, or
+    without a single temperature or humidity to fill from.
+
+    Only the newest ``RECENT`` rows of a series matter to its score.  They are
+    cut from the raw readings (a window-group limit ahead of the exchange, so a
+    hot series ships at most that many rows a task); gate and means come from
+    one partial aggregate over all rows.
     """
     keys = list(keys)
-    checked = READING_COLUMNS if mode == "reject" else ("ts",)
-    # validate → pad → gate in one aggregate; a scored series (≥ 169 rows) is
-    # never padded, so the features read the unpadded rows of scored series
-    status = series_gate(readings, keys, checked, seq_len)
-    ok = status.filter(F.col("status") == "scored").select(*keys)
-    feats = serving_features(join_on_keys(readings, ok, keys, "left_semi"), keys, impute=True,
-                             strategy=strategy, hot_rows=hot_rows, chunk_rows=chunk_rows)
-
-    # one window-group-limited tail per series feeds both model families
-    tail = last_n_rows(feats, seq_len, keys, rank_col="_recency")
-    newest = tail.filter(F.col("_recency") == 1).drop("_recency")
-    trees = score_trees(newest, models.rf, models.gbt).select(
-        *keys, F.col("ts").alias("scored_ts"), "rf_pred", "gbt_pred")
-
-    seqs = latest_sequence(tail.drop("_recency"), keys, seq_len=seq_len)
-    scaled = seqs.select(*keys, flatten_sequence(scale_sequence(F.col("seq"), models.scaler)).alias("seq_features"))
-    seq_scaled = models.sequence.transform(scaled).select(*keys, F.col("seq_pred").alias("_seq_scaled"))
-    seq_pred = seq_scaled.select(*keys, models.scaler.inverse_target(F.col("_seq_scaled")).alias("seq_pred"))
-
-    preds = join_on_keys(trees, seq_pred, keys, "inner").withColumn(
-        "prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred"), weights))
-    return join_on_keys(status, preds, keys, "left").select(
+    if mode not in ("reject", "impute"):
+        raise ValueError(f"unknown mode {mode!r}")
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("temperature", "humidity")]
+    if mode == "reject":
+        gate = series_gate(readings, keys, READING_COLUMNS, seq_len, keep=means)
+    else:
+        gate = series_gate(readings, keys, ("ts",), seq_len, filled=("temperature", "humidity"), keep=means)
+    columns = [*keys, "ts", "arrival_no", "Power_Consumption", "voltage", "current", "temperature", "humidity"]
+    recent = last_n_rows(readings.select(*columns), RECENT, keys)
+    ok = gate.filter(F.col("status") == "scored").drop("n_rows", "n_feature_rows", "status")
+    recent = fill_from_means(join_on_keys(recent, ok, keys), columns)
+    preds = score_recent(recent, models, keys, seq_len, weights)
+    return join_on_keys(gate.select(*keys, "n_rows", "status"), preds, keys, "left").select(
         *keys, "n_rows", "status", "scored_ts", "seq_pred", "rf_pred", "gbt_pred", "prediction")

@@ -21,7 +21,7 @@ from wattlane.functions.calendar import (calendar_columns, cyclic_hour, dow_sund
 from wattlane.functions.text import parse_timestamp
 from wattlane.operators.clean import (KEYS, drop_duplicate_rows, drop_null_target,
                                       drop_warmup_rows, impute_mean_or_default, rename_target)
-from wattlane.plans.ordering import ORDER, SeriesCounts, count_series, over_series
+from wattlane.plans.ordering import ORDER, SeriesCounts, count_series, over_series, plain_window
 
 POWER = "Power_Consumption"
 
@@ -137,6 +137,15 @@ def last_n_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS,
     return out.withColumnRenamed("_rank", rank_col) if rank_col else out.drop("_rank")
 
 
+def row_features(readings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The columns of W13 for frames that hold few rows per series (a tail, say):
+    plain windows, measures already filled, warm-up rows kept."""
+    s = plain_window(list(keys))
+    feats = readings.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
+    feats = feats.select("*", *calendar_columns("ts")).select("*", *flag_columns())
+    return rename_target(feats.select("*", *weather_interactions()))
+
+
 def serving_features(readings: DataFrame, keys: Sequence[str] = KEYS, impute: bool = True,
                      strategy: str = "auto", hot_rows: int = HOT_SERIES_ROWS,
                      chunk_rows: int = CHUNK_ROWS, num_partitions: int | None = None,

@@ -1,0 +1,71 @@
+"""Per-series state of a stream as a table of epochs.
+
+One row per series; its size is bounded by the caller.  Each epoch writes only
+the series it touched (``delta-<epoch>``); every ``compact_every`` epochs it
+writes all series instead (``full-<epoch>``) and drops what that makes
+superfluous.  The state before epoch n is each series' newest row of the last
+full table before n and the deltas between, so a replayed epoch reads the same
+state again and overwrites its own folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattlane.plans.keys import join_on_keys
+
+
+class StateTable:
+    def __init__(self, spark: SparkSession, path: str, key: str = "series_id", compact_every: int = 16):
+        self.spark, self.path, self.key, self.compact_every = spark, path.rstrip("/"), key, compact_every
+
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def stored(self) -> list[tuple[int, str]]:
+        """(epoch, folder) of every finished write; an absent folder is an empty state, any other trouble raises."""
+        fs, path = self._folder()
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        done = [n for n in names if n.startswith(("full-", "delta-")) and fs.exists(self._folder(f"{n}/_SUCCESS")[1])]
+        return sorted((int(n.rpartition("-")[2]), n) for n in done)
+
+    def needed(self, epoch: int) -> list[tuple[int, str]]:
+        """The writes that hold the state before ``epoch``."""
+        before = [w for w in self.stored() if w[0] < epoch]
+        fulls = [w[0] for w in before if w[1].startswith("full-")]
+        return [w for w in before if not fulls or w[0] > max(fulls) or w == (max(fulls), f"full-{max(fulls):09d}")]
+
+    def before(self, epoch: int) -> DataFrame | None:
+        """State rows before ``epoch``, one per series; None if nothing is stored."""
+        writes = self.needed(epoch)
+        if not writes:
+            return None
+        frames = [self.spark.read.parquet(f"{self.path}/{name}").withColumn("_epoch", F.lit(e)) for e, name in writes]
+        rows = frames[0]
+        for f in frames[1:]:
+            rows = rows.unionByName(f)
+        if len(frames) == 1:
+            return rows.drop("_epoch")
+        fields = [c for c in rows.columns if c != self.key]
+        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*fields), "_epoch").alias("_s"))
+        return newest.select(self.key, *[F.col(f"_s.{c}").alias(c) for c in fields if c != "_epoch"])
+
+    def write(self, epoch: int, touched: DataFrame) -> None:
+        """Store the touched series' rows of ``epoch``."""
+        previous = self.before(epoch)
+        compact = epoch % self.compact_every == 0
+        if compact and previous is not None:
+            touched = join_on_keys(previous, touched.select(self.key), [self.key], "left_anti").unionByName(touched)
+        touched.write.mode("overwrite").parquet(f"{self.path}/{'full' if compact else 'delta'}-{epoch:09d}")
+        keep = {name for _, name in self.needed(epoch)}  # a replay of this epoch still needs them
+        for e, name in self.stored():
+            if e < epoch and name not in keep:
+                fs, folder = self._folder(name)
+                fs.delete(folder, True)
+
+    def latest(self) -> DataFrame | None:
+        return self.before(1 << 62)

@@ -1,346 +1,164 @@
 """Streaming scorer.
 
-Readings arrive as a stream. Each series keeps bounded state: the newest
-power values, the newest ``seq_len`` stamps/temperatures/humidities, running
-weather sums and the last emitted stamp. Each arriving row leaves with its
-lag and rolling features. The newest row of each series in a micro-batch also
-carries the ``seq_len`` × 10 sequence window the sequence model needs.
-``foreachBatch`` scores those rows with the tree and sequence models; that
-gives one response per series per micro-batch.
-
-* ``dropDuplicatesWithinWatermark`` removes repeated deliveries.
-* ``applyInPandasWithState`` is keyed by series, so Spark's state-store
-  partitioning spreads the work.  The state size is fixed per series.
-* Rows older than the last emitted stamp of their series cannot be placed
-  positionally any more.  They are dropped and counted in ``late_rows``.
-  For in-order input the features equal the batch features.
-* Missing temperature/humidity are filled with the running mean of the
-  series (``mean or default`` as in batch).  At the last micro-batch this is
-  the whole-series mean, so the final response equals the batch scorer's.
+Readings arrive as a stream.  ``foreachBatch`` puts each micro-batch through the
+distributed batch plan: the stored newest rows of the touched series and the
+batch's rows together get their lag and rolling features (a hot series is
+chunked, not gathered), and each touched series gets one response from the
+models, by the code and the gate rule that batch scoring uses.
+
+* State: one row per series with its newest ``RECENT`` rows, running weather
+  sums and counters, in a ``StateTable``: an epoch writes only touched series.
+* Lateness is per series.  A row can be placed only behind the newest row of
+  its own series; a series whose clock lags the others loses nothing.
+* Every row read either comes out once or counts in ``late_rows``: stamped at
+  or before its series' newest placed row, delivered again, or without a stamp.
+  ``late_rows`` is cumulative per series and kept in the state, so a series with
+  nothing but late rows in an epoch is counted too (``stream_counts``).
+* Missing temperature/humidity take the running mean of the series (``mean or
+  default`` as in batch); after the last micro-batch this is the mean over all
+  its placed rows, so the final response equals the batch scorer's.
+* Outputs and state of an epoch go to folders of its own with overwrite: a
+  replayed epoch gives the same result.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from wattlane.config import (ENERGY_LAGS, HUMIDITY_DEFAULT, LONG_FRAME, MIN_FEATURE_ROWS,
-                             PEAK_HOURS, SEQUENCE_LENGTH, SHORT_FRAME, TEMPERATURE_DEFAULT,
-                             WEEKEND_DAYS)
-
-HISTORY = max(max(ENERGY_LAGS), LONG_FRAME - 1)
-KEEP = HISTORY + SEQUENCE_LENGTH  # power values kept: lags of the oldest row of a window
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("hist", T.ArrayType(T.DoubleType()), True),
-    T.StructField("ts_hist", T.ArrayType(T.TimestampType()), True),
-    T.StructField("temp_hist", T.ArrayType(T.DoubleType()), True),
-    T.StructField("hum_hist", T.ArrayType(T.DoubleType()), True),
-    T.StructField("t_sum", T.DoubleType(), True),
-    T.StructField("t_cnt", T.LongType(), True),
-    T.StructField("h_sum", T.DoubleType(), True),
-    T.StructField("h_cnt", T.LongType(), True),
-    T.StructField("n_seen", T.LongType(), True),
-    T.StructField("last_ts", T.TimestampType(), True),
-    T.StructField("last_no", T.LongType(), True),
-    T.StructField("late", T.LongType(), True),
-])
-
-OUT_FIELDS = (["energy_kwh"] + [f"energy_lag_{k}" for k in ENERGY_LAGS]
-              + ["energy_mean_24h", "energy_std_24h", "energy_min_24h", "energy_max_24h",
-                 "energy_mean_7d", "energy_std_7d", "temperature", "humidity"])
-
-OUTPUT_SCHEMA = T.StructType(
-    [T.StructField("series_id", T.StringType(), True),
-     T.StructField("ts", T.TimestampType(), True),
-     T.StructField("arrival_no", T.LongType(), True)]
-    + [T.StructField(c, T.DoubleType(), True) for c in OUT_FIELDS]
-    + [T.StructField("late_rows", T.LongType(), True),
-       T.StructField("n_seen", T.LongType(), True),
-       T.StructField("is_newest", T.BooleanType(), True),
-       T.StructField("seq_window", T.ArrayType(T.ArrayType(T.DoubleType())), True)])
-
-
-def _rolling(values: np.ndarray, start: int, width: int) -> dict[str, np.ndarray]:
-    s = pd.Series(values).rolling(width, min_periods=1)
-    return {"mean": s.mean().to_numpy()[start:], "std": s.std(ddof=1).to_numpy()[start:],
-            "min": s.min().to_numpy()[start:], "max": s.max().to_numpy()[start:]}
-
-
-def _fill(mean_sum: float, count: int, default: float) -> float:
-    """``mean() or default``: the default only when the mean is exactly 0."""
-    if not count:
-        return float("nan")
-    m = mean_sum / count
-    return default if m == 0 else m
-
-
-def _window(values: np.ndarray, stamps: list, temps: list, hums: list, t_fill: float, h_fill: float,
-            seq_len: int) -> list[list[float]]:
-    """The newest ``seq_len`` rows × the ten sequence features, oldest first."""
-    n = len(values)
-    out = []
-    for j in range(seq_len):
-        i = n - seq_len + j
-        ts = pd.Timestamp(stamps[j])
-        hour, dow = ts.hour, ts.dayofweek
-        t = temps[j] if temps[j] is not None and not math.isnan(temps[j]) else t_fill
-        h = hums[j] if hums[j] is not None and not math.isnan(hums[j]) else h_fill
-        lag1 = values[i - 1] if i >= 1 else float("nan")
-        lag24 = values[i - 24] if i >= 24 else float("nan")
-        mean24 = float(np.mean(values[max(0, i - SHORT_FRAME + 1): i + 1]))
-        out.append([float(values[i]), t, h, float(hour), float(dow), float(dow in WEEKEND_DAYS),
-                    float(PEAK_HOURS[0] <= hour <= PEAK_HOURS[1]), lag1, lag24, mean24])
-    return out
-
-
-def _features_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        (hist, ts_hist, temp_hist, hum_hist, t_sum, t_cnt, h_sum, h_cnt, n_seen,
-         last_ts, last_no, late) = state.get
-        hist, ts_hist = list(hist or []), list(ts_hist or [])
-        temp_hist, hum_hist = list(temp_hist or []), list(hum_hist or [])
-    else:
-        hist, ts_hist, temp_hist, hum_hist = [], [], [], []
-        t_sum, t_cnt, h_sum, h_cnt, n_seen, last_ts, last_no, late = 0.0, 0, 0.0, 0, 0, None, None, 0
-    pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(["ts", "arrival_no"], kind="mergesort").reset_index(drop=True)
-    if last_ts is not None:
-        lt = pd.Timestamp(last_ts)
-        ts = pd.to_datetime(pdf["ts"])
-        if ts.dt.tz is not None and lt.tzinfo is None:
-            lt = lt.tz_localize(ts.dt.tz)
-        is_late = (ts < lt) | ((ts == lt) & (pdf["arrival_no"] <= last_no))
-        late += int(is_late.sum())
-        pdf = pdf[~is_late].reset_index(drop=True)
-
-    def save() -> None:
-        state.update((hist, ts_hist, temp_hist, hum_hist, t_sum, t_cnt, h_sum, h_cnt, n_seen,
-                      last_ts, last_no, late))
-
-    if pdf.empty:
-        save()
-        return
-    temps = pdf["temperature"].astype("float64")
-    hums = pdf["humidity"].astype("float64")
-    t_sum += float(temps.sum(skipna=True))
-    t_cnt += int(temps.notna().sum())
-    h_sum += float(hums.sum(skipna=True))
-    h_cnt += int(hums.notna().sum())
-    t_fill = _fill(t_sum, t_cnt, TEMPERATURE_DEFAULT)
-    h_fill = _fill(h_sum, h_cnt, HUMIDITY_DEFAULT)
-
-    start = len(hist)
-    values = np.concatenate([np.asarray(hist, dtype="float64"),
-                             pdf["Power_Consumption"].fillna(0.0).to_numpy(dtype="float64")])
-    out = pd.DataFrame({"series_id": pdf["series_id"], "ts": pdf["ts"], "arrival_no": pdf["arrival_no"],
-                        "energy_kwh": values[start:]})
-    idx = np.arange(start, len(values))
-    for k in ENERGY_LAGS:
-        src = idx - k
-        out[f"energy_lag_{k}"] = np.where(src >= 0, values[np.clip(src, 0, None)], np.nan)
-    short = _rolling(values, start, SHORT_FRAME)
-    long = _rolling(values, start, LONG_FRAME)
-    out["energy_mean_24h"], out["energy_std_24h"] = short["mean"], short["std"]
-    out["energy_min_24h"], out["energy_max_24h"] = short["min"], short["max"]
-    out["energy_mean_7d"], out["energy_std_7d"] = long["mean"], long["std"]
-    out["temperature"] = temps.fillna(t_fill).to_numpy()
-    out["humidity"] = hums.fillna(h_fill).to_numpy()
-    out["late_rows"] = late
-    n_seen += len(pdf)
-    out["n_seen"] = n_seen
-    out["is_newest"] = False
-    out.loc[out.index[-1], "is_newest"] = True
-
-    ts_hist = (ts_hist + [pd.Timestamp(x).to_pydatetime() for x in pdf["ts"]])[-SEQUENCE_LENGTH:]
-    temp_hist = (temp_hist + [None if pd.isna(x) else float(x) for x in temps])[-SEQUENCE_LENGTH:]
-    hum_hist = (hum_hist + [None if pd.isna(x) else float(x) for x in hums])[-SEQUENCE_LENGTH:]
-    window = None
-    if len(values) >= SEQUENCE_LENGTH and len(ts_hist) == SEQUENCE_LENGTH:
-        window = _window(values, ts_hist, temp_hist, hum_hist, t_fill, h_fill, SEQUENCE_LENGTH)
-    out["seq_window"] = [None] * len(out)
-    out.at[out.index[-1], "seq_window"] = window
-
-    hist = values[-KEEP:].tolist()
-    last = pdf.iloc[-1]
-    last_ts, last_no = pd.Timestamp(last["ts"]).to_pydatetime(), int(last["arrival_no"])
-    save()
-    yield out
-
 
-def stream_features(readings_stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """The stateful part: streaming readings → per-row features (+ the
-    sequence window on each series' newest row of the micro-batch)."""
-    events = (readings_stream
-              .withColumn("ts", F.col("ts").cast("timestamp"))
-              .withWatermark("ts", watermark)
-              .dropDuplicatesWithinWatermark(["series_id", "arrival_no"]))
-    cols = ["series_id", "ts", "arrival_no", "Power_Consumption"]
-    for c in ("temperature", "humidity"):
-        cols.append(c if c in readings_stream.columns else F.lit(None).cast("double").alias(c))
-    return (events.select(*cols)
-            .groupBy("series_id")
-            .applyInPandasWithState(_features_step, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def score_micro_batch(batch: DataFrame, models) -> DataFrame:
-    """One response per series: status from the rows seen so far (same
-    thresholds as the batch gate) and, when scored, the blend of the tree
-    models on the newest row and the sequence model on its window."""
-    from wattlane.functions.calendar import calendar_columns, flag_columns, weather_interactions
-    from wattlane.operators.models import flatten_sequence, score_trees, weighted_ensemble
-    from wattlane.operators.sequences import scale_sequence
-
-    newest = batch.filter(F.col("is_newest"))
-    n = F.col("n_seen")
-    status = (F.when(F.greatest(n - F.lit(SEQUENCE_LENGTH), F.lit(0)) < F.lit(MIN_FEATURE_ROWS),
-                     F.lit("insufficient_history"))
-              .when(n <= F.lit(max(ENERGY_LAGS)), F.lit("missing_lag"))
-              .otherwise(F.lit("scored")))
-    rows = newest.withColumn("status", status).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    feats = rows.select("*", *calendar_columns("ts"))
-    feats = feats.select("*", *flag_columns()).select("*", *weather_interactions())
-    ok = feats.filter(F.col("status") == "scored")
-    trees = score_trees(ok, models.rf, models.gbt)
-    scaled = trees.withColumn("seq_features", flatten_sequence(scale_sequence(F.col("seq_window"), models.scaler)))
-    seq = models.sequence.transform(scaled).withColumnRenamed("seq_pred", "_seq_scaled")
-    preds = seq.select("series_id", "arrival_no", "rf_pred", "gbt_pred",
-                       models.scaler.inverse_target(F.col("_seq_scaled")).alias("seq_pred"))
-    preds = preds.withColumn("prediction", weighted_ensemble(F.col("seq_pred"), F.col("rf_pred"), F.col("gbt_pred")))
-    return rows.select("series_id", "ts", "arrival_no", "n_seen", "late_rows", "status").join(
-        preds, ["series_id", "arrival_no"], "left")
-
-
-def stage_stream_input(readings: DataFrame, path: str, slices: Sequence[tuple[str, str]]) -> None:
-    """Write the readings as files in time order, one file group per slice, so a
-    file stream with ``maxFilesPerTrigger`` replays them as ordered micro-batches."""
-    for lo, hi in slices:
-        part = readings.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-                               & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
-        part.coalesce(1).write.mode("append").parquet(path)
-
-
-def _source(spark: SparkSession, source_path: str, schema: T.StructType, max_files_per_trigger: int) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(source_path))
-
-
-def run_stream_to_table(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
-                        schema: T.StructType, max_files_per_trigger: int = 1,
-                        watermark: str = "1 day") -> DataFrame:
-    """Run the feature stream over everything available (``availableNow``) into
-    a parquet table and return that table as a batch frame."""
-    feats = stream_features(_source(spark, source_path, schema, max_files_per_trigger), watermark)
-    q = (feats.drop("seq_window").writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint).option("path", out_path)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
-
-
-def run_scoring_stream(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
-                       schema: T.StructType, models, max_files_per_trigger: int = 1,
-                       watermark: str = "1 day") -> DataFrame:
-    """Features stream → ``foreachBatch`` scoring.  Each epoch overwrites its
-    own folder, so a replayed epoch is idempotent."""
-    feats = stream_features(_source(spark, source_path, schema, max_files_per_trigger), watermark)
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.persist()  # used by two branches below; do not rerun the stateful step
+from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, POWER_DEFAULT
+from wattlane.operators.clean import KEYS, fill_from_means, gate_status
+from wattlane.operators.score import RECENT, ForecastModels, score_recent
+from wattlane.operators.windows import energy_lag_cols, last_n_rows, rolling_24h_cols, rolling_7d_cols
+from wattlane.plans.keys import join_on_keys
+from wattlane.plans.ordering import over_series
+from wattlane.streaming.state import StateTable
+
+SERIES = list(KEYS)
+ROW = ["ts", "arrival_no", "Power_Consumption", "temperature", "humidity"]
+STATE_DDL = ("series_id STRING, rows ARRAY<STRUCT<ts: TIMESTAMP_NTZ, arrival_no: BIGINT, Power_Consumption: DOUBLE, "
+             "temperature: DOUBLE, humidity: DOUBLE>>, n_seen BIGINT, late_rows BIGINT, t_sum DOUBLE, t_cnt BIGINT, "
+             "h_sum DOUBLE, h_cnt BIGINT")
+
+
+def reading_rows(batch: DataFrame) -> DataFrame:
+    """The columns a stream row needs; absent measures are NULL."""
+    types = {"ts": "timestamp_ntz", "arrival_no": "long"}
+    return batch.select(F.col("series_id").cast("string").alias("series_id"), *[
+        (F.col(c) if c in batch.columns else F.lit(None)).cast(types.get(c, "double")).alias(c) for c in ROW])
+
+
+def place_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Stored newest rows of the touched series (``_old``) and the batch's rows
+    that can be placed behind them, each delivery once."""
+    newest = state.select("series_id", F.element_at("rows", -1).alias("_last")).where("_last is not null")
+    fresh = rows.where("ts is not null").dropDuplicates(["series_id", "arrival_no"])
+    fresh = join_on_keys(fresh, newest, SERIES, "left")
+    placed = F.struct("ts", "arrival_no") > F.struct("_last.ts", "_last.arrival_no")
+    fresh = fresh.where(F.col("_last").isNull() | placed).select("series_id", *ROW, F.lit(False).alias("_old"))
+    old = state.select("series_id", F.explode("rows").alias("_r")).select(
+        "series_id", *[F.col(f"_r.{c}").alias(c) for c in ROW], F.lit(True).alias("_old"))
+    return old.unionByName(fresh)
+
+
+def next_state(rows: DataFrame, state: DataFrame, placed: DataFrame) -> DataFrame:
+    """State rows of the touched series after the batch."""
+    read = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("_read"))
+    is_new = ~F.col("_old")
+    sums = placed.groupBy("series_id").agg(
+        F.count_if(is_new).alias("_n"),
+        *[x for c, p in (("temperature", "t"), ("humidity", "h"))
+          for x in (F.coalesce(F.sum(F.when(is_new, F.col(c))), F.lit(0.0)).alias(f"_{p}_sum"),
+                    F.count(F.when(is_new, F.col(c))).alias(f"_{p}_cnt"))])
+    tail = last_n_rows(placed.drop("_old"), RECENT, SERIES).groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct(*ROW))).alias("rows"))  # at most RECENT rows
+    out = join_on_keys(join_on_keys(read, sums, SERIES, "left"), tail, SERIES, "left")
+    out = join_on_keys(out, state.drop("rows"), SERIES, "left")
+
+    def plus(c: str, add) -> F.Column:
+        return (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(add, F.lit(0))).alias(c)
+
+    empty = T._parse_datatype_string(STATE_DDL)["rows"].dataType
+    return out.select(
+        "series_id", F.coalesce("rows", F.array().cast(empty)).alias("rows"), plus("n_seen", F.col("_n")),
+        plus("late_rows", F.col("_read") - F.coalesce("_n", F.lit(0))),
+        *[plus(f"{p}_{k}", F.col(f"_{p}_{k}")) for p in "th" for k in ("sum", "cnt")])
+
+
+def row_outputs(placed: DataFrame, after: DataFrame, hot_rows: int, chunk_rows: int) -> DataFrame:
+    """Lag and rolling features of the rows the batch placed."""
+    power = placed.withColumn("Power_Consumption", F.coalesce("Power_Consumption", F.lit(POWER_DEFAULT)))
+    feats = over_series(power, SERIES, lambda f, s: f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s)),
+                        halo=RECENT, hot_rows=hot_rows, chunk_rows=chunk_rows)
+    new = feats.where("not _old").drop("_old").withColumnRenamed("Power_Consumption", "energy_kwh")
+    return join_on_keys(new, after.select("series_id", "late_rows", "n_seen"), SERIES, "left")
+
+
+def series_responses(after: DataFrame, models: ForecastModels) -> DataFrame:
+    """One response per touched series: the status by the batch gate's rule, and the scores of those that pass."""
+    invalid = (F.col("t_cnt") == 0) | (F.col("h_cnt") == 0)
+    status = after.withColumn("status", gate_status(F.col("n_seen"), invalid))
+    ok = status.where("status = 'scored'")
+    recent = ok.select("series_id", (F.col("t_sum") / F.col("t_cnt")).alias("mean_temperature"),
+                       (F.col("h_sum") / F.col("h_cnt")).alias("mean_humidity"), F.explode("rows").alias("_r"))
+    recent = recent.select("series_id", *[F.col(f"_r.{c}").alias(c) for c in ROW], "mean_temperature", "mean_humidity")
+    preds = score_recent(fill_from_means(recent, ["series_id", *ROW]), models)
+    return join_on_keys(status.select("series_id", "n_seen", "late_rows", "status"), preds, SERIES, "left")
+
+
+def run_stream(spark: SparkSession, source_path: str, out_path: str, state_path: str, checkpoint: str,
+               schema: T.StructType, models: ForecastModels | None = None, hot_rows: int = HOT_SERIES_ROWS,
+               chunk_rows: int = CHUNK_ROWS, max_files_per_trigger: int | None = None) -> None:
+    """Stream everything available in ``source_path``.  Without ``models`` each
+    epoch writes the placed rows' features, with them one response per series."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        table = StateTable(session, state_path)
+        rows = reading_rows(batch).persist(StorageLevel.MEMORY_AND_DISK)  # read by several branches; else the source runs again
+        kept = [rows]
         try:
-            (score_micro_batch(batch, models).withColumn("epoch", F.lit(epoch_id))
-             .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}"))
+            state = table.before(epoch)
+            state = session.createDataFrame([], STATE_DDL) if state is None else join_on_keys(
+                state, rows.select("series_id").distinct(), SERIES, "left_semi")
+            placed = place_rows(rows, state).persist(StorageLevel.MEMORY_AND_DISK)
+            after = next_state(rows, state, placed).persist(StorageLevel.MEMORY_AND_DISK)
+            kept += [placed, after]
+            out = row_outputs(placed, after, hot_rows, chunk_rows) if models is None else series_responses(after, models)
+            out.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+            table.write(epoch, after)
         finally:
-            batch.unpersist()
-
-    q = (feats.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
-
-
-# ---- table-state variant: each micro-batch runs the batch feature plan -------------------
-
-TABLE_STATE_COLUMNS = ["series_id", "ts", "arrival_no", "Power_Consumption"]
-
-
-def _previous_state(spark: SparkSession, state_path: str, epoch_id: int) -> DataFrame | None:
-    """Rows of the newest stored state epoch before ``epoch_id`` (the epoch
-    list comes from partition discovery, not from reading the data)."""
-    try:
-        stored = spark.read.parquet(state_path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        return None
-    prev = stored.select("epoch").distinct().filter(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
-    if prev is None:
-        return None
-    return stored.filter(F.col("epoch") == F.lit(prev)).drop("epoch")
-
+            for df in kept:
+                df.unpersist()
 
-def features_with_state(batch: DataFrame, state: DataFrame | None, hot_rows: int, chunk_rows: int,
-                        keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch through the batch plan: stored newest rows of each
-    series + the batch's rows (late ones dropped and counted) → lag/rolling
-    features for the batch's rows, and the new state (newest ``keep`` rows
-    per series, kept by a window-group limit)."""
-    from wattlane.operators.windows import energy_lag_cols, last_n_rows, rolling_24h_cols, rolling_7d_cols
-    from wattlane.plans.keys import join_on_keys
-    from wattlane.plans.ordering import over_series
+    (reader.parquet(source_path).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
 
-    rows = batch.select(*TABLE_STATE_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    if state is None:
-        state = rows.limit(0)
-        last = state.select("series_id", F.lit(None).cast("timestamp_ntz").alias("_lts"),
-                            F.lit(None).cast("long").alias("_lno"))
-    else:
-        newest = F.max_by(F.struct("ts", "arrival_no"), F.struct("ts", "arrival_no"))
-        last = state.groupBy("series_id").agg(newest.alias("_l")).select(
-            "series_id", F.col("_l.ts").alias("_lts"), F.col("_l.arrival_no").alias("_lno"))
-    tagged = join_on_keys(rows, last, ["series_id"], "left")
-    is_late = (F.col("ts") < F.col("_lts")) | ((F.col("ts") == F.col("_lts")) & (F.col("arrival_no") <= F.col("_lno")))
-    tagged = tagged.withColumn("_late", F.coalesce(is_late, F.lit(False)))
-    late_counts = tagged.groupBy("series_id").agg(F.count_if("_late").cast("long").alias("late_rows"))
-    fresh = tagged.filter(~F.col("_late")).select(*TABLE_STATE_COLUMNS, F.lit(False).alias("_from_state"))
-    combined = state.select(*TABLE_STATE_COLUMNS, F.lit(True).alias("_from_state")).unionByName(fresh)
-    combined = combined.withColumn("Power_Consumption", F.coalesce(F.col("Power_Consumption"), F.lit(0.0)))
 
-    def fn(f: DataFrame, s) -> DataFrame:
-        return f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
+def stream_counts(spark: SparkSession, state_path: str) -> DataFrame:
+    """(series_id, n_seen, late_rows): rows placed and rows that could not be, of every series ever read."""
+    return StateTable(spark, state_path).latest().select("series_id", "n_seen", "late_rows")
 
-    feats = over_series(combined, ["series_id"], fn, halo=HISTORY, hot_rows=hot_rows, chunk_rows=chunk_rows)
-    out = join_on_keys(feats.filter(~F.col("_from_state")).drop("_from_state"), late_counts, ["series_id"], "left")
-    out = out.withColumnRenamed("Power_Consumption", "energy_kwh")
-    new_state = last_n_rows(combined.drop("_from_state"), keep, ["series_id"])
-    return out, new_state
 
+# ---- replaying a table as a stream --------------------------------------------------------
 
-def run_table_state_stream(spark: SparkSession, source_path: str, out_path: str, state_path: str,
-                           checkpoint: str, schema: T.StructType, hot_rows: int, chunk_rows: int,
-                           max_files_per_trigger: int = 1, watermark: str = "1 day") -> DataFrame:
-    """Feature stream whose per-series state is a table: every micro-batch is
-    processed by the distributed batch plan (a hot series takes the chunk+halo
-    plan), outputs and state are written per epoch with dynamic partition
-    overwrite, so a replayed epoch is idempotent."""
-    src = (_source(spark, source_path, schema, max_files_per_trigger)
-           .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-           .dropDuplicatesWithinWatermark(["series_id", "arrival_no"]))
+def time_slices(readings: DataFrame, n: int, col: str = "_slice") -> DataFrame:
+    """Number rows 0..n-1 by time, between quantiles of the stamps; rows without one go last."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = readings.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 100_000)).first()[0] or []
+    number = sum([(at > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    return readings.withColumn(col, F.coalesce(number, F.lit(n - 1)))
 
-    def process(batch: DataFrame, epoch_id: int) -> None:
-        s = batch.sparkSession
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        out, new_state = features_with_state(batch, _previous_state(s, state_path, epoch_id), hot_rows, chunk_rows)
-        out.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").partitionBy("epoch").parquet(out_path)
-        new_state.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").partitionBy("epoch").parquet(state_path)
 
-    q = (src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path)
+def replay(sliced: DataFrame, path: str, n: int, step: Callable[[], None], col: str = "_slice") -> None:
+    """Write slice after slice (each by all its tasks) and stream it before the next: ordered micro-batches."""
+    for k in range(n):
+        sliced.where(F.col(col) == k).drop(col).write.mode("append").parquet(path)
+        step()
