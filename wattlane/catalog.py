@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT, WEATHER_CODES
+from wattlane.config import BOOST_FEATURES, CHUNK_ROWS, HOT_SERIES_ROWS, HUMIDITY_DEFAULT, TEMPERATURE_DEFAULT, WEATHER_CODES
 from wattlane.functions import calendar as CAL
 from wattlane.functions import numeric as NUM
 from wattlane.functions import text as TXT
@@ -1052,7 +1053,7 @@ SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(abs(y - (b0 + b1 * a + b2 * b)))')
 FROM k  """)(q_train_stacker)
 
 
-# ---- model fits, scoring, persistence (rows-only: no SQL twin for a tree ensemble) ---------------
+# ---- model fits, scoring, persistence: facts that SQL can check (surviving rows), flags that Spark computes ----
 
 SMALL_RF = {"numTrees": 10, "maxDepth": 5}
 SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
@@ -1065,29 +1066,54 @@ def tree_frame(spark: SparkSession, d: str) -> DataFrame:
     return features_warm(spark, d)
 
 
-def q_train_random_forest(spark: SparkSession, d: str) -> DataFrame:
-    f = tree_frame(spark, d)
-    model = M.train_random_forest(f, **SMALL_RF)
-    return model.transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
+def q_tree_fit(spark: SparkSession, d: str, fit, features: DataFrame) -> DataFrame:
+    """Rows the assembler keeps, and whether each prediction is what the ensemble's own trees give together."""
+    out = M.tree_parts(features, fit(features))
+    same = F.abs(F.col("prediction") - F.col("from_parts")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    return out.select(*KEYCOLS, "energy_kwh", F.coalesce(same, F.lit(False)).alias("parts_agree"))
 
 
-def q_train_gbt(spark: SparkSession, d: str) -> DataFrame:
-    f = tree_frame(spark, d)
-    model = M.train_gbt(f, **SMALL_GBT)
-    return model.transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
+def sql_tree_rows(source: str) -> str:
+    return f"SELECT series_id, ts, arrival_no, energy_kwh, TRUE AS parts_agree FROM {source} f WHERE {TREE_NOT_NULL}"
+
+
+register("train_random_forest", sql_tree_rows(sql_features_warm()))(
+    lambda spark, d: q_tree_fit(spark, d, lambda f: M.train_random_forest(f, **SMALL_RF), tree_frame(spark, d)))
+register("train_gbt", sql_tree_rows(sql_features_warm()))(
+    lambda spark, d: q_tree_fit(spark, d, lambda f: M.train_gbt(f, **SMALL_GBT), tree_frame(spark, d)))
+
+
+def boosted_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Training features with rows whose weather is NULL among them; they do not train, and are not predicted."""
+    return W.training_features(delivered(spark, d))
 
 
 def q_train_boosted(spark: SparkSession, d: str) -> DataFrame:
-    tf = W.training_features(load_readings(spark, d, "event_type"))
-    model = M.train_boosted(tf, maxIter=20, maxDepth=4)
-    return model.transform(tf.dropna(subset=["lag_1", "lag_24"])).select(*KEYCOLS, P, "prediction")
+    tf = boosted_frame(spark, d)
+    out = M.tree_parts(C.drop_incomplete_rows(tf), M.train_boosted(tf, maxIter=20, maxDepth=4), BOOST_FEATURES)
+    same = F.abs(F.col("prediction") - F.col("from_parts")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    return out.select(*KEYCOLS, P, same.alias("parts_agree"))
+
+
+register("train_boosted", f"""SELECT series_id, ts, arrival_no, {P}, TRUE AS parts_agree FROM {sql_training()} t
+WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND lag_1 IS NOT NULL AND lag_24 IS NOT NULL""")(q_train_boosted)
 
 
 def q_train_sequence_model(spark: SparkSession, d: str) -> DataFrame:
-    m = M
-    seqs = S.sliding_sequences(load_readings(spark, d, "event_type"))
-    model = m.train_sequence_model(seqs)
-    return m.score_sequence_model(model, seqs).select(*KEYCOLS, "y", "seq_pred")
+    """M5(a) with M10: fitted on the older 80 % of each series; rows and errors of both parts.  The fit solves its
+    least squares problem (residuals sum to 0 overall and against each of the 24 inputs), the held-out error is finite."""
+    seqs = A.time_split(S.sliding_sequences(load_readings(spark, d, "event_type")))
+    model = M.train_sequence_model(seqs, split_col="split")
+    out = M.score_sequence_model(model, seqs).select("split", "y", "seq_pred", "seq")
+    train = out.filter(F.col("split") == "train")
+    solved = M.normal_equations_hold(train, [F.get("seq", F.lit(k)) for k in range(24)], "y", "seq_pred")
+    report = A.evaluate(out, "y", "seq_pred", ["split"])
+    return report.select("split", "n", F.lit(solved).alias("normal_equations"), (F.col("mae") <= F.col("rmse")).alias("errors_ordered"))
+
+
+register("train_sequence_model", f"""SELECT split, count(*) AS n, TRUE AS normal_equations, TRUE AS errors_ordered FROM (
+  SELECT CASE WHEN row_number() {sql_win()} - 1 < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
+  FROM (SELECT *, count(*) {sql_win(frame=rows(24, -1))} AS n FROM {sql_readings('event_type')} r) q WHERE n = 24) t GROUP BY split""")(q_train_sequence_model)
 
 
 def q_save_load_model(spark: SparkSession, d: str) -> DataFrame:
@@ -1095,10 +1121,55 @@ def q_save_load_model(spark: SparkSession, d: str) -> DataFrame:
     model = M.train_gbt(f, **SMALL_GBT)
     path = scratch_path(spark, "gbt-model")
     M.save_model(model, path)
-    reloaded = M.load_pipeline(path)
-    a = model.transform(f).select(*KEYCOLS, F.col("prediction").alias("pred_fitted"))
-    b = reloaded.transform(f).select(*KEYCOLS, F.col("prediction").alias("pred_reloaded"))
-    return a.join(b, KEYCOLS)
+    fitted = model.stages[-1].copy().setPredictionCol("pred_fitted")
+    reloaded = M.load_pipeline(path).stages[-1].copy().setPredictionCol("pred_reloaded")
+    both = reloaded.transform(fitted.transform(M.assemble_features(f)))
+    return both.select(*KEYCOLS, (F.col("pred_fitted") == F.col("pred_reloaded")).alias("same_prediction"))
+
+
+register("save_load_model", f"SELECT series_id, ts, arrival_no, TRUE AS same_prediction FROM {sql_features_warm()} f WHERE {TREE_NOT_NULL}")(q_save_load_model)
+
+
+def q_stacked_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """The stacked ensemble end to end: sequence model and booster fitted on the older 80 % of each series, their
+    predictions aligned by row key, the linear meta model over them, saved and reloaded, its errors per split.  The meta
+    model equals the closed form over the base predictions."""
+    r = load_readings(spark, d, "event_type")
+    seqs = A.time_split(S.sliding_sequences(r))
+    sequence = M.train_sequence_model(seqs, split_col="split")
+    seq = M.score_sequence_model(sequence, seqs).select(*KEYCOLS, "split", F.col("y"), "seq_pred")
+    tf = C.drop_incomplete_rows(W.training_features(r))
+    in_train = J.align_predictions(tf, seq.filter(F.col("split") == "train").select(*KEYCOLS))
+    booster = M.train_boosted(in_train, maxIter=20, maxDepth=4)
+    boost = booster.transform(tf).select(*KEYCOLS, F.col("prediction").alias("boost_pred"))
+    base = J.align_predictions(seq, boost).persist(StorageLevel.MEMORY_AND_DISK)  # read by the fit, the closed form and the report
+    try:
+        meta = M.train_stacker(base, ["seq_pred", "boost_pred"])
+        b0, (b1, b2) = M.stacker_coefficients(meta)
+        m = base.agg(F.avg("y").alias("my"), F.avg("seq_pred").alias("ma"), F.avg("boost_pred").alias("mb"), F.var_pop("seq_pred").alias("vaa"),
+                     F.var_pop("boost_pred").alias("vbb"), F.covar_pop("seq_pred", "boost_pred").alias("cab"),
+                     F.covar_pop("seq_pred", "y").alias("cay"), F.covar_pop("boost_pred", "y").alias("cby")).first()
+        det = m.vaa * m.vbb - m.cab**2
+        c1, c2 = (m.vbb * m.cay - m.cab * m.cby) / det, (m.vaa * m.cby - m.cab * m.cay) / det
+        closed = max(abs(b1 - c1), abs(b2 - c2), abs(b0 - (m.my - c1 * m.ma - c2 * m.mb))) < 1e-6
+        path = scratch_path(spark, "meta-model")
+        M.save_model(meta, path)
+        out = meta.transform(base).drop("stack_features")
+        again = M.load_pipeline(path).transform(base).select(*KEYCOLS, F.col("prediction").alias("_again"))
+        out = J.align_predictions(out, again)
+        report = out.groupBy("split").agg(
+            F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction") == F.col("_again")).alias("same_after_reload"),
+            (F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), 2))) >= F.avg(F.abs(F.col("y") - F.col("prediction")))).alias("errors_ordered"))
+        result = report.select("split", "n", "same_after_reload", "errors_ordered", F.lit(closed).alias("equals_closed_form"))
+        return spark.createDataFrame(result.collect(), result.schema)  # two rows; the cached base goes now
+    finally:
+        base.unpersist()
+
+
+register("stacked_ensemble", f"""SELECT split, count(*) AS n, TRUE AS same_after_reload, TRUE AS errors_ordered, TRUE AS equals_closed_form FROM (
+  SELECT *, CASE WHEN row_number() {sql_win()} - 1 < floor(count(*) OVER (PARTITION BY series_id) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split
+  FROM (SELECT *, count(*) {sql_win(frame=rows(24, -1))} AS n FROM {sql_readings('event_type')} r) q WHERE n = 24) t
+WHERE temperature IS NOT NULL AND humidity IS NOT NULL GROUP BY split""")(q_stacked_ensemble)
 
 
 def scored_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -1134,11 +1205,6 @@ def sql_score_series(invalid: str) -> str:
   FROM {sql_scored_readings()} r GROUP BY series_id) t"""
 
 
-register("train_random_forest")(q_train_random_forest)
-register("train_gbt")(q_train_gbt)
-register("train_boosted")(q_train_boosted)
-register("train_sequence_model")(q_train_sequence_model)
-register("save_load_model")(q_save_load_model)
 register("score_series", sql_score_series("bool_or(ts IS NULL) OR count(temperature) = 0 OR count(humidity) = 0"))(q_score_series)
 register("score_series_reject", sql_score_series(f"bool_or({ALL_NULL_CHECK})"))(lambda spark, d: q_score_series(spark, d, "reject"))
 
@@ -1328,24 +1394,28 @@ FROM {sql_readings('constant')} r GROUP BY series_id, date_trunc('hour', ts)""")
 
 
 def hourly_features(spark: SparkSession, d: str) -> DataFrame:
-    """Serving features over the one hourly series (≤ 720 rows, ≤ 552 after
-    warm-up and the lag-168 skip); fixed partitioning for a reproducible forest."""
-    return W.serving_features(RD.hourly_readings(load_readings(spark, d, "constant"))).coalesce(1)
-
+    """Serving features over the one hourly series (a row per clock hour of the data)."""
+    return W.serving_features(RD.hourly_readings(load_readings(spark, d, "constant")))
 
-def q_train_forest_hourly(spark: SparkSession, d: str) -> DataFrame:
-    f = hourly_features(spark, d)
-    return M.train_random_forest(f, numTrees=20, maxDepth=5).transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
 
+def sql_hourly_features() -> str:
+    hourly = f"""(SELECT series_id, date_trunc('hour', ts) AS ts, min(arrival_no) AS arrival_no, sum(Power_Consumption) AS {P},
+  avg(temperature) AS temperature, avg(humidity) AS humidity FROM {sql_readings('constant')} r GROUP BY series_id, date_trunc('hour', ts))"""
+    lags = ", ".join(f"lag({P}, {k}) {sql_win()} AS energy_lag_{k}" for k in (1, 24, 168))
+    return f"""(SELECT series_id, ts, arrival_no, {R(P)} AS energy_kwh FROM (SELECT *, {lags},
+  count(temperature) OVER (PARTITION BY series_id) AS nt, count(humidity) OVER (PARTITION BY series_id) AS nh FROM {hourly} h) t
+  WHERE energy_lag_1 IS NOT NULL AND energy_lag_24 IS NOT NULL AND energy_lag_168 IS NOT NULL AND nt > 0 AND nh > 0)"""
 
-def q_train_gbt_hourly(spark: SparkSession, d: str) -> DataFrame:
-    f = hourly_features(spark, d)
-    return M.train_gbt(f, maxIter=10, maxDepth=5).transform(f).select(*KEYCOLS, "energy_kwh", "prediction")
 
+def q_hourly_fit(spark: SparkSession, d: str, fit) -> DataFrame:
+    out = q_tree_fit(spark, d, fit, hourly_features(spark, d))
+    return out.withColumn("energy_kwh", r6(F.col("energy_kwh")))
 
-register("train_forest_hourly")(q_train_forest_hourly)
-register("train_gbt_hourly")(q_train_gbt_hourly)
 
+SQL_HOURLY_FIT = f"SELECT *, TRUE AS parts_agree FROM {sql_hourly_features()} f"
+# the stored parameters of the forest, and a boosting of BASELINE's probe size
+register("train_forest_hourly", SQL_HOURLY_FIT)(lambda spark, d: q_hourly_fit(spark, d, M.train_random_forest))
+register("train_gbt_hourly", SQL_HOURLY_FIT)(lambda spark, d: q_hourly_fit(spark, d, lambda f: M.train_gbt(f, maxIter=10, maxDepth=5)))
 
 
 def q_read_request_bodies(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressor, LinearRegression, RandomForestRegressionModel,
+                                   RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,19 @@ def train_boosted(df: DataFrame, label: str = "Power_Consumption", drop_incomple
     return Pipeline(stages=[assembler(BOOST_FEATURES), est]).fit(train)
 
 
+def tree_parts(df: DataFrame, model: PipelineModel, inputs: Sequence[str] = TREE_FEATURES, prediction: str = "prediction") -> DataFrame:
+    """Predictions of a fitted ensemble, and as ``from_parts`` what its trees give
+    by themselves: their mean (forest) or their weighted sum (boosting)."""
+    ensemble = model.stages[-1]
+    out = ensemble.copy().setPredictionCol(prediction).transform(assemble_features(df, inputs))
+    names = [f"_tree_{i}" for i in range(len(ensemble.trees))]
+    for name, tree in zip(names, ensemble.trees):
+        out = tree.copy().setPredictionCol(name).transform(out)
+    weights = [1.0 / len(names)] * len(names) if isinstance(ensemble, RandomForestRegressionModel) else list(ensemble.treeWeights)
+    parts = F.aggregate(F.array(*[F.col(c) * F.lit(w) for c, w in zip(names, weights)]), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("from_parts", parts).drop("features", *names)
+
+
 def score_trees(df: DataFrame, rf_model: PipelineModel, gbt_model: PipelineModel,
                 inputs: Sequence[str] = TREE_FEATURES) -> DataFrame:
     """Assemble once, run both tree models on the same frame."""
@@ -87,11 +101,14 @@ def _is_nested(df: DataFrame, col: str) -> bool:
 
 
 def train_sequence_model(sequences: DataFrame, seq_col: str = "seq", label: str = "y",
-                         reg_param: float = 0.0, elastic_net: float = 0.0, max_iter: int = 100):
+                         reg_param: float = 0.0, elastic_net: float = 0.0, max_iter: int = 100,
+                         split_col: str | None = None, train_value: str = "train"):
     """M5(a): a linear sequence model over the flattened window (the recurrent
-    network is not reproduced; its slot takes any Spark ML regressor)."""
+    network is not reproduced; its slot takes any Spark ML regressor).  With
+    ``split_col`` (M10) it learns from the ``train`` rows only."""
     nested = _is_nested(sequences, seq_col)
-    frame = sequences.select(flatten_sequence(F.col(seq_col), nested).alias("seq_features"), F.col(label))
+    train = sequences if split_col is None else sequences.filter(F.col(split_col) == F.lit(train_value))
+    frame = train.select(flatten_sequence(F.col(seq_col), nested).alias("seq_features"), F.col(label))
     lr = LinearRegression(featuresCol="seq_features", labelCol=label, predictionCol="seq_pred",
                           regParam=reg_param, elasticNetParam=elastic_net, maxIter=max_iter)
     return lr.fit(frame)
@@ -149,6 +166,13 @@ def stacker_coefficients(model: PipelineModel) -> tuple[float, list[float]]:
 
 # ---- S5 ------------------------------------------------------------------------------------
 
+def normal_equations_hold(df: DataFrame, inputs: Sequence[Column], label: str, prediction: str, tolerance: float = 1e-6) -> bool:
+    """Whether a least squares fit solves its problem: residuals sum to 0, and to 0 against every input (relative to the data)."""
+    r = F.col(label) - F.col(prediction)
+    row = df.agg(F.sum(r), F.sum(F.abs(F.col(label))), *[x for c in inputs for x in (F.sum(r * c), F.sum(F.abs(F.col(label) * c)))]).first()
+    return all(abs(row[i]) <= tolerance * max(1.0, row[i + 1]) for i in range(0, len(row), 2))
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 

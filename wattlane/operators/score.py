@@ -37,24 +37,32 @@ class ForecastModels:
     gbt: PipelineModel
     sequence: LinearRegressionModel
     scaler: SequenceScaler
+    booster: PipelineModel | None = None
+    meta: PipelineModel | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Every part through Spark ML persistence or a parquet table."""
         save_model(self.rf, os.path.join(path, "rf"))
         save_model(self.gbt, os.path.join(path, "gbt"))
         save_model(self.sequence, os.path.join(path, "sequence"))
+        for name in ("booster", "meta"):
+            if getattr(self, name) is not None:
+                save_model(getattr(self, name), os.path.join(path, name))
         spark.createDataFrame(self.scaler.to_rows(), "kind STRING, column STRING, offset DOUBLE, scale DOUBLE") \
             .coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "scaler"))
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "ForecastModels":
+    def load(spark: SparkSession, path: str, parts: Sequence[str] = ()) -> "ForecastModels":
+        """``parts`` names the optional models (``booster``, ``meta``) that were saved."""
         rows = [tuple(r) for r in spark.read.parquet(os.path.join(path, "scaler")).collect()]
         order = {c: i for i, c in enumerate(r[1] for r in rows)}
+        stacked = {name: PipelineModel.load(os.path.join(path, name)) for name in parts}
         return ForecastModels(
             PipelineModel.load(os.path.join(path, "rf")),
             PipelineModel.load(os.path.join(path, "gbt")),
             LinearRegressionModel.load(os.path.join(path, "sequence")),
             scaler_from_rows(sorted(rows, key=lambda r: order[r[1]])),
+            **stacked,
         )
 
 
