@@ -39,7 +39,7 @@ def test_reject_whole_series_with_one_null(spark):
 
 def test_require_columns_fails_before_any_job(spark):
     df = frame(spark, hourly(spark, 3))
-    with pytest.raises(ValueError, match="Missing feature columns"):
+    with pytest.raises(ValueError, match="the frame lacks"):
         C.select_sequence_features(df)
 
 

@@ -24,7 +24,7 @@ from wattlane.operators import models as M
 from wattlane.operators import score as SC
 from wattlane.operators import sequences as S
 from wattlane.operators import windows as W
-from wattlane.plans.ordering import over_series
+from wattlane.plans.ordering import over_series, series_row_number
 from wattlane.session import ensure_checkpoint_dir, pin_semantics
 from wattlane.sources import readings as RD
 from wattlane.sources import sinks as SK
@@ -1506,3 +1506,46 @@ SELECT event_id AS request_id,
             WHEN k % 10 = 3 THEN 'empty_array' WHEN k % 10 = 4 THEN 'invalid_json'
                    ELSE CASE WHEN k % 7 = 0 OR k % 9 = 0 THEN 'invalid_input' ELSE 'insufficient_history' END END AS status
 FROM {SQL_EVENTS_K} e""")(q_request_status)
+
+
+# ---- request body to prediction ------------------------------------------------------------------
+
+REQUEST_SIZES = (1, 47, 48, 168, 169)
+SQL_REQUEST_OF = f"""(SELECT *, (n // {sum(REQUEST_SIZES)}) * {len(REQUEST_SIZES)} + CASE {' '.join(
+    f'WHEN n % {sum(REQUEST_SIZES)} < {sum(REQUEST_SIZES[:i + 1])} THEN {i}' for i in range(len(REQUEST_SIZES)))} END AS request_id
+  FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM {SQL_EVENTS_K} e) t)"""
+
+
+def sized_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """All events as request bodies of 1, 47, 48, 168 and 169 points in turn (at most 169 points are gathered for one);
+    a request whose number is divisible by 7 has a value that is not a number."""
+    e = events(spark, d).select(F.lit("all").alias("series_id"), "ts", F.col("event_id").alias("arrival_no"), "value", k_col().alias("k"))
+    cycle = sum(REQUEST_SIZES)
+    numbered = series_row_number(e, ["series_id"], strategy="chunked", col="n")
+    at = F.col("n") % cycle
+    part = F.when(at < REQUEST_SIZES[0], 0)
+    for i in range(1, len(REQUEST_SIZES)):
+        part = part.when(at < sum(REQUEST_SIZES[:i + 1]), i)
+    numbered = numbered.withColumn("request_id", (F.floor(F.col("n") / cycle) * len(REQUEST_SIZES) + part).cast("long"))
+    broken = (F.col("request_id") % 7 == 0) & (F.col("k") >= 0)
+    point = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.format_string("%.2f", "value").alias("Power_Consumption"),
+                     F.when(broken, F.lit("12d")).otherwise(F.lit("230")).alias("voltage"), F.lit(10).alias("current"),
+                     (F.lit(10) + F.col("k") % 20).alias("temperature"), (F.lit(30) + F.col("k") % 50).alias("humidity"))
+    bodies = numbered.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("n", point.alias("p")))).alias("ps"))
+    return bodies.select("request_id", F.to_json(F.transform("ps", lambda x: x["p"])).alias("body"))
+
+
+def q_score_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The endpoint from body to number: S2 parse → P4 coerce → J4/P12 gate → M12 score, one row per request."""
+    models = SC.fit_forecast_models(tree_frame(spark, d), rf_params=SMALL_RF, gbt_params=SMALL_GBT)
+    accepted, _ = RD.parse_reading_batches(sized_bodies(spark, d))
+    points = RD.coerce_points(accepted).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = with_blend_flag(SC.score_series(points, models, mode="reject"))
+    return out.select(F.col("series_id").cast("long").alias("request_id"), "n_rows", "status", "scored_ts", "blend_ok")
+
+
+register("score_requests", f"""SELECT request_id, n_rows, status, CASE WHEN status = 'scored' THEN newest END AS scored_ts, TRUE AS blend_ok FROM (
+  SELECT request_id, CAST(greatest(count(*), 24) AS BIGINT) AS n_rows, max(ts) AS newest,
+         CASE WHEN request_id % 7 = 0 THEN 'invalid_input' WHEN count(*) < 48 THEN 'insufficient_history'
+              WHEN count(*) <= 168 THEN 'missing_lag' ELSE 'scored' END AS status
+  FROM {SQL_REQUEST_OF} r GROUP BY request_id) t""")(q_score_requests)
