@@ -4,7 +4,7 @@ Domains follow the labels: ``clean`` (quality 1, not toxic), ``low`` (quality 0,
 not toxic), ``toxic``.  Membership is soft.
 
 Method.
-1. A multinomial logistic regression over hashed words and word shapes (Spark ML, on at most
+1. A multinomial logistic regression over hashed word beginnings and endings (Spark ML, on at most
    ``MAX_TRAIN_ROWS`` labelled documents picked by a hash of doc_id, a documented
    bound) gives every document its posterior p over the domains.
 2. Each document gets a rate r >= 0, the number of times it is wanted.  The
@@ -41,7 +41,7 @@ from wattlane.llm.common import cut, own_columns
 
 DOMAINS = ("clean", "low", "toxic")
 MAX_TRAIN_ROWS = 12_000
-WORD_SLOTS = 1 << 17
+WORD_SLOTS = 1 << 15
 STEM = 4
 MAX_ROUNDS, TOLERANCE = 25, 1e-9
 #: Helper columns; long, so that no column of a caller's table clashes.
@@ -54,14 +54,13 @@ def words(text: Column) -> Column:
 
 
 def marks(found: Column) -> Column:
-    """What the classifier sees of the words of a text: distinct words in lower case, their stems (first letters), their shapes
-    (all capitals or not, last character), and how often words repeat for a text of this size."""
-    distinct = F.array_distinct(found)
-    stems = F.array_distinct(F.transform(distinct, lambda w: F.concat(F.lit("\x03"), F.left(F.lower(w), F.lit(STEM)))))
-    size, kinds = F.size(found), F.size(distinct)
-    shapes = F.array_distinct(F.transform(distinct, lambda w: F.concat(F.lit("\x01"), (F.upper(w) == w).cast("string"), F.right(w, F.lit(1)))))
+    """What the classifier sees of the words of a text: their first letters and last characters (each kind once, as written, so
+    capitals count), and how often words repeat for a text of this size."""
+    stems = F.array_distinct(F.transform(found, lambda w: F.left(w, F.lit(STEM))))
+    tails = F.array_distinct(F.transform(found, lambda w: F.concat(F.lit("\x01"), F.right(w, F.lit(1)))))
+    size, kinds = F.size(found), F.size(F.array_distinct(found))
     variety = F.concat_ws(" ", F.lit("\x02"), F.floor(F.log2(size + 1)).cast("string"), F.floor(kinds * 10 / F.greatest(size, F.lit(1))).cast("string"))
-    return F.concat(F.transform(distinct, lambda w: F.lower(w)), stems, shapes, F.array(variety))
+    return F.concat(stems, tails, F.array(variety))
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
