@@ -46,14 +46,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc, at, fp, left, right, long_line): ``left``/``right`` hold the neighbour's hash if the window with it chose this line.
+    """(doc, at, no, fp, left, right, long_line): ``left``/``right`` hold the neighbour if the window with it chose this line.
 
-    ``doc`` is (doc_id, text hash), ``at`` counts the lines that are not empty.
+    ``doc`` is (doc_id, text hash), ``at`` counts the lines that are not empty, ``no`` all lines.
     """
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.btrim(x, F.lit(" \t\r")).alias("x"), i.alias("no")))
     # two hashes as one value: 64 bits to compare and join on, 32 more against chance
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"),
-                                                   (F.size(F.split(x, "[\\x20\\x09-\\x0D]+")) >= LONG_LINE).alias("long_line")))
+    hashed = F.transform(F.filter(lines, lambda s: s["x"] != ""), lambda s: F.struct(
+        F.xxhash64(s["x"]).alias("h"), F.hash(s["x"]).alias("g"), s["no"].alias("no"),
+        (F.size(F.split(s["x"], "[\\x20\\x09-\\x0D]+")) >= LONG_LINE).alias("long_line")))
     arrays = keyed(docs).where("text is not null").select(F.struct(F.col(ID).alias("id"), F.col(TEXT).alias("text")).alias("doc"), hashed.alias("ls"))
     rows = arrays.dropDuplicates(["doc"]).select("doc", "ls", F.posexplode("ls").alias("at", "line"))
     before, after = F.get("ls", F.col("at") - 1), F.get("ls", F.col("at") + 1)
@@ -61,14 +62,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def value(x: Column) -> Column:
         return F.struct(x["h"].alias("h"), x["g"].alias("g"))
 
+    def mate(x: Column) -> Column:
+        return F.struct(value(x).alias("fp"), x["no"].alias("no"))
+
     own = value(F.col("line"))
-    rows = rows.select("doc", "at", own.alias("fp"), F.when(before.isNotNull() & (own < value(before)), value(before)).alias("left"),
-                       F.when(after.isNotNull() & (own <= value(after)), value(after)).alias("right"), F.col("line.long_line").alias("long_line"))
+    rows = rows.select("doc", "at", F.col("line.no").alias("no"), own.alias("fp"),
+                       F.when(before.isNotNull() & (own < value(before)), mate(before)).alias("left"),
+                       F.when(after.isNotNull() & (own <= value(after)), mate(after)).alias("right"), F.col("line.long_line").alias("long_line"))
     return rows.where("left is not null or right is not null or long_line")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc, first, last, src, src_first): runs of lines (numbers among the lines that are not empty) that stood earlier."""
+    """(doc, first, last, src, src_first, first_no, last_no): runs of lines that stood earlier.
+
+    first, last and src_first are numbers among the lines that are not empty, first_no and last_no among all lines.
+    """
     found = cut(fingerprints(docs), "lines")
     twice = cut(found.groupBy("fp").count().where("count > 1").select("fp"), "lines-twice")
     found = found.join(twice, "fp", "leftsemi")
@@ -77,47 +85,47 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(-1).alias("side"), F.col("left").alias("mate"), F.col("left").isNotNull().alias("is")),
         F.struct(F.lit(1).alias("side"), F.col("right").alias("mate"), F.col("right").isNotNull().alias("is")),
         F.struct(F.lit(0).alias("side"), F.lit(None).alias("mate"), F.col("long_line").alias("is"))), lambda x: x["is"]))
-    windows = found.select("doc", "at", "fp", side.alias("w")).select(
-        "doc", "at", F.xxhash64("fp", "w.side", "w.mate").alias("k1"), F.hash("fp", "w.side", "w.mate").alias("k2"), F.col("w.side").alias("side"))
+    windows = found.select("doc", "at", "no", "fp", side.alias("w")).select(
+        "doc", "at", "no", F.xxhash64("fp", "w.side", "w.mate.fp").alias("k1"), F.hash("fp", "w.side", "w.mate.fp").alias("k2"),
+        F.col("w.side").alias("side"), F.col("w.mate.no").alias("mate_no"))
     windows = cut(windows, "lines-windows")
     place = F.struct("doc", "at")
     first = (windows.groupBy("k1", "k2").agg(F.min(place).alias("src"), F.max(place).alias("end")).where("src < end").select("k1", "k2", "src"))
     first = cut(first, "lines-first")
     matched = windows.join(first, ["k1", "k2"]).where(place > F.col("src"))
     # each match covers its fingerprint and the neighbour that completed the window
-    cover = F.explode(F.expr("sequence(least(0, side), greatest(0, side))"))
-    lines = (matched.select("doc", "at", "src", cover.alias("d"))
-             .select("doc", (F.col("at") + F.col("d")).alias("at"), F.col("src.doc").alias("src"), (F.col("src.at") + F.col("d")).alias("src_at")).distinct())
+    cover = F.explode(F.expr("filter(array(struct(0 as d, no), struct(side as d, mate_no as no)), x -> x.no is not null)"))
+    lines = (matched.select("doc", "at", "src", cover.alias("c"))
+             .select("doc", (F.col("at") + F.col("c.d")).alias("at"), F.col("c.no").alias("no"), F.col("src.doc").alias("src"),
+                     (F.col("src.at") + F.col("c.d")).alias("src_at")).distinct())
     run = Window.partitionBy("doc", "src", F.col("at") - F.col("src_at")).orderBy("at")
     return (lines.withColumn("island", F.col("at") - F.row_number().over(run))
             .groupBy("doc", "src", F.expr("at - src_at").alias("shift"), "island")
-            .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("src_at").alias("src_first"))
-            .select("doc", "first", "last", "src", "src_first"))
+            .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("src_at").alias("src_first"),
+                 F.min("no").alias("first_no"), F.max("no").alias("last_no"))
+            .select("doc", "first", "last", "src", "src_first", "first_no", "last_no"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later repeated runs taken out of ``text``, and n_lines, n_removed (lines that are not empty) behind."""
     runs = (repeated_runs(docs).groupBy(F.col("doc.id").alias(ID), F.col("doc.text").alias(TEXT))
-            .agg(F.collect_set(F.struct("first", "last")).alias(RUNS)))
+            .agg(F.collect_set(F.struct("first_no", "last_no")).alias(RUNS)))
     split = F.split("text", "\n", -1)
-    lines = F.transform(split, lambda x, i: F.struct(x.alias("x"), (F.btrim(x, F.lit(" \t\r")) != "").alias("full")))
-    # numbers of the full lines, front to back; -1 for empty ones
-    numbered = F.aggregate(
-        lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
-        lambda s, x: F.struct((s["n"] + x["full"].cast("int")).alias("n"), F.array_append(s["at"], F.when(x["full"], s["n"]).otherwise(-1)).alias("at")))["at"]
-    joined = keyed(docs).join(runs, [ID, TEXT], "left")
-    out = joined.withColumn("line_dedup_at", F.when(F.col(RUNS).isNotNull(), numbered))
-
-    def gone(i: Column) -> Column:
-        return F.exists(RUNS, lambda r: (r["first"] <= i) & (i <= r["last"]))
-
-    kept = F.filter(split, lambda x, i: ~gone(F.get("line_dedup_at", i)))
-    n_lines = F.size(F.filter(lines, lambda x: x["full"]))
-    removed = F.size(F.filter("line_dedup_at", gone))
+    out = keyed(docs).join(runs, [ID, TEXT], "left")
+
+    # the lambdas look only at a line, its number and the runs: nothing in them is worked out again for each line
+    def full(x: Column) -> Column:
+        return F.btrim(x, F.lit(" \t\r")) != ""
+
+    def gone(x: Column, i: Column) -> Column:
+        return full(x) & F.exists(RUNS, lambda r: (r["first_no"] <= i) & (i <= r["last_no"]))
+
+    kept = F.array_join(F.filter(split, lambda x, i: ~gone(x, i)), "\n")
+    removed = F.size(F.filter(split, gone))
     return out.select(
-        *[(F.when(F.col(RUNS).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if name == "text" else c)
+        *[(F.when(F.col(RUNS).isNull(), F.col("text")).otherwise(kept).alias("text") if name == "text" else c)
           for name, c in zip(docs.columns, own_columns(docs), strict=True) if name not in ("n_lines", "n_removed")],
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(split, full))).cast("long").alias("n_lines"),
         F.when(F.col(RUNS).isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
 
 

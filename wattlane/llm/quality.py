@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,11 +204,11 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, name: str = "s
     """``docs`` with the score of each whole text as column ``name``; only the text goes through Python."""
     model = docs.sparkSession.sparkContext.broadcast(machine)  # size fixed by WORD_SLOTS x FACTORS
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [model.value.score([vector(t or "") for t in texts.iloc[lo:lo + 64]]) for lo in range(0, len(texts), 64)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            parts = [model.value.score([vector(t or "") for t in texts.slice(lo, 64).to_pylist()]) for lo in range(0, len(texts), 64)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
