@@ -35,8 +35,9 @@ def parse_reading_list(text: Column) -> Column:
 
 
 def last_n_values(values: Column, n: int = SEQUENCE_LENGTH) -> Column:
-    """The last ``n`` items, or NULL when fewer than ``n`` are present."""
-    return F.when(F.size(values) >= n, F.slice(values, -n, n))
+    """The last ``n`` items, or NULL when fewer than ``n`` are present.
+    The list is bound once (as the only element of an array): size and slice do not parse the text again."""
+    return F.get(F.transform(F.array(values), lambda v: F.when(F.size(v) >= n, F.slice(v, -n, n))), F.lit(0))
 
 
 def hourly_stamp(as_of: Column, pos: Column, n: Column | int) -> Column:
