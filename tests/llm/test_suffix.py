@@ -15,7 +15,7 @@ def brute(rows, size=400):
     places = defaultdict(set)
     for d, b in docs:
         for p in range(len(b) - size + 1):
-            places[b[p:p + size]].add((d, b, p) if len(places) < 0 else hash((d, b, p)))
+            places[b[p:p + size]].add(hash((d, b, p)))
     out = set()
     for d, b in docs:
         change = np.zeros(len(b) + 1, int)

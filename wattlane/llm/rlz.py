@@ -96,10 +96,10 @@ def duplicate_sources(docs: DataFrame, texts: DataFrame) -> DataFrame:
     windows = cut(index_windows(texts, wanted), "rlz-windows")
     index = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
     index = cut(index.where("first < last").select("h1", "h2", "first"), "rlz-index")
-    first_of = (1 << AT_BITS) - 1
+    at_bits = (1 << AT_BITS) - 1
     hits = (windows.join(index, ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-            .selectExpr("doc_id", f"shiftright(at, {AT_BITS}) tag", f"at & {first_of}L at", "1L windows", "first.doc_id src_doc",
-                        f"first.at & {first_of}L src_at"))
+            .selectExpr("doc_id", f"shiftright(at, {AT_BITS}) tag", f"at & {at_bits}L at", "1L windows", "first.doc_id src_doc",
+                        f"first.at & {at_bits}L src_at"))
     return runs.union(hits).union(marks)
 
 

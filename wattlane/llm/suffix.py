@@ -56,7 +56,6 @@ def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     out = x[hi].copy()
     wide = np.flatnonzero(hi > lo)
     if len(wide):
-        level = np.zeros(len(wide), np.int64)
         span = hi[wide] - lo[wide] + 1
         level = np.frexp(span)[1] - 1
         table, k = x, 0
@@ -145,7 +144,7 @@ def segment_strings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in slices(batches):
             for doc_id, z, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = unpress.decompress(z)
-                packed = np.unique(np.array([f["segment"] for f in found], np.int64))
+                packed = np.unique(np.array(found, np.int64))
                 tag, start, count = unpack(packed)
                 own = tag == tag_of(data)
                 if not own.any():
@@ -158,7 +157,7 @@ def segment_strings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                      pa.array([data[f:f + c + BYTES - 1] for f, c in zip(start[own].tolist(), count[own].tolist(), strict=True)], pa.binary())],
                     names=["anchor", "doc_id", "segment", "before", "string"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("segment")).alias("found"))  # bounded by the text's own length
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("segment").alias("found"))  # bounded by the text's own length
     return texts.join(by_doc, "doc_id").select("doc_id", "z", "found").mapInArrow(run, STRINGS)
 
 
