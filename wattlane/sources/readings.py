@@ -145,8 +145,9 @@ def parse_reading_batches(bodies: DataFrame, body_col: str = "body",
     body = F.col(body_col)
     parsed = F.from_json(body, POINT_SCHEMA)
     is_array = body.rlike(r"^\s*\[")
-    # as the only element of an array the whole body must parse: trailing text makes it invalid or a second element
-    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))), F.lit(0)) == 1
+    # the whole body must be one value: trailing text could pass as the end of an array or of an object around it, not of both
+    whole = (F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))), F.lit(0)) == 1) & (
+        F.coalesce(F.size(F.json_object_keys(F.concat(F.lit('{"a":'), body, F.lit("}")))), F.lit(0)) == 1)
     reason = (F.when(body.isNull(), F.lit("null_body"))
               .when(~is_array, F.lit("not_an_array"))
               .when(parsed.isNull() | ~whole, F.lit("invalid_json"))
