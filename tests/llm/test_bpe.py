@@ -78,8 +78,7 @@ def test_gadgets_equal_plain_merging_on_random_merge_lists():
                 tokens.append(a + b)
         vocab = {t: i for i, t in enumerate([*bpe.byte_symbols(), *[a + b for a, b in merges]])}
         automaton = bpe.MergeAutomaton({**vocab, "\n": len(vocab)}, merges)
-        automaton.arcs[bpe.END] = len(vocab)
-        automaton.right[len(vocab)] = automaton.left[len(vocab)] = [(len(vocab), -1, len(merges))]
+        automaton.symbol(bpe.END, len(vocab))
         ranks = {m: i for i, m in enumerate(merges)}
         for _ in range(60):
             word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))

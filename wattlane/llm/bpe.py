@@ -7,8 +7,9 @@ token arcs.  Its states are "the token read last"; the arc ``u -> v`` exists iff
 could still follow ``a``), gives ``ab`` the edges of ``a`` (left) and ``b``
 (right), and removes, from every state whose right edge is ``a`` while rule
 ``k`` fires, all arcs whose left edge is then ``b``.  The removals are kept in
-factored form: per token the list of edge tokens with the span of rules during
-which each is the live edge, plus the table of rules.  A full state x label
+factored form: per token its two parts and the rule that bore it (so its edge
+tokens and the span of rules during which each is the live one), plus the table
+of rules.  A full state x label
 matrix would have 2.4e9 cells; the factored form has a few entries per token,
 and the transition table is filled from it as pairs are met.
 
@@ -47,7 +48,8 @@ PRE_SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}
 #: in the tests); a text with such a character is normalised and pre-split by the library itself.
 UNSETTLED = regex.compile("[^\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 #: Bounds of the per-worker tables; on reaching one the table starts empty again.
-MAX_WORDS, MAX_ARCS = 250_000, 1_000_000
+MAX_WORDS, MAX_ARCS = 150_000, 250_000
+NEVER = 1 << 40
 
 
 @functools.cache
@@ -65,37 +67,45 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.text = {i: t for t, i in vocab.items()}
         self.arcs: dict[str, int] = {}
-        self.rules: dict[tuple[int, int], int] = {}
-        self.right: dict[int, list[tuple[int, int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int, int]]] = {}
+        self.rules: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.born: dict[int, int] = {}
         self.step: dict[int, bool] = {}
-        never = len(merges)
         for s in byte_symbols():
             for t in (s, s + WORD_END):
                 if t in vocab:
-                    u = vocab[t]
-                    self.arcs[label(t)] = u
-                    self.right[u] = self.left[u] = [(u, -1, never)]
+                    self.symbol(t, vocab[t])
         for k, (a, b) in enumerate(merges):
-            self.gadget(k, vocab[a], vocab[b], vocab[a + b], never)
+            self.gadget(k, vocab[a], vocab[b], vocab[a + b])
         self.longest = max(map(len, self.arcs), default=0)
 
-    def gadget(self, k: int, a: int, b: int, ab: int, never: int) -> None:
-        open_path = a in self.right and b in self.left and self.follows(a, b)
-        self.rules[a, b] = k
-        if not open_path:
-            return
-        # the edge tokens of ab: itself from rule k on, and those of its parts up to rule k
-        self.right[ab] = [(ab, k, never)] + [(e, lo, min(hi, k)) for e, lo, hi in self.right[b]]
-        self.left[ab] = [(ab, k, never)] + [(e, lo, min(hi, k)) for e, lo, hi in self.left[a]]
-        self.arcs[label(self.text[ab])] = ab
+    def symbol(self, token: str, u: int) -> None:
+        self.arcs[label(token)] = u
+        self.born[u] = -1
+
+    def gadget(self, k: int, a: int, b: int, ab: int) -> None:
+        open_path = a in self.born and b in self.born and self.follows(a, b)
+        self.rules[a << 20 | b] = k
+        if open_path:
+            self.born[ab], self.parts[ab] = k, (a, b)
+            self.arcs[label(self.text[ab])] = ab
+
+    def edges(self, u: int, side: int) -> list[tuple[int, int, int]]:
+        """Edge tokens of ``u`` at its left (0) or right (1) side, each with the rules between which it is the live one:
+        born by the one, taken up into the next edge token by the other."""
+        out, end = [], NEVER
+        while True:
+            out.append((u, self.born[u], end))
+            if u not in self.parts:
+                return out
+            u, end = self.parts[u][side], self.born[u]
 
     def follows(self, u: int, v: int) -> bool:
         """Whether the automaton has the arc u -> v: no rule joins the two live edges."""
-        rules = self.rules
-        for a, alo, ahi in self.right[u]:
-            for b, blo, bhi in self.left[v]:
-                k = rules.get((a, b))
+        rules, right = self.rules, self.edges(u, 1)
+        for b, blo, bhi in self.edges(v, 0):
+            for a, alo, ahi in right:
+                k = rules.get(a << 20 | b)
                 # equal rules fire from the left: one inside u comes before the border, one inside v after it
                 if k is not None and alo < k < ahi and blo < k <= bhi:
                     return False
@@ -150,11 +160,15 @@ class Codec:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"]]
         self.automaton = MergeAutomaton(file["model"]["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
-        self.library = Tokenizer.from_str(spec)
+        self.spec = spec
         self.text = self.automaton.text | {i: t for t, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, tuple[bytes, bytes]] = {}
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.spec)
+
     def word(self, w: str) -> tuple[bytes, bytes]:
         if len(self.words) >= MAX_WORDS:
             self.words.clear()

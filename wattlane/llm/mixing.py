@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 from wattlane.llm.common import cut, own_columns
 
 DOMAINS = ("clean", "low", "toxic")
-MAX_TRAIN_ROWS = 12_000
-WORD_SLOTS = 1 << 15
+MAX_TRAIN_ROWS = 10_000
+WORD_SLOTS = 1 << 14
 STEM = 4
-MAX_ROUNDS, TOLERANCE = 25, 1e-9
+MAX_ROUNDS, TOLERANCE = 20, 1e-6
 #: Helper columns; long, so that no column of a caller's table clashes.
 P = [f"mixing_p_{d}" for d in DOMAINS]
 N, RATE, COPIES = "mixing_n_tokens", "mixing_rate", "mixing_copies"
@@ -82,7 +82,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, max_train_rows: int = MA
         out = tokens.withColumns({c: F.lit(1.0 if c == P[0] else 0.0) for c in P})
     else:
         model = LogisticRegression(featuresCol="mixing_x", labelCol="mixing_label", probabilityCol="mixing_p", rawPredictionCol="mixing_raw",
-                                   predictionCol="mixing_best", family="multinomial", maxIter=40, regParam=1e-4, standardization=False).fit(train)
+                                   predictionCol="mixing_best", family="multinomial", maxIter=30, regParam=1e-4, standardization=False).fit(train)
         scored = model.transform(hashing.transform(tokens)).withColumn("mixing_p", vector_to_array("mixing_p"))
         out = scored.withColumns({c: F.coalesce(F.get("mixing_p", F.lit(k)), F.lit(0.0)) for k, c in enumerate(P)})
     return out.select(*own_columns(docs), N, *P)
@@ -96,17 +96,28 @@ def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float | N
     gram = members.agg(*[F.coalesce(F.sum(F.col(N) * F.col(a) * F.col(b)), F.lit(0.0)) for a in P for b in P]).first()
     inverse = np.linalg.pinv(np.array(gram, np.float64).reshape(len(P), len(P)), rcond=1e-9)
     goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    rate, totals, before = F.lit(1.0), goal, None
+    steps: list[np.ndarray] = []
+    totals, before = goal, None
+
+    def rate_so_far() -> Column:
+        # the steps are data, not code: every round runs the same compiled plan
+        if not steps:
+            return F.lit(1.0)
+
+        def descend(r: Column, g: Column) -> Column:
+            r = F.greatest(F.lit(0.0), r - sum((F.col(p) * F.get(g, F.lit(k)) for k, p in enumerate(P)), F.lit(0.0)))
+            return r if max_rate is None else F.least(F.lit(float(max_rate)), r)
+
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps]), F.lit(1.0), descend)
+
     for _ in range(MAX_ROUNDS):
+        rate = rate_so_far()
         totals = np.array(members.agg(*[F.coalesce(F.sum(rate * F.col(N) * F.col(p)), F.lit(0.0)) for p in P]).first(), np.float64)
         if before is not None and np.abs(totals - before).max() <= TOLERANCE * max(1.0, np.abs(goal).max()):
             break
         before = totals
-        step = inverse @ (totals - goal)
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(p) * float(s) for p, s in zip(P, step, strict=True)), F.lit(0.0)))
-        if max_rate is not None:
-            rate = F.least(F.lit(float(max_rate)), rate)
-    return F.when(F.col(N) > 0, rate).otherwise(F.lit(1.0)), totals
+        steps.append(inverse @ (totals - goal))
+    return F.when(F.col(N) > 0, rate_so_far()).otherwise(F.lit(1.0)), totals
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:

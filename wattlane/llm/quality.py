@@ -37,7 +37,7 @@ from wattlane.llm.common import own_columns
 
 WORD_SLOTS = 1 << 13
 FACTORS = 8
-MAX_TRAIN_ROWS = 8000
+MAX_TRAIN_ROWS = 6000
 #: Scores below this are rejected.
 THRESHOLD = 0.3
 DENSE = (
@@ -56,7 +56,7 @@ _slots: dict[str, int] = {}
 def slot(word: str) -> int:
     found = _slots.get(word)
     if found is None:
-        if len(_slots) >= 200_000:
+        if len(_slots) >= 50_000:
             _slots.clear()
         found = _slots[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
     return found
