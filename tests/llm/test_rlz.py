@@ -48,3 +48,12 @@ def test_edge_rows(spark, planted, no_documents):
     assert found == [(1, 0, 30, None, 0), (2, 0, 30, None, 0)]
     kept = {(r.doc_id, r.text) for r in rlz.remove_duplicates(twins).collect()}
     assert kept == {(None, text), (1, ""), (2, "x"), (2, "other")}
+
+
+def test_contents_that_agree_in_half_of_their_hash_stay_apart(spark):
+    shared = "p1 p2 p3 p4 p5 p6 " + " ".join(f"a12790x{k}" for k in range(8)) + " q1 q2 q3 q4 q5 "
+    rows = [(1, shared + "v49368"), (2, shared + "v52409")]  # one anchor; the content hashes have their upper 32 bits in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = rlz.occurrences(docs, rlz.word_units, rlz.WORDS, rlz.GRAM).select("anchor", "content").collect()
+    assert len({r.anchor for r in found}) == 1 and len({r.content for r in found}) == 2 and len({r.content >> 32 for r in found}) == 1
+    assert results(rlz.removal_digests(docs)) == brute(rows)

@@ -69,3 +69,9 @@ def test_columns_equal_plain_comparison():
             held[group[i], p - left[i], s[p:p + 12]].add(i)
     for i, s in enumerate(strings):
         assert found[i].tolist() == [p for p in range(windows[i]) if len(held[group[i], p - left[i], s[p:p + 12]]) > 1]
+
+
+def test_contents_that_agree_in_half_of_their_hash_stay_apart(spark):
+    rows = [(d, "a" * 160 + f"{8851:064d}" + "b" * 160 + f"{v:016d}") for d, v in ((1, 17263), (2, 84081))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert results(suffix.removal_digests(docs)) == brute(rows)

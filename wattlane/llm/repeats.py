@@ -181,13 +181,13 @@ def occurrences(docs: DataFrame, units_of, length: int, gram: int) -> DataFrame:
                 if len(anchor):
                     copy_of, times = local_copies(anchor, content)
                     own = np.flatnonzero(copy_of == np.arange(len(anchor)))
-                    for to, a in zip(out, (anchor[own].view(np.int64), (content[own] >> U(32)).astype(np.uint32).view(np.int32),
+                    for to, a in zip(out, (anchor[own].view(np.int64), content[own].view(np.int64),
                                            np.full(len(own), doc_id, np.int64), pack(tag_of(data), times[own] > 1, first[own], count[own])), strict=True):
                         to.append(a)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "content", "doc_id", "segment"])
 
-    return keyed(docs).mapInArrow(run, "anchor long, content int, doc_id long, segment long")
+    return keyed(docs).mapInArrow(run, "anchor long, content long, doc_id long, segment long")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
