@@ -56,6 +56,14 @@ def test_rows_without_id_shared_ids_and_empty_table(spark, planted, no_documents
     assert ngram.near_duplicates(no_documents).count() == 0 and ngram.keep_one_of_each(no_documents).columns == no_documents.columns
 
 
+def test_a_text_among_others_of_its_id_keeps_its_links(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    others = [(9, " ".join(f"x{k}y{i}" for i in range(30))) for k in range(10)]
+    docs = spark.createDataFrame([(3, text), *others[:5], (9, text + " tail"), *others[5:]], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in ngram.near_duplicates(docs).collect()}
+    assert got == {(3, 3, 1), (9, 3, 1)}
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     for n, least in ngram.PRUNE:
         rng = np.random.default_rng(n)

@@ -202,10 +202,14 @@ def compared(groups: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 
     def solve(rows: list[tuple]) -> list[tuple]:
         unpress = zstandard.ZstdDecompressor()
-        rows = list({(r[1], r[3]): r for r in rows}.values())
-        sets = [shingles(unpress.decompress(r[4])) for r in rows]
-        own = [k for k, (r, s) in enumerate(zip(rows, sets, strict=True)) if len(s) and set_hash(s)[0] == r[3]]
-        rows, sets = [rows[k] for k in own], [sets[k] for k in own]
+        # rows that share a doc_id bring all their texts to each of its sets: only the text with that set stands for it
+        own: dict[tuple[int, int], tuple] = {}
+        for r in rows:
+            if (r[1], r[3]) not in own:
+                found = shingles(unpress.decompress(r[4]))
+                if len(found) and set_hash(found)[0] == r[3]:
+                    own[r[1], r[3]] = r, found
+        rows, sets = [r for r, _ in own.values()], [s for _, s in own.values()]
         if len(sets) < 2:
             return []
         a, b = block_links(sets, np.array([r[0] for r in rows]))
