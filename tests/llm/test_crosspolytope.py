@@ -84,3 +84,30 @@ def test_recall_at_the_threshold():
 def test_hadamard_is_orthogonal():
     h = cp.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
+
+
+def pairs_at_the_threshold(n, d):
+    a, b = np.random.default_rng(7).normal(size=(2, n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, 0.981 * a + math.sqrt(1 - 0.981**2) * b
+
+
+@pytest.mark.parametrize("dim,keys", [(2, 17), (3, 13), (64, 5), (64, 12)])
+def test_tables_grow_with_keys(dim, keys):
+    tables = cp.tables_for(keys, dim)
+    x, y = (cp.buckets(v, keys, tables) for v in pairs_at_the_threshold(800, dim))
+    met = np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)])
+    assert met.mean() >= 0.9985, (keys, tables, met.mean())
+
+
+def test_a_stray_length_changes_no_hashes(spark, monkeypatch):
+    used = []
+    filed = cp.filed
+    monkeypatch.setattr(cp, "filed", lambda vectors, reps, sizes: used.append(sizes) or filed(vectors, reps, sizes))
+    a, b = pairs_at_the_threshold(150, 64)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate((a, b)))] + [(900, [1.0, 2.0], 0), (901, [2.0, 1.0], 0), (902, [1.0], 0)]
+    got = cp.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert used == [{2: (cp.keys_for(2, 2), cp.tables_for(cp.keys_for(2, 2), 2)), 64: (cp.keys_for(300, 64), cp.TABLES)}]
+    assert {r.vec_id: r.n_links for r in got} == {r[0]: int(r[0] < 900) for r in rows}

@@ -6,7 +6,7 @@ double precision, is 0.98 or more.
 Method.
 1. Equal vectors of a label are one class; its smallest vec_id stands for it.
 2. A vector is rotated by three rounds of random signs and a fast Hadamard
-   transform; its hash is the axis of the cross-polytope (index and sign of the
+   transform (one of ``SHORT`` components or fewer by a random matrix); its hash is the axis of the cross-polytope (index and sign of the
    largest coordinate) nearest to it. ``keys`` such hashes make the bucket of a
    table.  Multiprobe: a vector is also filed under the buckets in which one of
    the hashes is its second-nearest axis, the closest calls first.  Both sides
@@ -16,10 +16,11 @@ Method.
    their cosines, block against block (at most ``BLOCK`` vectors a side; pairs
    are never rows).  Blocks give on link counts and a spanning forest.
 
-``keys`` follows from the number of vectors by the rule of the hashing scheme
-(it grows with log n / log 2d), so that unrelated vectors of a label meet by
-chance less than once in ten; TABLES is fixed for a miss rate at cosine 0.98
-under 1e-4 (measured in the tests).
+``keys`` follows, for each length of vectors, from the number of vectors of that
+length in its largest label, by the rule of the hashing scheme (it grows with
+log n / log 2d), so that with TABLES tables unrelated vectors of a label meet by
+chance less than once in ten.  A length whose ``keys`` need more than TABLES
+tables for a computed miss rate of ``MISS`` at cosine 0.98 gets more of them.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components, or have no label, link with nothing and get their row; vectors of
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,10 @@ from wattlane.llm.repeats import U, mix
 
 COSINE = 0.98
 TABLES, PROBES = 20, 4
+#: Chance that a pair at the threshold shares no bucket, and how many pairs it is estimated on.
+MISS, TRIALS = 1e-4, 200
+#: Vectors up to this length are turned by a random orthogonal matrix: signs and Hadamard steps have too few outcomes there.
+SHORT = 16
 BLOCK = 2000
 
 
@@ -59,18 +65,20 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
+    if x.shape[1] <= SHORT:
+        return x @ np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0]
     for _ in range(3):
         x = hadamard(x * rng.choice((-1.0, 1.0), x.shape[1]))
     return x
 
 
-def buckets(x: np.ndarray, keys: int) -> np.ndarray:
-    """The TABLES x (1 + PROBES) buckets of each row of unit vectors."""
+def buckets(x: np.ndarray, keys: int, tables: int = TABLES) -> np.ndarray:
+    """The buckets of each row of unit vectors: 1 + PROBES (fewer with few keys) of each table, one table after the other."""
     n, d = x.shape
-    size = max(2, 1 << (d - 1).bit_length())
+    size = max(2, d if d <= SHORT else 1 << (d - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, size - d)))
     rows, out = np.arange(n), []
-    for table in range(TABLES):
+    for table in range(tables):
         best, second, gap = [], [], []
         for key in range(keys):
             y = rotated(x, 1000 * table + key)
@@ -137,8 +145,28 @@ def keys_for(n: int, dim: int) -> int:
     return max(2, math.ceil(math.log(max(2, n) * TABLES * (1 + PROBES) ** 2 * 10) / math.log(2 * max(2, dim))))
 
 
-def filed(vectors: DataFrame, representatives: DataFrame, keys: int) -> DataFrame:
-    """(node, bucket) of the representatives; a bucket is of one label and one length."""
+@lru_cache(maxsize=None)
+def tables_for(keys: int, dim: int) -> int:
+    """Tables (TABLES at least), so that a pair at the threshold misses all of them with a chance of MISS.
+
+    A table's own chance is estimated on pairs of random vectors, less three standard errors.
+    """
+    if dim < 2:
+        return TABLES  # vectors of one component are equal or opposite
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, TRIALS, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (buckets(v, keys).reshape(TRIALS, TABLES, -1) for v in (a, COSINE * a + math.sqrt(1 - COSINE**2) * b))
+    met = (x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).mean()
+    met = max(met - 3 * math.sqrt(met * (1 - met) / (TRIALS * TABLES)), 1 / (TRIALS * TABLES))
+    return max(TABLES, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else TABLES
+
+
+def filed(vectors: DataFrame, representatives: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """(node, bucket) of the representatives; a bucket is of one label and one length. ``sizes``: keys and tables of each length
+    that several vectors of one label have; a vector of another length has no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,9 +177,11 @@ def filed(vectors: DataFrame, representatives: DataFrame, keys: int) -> DataFram
                 for i, v in enumerate(found):
                     by_size.setdefault(len(v), []).append(i)
                 for size, own in by_size.items():
+                    if size not in sizes:
+                        continue
                     x = np.array([found[i] for i in own], np.float64)
                     x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    h = buckets(x, keys)
+                    h = buckets(x, *sizes[size])
                     salt = mix(np.array([label[i] * 4096 + size for i in own], np.int64).view(U))
                     h = np.sort((h ^ salt[:, None]).view(np.int64), axis=1)
                     fresh = np.concatenate((np.ones((len(own), 1), bool), h[:, 1:] != h[:, :-1]), axis=1)
@@ -200,8 +230,10 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     with_vector = vectors.selectExpr("cast(vec_id as long) node", "embedding", "cast(label as long) label").where("node is not null and label is not null")
     named = with_vector.join(bare.select("node", "label", "copies", "dim"), ["node", "label"]).where("size(embedding) = dim").dropDuplicates(["node", "label", "dim"])
     reps = cut(named, "vec-reps")
-    n, dim = reps.groupBy("label").agg(F.count("*").alias("n"), F.min("dim").alias("dim")).agg(F.max("n"), F.min("dim")).first()
-    stands = cut(filed(vectors, reps, keys_for(n or 2, dim or 2)), "vec-buckets")
+    # one row of each length; its hashes are as many as its own largest label needs
+    counts = reps.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).where("n > 1").collect()
+    keys = {r.dim: keys_for(r.n, r.dim) for r in counts}
+    stands = cut(filed(vectors, reps, {d: (k, tables_for(k, d)) for d, k in keys.items()}), "vec-buckets")
     centre = cut(stands.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
                  .select("bucket", "centre"), "vec-centres")
     groups = components(stands.join(centre, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
