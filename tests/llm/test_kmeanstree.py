@@ -61,3 +61,18 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf int")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in kmeanstree.nearest_vectors(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 6, 0.995037), (0, 2, 8, -1.0)]
+
+
+def test_strays_get_five_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(kmeanstree, "LEAF", 20)
+    monkeypatch.setattr(kmeanstree, "calibrated_visits", lambda *_: 1)  # what tight topics come close to
+    rng = np.random.default_rng(6)
+    topics = rng.normal(size=(20, 16)) * 5
+    x = np.concatenate([t + 0.01 * rng.normal(size=(60, 16)) for t in topics] + [rng.normal(size=(40, 16)) * 5])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in kmeanstree.nearest_vectors(df, (F.col("vec_id") >= 1200) | (F.col("vec_id") % 50 == 0)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i in range(len(x)) if i >= 1200 or i % 50 == 0]
+    assert sorted(got) == asked and {len(v) for v in got.values()} == {5}

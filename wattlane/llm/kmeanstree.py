@@ -10,7 +10,8 @@ Method.
    third of all rows is many row groups.
 3. A query traverses the tree best bin first: a priority queue holds the
    branches not taken, and the nearest is opened next; leaves come out in the
-   order in which they should be visited.
+   order in which they should be visited.  It goes on until the visited leaves
+   hold ``k + 1`` vectors or more (itself among them), however few the visits.
 4. How many leaves to visit is calibrated: for ``CALIBRATION`` vectors that are
    no queries the exact neighbours over all rows are found, and the visits widen
    (a leaf at a time) until ``RECALL`` of those neighbours are in visited leaves.
@@ -82,14 +83,16 @@ class Tree:
             todo += [(child, rows[own == c]) for c, child in enumerate(children) if (own == c).any()]
         return out
 
-    def best_bins(self, x: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of one vector, best bin first."""
+    def best_bins(self, x: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves of one vector, best bin first, and more until they hold ``least`` vectors (``sizes`` of each leaf)."""
         queue: list[tuple[float, int]] = [(0.0, 0 if self.nodes else -1)]
         out: list[int] = []
-        while queue and len(out) < visits:
+        held = 0
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-node - 1)
+                held += 0 if sizes is None else int(sizes[-node - 1])
                 continue
             centres, children = self.nodes[node]
             for far, child in zip(((centres - x) ** 2).sum(1).tolist(), children, strict=True):
@@ -222,19 +225,22 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFra
     tree = fit_tree(own)
     index = cut(indexed(own, tree), "ann-index")
     visits = calibrated_visits(index, tree, is_query, k)
-    if index.groupBy().count().first()[0] <= k + 1:
-        visits = tree.leaves
-    shared = own.sparkSession.sparkContext.broadcast(tree)
+    counts = cut(index.groupBy("leaf").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")), "ann-leaves")
+    held = np.zeros(tree.leaves, np.int64)
+    for leaf, ids in counts.select("leaf", "ids").collect():  # one row of each leaf: bounded by SAMPLE
+        held[leaf] = ids
+    shared = own.sparkSession.sparkContext.broadcast((tree, held))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared_tree, sizes = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 x = units(matrix(part.column(1)))
-                leaves = [shared.value.best_bins(v, visits) for v in x]
+                leaves = [shared_tree.best_bins(v, visits, sizes, k + 1) for v in x]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "embedding", "leaves"])
 
-    sizes = cut(index.groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {SLOT}D) as int)").alias("slots")), "ann-slots")
+    sizes = counts.select("leaf", F.expr(f"cast(ceil(n / {SLOT}D) as int)").alias("slots"))
     data = (index.join(sizes, "leaf")
             .select("leaf", F.expr("cast(pmod(xxhash64(vec_id), slots) as int)").alias("slot"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "embedding"))
     asked = (index.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
