@@ -86,3 +86,22 @@ def test_edge_rows(spark, planted, no_documents):
     assert mixing.mixed(no_documents, labels, {"clean": 1.0}).count() == 0
     none = mixing.mix(planted, labels.where("doc_id < 0"), {"clean": 1.0})
     assert none.select(F.min(mixing.P[0]), F.max(mixing.RATE)).first()[:] == (1.0, 1.0)
+
+
+def test_rates_are_settled(spark):
+    rng = np.random.default_rng(8)
+    kind = rng.choice(3, 1500, p=(0.8, 0.15, 0.05))
+    p = np.stack([rng.dirichlet(np.where(np.arange(3) == k, 3.0, 0.15)) for k in kind])
+    n = rng.integers(50, 500, len(p)).astype(float)
+    rows = [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(n, p, strict=True))]
+    members = spark.createDataFrame(rows, ["doc_id", mixing.N, *mixing.P])
+    goal = np.array([n.sum(), 0.0, 0.0])  # what no rates up to 1 can meet takes many rounds
+    rate, _ = mixing.fit_rates(members, dict(zip(mixing.DOMAINS, goal, strict=True)), 1.0)
+    got = np.array([r[0] for r in members.orderBy("doc_id").select(rate).collect()])
+    assert np.allclose(got, plain_rates(n, p, goal, 1.0, rounds=100_000), atol=1e-6)  # as many rounds as the tolerance asks for
+    best = plain_rates(n, p, goal, 1.0, rounds=20)
+    assert np.abs(got - best).max() > 0.05  # 20 rounds are not enough here
+    inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9)
+    for _ in range(5000):
+        best = np.clip(best - p @ (inverse @ ((best * n) @ p - goal)), 0, 1)
+    assert np.abs((got * n) @ p - (best * n) @ p).max() <= 2e-4 * goal.max()

@@ -14,10 +14,12 @@ Method.
 
        r_d <- max(0, r_d - p_d . G^-1 (totals - targets))
 
-   In that measure the step of size one is the largest safe one, so a few rounds
-   are enough.  A round is one aggregate of a handful of sums over a narrow
-   written table; the driver sees only those sums.  A row's rate is an expression
-   of its posterior and of the rounds' small vectors, so nothing is rewritten.
+   In that measure the step of size one is the largest safe one.  Rounds go on
+   until the totals settle; targets that cannot be met take many.  A round is one
+   aggregate of a handful of sums over a narrow written table; the driver sees
+   only those sums.  A row's rate is an expression of its posterior and of the
+   rounds' small vectors; every ``FOLD`` rounds the table is written anew with the
+   rates so far.
 3. Rates become whole copies: floor(r), and one more if a hash of doc_id falls
    under the fraction, so that the expected totals hold.
 
@@ -43,7 +45,10 @@ DOMAINS = ("clean", "low", "toxic")
 MAX_TRAIN_ROWS = 10_000
 WORD_SLOTS = 1 << 14
 STEM = 4
-MAX_ROUNDS, TOLERANCE = 20, 1e-6
+#: The descent ends when no total changes by more than TOLERANCE of the largest target in a round; a fit that has not settled raises.
+MAX_ROUNDS, TOLERANCE = 2000, 1e-6
+#: Rounds after which the rates so far are written, so that a round applies few steps.
+FOLD = 10
 #: Helper columns; long, so that no column of a caller's table clashes.
 P = [f"mixing_p_{d}" for d in DOMAINS]
 N, RATE, COPIES = "mixing_n_tokens", "mixing_rate", "mixing_copies"
@@ -97,27 +102,30 @@ def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float | N
     inverse = np.linalg.pinv(np.array(gram, np.float64).reshape(len(P), len(P)), rcond=1e-9)
     goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
     steps: list[np.ndarray] = []
-    totals, before = goal, None
+    before = None
 
-    def rate_so_far() -> Column:
+    def after(rate: Column, steps: list[np.ndarray]) -> Column:
         # the steps are data, not code: every round runs the same compiled plan
         if not steps:
-            return F.lit(1.0)
+            return rate
 
         def descend(r: Column, g: Column) -> Column:
             r = F.greatest(F.lit(0.0), r - sum((F.col(p) * F.get(g, F.lit(k)) for k, p in enumerate(P)), F.lit(0.0)))
             return r if max_rate is None else F.least(F.lit(float(max_rate)), r)
 
-        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps]), F.lit(1.0), descend)
+        return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps]), rate, descend)
 
+    rows, folded = members.select(N, *P, F.lit(1.0).alias(RATE)), 0
     for _ in range(MAX_ROUNDS):
-        rate = rate_so_far()
-        totals = np.array(members.agg(*[F.coalesce(F.sum(rate * F.col(N) * F.col(p)), F.lit(0.0)) for p in P]).first(), np.float64)
+        rate = after(F.col(RATE), steps[folded:])
+        totals = np.array(rows.agg(*[F.coalesce(F.sum(rate * F.col(N) * F.col(p)), F.lit(0.0)) for p in P]).first(), np.float64)
         if before is not None and np.abs(totals - before).max() <= TOLERANCE * max(1.0, np.abs(goal).max()):
-            break
+            return F.when(F.col(N) > 0, after(F.lit(1.0), steps)).otherwise(F.lit(1.0)), totals
         before = totals
         steps.append(inverse @ (totals - goal))
-    return F.when(F.col(N) > 0, rate_so_far()).otherwise(F.lit(1.0)), totals
+        if len(steps) - folded == FOLD:
+            rows, folded = cut(rows.select(N, *P, after(F.col(RATE), steps[folded:]).alias(RATE)), "mixing-rates"), len(steps)
+    raise RuntimeError(f"mixing rates did not settle within {MAX_ROUNDS} rounds: totals {totals.tolist()}, targets {goal.tolist()}")
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
