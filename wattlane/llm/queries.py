@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: thin digests of what the operators in this subpackage return."""
+"""Registered queries of the operators: thin digests of what the operators in this subpackage return."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.llm import bpe, crosspolytope, kmeanstree, lines, mixing, ngram, quality, rlz, suffix, urls
+from wattlane.llm import bpe, crosspolytope, infill, kmeanstree, lines, mixing, ngram, packing, periodic, quality, rlz, suffix, urls
 
 TOKENIZER = "word_bpe_49k.json"
+#: One vocabulary in the forms of two libraries.
+PIECE_TOKENIZER, PIECE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,18 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeanstree.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"), periodic.repeat_tail)
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER), public_tokenizers.path(PIECE_RANKS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -81,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding": op8_embedding,
     "op9_neighbours": op9_neighbours,
     "op10_ngram": op10_ngram,
+    "op11_periodic": op11_periodic,
+    "op12_infill": op12_infill,
+    "op13_packing": op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_lines": lines.ORACLE_SQL,
