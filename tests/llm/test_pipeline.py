@@ -74,6 +74,18 @@ def test_run_equals_brute_force(spark):
     assert got == want and len(got) > 50
 
 
+def test_mixing_keeps_clean_and_drops_toxic_by_label(spark):
+    """Labels decide, not the descent: of what reaches the stage, toxic documents go and clean ones stay."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = corpus_pipeline.keep_quality(spark, docs, sf)
+    left = {r.doc_id for r in corpus_pipeline.mix_domains(spark, docs, sf).select("doc_id").collect()}
+    rows = docs.join(mixing.domain_of(labels), "doc_id").select("doc_id", "mixing_label").collect()
+    toxic, clean = ([r.doc_id for r in rows if r.mixing_label == k] for k in (2.0, 0.0))
+    assert len(toxic) > 20 and not left & set(toxic)
+    assert len(clean) > 200 and len(left & set(clean)) >= 0.99 * len(clean)
+
+
 def test_stages_on_planted_rows(spark, planted, tmp_path):
     """Each stage keeps the columns, clean texts stay, copies go."""
     from pyspark.sql import functions as F
