@@ -1,6 +1,7 @@
 """Operator 6 against brute force over all 400-byte strings; the split of hot anchors gives the same."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -9,6 +10,8 @@ from conftest import SF001
 
 from wattlane.llm import queries, suffix
 
+from .conftest import prose
+
 
 def brute(rows, size=400):
     docs = {(d, (t or "").encode()) for d, t in rows}
@@ -75,3 +78,13 @@ def test_contents_that_agree_in_half_of_their_hash_stay_apart(spark):
     rows = [(d, "a" * 160 + f"{8851:064d}" + "b" * 160 + f"{v:016d}") for d, v in ((1, 17263), (2, 84081))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert results(suffix.removal_digests(docs)) == brute(rows)
+
+
+def test_rows_without_or_with_shared_ids(spark):
+    """Many different texts under one id, or under none, are as many documents; repeated rows are one."""
+    rng = random.Random(7)
+    passages = [prose(rng, 70) for _ in range(6)]
+    rows = [(None if i % 5 else 3, prose(rng, rng.randint(3, 40)) + "\n" + rng.choice(passages) + f" {i}") for i in range(2500)]
+    rows += rows[:3] + [(8, passages[0][:450] + " tail"), (8, passages[0][:450] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert results(suffix.removal_digests(docs)) == brute(rows)

@@ -10,8 +10,9 @@ look at the windows themselves.  Grams thin the rows that are shuffled to about
 2 / (length - gram + 2) per unit; hot anchors are counted with partial
 aggregates and joined (AQE can split such joins), never gathered.
 
-A segment travels as one long: 15 bits of a text's own hash (rows that share a
-doc_id but differ in text stay apart), 1 bit "stands at several places of this
+A document is known by doc_id and a 64-bit hash of its text (``text_key``), so
+rows that share a doc_id, or have none, stay apart and no list is longer than one
+text.  A segment travels as one long: 1 bit "stands at several places of this
 text", 35 bits of the first window, 12 bits of the number of windows.  A segment
 that stands at several places of one text is shuffled once; the text itself
 tells the other places when it is rewritten.
@@ -19,7 +20,6 @@ tells the other places when it is rewritten.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,8 @@ NO_ID = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 RUN_BITS, AT_BITS = 12, 35
-TAG_AT = RUN_BITS + AT_BITS + 1
+#: What a document is known by.
+DOC = ["doc_id", "text_key"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,22 +121,17 @@ def segments(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
     return grams[place], content, first, count, place
 
 
-def tag_of(data: bytes) -> int:
-    """15 bits of the text, to tell apart rows that share a doc_id."""
-    return zlib.crc32(data) & 0x7FFF
+def pack(again: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (again.astype(np.int64) << (RUN_BITS + AT_BITS)) | (first.astype(np.int64) << RUN_BITS) | count.astype(np.int64)
 
 
-def pack(tag: int, again: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (np.int64(tag) << TAG_AT) | (again.astype(np.int64) << (TAG_AT - 1)) | (first.astype(np.int64) << RUN_BITS) | count.astype(np.int64)
-
-
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tag, first window, windows)."""
-    return packed >> TAG_AT, (packed >> RUN_BITS) & ((1 << AT_BITS) - 1), packed & ((1 << RUN_BITS) - 1)
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, windows)."""
+    return (packed >> RUN_BITS) & ((1 << AT_BITS) - 1), packed & ((1 << RUN_BITS) - 1)
 
 
 #: The parts of a packed segment in SQL; {} is the column.
-SQL_TAG, SQL_AGAIN = f"shiftright({{}}, {TAG_AT})", f"(shiftright({{}}, {TAG_AT - 1}) & 1L)"
+SQL_AGAIN = f"shiftright({{}}, {RUN_BITS + AT_BITS})"
 SQL_FIRST, SQL_COUNT = f"(shiftright({{}}, {RUN_BITS}) & {(1 << AT_BITS) - 1}L)", f"({{}} & {(1 << RUN_BITS) - 1}L)"
 
 
@@ -153,41 +149,44 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts under zstd, which halves what the two joins by doc_id shuffle. Null: the empty text."""
+    """(doc_id, text_key, z): texts under zstd, which halves what the two joins by document shuffle. Null: the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
-            z = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
+            z = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=[*DOC, "z"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, z binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, z binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text; a null doc_id travels as the smallest long."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text_key and text; a null doc_id travels as the smallest long."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
 def occurrences(docs: DataFrame, units_of, length: int, gram: int) -> DataFrame:
-    """(anchor, content, doc_id, segment): each distinct segment of each text once."""
+    """(anchor, content, doc_id, text_key, segment): each distinct segment of each text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 anchor, content, first, count, _ = segments(units_of(data), length, gram)
                 if len(anchor):
                     copy_of, times = local_copies(anchor, content)
                     own = np.flatnonzero(copy_of == np.arange(len(anchor)))
                     for to, a in zip(out, (anchor[own].view(np.int64), content[own].view(np.int64),
-                                           np.full(len(own), doc_id, np.int64), pack(tag_of(data), times[own] > 1, first[own], count[own])), strict=True):
+                                           np.full(len(own), doc_id, np.int64), np.full(len(own), key, np.int64),
+                                           pack(times[own] > 1, first[own], count[own])), strict=True):
                         to.append(a)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "content", "doc_id", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "content", *DOC, "segment"])
 
-    return keyed(docs).mapInArrow(run, "anchor long, content long, doc_id long, segment long")
+    return keyed(docs).mapInArrow(run, "anchor long, content long, doc_id long, text_key long, segment long")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
@@ -199,7 +198,7 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
 
 def contents(candidates: DataFrame) -> DataFrame:
     """(anchor, content, first, last, mixed): first and last place of each content; whether its anchor has other contents."""
-    place = F.struct("doc_id", "segment")
+    place = F.struct(*DOC, "segment")
     own = cut(candidates.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max(place).alias("last")), "contents")
     kinds = candidates.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     mixed = cut(kinds.where("lo <> hi").select("anchor", F.lit(True).alias("mixed")), "mixed")

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import cut
-from wattlane.llm.repeats import (AT_BITS, BASES, NO_ID, SQL_AGAIN, SQL_COUNT, SQL_FIRST, SQL_TAG, U, Hasher, contents, local_copies,
-                                  occurrences, packed_texts, repeated_anchors, segments, slices, tag_of, unpack)
+from wattlane.llm.repeats import (BASES, DOC, NO_ID, SQL_AGAIN, SQL_COUNT, SQL_FIRST, U, Hasher, contents, local_copies, occurrences,
+                                  packed_texts, repeated_anchors, segments, slices, unpack)
 
 WORDS, GRAM = 20, 8
 #: The white space between words.
@@ -56,76 +56,74 @@ def word_units(data: bytes, which: int = 0) -> np.ndarray:
 
 
 def index_windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, at): the windows of the wanted segments; ``at`` packs the text's tag and the first word."""
+    """(h1, h2, doc_id, text_key, at): the windows of the wanted segments; ``at`` is the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for b in slices(batches):
-            for doc_id, z, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, key, z, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = unpress.decompress(z)
-                tag, first, count = unpack(np.unique(np.array(found, np.int64)))
-                own = tag == tag_of(data)
-                if not own.any():
-                    continue
-                first, count = first[own], count[own]
+                first, count = unpack(np.unique(np.array(found, np.int64)))
                 at = np.unique(np.concatenate([np.arange(f, f + c) for f, c in zip(first, count, strict=True)]))
                 h = [Hasher(word_units(data, w), w).of(at, at + WORDS).view(np.int64) for w in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), doc_id, np.int64)),
-                     pa.array((np.int64(tag_of(data)) << AT_BITS) | at)], names=["h1", "h2", "doc_id", "at"])
+                     pa.array(np.full(len(at), key, np.int64)), pa.array(at)], names=["h1", "h2", *DOC, "at"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("segment").alias("found"))  # bounded by the text's own length
-    return texts.join(by_doc, "doc_id").select("doc_id", "z", "found").mapInArrow(run, "h1 long, h2 long, doc_id long, at long")
+    by_doc = wanted.groupBy(*DOC).agg(F.collect_list("segment").alias("found"))  # bounded by the text's own length
+    return texts.join(by_doc, DOC).select(*DOC, "z", "found").mapInArrow(run, "h1 long, h2 long, doc_id long, text_key long, at long")
+
+
+SOURCE = ["src_doc", "src_key", "src_at"]
 
 
 def duplicate_sources(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, tag, at, windows, src_doc, src_at): runs of windows of a document that start earlier elsewhere."""
+    """(doc_id, text_key, at, windows, src_doc, src_key, src_at): runs of windows of a document that start earlier elsewhere."""
     found = cut(repeated_anchors(occurrences(docs, word_units, WORDS, GRAM)), "rlz")
     known = contents(found)
-    here = F.struct("doc_id", "segment")
+    here = F.struct(*DOC, "segment")
     # whole segments that stand earlier
-    whole = (found.join(known.select("anchor", "content", "first"), ["anchor", "content"]).where(here > F.col("first"))
-             .selectExpr("doc_id", "segment", "first.doc_id src_doc", "first.segment src"))
-    runs = whole.selectExpr("doc_id", f"{SQL_TAG.format('segment')} tag", f"{SQL_FIRST.format('segment')} at",
-                            f"{SQL_COUNT.format('segment')} windows", "src_doc", f"{SQL_FIRST.format('src')} src_at")
+    whole = found.join(known.select("anchor", "content", "first"), ["anchor", "content"]).where(here > F.col("first"))
+    runs = whole.selectExpr(*DOC, f"{SQL_FIRST.format('segment')} at", f"{SQL_COUNT.format('segment')} windows",
+                            "first.doc_id src_doc", "first.text_key src_key", f"{SQL_FIRST.format('first.segment')} src_at")
     # no windows: a mark that the text repeats segments of its own
-    marks = found.where(f"{SQL_AGAIN.format('segment')} = 1").selectExpr(
-        "doc_id", f"{SQL_TAG.format('segment')} tag", "0L at", "0L windows", "0L src_doc", "0L src_at")
+    marks = found.where(f"{SQL_AGAIN.format('segment')} = 1").selectExpr(*DOC, "0L at", "0L windows", "0L src_doc", "0L src_key", "0L src_at")
     # first stands of contents whose anchor also has other contents: ask the index window by window
-    wanted = known.where("mixed").select("first.doc_id", "first.segment")
+    wanted = known.where("mixed").select("first.*")
     windows = cut(index_windows(texts, wanted), "rlz-windows")
-    index = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
+    place = F.struct(*DOC, "at")
+    index = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     index = cut(index.where("first < last").select("h1", "h2", "first"), "rlz-index")
-    at_bits = (1 << AT_BITS) - 1
-    hits = (windows.join(index, ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-            .selectExpr("doc_id", f"shiftright(at, {AT_BITS}) tag", f"at & {at_bits}L at", "1L windows", "first.doc_id src_doc",
-                        f"first.at & {at_bits}L src_at"))
+    hits = (windows.join(index, ["h1", "h2"]).where(place > F.col("first"))
+            .selectExpr(*DOC, "at", "1L windows", "first.doc_id src_doc", "first.text_key src_key", "first.at src_at"))
     return runs.union(hits).union(marks)
 
 
-def factors(data: bytes, doc_id: int, at: np.ndarray, windows: np.ndarray, src_doc: np.ndarray, src_at: np.ndarray):
+def factors(data: bytes, doc_id: int, key: int, at: np.ndarray, windows: np.ndarray, src_doc: np.ndarray, src_key: np.ndarray, src_at: np.ndarray):
     """Greedy factors of one document: (first word, words, reference document, its first word)."""
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none, none
     n = len(word_bounds(data)[0])
     doc = np.full(n - WORDS + 1, NO_ID, np.int64)
+    text = np.zeros(n - WORDS + 1, np.int64)
     source = np.full(n - WORDS + 1, -1, np.int64)
     each = np.repeat(np.arange(len(at)), windows)
     offset = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
     doc[at[each] + offset] = src_doc[each]
+    text[at[each] + offset] = src_key[each]
     source[at[each] + offset] = src_at[each] + offset
     if (windows == 0).any():  # later places of a segment of this very text
         anchor, content, first, count, _ = segments(word_units(data), WORDS, GRAM)
         copy_of, _ = local_copies(anchor, content)
         for i in np.flatnonzero(copy_of != np.arange(len(anchor))):
             f, g, c = first[i], first[copy_of[i]], count[i]
-            doc[f:f + c] = doc_id
+            doc[f:f + c], text[f:f + c] = doc_id, key
             source[f:f + c] = np.arange(g, g + c)
     found = np.flatnonzero(source >= 0)
     if not len(found):
         return found, found, found, found
-    goes_on = (found[1:] == found[:-1] + 1) & (doc[found[1:]] == doc[found[:-1]]) & (source[found[1:]] == source[found[:-1]] + 1)
+    goes_on = (found[1:] == found[:-1] + 1) & (doc[found[1:]] == doc[found[:-1]]) & (text[found[1:]] == text[found[:-1]]) & (source[found[1:]] == source[found[:-1]] + 1)
     head = np.concatenate(([True], ~goes_on))
     size = np.diff(np.append(np.flatnonzero(head), len(found))) + WORDS - 1
     return found[head], size, doc[found[head]], source[found[head]]
@@ -135,26 +133,25 @@ def _per_text(docs: DataFrame, schema: str, emit) -> DataFrame:
     """Factor every text and emit rows of (doc_id, text bytes, factors)."""
     texts = packed_texts(docs)
     found = duplicate_sources(docs, texts)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at", "windows", "src_doc", "src_at")).alias("found"))
+    by_doc = found.groupBy(*DOC).agg(F.collect_list(F.struct("at", "windows", *SOURCE)).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for part in slices(batches):
             rows = []
-            lists = part.column(2)
+            lists = part.column(3)
             flat = np.stack([lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5)]) if lists.null_count < len(lists) else None
             size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             end = np.cumsum(size)
-            for i, (doc_id, z) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+            for i, (doc_id, key, z) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)):
                 data = unpress.decompress(z)
                 own = flat[:, end[i] - size[i]:end[i]] if size[i] else np.zeros((5, 0), np.int64)
-                own = own[1:, own[0] == tag_of(data)]
-                rows += emit(None if doc_id == NO_ID else doc_id, data, factors(data, doc_id, *own))
+                rows += emit(None if doc_id == NO_ID else doc_id, data, factors(data, doc_id, key, *own))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    return texts.join(by_doc, "doc_id", "left").select("doc_id", "z", "found").mapInArrow(run, schema)
+    return texts.join(by_doc, DOC, "left").select(*DOC, "z", "found").mapInArrow(run, schema)
 
 
 def _factor_rows(doc_id, data, found):

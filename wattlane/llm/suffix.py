@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import cut
-from wattlane.llm.repeats import (NO_ID, SQL_AGAIN, SQL_COUNT, U, Hasher, contents, local_copies, occurrences, packed_texts,
-                                  repeated_anchors, segments, slices, tag_of, unpack)
+from wattlane.llm.repeats import (DOC, NO_ID, SQL_AGAIN, SQL_COUNT, U, Hasher, contents, local_copies, occurrences, packed_texts,
+                                  repeated_anchors, segments, slices, unpack)
 
 BYTES, GRAM = 400, 64
 BLOCK_STRINGS, ANCHOR_STRINGS = 4000, 20_000
@@ -133,7 +133,7 @@ def repeated_starts(group: np.ndarray, strings: list[bytes], left: np.ndarray, w
     return [np.array(x[::-1], np.int64) for x in out]
 
 
-STRINGS = "anchor long, doc_id long, segment long, before int, string binary"
+STRINGS = "anchor long, doc_id long, text_key long, segment long, before int, string binary"
 
 
 def segment_strings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,48 +142,46 @@ def segment_strings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for b in slices(batches):
-            for doc_id, z, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, key, z, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = unpress.decompress(z)
                 packed = np.unique(np.array(found, np.int64))
-                tag, start, count = unpack(packed)
-                own = tag == tag_of(data)
-                if not own.any():
-                    continue
+                start, count = unpack(packed)
                 anchor, _, first, _, place = segments(byte_units(data), BYTES, GRAM)
-                at = np.searchsorted(first, start[own])
+                at = np.searchsorted(first, start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[at].view(np.int64)), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(packed[own]),
-                     pa.array((place[at] - first[at]).astype(np.int32)),
-                     pa.array([data[f:f + c + BYTES - 1] for f, c in zip(start[own].tolist(), count[own].tolist(), strict=True)], pa.binary())],
-                    names=["anchor", "doc_id", "segment", "before", "string"])
+                    [pa.array(anchor[at].view(np.int64)), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(np.full(len(at), key, np.int64)),
+                     pa.array(packed), pa.array((place[at] - first[at]).astype(np.int32)),
+                     pa.array([data[f:f + c + BYTES - 1] for f, c in zip(start.tolist(), count.tolist(), strict=True)], pa.binary())],
+                    names=["anchor", *DOC, "segment", "before", "string"])
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list("segment").alias("found"))  # bounded by the text's own length
-    return texts.join(by_doc, "doc_id").select("doc_id", "z", "found").mapInArrow(run, STRINGS)
+    by_doc = wanted.groupBy(*DOC).agg(F.collect_list("segment").alias("found"))  # bounded by the text's own length
+    return texts.join(by_doc, DOC).select(*DOC, "z", "found").mapInArrow(run, STRINGS)
 
 
-FLAGS = "doc_id long, segment long, start long, windows long"
+FLAGS = "doc_id long, text_key long, segment long, start long, windows long"
+FLAG_COLUMNS = [*DOC, "segment", "start", "windows"]
 
 
 def block_repeats(strings: DataFrame) -> DataFrame:
     """Runs of repeated windows in the blocks; ``strings`` of one anchor are in one block."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        anchor, doc_id, segment, before, string = zip(*rows, strict=True)
-        packed = np.array(segment, np.int64)
-        _, _, count = unpack(packed)
+        rows = list({r[1:4]: r for r in rows}.values())  # rows that are repeated are one document
+        anchor, doc_id, key, segment, before, string = zip(*rows, strict=True)
+        _, count = unpack(np.array(segment, np.int64))
         found = repeated_starts(np.array(anchor), list(string), np.array(before, np.int64), count)
         out = []
         for i, starts in enumerate(found):
             if len(starts):
                 head = np.concatenate(([True], starts[1:] != starts[:-1] + 1))
                 size = np.diff(np.append(np.flatnonzero(head), len(starts)))
-                out += [(doc_id[i], segment[i], s, n) for s, n in zip(starts[head].tolist(), size.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["doc_id", "segment", "start", "windows"])
+                out += [(doc_id[i], key[i], segment[i], s, n) for s, n in zip(starts[head].tolist(), size.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names=FLAG_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if len(rows) >= BLOCK_STRINGS and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows = []
@@ -200,33 +198,34 @@ def counted_repeats(strings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, doc_id, segment, _, string in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for _, doc_id, key, segment, _, string in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = np.arange(len(string) - BYTES + 1)
                 h = [Hasher(byte_units(string, w), w).of(at, at + BYTES).view(np.int64) for w in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), doc_id, np.int64)),
-                     pa.array(np.full(len(at), segment, np.int64)), pa.array(at)], names=["h1", "h2", "doc_id", "segment", "start"])
+                    [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(np.full(len(at), key, np.int64)),
+                     pa.array(np.full(len(at), segment, np.int64)), pa.array(at)], names=["h1", "h2", *DOC, "segment", "start"])
 
-    windows = strings.mapInArrow(run, "h1 long, h2 long, doc_id long, segment long, start long")
-    twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    return windows.join(twice, ["h1", "h2"], "leftsemi").selectExpr("doc_id", "segment", "start", "1L windows")
+    windows = strings.mapInArrow(run, "h1 long, h2 long, doc_id long, text_key long, segment long, start long")
+    place = F.struct(*DOC, "segment", "start")
+    twice = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2")
+    return windows.join(twice, ["h1", "h2"], "leftsemi").selectExpr(*DOC, "segment", "start", "1L windows")
 
 
 def repeated_runs(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, segment, start, windows): windows of a segment (from its first one) that start somewhere else too."""
+    """(doc_id, text_key, segment, start, windows): windows of a segment (from its first one) that start somewhere else too."""
     found = cut(repeated_anchors(occurrences(docs, byte_units, BYTES, GRAM)), "suffix")
     known = contents(found)
     copies = known.where("first < last").select("anchor", "content")
     whole = (found.join(copies, ["anchor", "content"], "leftsemi")
-             .selectExpr("doc_id", "segment", "0L start", f"{SQL_COUNT.format('segment')} windows"))
+             .selectExpr(*DOC, "segment", "0L start", f"{SQL_COUNT.format('segment')} windows"))
     # no windows: a mark that the text repeats segments of its own
-    marks = found.where(f"{SQL_AGAIN.format('segment')} = 1").selectExpr("doc_id", "segment", "0L start", "0L windows")
-    mixed = known.where("mixed").select("anchor", "first.doc_id", "first.segment")
-    strings = segment_strings(texts, mixed.select("doc_id", "segment"))
+    marks = found.where(f"{SQL_AGAIN.format('segment')} = 1").selectExpr(*DOC, "segment", "0L start", "0L windows")
+    mixed = known.where("mixed").select("anchor", "first.*")
+    strings = segment_strings(texts, mixed.select(*DOC, "segment"))
     huge = mixed.groupBy("anchor").count().where(f"count > {ANCHOR_STRINGS}").select("anchor")
     strings = cut(strings, "suffix-strings")
-    return (whole.union(marks).union(block_repeats(strings.join(huge, "anchor", "leftanti").select("anchor", "doc_id", "segment", "before", "string")))
-            .union(counted_repeats(strings.join(huge, "anchor", "leftsemi").select("anchor", "doc_id", "segment", "before", "string"))))
+    return (whole.union(marks).union(block_repeats(strings.join(huge, "anchor", "leftanti").select(*strings.columns)))
+            .union(counted_repeats(strings.join(huge, "anchor", "leftsemi").select(*strings.columns))))
 
 
 def removed_bytes(data: bytes, segment: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -239,7 +238,7 @@ def removed_bytes(data: bytes, segment: np.ndarray, start: np.ndarray, windows:
         np.add.at(change, at + count + BYTES - 1, -1)
 
     some = windows > 0
-    add(unpack(segment[some])[1] + start[some], windows[some])
+    add(unpack(segment[some])[0] + start[some], windows[some])
     if not some.all():  # segments that stand at several places of this very text
         anchor, content, at, count, _ = segments(byte_units(data), BYTES, GRAM)
         _, times = local_copies(anchor, content)
@@ -249,22 +248,21 @@ def removed_bytes(data: bytes, segment: np.ndarray, start: np.ndarray, windows:
 
 def _per_text(docs: DataFrame, schema: str, emit) -> DataFrame:
     texts = packed_texts(docs)
-    by_doc = repeated_runs(docs, texts).groupBy("doc_id").agg(F.collect_list(F.struct("segment", "start", "windows")).alias("found"))
+    by_doc = repeated_runs(docs, texts).groupBy(*DOC).agg(F.collect_list(F.struct("segment", "start", "windows")).alias("found"))
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for part in slices(batches):
             rows = []
-            for doc_id, z, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, z, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 data = unpress.decompress(z)
                 own = np.array([[f["segment"], f["start"], f["windows"]] for f in found or ()], np.int64).reshape(-1, 3)
-                own = own[unpack(own[:, 0])[0] == tag_of(data)]
                 rows += emit(None if doc_id == NO_ID else doc_id, data, removed_bytes(data, *own.T))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
-    return texts.join(by_doc, "doc_id", "left").select("doc_id", "z", "found").mapInArrow(run, schema)
+    return texts.join(by_doc, DOC, "left").select("doc_id", "z", "found").mapInArrow(run, schema)
 
 
 def spans_of(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
