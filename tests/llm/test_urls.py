@@ -42,7 +42,7 @@ def test_rules_and_parts(tables):
     assert got[URLS.index("http://example.net/en/1")].verdict == "allow" and got[URLS.index("http://a.net/")].verdict == "block"
     # ids become wildcards, the bad branch stands alone and goes, the two good ones merge
     bad, good = got[URLS.index("http://hot.io/bad/100")], got[URLS.index("http://hot.io/a/2.html")]
-    assert (bad.template, bad.verdict, good.template, good.verdict) == ("hot.io/bad/*", "block", "hot.io/a|b/*", "allow")
+    assert (bad.template, bad.verdict, good.template, good.verdict) == ("hot.io/bad/*", "block", "hot.io/a|+1/*", "allow")
 
 
 def test_equals_sql(tables):
@@ -62,3 +62,42 @@ def test_empty_tables(tables):
     assert urls.judge_urls(none, urls.page_labels(none, labels)).count() == 0
     without = urls.judge_urls(pages, urls.page_labels(pages, labels.where("doc_id < 0"))).where("rule is null")
     assert {r.verdict for r in without.select("verdict").distinct().collect()} == {"allow"}
+
+
+def judged(spark, pages, bad):
+    """Verdict and template by url; ``bad``: the ids of bad documents among those that the urls name."""
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    ids = [int(u.rstrip("/").rpartition("/")[2]) for u in pages if u.rstrip("/").rpartition("/")[2].isdigit()]
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in ids], "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    con.register("pages", table.toArrow())
+    con.register("labels", labels.toArrow())
+    rows = urls.judge_urls(table, urls.page_labels(table, labels)).collect()
+    want = {tuple(r) for r in con.sql(f"SELECT page_id, host, path, rule, verdict, template, purity FROM ({urls.ORACLE_SQL})").fetchall()}
+    assert {(*r[:6], round(r.purity, 9)) for r in rows} == want
+    return {pages[r.page_id]: (r.verdict, r.template) for r in rows}
+
+
+def test_a_bad_section_at_any_level_goes(spark):
+    """Deep sections, and few bad ones among very many: literal by their own count, not by their share of the host."""
+    deep = [f"http://h.io/en/2024/05/{s}/{i}" for i, s in enumerate(["spam"] * 200 + ["news"] * 200)]
+    fifth = [f"http://d.io/a/b/c/d/{s}/{1000 + i}" for i, s in enumerate(["ok"] * 60 + ["worse"] * 60)]
+    wide = [f"http://k.io/s{i // 10}/{2000 + i}" for i in range(2000)]
+    bad = set(range(200)) | set(range(1060, 1120)) | {2000 + i for i in range(2000) if i // 10 in (7, 50, 51, 120, 199)}
+    got = judged(spark, deep + fifth + wide, bad)
+    assert {u for u, (v, _) in got.items() if v == "block"} == {u for u in got if int(u.rpartition("/")[2]) in bad}
+    assert got[deep[0]][1] == "h.io/en/2024/05/spam/*" and got[wide[0]][1] == "k.io/s0|+194/*" and got[wide[70]][1] == "k.io/s120|+4/*"
+
+
+def test_literals_below_wildcards_and_stars(spark):
+    """Ids may stand above a section; a segment that is itself a star counts as variable."""
+    pages = [f"http://u.io/{i}x/{'good' if i % 2 else 'bad'}/{i}" for i in range(80)] + [f"http://u.io/*/good/{500 + i}" for i in range(9)]
+    got = judged(spark, pages, {i for i in range(80) if i % 2 == 0})
+    assert got[pages[0]] == ("block", "u.io/*/bad/*") and got[pages[1]] == got[pages[-1]] == ("allow", "u.io/*/good/*")
+
+
+def test_hot_keys_by_either_join(spark, monkeypatch):
+    pages = [f"http://h.io/{s}/{i}" for i, s in enumerate(["a"] * 50 + ["b"] * 20 + [f"c{k}" for k in range(30)])]
+    want = judged(spark, pages, set(range(40, 70)))
+    monkeypatch.setattr(urls, "HOT_SHARE", 2)  # hardly any key is hot
+    assert judged(spark, pages, set(range(40, 70))) == want

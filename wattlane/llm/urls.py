@@ -1,22 +1,26 @@
 """URL filters: fixed host/path rules, and a path-template tree for the rest (operator 7, DataFrame functions only).
 
 Method.  Per host the path segments form a tree, built level by level over all
-pages.  A segment stays literal if it leads at least ``MIN_PAGES`` pages and
-``MIN_SHARE`` of its node's pages; every other one becomes the wildcard ``*``
-(so a node has at most 1 / MIN_SHARE literal children, however many ids stand
-there).  From the deepest level up, sibling branches merge if their shares of
-bad labels are alike: in the order of their shares, a branch joins the one
-before unless a two-proportion z-test tells them apart; a merged segment reads
-``a|b``.  A template is rejected if its smoothed purity
+pages, down to the deepest level that any node of ``MIN_PAGES`` pages reaches
+(below smaller nodes nothing can be literal).  A segment stays literal if it
+leads at least ``MIN_PAGES`` pages of its node, whatever else stands there; every
+other one becomes the wildcard ``*``.  From the deepest level up, sibling
+branches merge if their shares of bad labels are alike: in the order of their
+shares, a branch joins the one before unless a two-proportion z-test tells them
+apart; a merged segment reads as its first name and how many more there are
+(``a|+1``).  A template is rejected if its smoothed purity
 
     (good + SMOOTHING * overall purity) / (labelled + SMOOTHING)
 
 is under ``MIN_PURITY``.  Rules come first; the longest that fits wins.
 
 Scale: each level is one aggregate (with partial counts, so a host that holds a
-third of all pages sends a few rows a task), one join of short rows (which AQE
-can split) and one written table; only the overall purity (one number) reaches
-the driver.
+third of all pages sends a few rows a task) and one join of short rows, written
+as a table.  Keys with a thousandth of the pages or more, so at most a thousand
+of them, are joined by broadcast, the others by shuffle: no task gets a hot key.
+Siblings with equal counts are one row of the merge window, so a node with very
+many branches is sorted by its kinds of counts, which grow far slower.  Only
+single numbers reach the driver.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no
 rule, and is judged by the template of the empty host; pages without a label
@@ -34,8 +38,9 @@ from wattlane.llm.common import cut
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH = 3
-MIN_PAGES, MIN_SHARE = 5, 0.01
+MIN_PAGES = 5
+#: Keys with at least one in HOT_SHARE of the pages are joined by broadcast: there are at most so many.
+HOT_SHARE = 1000
 SMOOTHING, MIN_PURITY = 10.0, 0.5
 #: Square of the z value under which two shares count as alike (95 %).
 SAME_Z2 = 3.84
@@ -68,36 +73,55 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(bad, "doc_id").select("url", "bad")
 
 
+def join_by_count(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` left-joined to ``table`` (one row a key; ``n`` of the rows hold it), hot keys by broadcast."""
+    hot = table.where(f"n * {HOT_SHARE} >= {total}")  # at most HOT_SHARE keys
+    found = rows.join(F.broadcast(hot), keys)
+    return found.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "leftanti").join(table.where(f"n * {HOT_SHARE} < {total}"), keys, "left"))
+
+
 def generalise(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, s1..sD) with t1..tD: the segments of each page's template."""
-    prefix = ["host"]
-    for i in range(1, DEPTH + 1):
-        seen = paths.groupBy(*prefix, f"s{i}").agg(F.count("*").alias("n"))
-        node = seen.groupBy(*prefix).agg(F.sum("n").alias("node_n"))
-        literal = (seen.join(node, prefix).where(F.expr(f"s{i} <> '' and n >= {MIN_PAGES} and n >= {MIN_SHARE}D * node_n"))
-                   .select(*prefix, f"s{i}", F.col(f"s{i}").alias(f"t{i}")))
-        paths = paths.join(literal, [*prefix, f"s{i}"], "left").withColumn(
-            f"t{i}", F.expr(f"case when s{i} = '' then '' else coalesce(t{i}, '*') end"))
-        paths = cut(paths, "url-level")  # short rows; each level would else run all levels before it again
-        prefix.append(f"t{i}")
-    return paths
+    """``paths`` (host, segs, ...) with ``t``: the segments of each page's template."""
+    rest, done, level = paths.withColumn("t", F.array().cast("array<string>")), [], 0
+    while True:
+        done.append(rest.where(f"size(segs) <= {level}"))
+        work = rest.where(f"size(segs) > {level}").withColumn("s", F.element_at("segs", level + 1))
+        seen = cut(work.groupBy("host", "t", "s").agg(F.count("*").alias("n")), "url-nodes")
+        total, most = seen.groupBy("host", "t").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.max("n")).first()
+        if most is None or most < MIN_PAGES:
+            done.append(work.withColumn("t", F.expr(f"concat(t, array_repeat('*', size(segs) - {level}))")).drop("s"))
+            break
+        literal = seen.where(f"n >= {MIN_PAGES}").withColumn("kept", F.col("s"))
+        named = join_by_count(work, literal, ["host", "t", "s"], total).withColumn("t", F.expr("concat(t, array(coalesce(kept, '*')))"))
+        rest = cut(named.select(*rest.columns), "url-level")  # short rows; each level would else run all levels before it again
+        level += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def merge_branches(templates: DataFrame) -> DataFrame:
-    """(host, t1..tD, m1..mD, labelled, bad) of each template: m are its segments after siblings that are alike merged."""
-    levels = [f"m{i}" for i in range(1, DEPTH + 1)]
-    out = templates.select("*", *[F.col(f"t{i}").alias(f"m{i}") for i in range(1, DEPTH + 1)])
-    for level in reversed(levels):
-        rest = ["host", *[x for x in levels if x != level]]
-        branch = (out.where(F.col(level) != "").groupBy("host", *levels).agg(F.sum("labelled").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
-                  .where("n > 0"))
-        # at most 1 / MIN_SHARE + 1 siblings, whatever the host holds
-        by_share = Window.partitionBy(*rest).orderBy(F.expr("b / n"), level)
-        near = branch.withColumns({"pn": F.lag("n").over(by_share), "pb": F.lag("b").over(by_share)}).withColumn("cut", F.expr(_differs("n", "b", "pn", "pb")))
-        group = near.withColumn("kin", F.sum("cut").over(by_share))
-        names = group.groupBy(*rest, "kin").agg(F.concat_ws("|", F.sort_array(F.collect_list(level))).alias("merged"))
-        merged = group.join(names, [*rest, "kin"]).select("host", *levels, "merged")
-        out = out.join(merged, ["host", *levels], "left").withColumn(level, F.coalesce("merged", level)).drop("merged")
+    """``templates`` (host, t, labelled, bad, ...) with ``m``: the segments of t after siblings that are alike merged."""
+    out = templates.withColumn("m", F.col("t"))
+    # below, no template with labels has another one of its host and depth to merge with
+    shapes = templates.where("labelled > 0").groupBy("host", F.size("t").alias("depth")).count().where("count > 1")
+    depth = shapes.agg(F.max("depth")).first()[0] or 0
+    for level in range(depth, 0, -1):
+        name, rest = f"element_at(m, {level})", f"concat(slice(m, 1, {level} - 1), array('*'), slice(m, {level} + 1, size(m)))"
+        branch = (out.where(f"size(m) >= {level}").groupBy("host", "m").agg(F.sum("labelled").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
+                  .where("n > 0").select("host", F.expr(rest).alias("node"), F.expr(name).alias("name"), "n", "b"))
+        kinds = branch.groupBy("host", "node", "n", "b").agg(F.min("name").alias("name"), F.count("*").alias("size"))
+        by_share = Window.partitionBy("host", "node").orderBy(F.expr("b / n"), "n")
+        near = kinds.withColumns({"pn": F.lag("n").over(by_share), "pb": F.lag("b").over(by_share)}).withColumn("cut", F.expr(_differs("n", "b", "pn", "pb")))
+        kin = cut(near.withColumn("kin", F.sum("cut").over(by_share)).select("host", "node", "n", "b", "name", "size", "kin"), "url-kin")
+        names = kin.groupBy("host", "node", "kin").agg(F.min("name").alias("name"), F.sum("size").alias("size"))
+        merged = (kin.select("host", "node", "n", "b", "kin").join(names.selectExpr("host", "node", "kin", "name || if(size > 1, '|+' || (size - 1), '') as merged"), ["host", "node", "kin"])
+                  .select("host", "node", "n", "b", "merged"))
+        joint = branch.join(merged, ["host", "node", "n", "b"]).select(
+            "host", F.expr(f"concat(slice(node, 1, {level} - 1), array(name), slice(node, {level} + 1, size(node)))").alias("m"), "merged")
+        out = out.join(joint, ["host", "m"], "left").withColumn(
+            "m", F.expr(f"if(merged is null, m, concat(slice(m, 1, {level} - 1), array(merged), slice(m, {level} + 1, size(m))))")).drop("merged")
         out = cut(out, "url-branches")
     return out
 
@@ -114,72 +138,61 @@ def judge_urls(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     host, path = split_url(F.col("url"))
     segs = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
     paths = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("segs", segs)
-    paths = paths.select("page_id", "url", "host", "path", *[F.coalesce(F.get("segs", F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(DEPTH)])
     marks = labelled.select(F.col("url").alias("of_url"), "bad")
     paths = generalise(cut(paths.join(marks, paths.url == marks.of_url, "left").drop("url", "of_url"), "url-paths"))
-    ts = [f"t{i}" for i in range(1, DEPTH + 1)]
-    ms = [f"m{i}" for i in range(1, DEPTH + 1)]
-    templates = cut(paths.groupBy("host", *ts).agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "url-templates")
+    templates = cut(paths.groupBy("host", "t").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "url-templates")
     merged = merge_branches(templates)
     overall = labelled.agg(F.coalesce(1 - F.avg("bad"), F.lit(1.0))).first()[0]
-    purity = (merged.groupBy("host", *ms).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-              .withColumn("purity", (F.col("n") - F.col("b") + F.lit(SMOOTHING * overall)) / (F.col("n") + F.lit(SMOOTHING))))
-    verdicts = (merged.select("host", *ts, *ms).join(purity, ["host", *ms])
-                .select("host", *ts, "purity", F.concat_ws("/", F.col("host"), *[F.when(F.col(m) != "", F.col(m)) for m in ms]).alias("template")))
+    total = templates.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    purity = (merged.groupBy("host", "m").agg(F.sum("labelled").alias("good"), F.sum("bad").alias("b"))
+              .withColumn("purity", (F.col("good") - F.col("b") + F.lit(SMOOTHING * overall)) / (F.col("good") + F.lit(SMOOTHING))))
+    verdicts = (merged.select("host", "t", "m", "n").join(purity, ["host", "m"])
+                .select("host", "t", "n", "purity", F.expr("concat_ws('/', host, if(size(m) > 0, array_join(m, '/'), null))").alias("template")))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    return paths.join(verdicts, ["host", *ts]).select(
+    return join_by_count(paths.drop("bad"), cut(verdicts, "url-verdicts"), ["host", "t"], total).select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
 def _oracle() -> str:
-    """The same query for DuckDB."""
-    url_parts = f"""
-u AS (SELECT page_id, url, CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^?#]*)', 1, 's') ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, url, translate(split_part(rest, '/', 1), '{UPPER}', '{LOWER}') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM u),
+    """The same query for DuckDB: both level loops as recursion, over rows instead of aggregates."""
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(v, h + q, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{q}'))") for v, h, q in longest]
+    return f"""WITH RECURSIVE
+u AS (SELECT row_number() OVER () AS page, page_id, url, CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^?#]*)', 1, 's') ELSE '' END AS rest FROM pages),
+p AS (SELECT page, page_id, url, translate(split_part(rest, '/', 1), '{UPPER}', '{LOWER}') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM u),
 bad_docs AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 urls AS (SELECT url, any_value(path) AS path FROM p GROUP BY url),
 labelled AS (SELECT url, bad FROM urls JOIN bad_docs ON try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html)?/?$', 1) AS BIGINT) = doc_id),
 overall AS (SELECT coalesce(1 - avg(bad), 1.0) AS pure FROM labelled),
-g0 AS (SELECT p.*, labelled.bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM p LEFT JOIN labelled ON p.url = labelled.url),
-x0 AS (SELECT *, {', '.join(f"coalesce(segs[{i}], '') AS s{i}" for i in range(1, DEPTH + 1))} FROM g0)"""
-    sql, prefix = "WITH" + url_parts, ["host"]
-    for i in range(1, DEPTH + 1):
-        k = ", ".join(prefix)
-        sql += f""",
-n{i} AS (SELECT {k}, s{i}, count(*) AS n FROM x{i - 1} GROUP BY ALL),
-a{i} AS (SELECT {k}, sum(n) AS node_n FROM n{i} GROUP BY ALL),
-l{i} AS (SELECT {k}, s{i} FROM n{i} JOIN a{i} USING ({k}) WHERE s{i} <> '' AND n >= {MIN_PAGES} AND n >= CAST({MIN_SHARE} AS DOUBLE) * CAST(node_n AS DOUBLE)),
-x{i} AS (SELECT x{i - 1}.*, CASE WHEN x{i - 1}.s{i} = '' THEN '' WHEN l{i}.s{i} IS NOT NULL THEN l{i}.s{i} ELSE '*' END AS t{i} FROM x{i - 1} LEFT JOIN l{i} USING ({k}, s{i}))"""
-        prefix.append(f"t{i}")
-    ts = ", ".join(f"t{i}" for i in range(1, DEPTH + 1))
-    ms = [f"m{i}" for i in range(1, DEPTH + 1)]
-    sql += f""",
-y{DEPTH} AS (SELECT host, {ts}, {', '.join(f't{i} AS m{i}' for i in range(1, DEPTH + 1))}, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM x{DEPTH} GROUP BY host, {ts})"""
-    for i in range(DEPTH, 0, -1):
-        others = ", ".join(["host", *[m for m in ms if m != f"m{i}"]])
-        rest = ", ".join(f"y{i}.{m}" for m in ms if m != f"m{i}")
-        every = ", ".join(["host", *ms])
-        order = f"OVER (PARTITION BY {others} ORDER BY b / n, m{i})"
-        sql += f""",
-b{i} AS (SELECT {every}, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM y{i} WHERE m{i} <> '' GROUP BY ALL HAVING sum(labelled) > 0),
-c{i} AS (SELECT *, lag(n) {order} AS pn, lag(b) {order} AS pb FROM b{i}),
-d{i} AS (SELECT *, sum({_differs("n", "b", "pn", "pb")}) {order} AS kin FROM c{i}),
-e{i} AS (SELECT {others}, kin, string_agg(m{i}, '|' ORDER BY m{i}) AS merged FROM d{i} GROUP BY {others}, kin),
-f{i} AS (SELECT {every}, merged FROM d{i} JOIN e{i} USING ({others}, kin)),
-y{i - 1} AS (SELECT y{i}.host, {', '.join(f'y{i}.t{j}' for j in range(1, DEPTH + 1))}, {rest}, coalesce(f{i}.merged, y{i}.m{i}) AS m{i}, labelled, bad
-  FROM y{i} LEFT JOIN f{i} USING ({every}))"""
-    mk = ", ".join(ms)
-    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-    fits = [(v, h + q, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{q}'))") for v, h, q in longest]
-    sql += f""",
-q AS (SELECT host, {mk}, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM y0 GROUP BY ALL),
-v AS (SELECT y0.host, {ts}, (n - b + {SMOOTHING} * pure) / (n + {SMOOTHING}) AS purity, concat_ws('/', y0.host, {', '.join(f"CASE WHEN y0.{m} <> '' THEN y0.{m} END" for m in ms)}) AS template
-  FROM y0 JOIN q USING (host, {mk}), overall)
-SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for _, r, f in fits)} END AS rule,
+g AS (SELECT p.*, labelled.bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM p LEFT JOIN labelled ON p.url = labelled.url),
+grown AS (
+  SELECT page, host, segs, CAST([] AS VARCHAR[]) AS t, 0 AS d FROM g
+  UNION ALL
+  SELECT page, host, segs, list_append(t, CASE WHEN count(*) OVER (PARTITION BY host, t, segs[d + 1]) >= {MIN_PAGES} THEN segs[d + 1] ELSE '*' END), d + 1
+  FROM grown WHERE d < len(segs)),
+named AS (SELECT g.page_id, g.host, g.path, g.bad, t FROM grown JOIN g ON grown.page = g.page AND d = len(g.segs)),
+templates AS (SELECT host, t, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM named GROUP BY host, t),
+joined AS (
+  SELECT host, t, t AS m, labelled, bad, (SELECT coalesce(max(len(t)), 0) FROM templates) AS l FROM templates
+  UNION ALL
+  SELECT host, t, CASE WHEN len(m) >= l AND n > 0 THEN list_concat(list_concat(m[1:l - 1], [CASE WHEN kinds > 1 THEN first_name || '|+' || (kinds - 1) ELSE m[l] END]), m[l + 1:]) ELSE m END, labelled, bad, l - 1
+  FROM (SELECT *, min(m[l]) OVER w AS first_name, count(DISTINCT m[l]) OVER (PARTITION BY host, deep, node, n > 0, kin) AS kinds
+    FROM (SELECT *, sum(differs) OVER (PARTITION BY host, deep, node, n > 0 ORDER BY b / n, n) AS kin
+      FROM (SELECT *, {_differs("n", "b", "pn", "pb")} AS differs
+        FROM (SELECT *, lag(n) OVER k AS pn, lag(b) OVER k AS pb
+          FROM (SELECT *, len(m) >= l AS deep, list_concat(list_concat(m[1:l - 1], ['*']), m[l + 1:]) AS node,
+              CAST(sum(labelled) OVER (PARTITION BY host, m) AS DOUBLE) AS n, CAST(sum(bad) OVER (PARTITION BY host, m) AS DOUBLE) AS b
+            FROM joined WHERE l > 0)
+          WINDOW k AS (PARTITION BY host, deep, node, n > 0 ORDER BY b / n, n))))
+    WINDOW w AS (PARTITION BY host, deep, node, n > 0, kin))),
+last AS (SELECT host, t, m, labelled, bad FROM joined WHERE l = 0),
+q AS (SELECT host, m, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM last GROUP BY host, m),
+v AS (SELECT last.host, last.t, (n - b + {SMOOTHING} * pure) / (n + {SMOOTHING}) AS purity, last.host || CASE WHEN len(last.m) > 0 THEN '/' || array_to_string(last.m, '/') ELSE '' END AS template
+  FROM last JOIN q ON last.host = q.host AND last.m = q.m, overall)
+SELECT page_id, named.host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for _, r, f in fits)} END AS rule,
   CASE {' '.join(f"WHEN {f} THEN '{x}'" for x, _, f in fits)} WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 9) AS purity
-FROM x{DEPTH} JOIN v USING (host, {ts})"""
-    return sql
+FROM named JOIN v ON named.host = v.host AND named.t = v.t""".replace("(host = '", "(named.host = '").replace("ends_with(host,", "ends_with(named.host,")
 
 
 ORACLE_SQL = _oracle()
