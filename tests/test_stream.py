@@ -9,7 +9,7 @@ from conftest import frame, hourly
 from wattlane.operators import windows as W
 from wattlane.operators.score import fit_forecast_models, score_series
 from wattlane.session import ensure_checkpoint_dir
-from wattlane.streaming.state import StateTable
+from wattlane.streaming.keyed import BLOCK, SEEN_TTL_MS, Seen
 from wattlane.streaming.stream import replay, run_stream, stream_counts, time_slices
 
 T0 = datetime(2024, 1, 1)
@@ -18,9 +18,9 @@ T0 = datetime(2024, 1, 1)
 def run(spark, sliced, n, models=None, columns=("Power_Consumption",), **plan):
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     r = sliced.select("series_id", "ts", "arrival_no", *columns, "_slice")
-    replay(r, f"{base}/in", n, lambda: run_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt",
+    replay(r, f"{base}/in", n, lambda: run_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
                                                    r.drop("_slice").schema, models, **plan))
-    counts = {x.series_id: (x.n_seen, x.late_rows) for x in stream_counts(spark, f"{base}/state").collect()}
+    counts = {x.series_id: (x.n_seen, x.late_rows, x.repeated_rows) for x in stream_counts(spark, f"{base}/ckpt").collect()}
     return spark.read.parquet(f"{base}/out").collect(), counts, base
 
 
@@ -38,7 +38,7 @@ def test_stream_equals_batch_for_in_order_input(spark, plan):
     df = frame(spark, rows)
     got, counts, _ = run(spark, time_slices(df, 3), 3, **plan)
     batch = {r["arrival_no"]: r for r in W.serving_features(df, impute=False, drop_warmup=False).collect()}
-    assert len(got) == len(rows) and counts == {"s": (300, 0), "t": (250, 0)}
+    assert len(got) == len(rows) and counts == {"s": (300, 0, 0), "t": (250, 0, 0)}
     for r in got:
         b = batch[r["arrival_no"]]
         for c in ("energy_lag_1", "energy_lag_24", "energy_lag_168", "energy_min_24h", "energy_max_24h"):
@@ -62,9 +62,9 @@ def test_slow_late_repeated_and_unstamped_rows_are_placed_or_counted(spark):
     got, counts, _ = run(spark, slices(spark, first, later + late + slow[:8], only_late + slow[8:]), 3)
     ids = sorted(r["arrival_no"] for r in got)
     assert ids == [*range(15), *range(500, 515)]
-    assert counts == {"s": (15, 5), "slow": (15, 0), "u": (0, 1)}
+    assert counts == {"s": (15, 3, 2), "slow": (15, 0, 0), "u": (0, 1, 0)}
     last = max((r for r in got if r["series_id"] == "s"), key=lambda r: r["arrival_no"])
-    assert last["energy_lag_1"] == 13.0 and last["late_rows"] == 4
+    assert last["energy_lag_1"] == 13.0 and last["late_rows"] == 2
 
 
 def test_scoring_stream_final_responses_equal_batch_scores(spark):
@@ -89,18 +89,41 @@ def test_scoring_stream_final_responses_equal_batch_scores(spark):
             assert abs(final[s][c] - batch[s][c]) < 1e-6, (s, c, final[s][c], batch[s][c])
 
 
-def test_state_table_writes_touched_rows_compacts_and_replays(spark):
-    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
-    table = StateTable(spark, path, compact_every=4)
-    assert table.before(0) is None and table.stored() == []
+def test_repeats_are_told_from_late_rows(spark):
+    """A row that comes again is a repeat, whether it was placed or late the first time; rows without an arrival number never are."""
+    first = [reading("s", i, i, float(i)) for i in range(5, 15)]
+    second = [reading("s", 14, 14), reading("s", 1, 900), reading("s", 15, 15), reading("s", 15, 15), reading("s", 16, None), reading("s", 16, None)]
+    third = [reading("s", 1, 900), reading("s", 20, 5), reading("s", 2, 901), reading("s", 21, None)]
+    got, counts, _ = run(spark, slices(spark, first, second, third), 3)
+    assert counts == {"s": (14, 2, 4)}
+    assert sorted(r["arrival_no"] for r in got if r["arrival_no"] is not None) == [*range(5, 16)]
 
-    def rows(**values):
-        return spark.createDataFrame(list(values.items()), "series_id string, v long")
 
-    for epoch in range(10):
-        table.write(epoch, rows(a=epoch, **({"b": epoch} if epoch % 3 == 0 else {})))
-    assert {r.series_id: r.v for r in table.latest().collect()} == {"a": 9, "b": 9}
-    assert {r.series_id: r.v for r in table.before(9).collect()} == {"a": 8, "b": 6}
-    table.write(9, rows(a=90))  # a replayed epoch replaces its own rows
-    assert {r.series_id: r.v for r in table.latest().collect()} == {"a": 90, "b": 6}
-    assert [e for e, _ in table.stored()] == [8, 9]  # what the full write of epoch 8 replaced is gone
+def test_one_run_over_many_files_equals_restarts(spark):
+    """Micro-batches of one run and of runs that go on from the checkpoint place the same rows and count alike."""
+    df = frame(spark, hourly(spark, 120, power=lambda i: float(i % 7)))
+    again, counts, _ = run(spark, time_slices(df, 4), 4)
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = time_slices(df, 4).select("series_id", "ts", "arrival_no", "Power_Consumption", "_slice")
+    for k in range(4):
+        rows.where(f"_slice = {k}").drop("_slice").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    run_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", rows.drop("_slice").schema, max_files_per_trigger=1)
+    once = spark.read.parquet(f"{base}/out").collect()
+    assert {r["epoch"] for r in once} == {0, 1, 2, 3} and counts["s"] == (120, 0, 0)
+    assert tuple(stream_counts(spark, f"{base}/ckpt").first()) == ("s", 120, 0, 0)
+    assert sorted(map(repr, once)) == sorted(map(repr, again))
+
+
+def test_seen_numbers_are_forgotten_in_time():
+    import pandas as pd
+
+    numbers = pd.Series([5, 5, BLOCK + 1, -3, None], dtype="Int64")
+    seen = Seen([], [], [], now=1000)
+    assert seen.fresh(numbers).tolist() == [True, False, True, True, True]
+    assert seen.fresh(numbers).tolist() == [False, False, False, False, True]
+    block, bits, touched = seen.stored()
+    assert sorted(block) == [-1, 0, 1] and set(touched) == {1000}
+    soon = Seen(block, bits, touched, now=999 + SEEN_TTL_MS)
+    assert soon.fresh(pd.Series([5, 6], dtype="Int64")).tolist() == [False, True]
+    late = Seen(*soon.stored(), now=1001 + SEEN_TTL_MS)  # block 0 was touched again, the others were not
+    assert late.fresh(pd.Series([5, BLOCK + 1], dtype="Int64")).tolist() == [False, True]

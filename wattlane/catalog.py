@@ -1225,13 +1225,13 @@ def replayed(spark: SparkSession, readings: DataFrame, tag: str, models=None, ho
     sliced = readings if "_slice" in readings.columns else ST.time_slices(readings, slices)
     schema = readings.drop("_slice").schema
     ST.replay(sliced, f"{base}/in", slices, lambda: ST.run_stream(
-        spark, f"{base}/in", f"{base}/out", f"{base}/state", f"{base}/ckpt", schema, models, hot_rows, chunk_rows))
-    return spark.read.parquet(f"{base}/out"), ST.stream_counts(spark, f"{base}/state")
+        spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", schema, models, hot_rows, chunk_rows))
+    return spark.read.parquet(f"{base}/out"), ST.stream_counts(spark, f"{base}/ckpt")
 
 
 def q_score_stream(spark: SparkSession, d: str) -> DataFrame:
     """Readings replayed as a file stream in four time-ordered micro-batches;
-    the per-series state table carries the history between batches."""
+    the state store carries each series' history between batches."""
     r = load_readings(spark, d, "event_type").select("series_id", "ts", "arrival_no", P)
     return rounded(replayed(spark, r, "stream")[0], KEYCOLS + STREAM_RAW, STREAM_DBL)
 
@@ -1329,13 +1329,14 @@ def late_deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_score_stream_late(spark: SparkSession, d: str) -> DataFrame:
-    """Per series: rows delivered, rows that came out, rows counted as late; the last two make up the first."""
+    """Per series: rows delivered, rows that came out, rows counted as late and as repeated; the last three make up the first."""
     rows = late_deliveries(spark, d)
     out, counts = replayed(spark, rows, "late-stream", slices=6)
     read = rows.groupBy("series_id").agg(F.count("*").alias("n_read"))
     emitted = out.groupBy("series_id").agg(F.count("*").alias("n_out"), F.count_distinct("arrival_no").alias("n_distinct"))
     return (read.join(emitted, "series_id").join(counts, "series_id")
-            .select("series_id", "n_read", "n_out", "n_distinct", "n_seen", "late_rows", (F.col("n_out") + F.col("late_rows") == F.col("n_read")).alias("all_counted")))
+            .select("series_id", "n_read", "n_out", "n_distinct", "n_seen", "late_rows", "repeated_rows",
+                    (F.col("n_out") + F.col("late_rows") + F.col("repeated_rows") == F.col("n_read")).alias("all_counted")))
 
 
 register("score_stream_late", f"""
@@ -1344,10 +1345,10 @@ s AS (SELECT event_type AS series_id, ts, event_id AS no, (epoch_us(ts) > q[1]):
 t AS (SELECT series_id, ts, no, CASE WHEN series_id = 'view' THEN k + 1 WHEN no % 11 = 0 THEN k + 2 ELSE k END AS k FROM s),
 u AS (SELECT *, FALSE AS again FROM t UNION ALL SELECT series_id, ts, no, 5, TRUE FROM t WHERE series_id <> 'view' AND no % 13 = 0),
 w AS (SELECT *, max({{'ts': ts, 'no': no}}) OVER (PARTITION BY series_id ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest,
-             row_number() OVER (PARTITION BY series_id, k, no) AS copy FROM u),
-x AS (SELECT series_id, copy > 1 OR coalesce(newest >= {{'ts': ts, 'no': no}}, FALSE) AS late FROM w)
-SELECT series_id, count(*) AS n_read, count(*) FILTER (NOT late) AS n_out, count(*) FILTER (NOT late) AS n_distinct,
-       count(*) FILTER (NOT late) AS n_seen, count(*) FILTER (late) AS late_rows, TRUE AS all_counted
+             row_number() OVER (PARTITION BY series_id, no ORDER BY k) AS copy FROM u),
+x AS (SELECT series_id, copy > 1 AS again, copy = 1 AND coalesce(newest >= {{'ts': ts, 'no': no}}, FALSE) AS late FROM w)
+SELECT series_id, count(*) AS n_read, count(*) FILTER (NOT late AND NOT again) AS n_out, count(*) FILTER (NOT late AND NOT again) AS n_distinct,
+       count(*) FILTER (NOT late AND NOT again) AS n_seen, count(*) FILTER (late) AS late_rows, count(*) FILTER (again) AS repeated_rows, TRUE AS all_counted
 FROM x GROUP BY series_id""")(q_score_stream_late)
 
 

@@ -1,24 +1,25 @@
 """Streaming scorer.
 
-Readings arrive as a stream.  ``foreachBatch`` puts each micro-batch through the
-distributed batch plan: the stored newest rows of the touched series and the
-batch's rows together get their lag and rolling features (a hot series is
-chunked, not gathered), and each touched series gets one response from the
-models, by the code and the gate rule that batch scoring uses.
-
-* State: one row per series with its newest ``RECENT`` rows, running weather
-  sums and counters, in a ``StateTable``: an epoch writes only touched series.
+Readings arrive as a stream.  A keyed stateful operator (``keyed.py``) holds per
+series, in Spark's state store, its newest ``RECENT`` rows, counters and the
+deliveries already seen; it gives out the stored rows and the rows of the batch
+that can be placed behind them.  ``foreachBatch`` puts both through the
+distributed batch plan: lag and rolling features (a hot series is chunked, not
+gathered), and for each touched series one response from the models, by the code
+and the gate rule that batch scoring uses.
+
 * Lateness is per series.  A row can be placed only behind the newest row of
   its own series; a series whose clock lags the others loses nothing.
-* Every row read either comes out once or counts in ``late_rows``: stamped at
-  or before its series' newest placed row, delivered again, or without a stamp.
-  ``late_rows`` is cumulative per series and kept in the state, so a series with
-  nothing but late rows in an epoch is counted too (``stream_counts``).
+* Every row read either comes out once or is counted: in ``repeated_rows`` if its
+  series has delivered that arrival number before (within the time to live), else
+  in ``late_rows`` if it is stamped at or before its series' newest placed row, or
+  has no stamp.  Both are cumulative per series and part of the state, so a series
+  with nothing but late rows in an epoch is counted too (``stream_counts``).
 * Missing temperature/humidity take the running mean of the series (``mean or
   default`` as in batch); after the last micro-batch this is the mean over all
   its placed rows, so the final response equals the batch scorer's.
-* Outputs and state of an epoch go to folders of its own with overwrite: a
-  replayed epoch gives the same result.
+* The state store keeps one version per epoch, and an epoch's outputs go to a
+  folder of its own with overwrite: a replayed epoch gives the same result.
 """
 
 from __future__ import annotations
@@ -36,57 +37,30 @@ from wattlane.operators.score import RECENT, ForecastModels, score_recent
 from wattlane.operators.windows import energy_lag_cols, last_n_rows, rolling_24h_cols, rolling_7d_cols
 from wattlane.plans.keys import join_on_keys
 from wattlane.plans.ordering import over_series
-from wattlane.streaming.state import StateTable
+from wattlane.streaming.keyed import COUNTS, MEASURES, NEW, OUTPUT, STATE, SUMS, TOTALS, advance
 
 SERIES = list(KEYS)
-ROW = ["ts", "arrival_no", "Power_Consumption", "temperature", "humidity"]
-STATE_DDL = ("series_id STRING, rows ARRAY<STRUCT<ts: TIMESTAMP_NTZ, arrival_no: BIGINT, Power_Consumption: DOUBLE, "
-             "temperature: DOUBLE, humidity: DOUBLE>>, n_seen BIGINT, late_rows BIGINT, t_sum DOUBLE, t_cnt BIGINT, "
-             "h_sum DOUBLE, h_cnt BIGINT")
-
-
-def reading_rows(batch: DataFrame) -> DataFrame:
-    """The columns a stream row needs; absent measures are NULL."""
-    types = {"ts": "timestamp_ntz", "arrival_no": "long"}
-    return batch.select(F.col("series_id").cast("string").alias("series_id"), *[
-        (F.col(c) if c in batch.columns else F.lit(None)).cast(types.get(c, "double")).alias(c) for c in ROW])
-
-
-def place_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Stored newest rows of the touched series (``_old``) and the batch's rows
-    that can be placed behind them, each delivery once."""
-    newest = state.select("series_id", F.element_at("rows", -1).alias("_last")).where("_last is not null")
-    fresh = rows.where("ts is not null").dropDuplicates(["series_id", "arrival_no"])
-    fresh = join_on_keys(fresh, newest, SERIES, "left")
-    placed = F.struct("ts", "arrival_no") > F.struct("_last.ts", "_last.arrival_no")
-    fresh = fresh.where(F.col("_last").isNull() | placed).select("series_id", *ROW, F.lit(False).alias("_old"))
-    old = state.select("series_id", F.explode("rows").alias("_r")).select(
-        "series_id", *[F.col(f"_r.{c}").alias(c) for c in ROW], F.lit(True).alias("_old"))
-    return old.unionByName(fresh)
-
-
-def next_state(rows: DataFrame, state: DataFrame, placed: DataFrame) -> DataFrame:
-    """State rows of the touched series after the batch."""
-    read = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("_read"))
-    is_new = ~F.col("_old")
-    sums = placed.groupBy("series_id").agg(
-        F.count_if(is_new).alias("_n"),
-        *[x for c, p in (("temperature", "t"), ("humidity", "h"))
-          for x in (F.coalesce(F.sum(F.when(is_new, F.col(c))), F.lit(0.0)).alias(f"_{p}_sum"),
-                    F.count(F.when(is_new, F.col(c))).alias(f"_{p}_cnt"))])
-    tail = last_n_rows(placed.drop("_old"), RECENT, SERIES).groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct(*ROW))).alias("rows"))  # at most RECENT rows
-    out = join_on_keys(join_on_keys(read, sums, SERIES, "left"), tail, SERIES, "left")
-    out = join_on_keys(out, state.drop("rows"), SERIES, "left")
-
-    def plus(c: str, add) -> F.Column:
-        return (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(add, F.lit(0))).alias(c)
-
-    empty = T._parse_datatype_string(STATE_DDL)["rows"].dataType
-    return out.select(
-        "series_id", F.coalesce("rows", F.array().cast(empty)).alias("rows"), plus("n_seen", F.col("_n")),
-        plus("late_rows", F.col("_read") - F.coalesce("_n", F.lit(0))),
-        *[plus(f"{p}_{k}", F.col(f"_{p}_{k}")) for p in "th" for k in ("sum", "cnt")])
+ROW = ["ts", "arrival_no", *MEASURES]
+
+
+def reading_rows(rows: DataFrame) -> DataFrame:
+    """The columns the keyed operator reads, stamps as microseconds; absent measures are NULL."""
+    def column(c: str, kind: str):
+        return (F.col(c) if c in rows.columns else F.lit(None)).cast(kind)
+
+    return rows.select(F.col("series_id").cast("string").alias("series_id"), F.unix_micros(column("ts", "timestamp")).alias("micros"),
+                       column("arrival_no", "long").alias("arrival_no"), *[column(m, "double").alias(m) for m in MEASURES])
+
+
+def placed_rows(batch: DataFrame) -> DataFrame:
+    """Rows of the touched series: stored before (``_old``) and placed by the batch."""
+    ts = F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts")
+    return batch.where(f"kind <> {TOTALS}").select("series_id", ts, *ROW[1:], (F.col("kind") != NEW).alias("_old"))
+
+
+def series_totals(batch: DataFrame) -> DataFrame:
+    """One row of totals per touched series, after the batch."""
+    return batch.where(f"kind = {TOTALS}").select("series_id", *COUNTS, *SUMS)
 
 
 def row_outputs(placed: DataFrame, after: DataFrame, hot_rows: int, chunk_rows: int) -> DataFrame:
@@ -98,19 +72,18 @@ def row_outputs(placed: DataFrame, after: DataFrame, hot_rows: int, chunk_rows:
     return join_on_keys(new, after.select("series_id", "late_rows", "n_seen"), SERIES, "left")
 
 
-def series_responses(after: DataFrame, models: ForecastModels) -> DataFrame:
+def series_responses(placed: DataFrame, after: DataFrame, models: ForecastModels) -> DataFrame:
     """One response per touched series: the status by the batch gate's rule, and the scores of those that pass."""
     invalid = (F.col("t_cnt") == 0) | (F.col("h_cnt") == 0)
     status = after.withColumn("status", gate_status(F.col("n_seen"), invalid))
-    ok = status.where("status = 'scored'")
-    recent = ok.select("series_id", (F.col("t_sum") / F.col("t_cnt")).alias("mean_temperature"),
-                       (F.col("h_sum") / F.col("h_cnt")).alias("mean_humidity"), F.explode("rows").alias("_r"))
-    recent = recent.select("series_id", *[F.col(f"_r.{c}").alias(c) for c in ROW], "mean_temperature", "mean_humidity")
+    means = status.where("status = 'scored'").select("series_id", (F.col("t_sum") / F.col("t_cnt")).alias("mean_temperature"),
+                                                     (F.col("h_sum") / F.col("h_cnt")).alias("mean_humidity"))
+    recent = join_on_keys(last_n_rows(placed.drop("_old"), RECENT, SERIES), means, SERIES)
     preds = score_recent(fill_from_means(recent, ["series_id", *ROW]), models)
-    return join_on_keys(status.select("series_id", "n_seen", "late_rows", "status"), preds, SERIES, "left")
+    return join_on_keys(status.select("series_id", "n_seen", "late_rows", "repeated_rows", "status"), preds, SERIES, "left")
 
 
-def run_stream(spark: SparkSession, source_path: str, out_path: str, state_path: str, checkpoint: str,
+def run_stream(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
                schema: T.StructType, models: ForecastModels | None = None, hot_rows: int = HOT_SERIES_ROWS,
                chunk_rows: int = CHUNK_ROWS, max_files_per_trigger: int | None = None) -> None:
     """Stream everything available in ``source_path``.  Without ``models`` each
@@ -118,33 +91,26 @@ def run_stream(spark: SparkSession, source_path: str, out_path: str, state_path:
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    keyed = reading_rows(reader.parquet(source_path)).groupBy("series_id").applyInPandasWithState(
+        advance, OUTPUT, STATE, "append", "NoTimeout")
 
     def process(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        table = StateTable(session, state_path)
-        rows = reading_rows(batch).persist(StorageLevel.MEMORY_AND_DISK)  # read by several branches; else the source runs again
-        kept = [rows]
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by several branches; else the state operator runs again
         try:
-            state = table.before(epoch)
-            state = session.createDataFrame([], STATE_DDL) if state is None else join_on_keys(
-                state, rows.select("series_id").distinct(), SERIES, "left_semi")
-            placed = place_rows(rows, state).persist(StorageLevel.MEMORY_AND_DISK)
-            after = next_state(rows, state, placed).persist(StorageLevel.MEMORY_AND_DISK)
-            kept += [placed, after]
-            out = row_outputs(placed, after, hot_rows, chunk_rows) if models is None else series_responses(after, models)
+            placed, after = placed_rows(batch), series_totals(batch)
+            out = row_outputs(placed, after, hot_rows, chunk_rows) if models is None else series_responses(placed, after, models)
             out.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-            table.write(epoch, after)
         finally:
-            for df in kept:
-                df.unpersist()
+            batch.unpersist()
 
-    (reader.parquet(source_path).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    (keyed.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def stream_counts(spark: SparkSession, state_path: str) -> DataFrame:
-    """(series_id, n_seen, late_rows): rows placed and rows that could not be, of every series ever read."""
-    return StateTable(spark, state_path).latest().select("series_id", "n_seen", "late_rows")
+def stream_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(series_id, n_seen, late_rows, repeated_rows) of every series ever read, from the stream's own state store."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.selectExpr("key.series_id", "value.groupState.n_seen", "value.groupState.late_rows", "value.groupState.repeated_rows")
 
 
 # ---- replaying a table as a stream --------------------------------------------------------
