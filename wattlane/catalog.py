@@ -17,6 +17,7 @@ from wattlane.functions import calendar as CAL
 from wattlane.functions import numeric as NUM
 from wattlane.functions import text as TXT
 from wattlane.functions.numeric import r6
+from wattlane.operators import boosting as BO
 from wattlane.operators import clean as C
 from wattlane.operators import combine as J
 from wattlane.operators import metrics as A
@@ -1099,6 +1100,74 @@ register("train_boosted", f"""SELECT series_id, ts, arrival_no, {P}, TRUE AS par
 WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND lag_1 IS NOT NULL AND lag_24 IS NOT NULL""")(q_train_boosted)
 
 
+BOOST_ROUNDS, BOOST_DEPTH, BOOST_BINS = 3, 2, 16
+
+
+def q_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
+    """M4, second order: every node of the first trees, with its split (the last value that goes left) or its leaf value."""
+    m = BO.train_histogram_boosted(boosted_frame(spark, d), rounds=BOOST_ROUNDS, depth=BOOST_DEPTH, max_bins=BOOST_BINS)
+    rows = [(t, k, BOOST_FEATURES[f] if f >= 0 else None, float(m.edges[f][b]) if f >= 0 else None, None if f >= 0 else float(v))
+            for t, tree in enumerate(m.trees) for k, (f, b, v) in enumerate(zip(tree.feature.tolist(), tree.bin.tolist(), tree.value.tolist()))]
+    out = spark.createDataFrame(rows, "round int, node int, feature string, threshold double, value double")
+    return rounded(out, ["round", "node", "feature"], ["threshold", "value"])
+
+
+def sql_boosted_trees() -> str:
+    """The same trees by plain counting: each round and level looks at every row against every edge."""
+    fs = BOOST_FEATURES
+    quantiles = [k / BOOST_BINS for k in range(1, BOOST_BINS)]
+    sql = f"""WITH t AS (SELECT row_number() OVER () AS id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in fs)}, {P} AS y FROM {sql_training()} t
+  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*fs, P])}),
+e AS ({' UNION ALL '.join(f"SELECT DISTINCT {k} AS f, unnest(q) AS edge FROM (SELECT quantile_disc({c}, {quantiles}) AS q FROM t)" for k, c in enumerate(fs))}),
+v AS ({' UNION ALL '.join(f"SELECT id, {k} AS f, {c} AS x FROM t" for k, c in enumerate(fs))}),
+p0 AS (SELECT id, y, avg(y) OVER () AS pred FROM t)"""
+    found = []
+    for r in range(BOOST_ROUNDS):
+        sql += f",\nn{r}_0 AS (SELECT id, pred - y AS g, 0 AS node FROM p{r})"
+        for level in range(BOOST_DEPTH):
+            n, b = f"n{r}_{level}", f"b{r}_{level}"
+            sql += f""",
+{b} AS (SELECT node, f, edge FROM (SELECT node, f, edge, gain, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, edge) AS k FROM (
+  SELECT node, f, edge, round((gl * gl / (nl + 1.0) + (ga - gl) * (ga - gl) / (na - nl + 1.0) - ga * ga / (na + 1.0)) / (SELECT count(*) FROM t), 6) AS gain FROM (
+    SELECT node, f, edge, coalesce(sum(g) FILTER (x <= edge), 0.0) AS gl, count(*) FILTER (x <= edge) AS nl, sum(g) AS ga, count(*) AS na
+    FROM {n} JOIN v USING (id) JOIN e USING (f) WHERE node >= {(1 << level) - 1} GROUP BY node, f, edge)
+  WHERE nl >= 1 AND na - nl >= 1)) WHERE k = 1 AND gain > 0),
+n{r}_{level + 1} AS (SELECT {n}.id, g, CASE WHEN edge IS NULL THEN node ELSE 2 * node + 1 + (x > edge)::INT END AS node
+  FROM {n} LEFT JOIN {b} USING (node) LEFT JOIN v ON v.id = {n}.id AND v.f = {b}.f)"""
+            found.append(f"SELECT {r} AS round, node, f, edge, CAST(NULL AS DOUBLE) AS value FROM {b}")
+        last = f"n{r}_{BOOST_DEPTH}"
+        sql += f""",
+l{r} AS (SELECT node, -0.05 * sum(g) / (count(*) + 1.0) AS value FROM {last} GROUP BY node),
+p{r + 1} AS (SELECT id, p{r}.y, p{r}.pred + value AS pred FROM p{r} JOIN {last} USING (id) JOIN l{r} USING (node))"""
+        found.append(f"SELECT {r} AS round, node, CAST(NULL AS INT) AS f, CAST(NULL AS DOUBLE) AS edge, value FROM l{r}")
+    size = (1 << (BOOST_DEPTH + 1)) - 1
+    names = "CASE f " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(fs)) + " END"
+    return f"""{sql},
+found AS ({' UNION ALL '.join(found)}),
+every AS (SELECT CAST(r AS INT) AS round, CAST(k AS INT) AS node FROM range({BOOST_ROUNDS}) a(r), range({size}) b(k))
+SELECT every.round, every.node, {names} AS feature, {R('edge')} AS threshold, {R('CASE WHEN f IS NULL THEN coalesce(value, 0.0) END')} AS value
+FROM every LEFT JOIN found USING (round, node)"""
+
+
+register("boosted_trees", sql_boosted_trees())(q_boosted_trees)
+
+
+def q_train_boosted_full(spark: SparkSession, d: str) -> DataFrame:
+    """M4 at the stored size (500 rounds, depth 6): predicted rows; the training error falls in every round, and what is
+    predicted has that error."""
+    tf = boosted_frame(spark, d)
+    m = BO.train_histogram_boosted(tf)
+    out = m.transform(tf.dropna(subset=[*BOOST_FEATURES, P]))
+    falls = len(m.trees) == 500 and all(b <= a + 1e-9 * abs(a) for a, b in zip(m.losses, m.losses[1:]))
+    err = out.agg(F.avg((F.col("prediction") - F.col(P)) ** 2)).first()[0]
+    same = abs(err - m.losses[-1]) <= 1e-6 * max(1.0, m.losses[0])
+    return out.select(*KEYCOLS, P, F.col("prediction").isNotNull().alias("predicted"), F.lit(falls).alias("loss_falls"), F.lit(same).alias("loss_agrees"))
+
+
+register("train_boosted_full", f"""SELECT series_id, ts, arrival_no, {P}, TRUE AS predicted, TRUE AS loss_falls, TRUE AS loss_agrees FROM {sql_training()} t
+WHERE {P} IS NOT NULL AND lag_1 IS NOT NULL AND lag_24 IS NOT NULL""")(q_train_boosted_full)
+
+
 def q_train_sequence_model(spark: SparkSession, d: str) -> DataFrame:
     """M5(a) with M10: fitted on the older 80 % of each series; rows and errors of both parts.  The fit solves its
     least squares problem (residuals sum to 0 overall and against each of the 24 inputs), the held-out error is finite."""

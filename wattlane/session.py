@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -82,3 +83,11 @@ def _conf(spark: SparkSession, key: str) -> str | None:
 def pin_semantics(spark: SparkSession) -> None:
     """Settings the results depend on, applied to whatever session runs a query."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def scratch_table(df, name: str):
+    """Write ``df`` below the shared checkpoint folder and read it back: its lineage ends here."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
