@@ -99,3 +99,18 @@ def test_csv_round_trip_and_inference(spark, tmp_path):
     raw.write.option("header", True).csv(raw_path)
     got = read_readings_csv(spark, raw_path, schema="timestamp STRING, Power_Consumption DOUBLE").first()
     assert got["timestamp"] is not None
+
+
+def test_parse_timestamp_other_spellings(spark):
+    want = {
+        "2024/01/05 10:00": datetime(2024, 1, 5, 10), "01/05/2024 10:00": datetime(2024, 1, 5, 10), "Jan 5 2024": datetime(2024, 1, 5),
+        "20240105": datetime(2024, 1, 5), "13/01/2024": datetime(2024, 1, 13), "1/2/2024": datetime(2024, 1, 2), "5 January 2024 22:15:30.5": datetime(2024, 1, 5, 22, 15, 30, 500000),
+        "January 5th, 2024 12 am": datetime(2024, 1, 5), "jan 5, 2024 12:30 PM": datetime(2024, 1, 5, 12, 30), "Fri, 05 Jan 2024 10:00:00": datetime(2024, 1, 5, 10),
+        "20240105T100203": datetime(2024, 1, 5, 10, 2, 3), "20240105 1002": datetime(2024, 1, 5, 10, 2), "2024.1.5": datetime(2024, 1, 5), " Sept 3 2024 ": datetime(2024, 9, 3),
+        "2024/01/05T10:00:00Z": datetime(2024, 1, 5, 10), "01/05/2024 10:00+02:00": datetime(2024, 1, 5, 8),
+        "13/13/2024": None, "2024/13/05": None, "Janet 5 2024": None, "5 2024": None, "01/05/24": None, "12:30": None, "Friday": None, "20241305": None,
+        "Jan 5 2024 13 pm": None, "Jan 5 2024 0 am": None, "01/05/2024x": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r.t: r.p for r in df.select("t", parse_timestamp(F.col("t")).cast("timestamp_ntz").alias("p")).collect()}
+    assert got == want

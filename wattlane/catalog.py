@@ -20,6 +20,7 @@ from wattlane.functions.numeric import r6
 from wattlane.operators import boosting as BO
 from wattlane.operators import clean as C
 from wattlane.operators import combine as J
+from wattlane.operators import forest as HF
 from wattlane.operators import metrics as A
 from wattlane.operators import models as M
 from wattlane.operators import recurrent as RN
@@ -404,6 +405,14 @@ register("drop_duplicate_rows", f"""SELECT DISTINCT * FROM (
         load_readings(spark, d, "user_id").unionByName(load_readings(spark, d, "user_id"))))
 
 
+#: Spellings beside ISO, and what of the stamp they keep.
+OTHER_SPELLINGS = [
+    ("yyyy/MM/dd HH:mm", "minute"), ("MM/dd/yyyy HH:mm:ss", "second"), ("MMM d yyyy", "day"), ("yyyyMMdd", "day"), ("d MMMM yyyy HH:mm", "minute"),
+    ("EEEE, MMMM d, yyyy h:mm a", "minute"), ("MM-dd-yyyy", "day"), ("yyyyMMdd'T'HHmmss", "second"), ("EEE, dd MMM yyyy HH:mm:ss", "second"),
+    ("yyyy.M.d H:mm", "minute"), ("MMM d, yyyy hh:mm:ss a", "second"), ("dd-MMM-yyyy", "day"), ("yyyy-MMM-dd HH:mm", "minute"),
+]
+
+
 def q_parse_timestamp(spark: SparkSession, d: str) -> DataFrame:
     k = k_col()
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -412,12 +421,16 @@ def q_parse_timestamp(spark: SparkSession, d: str) -> DataFrame:
             .when(k % 8 == 2, iso).when(k % 8 == 3, F.lit("not a time"))
             .when(k % 8 == 4, F.lit("12:30")).when(k % 8 == 5, F.lit("T12:30:00"))
             .when(k % 8 == 6, F.concat(F.lit(" "), iso)).otherwise(F.date_format("ts", "yyyy-MM-dd")))
+    other = [F.date_format("ts", p) for p, _ in OTHER_SPELLINGS]
+    for n, spelled in enumerate(other):
+        text = F.when(F.col("event_id") % 29 == n, spelled).otherwise(text)
     return events(spark, d).select("event_id", TXT.parse_timestamp(text).cast("timestamp_ntz").alias("parsed"))
 
 
 register("parse_timestamp", f"""
-SELECT event_id, CASE k % 8 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts WHEN 6 THEN ts
-       WHEN 7 THEN date_trunc('day', ts) END AS parsed
+SELECT event_id, CASE {' '.join(f"WHEN event_id % 29 = {n} THEN date_trunc('{unit}', ts)" for n, (_, unit) in enumerate(OTHER_SPELLINGS))}
+  ELSE CASE k % 8 WHEN 0 THEN ts WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts WHEN 6 THEN ts
+       WHEN 7 THEN date_trunc('day', ts) END END AS parsed
 FROM {SQL_EVENTS_K} e""")(q_parse_timestamp)
 
 
@@ -1085,6 +1098,25 @@ register("train_gbt", sql_tree_rows(sql_features_warm()))(
     lambda spark, d: q_tree_fit(spark, d, lambda f: M.train_gbt(f, **SMALL_GBT), tree_frame(spark, d)))
 
 
+def q_train_hashed_forest(spark: SparkSession, d: str) -> DataFrame:
+    """M2 with a bootstrap by row: how often each row is drawn for the first trees, and whether two layouts of the rows give
+    the same forest."""
+    f = tree_frame(spark, d)
+    small = {"numTrees": 4, "maxDepth": 5}
+    one, other = HF.train_hashed_forest(f, **small), HF.train_hashed_forest(f.repartition(7, "arrival_no"), **small)
+    both = other.transform(one.transform(f, "_one"), "_other")
+    return both.select(*KEYCOLS, *[HF.draws(HF.KEY, k, 42).alias(f"drawn_{k}") for k in range(3)], (F.abs(F.col("_one") - F.col("_other")) < 1e-9).alias("same_forest"))
+
+
+def sql_draws(tree: int) -> str:
+    u = f"CAST('0x' || substr(md5(concat_ws(':', series_id, arrival_no, {tree}, 42)), 1, 8) AS BIGINT)"
+    return "CAST(" + " + ".join(f"({u} >= {c})::INT" for c in HF.DRAWN_AT_MOST) + f" AS INT) AS drawn_{tree}"
+
+
+register("train_hashed_forest", f"""SELECT series_id, ts, arrival_no, {', '.join(sql_draws(k) for k in range(3))}, TRUE AS same_forest
+FROM {sql_features_warm()} f WHERE {TREE_NOT_NULL}""")(q_train_hashed_forest)
+
+
 def boosted_frame(spark: SparkSession, d: str) -> DataFrame:
     """Training features with rows whose weather is NULL among them; they do not train, and are not predicted."""
     return W.training_features(delivered(spark, d))
@@ -1498,6 +1530,7 @@ def q_hourly_fit(spark: SparkSession, d: str, fit) -> DataFrame:
 SQL_HOURLY_FIT = f"SELECT *, TRUE AS parts_agree FROM {sql_hourly_features()} f"
 # the stored parameters of the forest, and a boosting of BASELINE's probe size
 register("train_forest_hourly", SQL_HOURLY_FIT)(lambda spark, d: q_hourly_fit(spark, d, M.train_random_forest))
+register("train_gbt_full", SQL_HOURLY_FIT)(lambda spark, d: q_hourly_fit(spark, d, M.train_gbt))  # 100 rounds of depth 10
 register("train_gbt_hourly", SQL_HOURLY_FIT)(lambda spark, d: q_hourly_fit(spark, d, lambda f: M.train_gbt(f, maxIter=10, maxDepth=5)))
 
 

@@ -13,12 +13,80 @@ _ITEM_PREFIX = (r"(?:^|,)\s*([+-]?(?:Infinity|(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)
                 r"(?:[eE][+-]?[0-9]+)?))")
 
 
+#: English month names and weekday names; three letters stand for them, too.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+_WEEKDAY = r"(?i)^\s*(?:" + "|".join(f"{d[:3]}(?:{d[3:]})?" for d in WEEKDAYS) + r")[.,]?\s+"
+_MONTH = r"(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r"|sept)"
+#: What may follow a date: nothing, or a time behind a space or T.
+_REST = r"([ T].*)?$"
+#: Date spellings beside ISO, in the order in which they are tried: pattern, and its parts as year|month|day|rest.
+_SPELLINGS = [
+    (r"^(\d{4})(\d{2})(\d{2})" + _REST, "$1|$2|$3|$4"),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + _REST, "$1|$2|$3|$4"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _REST, "$3|$1|$2|$4|either"),
+    (r"(?i)^" + _MONTH + r"\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -](\d{4})" + _REST, "$3|$1|$2|$4"),
+    (r"(?i)^(\d{1,2})(?:st|nd|rd|th)?[ -]" + _MONTH + r"\.?,?[ -](\d{4})" + _REST, "$3|$2|$1|$4"),
+    (r"(?i)^(\d{4})[ -]" + _MONTH + r"\.?[ -](\d{1,2})" + _REST, "$1|$2|$3|$4"),
+]
+_TWELVE_HOURS = r"(?i)^[ T]+(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}(?:\.\d+)?))?\s*([ap])\.?m\.?$"
+_COMPACT_TIME = r"^[ T](\d{2})(\d{2})(\d{2})?$"
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _month_number(c: Column) -> Column:
+    """The number of a month given by digits or by name."""
+    short = F.array(*[F.lit(m[:3]) for m in MONTHS])
+    return F.coalesce(c.try_cast("int"), F.nullif(F.array_position(short, F.lower(F.left(c, F.lit(3)))), F.lit(0)).cast("int"))
+
+
+def _time(rest: Column) -> Column:
+    """A time of day in the form a cast reads."""
+    def clock(t: Column) -> Column:  # hour|minute|second|a or p
+        hour = F.get(t, F.lit(0)).try_cast("int")
+        minute, second = (F.coalesce(F.nullif(F.get(t, F.lit(k)), F.lit("")), F.lit("00")) for k in (1, 2))
+        text = F.concat(F.lit(" "), (hour % 12 + F.when(F.lower(F.get(t, F.lit(3))) == "p", 12).otherwise(0)).cast("string"), F.lit(":"), minute, F.lit(":"), second)
+        return F.when(hour.between(1, 12), text).otherwise(" no time")
+
+    return (F.when(rest.rlike(_TWELVE_HOURS), _let(F.split(F.regexp_replace(rest, _TWELVE_HOURS, "$1|$2|$3|$4"), r"\|"), clock))
+            .when(rest.rlike(_COMPACT_TIME), F.regexp_replace(F.regexp_replace(rest, _COMPACT_TIME, "T$1:$2:$3"), ":$", ""))
+            .otherwise(F.regexp_replace(rest, r"^([ T]\d{1,2}:\d{1,2})( ?Z| ?[+-]\d.*)$", "$1:00$2")))  # a zone needs seconds before it
+
+
+def iso_text(text: Column) -> Column:
+    """Dates in other spellings as ISO text, NULL where no spelling fits: ``2024/01/05 10:00``, ``01/05/2024`` (the month
+    first, unless it cannot be one), ``Jan 5, 2024 10 pm``, ``5 January 2024``, ``20240105T1000``, a weekday in front."""
+    def parts(bare: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for pattern, order in reversed(_SPELLINGS):
+            found = F.when(bare.rlike(pattern), F.regexp_replace(bare, pattern, order)).otherwise(found)
+        return F.split(found, r"\|")
+
+    def numbers(p: Column) -> Column:
+        part = [F.get(p, F.lit(k)) for k in range(4)]
+        return F.struct(part[0].alias("y"), _month_number(part[1]).alias("m"), part[2].try_cast("int").alias("d"), part[3].alias("rest"), (F.size(p) > 4).alias("either"))
+
+    def written(v: Column) -> Column:
+        m, d = v["m"], v["d"]
+        swapped = v["either"] & (m > 12) & (d <= 12)
+        date = [F.lpad(F.when(swapped, b).otherwise(a).cast("string"), 2, "0") for a, b in ((m, d), (d, m))]
+        return F.concat(v["y"], F.lit("-"), date[0], F.lit("-"), date[1], _time(v["rest"]))
+
+    bare = F.regexp_replace(F.btrim(text, F.lit(" \t\n\r")), _WEEKDAY, "")
+    return _let(bare, lambda b: _let(parts(b), lambda p: _let(numbers(p), written)))
+
+
 def parse_timestamp(c: Column, as_of: Column | None = None) -> Column:
-    """Each value parsed on its own (ISO with ``Z``, offsets or no zone);
+    """Each value parsed on its own: ISO (with ``Z``, offsets or no zone), then the spellings of ``iso_text``;
     junk, and text without a date (which a cast would complete with today's),
     becomes NULL, or the caller's ``as_of`` when given (no wall clock)."""
     text = c.cast("string")
-    parsed = F.when(text.rlike(r"^\s*[+-]?\d{4,7}(-\d|\s*$)"), F.try_to_timestamp(text))
+    iso = F.when(text.rlike(r"^\s*[+-]?\d{4,7}(-\d|\s*$)"), text).otherwise(iso_text(text))
+    parsed = F.try_to_timestamp(iso)
     return parsed if as_of is None else F.coalesce(parsed, as_of)
 
 
