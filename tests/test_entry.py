@@ -33,13 +33,14 @@ def test_entry_smoke(spark):
 
 
 OWN = sorted(set(E.queries()) - set(E.LLM_QUERIES))  # the others have tests of their own
+SLOW = {"train_gbt_full"}  # the stored size, two minutes: the same query as train_gbt_hourly, run by scripts/oracle_check.py
 
 
 def test_every_query_has_an_oracle():
     assert set(OWN) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", OWN)
+@pytest.mark.parametrize("name", [n for n in OWN if n not in SLOW])
 def test_query_matches_oracle_sf0001(spark, con, name):
     sdf = E.queries()[name](spark, SF001)
     cols = sorted(sdf.columns)

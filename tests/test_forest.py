@@ -20,14 +20,14 @@ def table(spark):
 def test_same_forest_for_any_layout(table):
     got = []
     for parts in (1, 4, 37):
-        m = H.train_hashed_forest(table.repartition(parts), "y", ["a", "b"], numTrees=5, maxDepth=6)
+        m = H.train_hashed_forest(table.repartition(parts), "y", ["a", "b"], numTrees=3, maxDepth=5)
         got.append({r.arrival_no: r.prediction for r in m.transform(table).collect()})
     assert set(got[0]) == set(range(900)) | {901}
     for other in got[1:]:
         assert all(abs(other[k] - v) < 1e-9 for k, v in got[0].items())
     y = {r.arrival_no: r.y for r in table.collect()}
-    assert np.sqrt(np.mean([(got[0][k] - y[k]) ** 2 for k in range(900)])) < 1.0
-    other_seed = H.train_hashed_forest(table, "y", ["a", "b"], numTrees=5, maxDepth=6, seed=7).transform(table).collect()
+    assert np.sqrt(np.mean([(got[0][k] - y[k]) ** 2 for k in range(900)])) < 1.5
+    other_seed = H.train_hashed_forest(table, "y", ["a", "b"], numTrees=3, maxDepth=5, seed=7).transform(table).collect()
     assert any(abs(r.prediction - got[0][r.arrival_no]) > 1e-6 for r in other_seed)
 
 
