@@ -65,7 +65,7 @@ def test_odd_vectors(spark):
 
 def test_strays_get_five_neighbours(spark, monkeypatch):
     monkeypatch.setattr(kmeanstree, "LEAF", 20)
-    monkeypatch.setattr(kmeanstree, "calibrated_visits", lambda *_: 1)  # what tight topics come close to
+    monkeypatch.setattr(kmeanstree, "calibrated_visits", lambda *_: {16: 1})  # what tight topics come close to
     rng = np.random.default_rng(6)
     topics = rng.normal(size=(20, 16)) * 5
     x = np.concatenate([t + 0.01 * rng.normal(size=(60, 16)) for t in topics] + [rng.normal(size=(40, 16)) * 5])
@@ -76,3 +76,39 @@ def test_strays_get_five_neighbours(spark, monkeypatch):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     asked = [i for i in range(len(x)) if i >= 1200 or i % 50 == 0]
     assert sorted(got) == asked and {len(v) for v in got.values()} == {5}
+
+
+def test_every_length_is_searched_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(kmeanstree, "LEAF", 25)
+    rng = np.random.default_rng(8)
+    sizes = {0: 8, 1: 8, 2: 8, 3: 4, 4: 3}  # by id % 5; ids 0 to 399
+    rows = [(i, rng.normal(size=sizes[i % 5]).tolist()) for i in range(400)] + [(450, [1.0] * 17), (3, rng.normal(size=8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = {(q, len(v)): np.array(v) for q, v in rows if q % 7 == 3 or q == 450}
+    got = {}
+    for r in kmeanstree.nearest_vectors(df, (F.col("vec_id") % 7 == 3) | (F.col("vec_id") == 450)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert 450 not in got and set(got) == {q for q, _ in asked if q != 450}
+    hits = 0
+    for (q, d), v in asked.items():
+        if q in (3, 450):  # 3 has vectors of two lengths
+            continue
+        others = [(i, np.array(w)) for i, w in rows if len(w) == d and i != q]
+        cos = {i: w @ v / (np.linalg.norm(w) * np.linalg.norm(v)) for i, w in others}
+        assert [f[0] for f in sorted(got[q])] == [1, 2, 3, 4, 5] and all(abs(cos[i] - s) < 1e-12 for _, i, s in got[q])
+        hits += len({i for _, i, _ in got[q]} & set(sorted(cos, key=lambda i: -cos[i])[:5]))
+    assert hits >= 0.9 * 5 * (len(got) - 1)
+
+
+def test_a_length_that_the_sample_misses_is_one_leaf(spark, monkeypatch):
+    monkeypatch.setattr(kmeanstree, "SAMPLE", 3)
+    monkeypatch.setattr(kmeanstree, "SLOT", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2 + i % 9).tolist()) for i in range(180)]
+    got = {}
+    for r in kmeanstree.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in (0, 50, 100, 150):
+        v = np.array(rows[q][1])
+        cos = {i: np.dot(w, v) / (np.linalg.norm(w) * np.linalg.norm(v)) for i, w in rows if len(w) == len(v) and i != q}
+        assert [i for _, i in sorted(got[q])] == sorted(cos, key=lambda i: (-cos[i], i))[:5]

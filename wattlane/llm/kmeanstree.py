@@ -3,8 +3,9 @@
 Method.
 1. A tree is fitted on at most ``SAMPLE`` unit vectors (picked by a hash of
    vec_id, a documented bound): k-means with ``BRANCHES`` centres, repeated in
-   each cell of more than ``LEAF`` sample vectors.  Its size is bounded by the
-   sample, so it is broadcast.
+   each cell of more than ``LEAF`` sample vectors.  Vectors of each length have
+   a tree of their own; a length that the sample misses is one leaf.  The size
+   is bounded by the sample, so the trees are broadcast.
 2. Every vector descends to the leaf of the nearest centres: the index.  A leaf
    is cut by a hash into slots of about ``SLOT`` vectors, so a leaf that holds a
    third of all rows is many row groups.
@@ -12,20 +13,22 @@ Method.
    branches not taken, and the nearest is opened next; leaves come out in the
    order in which they should be visited.  It goes on until the visited leaves
    hold ``k + 1`` vectors or more (itself among them), however few the visits.
-4. How many leaves to visit is calibrated: for ``CALIBRATION`` vectors that are
-   no queries the exact neighbours over all rows are found, and the visits widen
-   (a leaf at a time) until ``RECALL`` of those neighbours are in visited leaves.
+4. How many leaves to visit is calibrated for each tree of more than one leaf:
+   for ``CALIBRATION`` vectors that are no queries the exact neighbours over all
+   rows are found, and the visits widen (a leaf at a time) until ``RECALL`` of
+   those neighbours are in visited leaves.
 5. Queries meet the slots of their leaves in one shuffle; a task streams the
    queries of a slot against its vectors and keeps the k best of each, and a
    ranking over slots keeps the k best of all.
 
 Nearness is the cosine of the original vectors in double precision; ties go to
-the smaller vec_id.  If the candidates are ``k`` or fewer, all are returned.
+the smaller vec_id.  Only vectors of one length have a cosine, so the candidates
+of a query are the rows of its length; if they are ``k`` or fewer, all are returned.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do rows without vec_id, nor vectors whose length
-is not the most frequent one; a repeated vec_id with the same vector is one
-candidate; an empty table gives an empty result; extra columns are ignored.
+components take no part, nor do rows without vec_id; a query with the only
+vector of its length has no neighbours; a repeated vec_id with the same vector
+is one candidate; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,6 +103,34 @@ class Tree:
         return out
 
 
+@dataclass
+class Forest:
+    """A tree for each vector length. Leaves are numbered through; a length without a tree is the leaf -length."""
+
+    trees: dict[int, Tree] = field(default_factory=dict)
+    first: dict[int, int] = field(default_factory=dict)
+    leaves: int = 0
+
+    def plant(self, x: np.ndarray, rng: np.random.Generator) -> None:
+        tree = Tree()
+        tree.grow(x, rng)
+        self.trees[x.shape[1]], self.first[x.shape[1]] = tree, self.leaves
+        self.leaves += tree.leaves
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        d = x.shape[1]
+        return self.trees[d].leaf_of(x) + self.first[d] if d in self.trees else np.full(len(x), -d, np.int64)
+
+    def best_bins(self, x: np.ndarray, visits: int | None = None, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """As of a tree; all leaves of the length where ``visits`` is None."""
+        d = len(x)
+        if d not in self.trees:
+            return [-d]
+        tree, first = self.trees[d], self.first[d]
+        own = None if sizes is None else sizes[first : first + tree.leaves]
+        return [first + leaf for leaf in tree.best_bins(x, tree.leaves if visits is None else visits, own, least)]
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1)
 
@@ -119,6 +150,14 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def by_length(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the vectors of each length."""
+    lengths = column.value_lengths().to_numpy()
+    for d in np.unique(lengths):
+        rows = np.flatnonzero(lengths == d)
+        yield rows, matrix(column if len(rows) == len(column) else column.take(pa.array(rows)))
+
+
 def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -165,29 +204,30 @@ def clean(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, x], names=["vec_id", "embedding"])
 
     good = vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").where("vec_id is not null").mapInArrow(run, "vec_id long, embedding array<double>")
-    good = cut(good.dropDuplicates(["vec_id", "embedding"]), "ann-vectors")
-    sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("embedding") == (sizes[0] if sizes else 0))
+    return cut(good.dropDuplicates(["vec_id", "embedding"]), "ann-vectors")
 
 
-def fit_tree(vectors: DataFrame, seed: int = 9) -> Tree:
+def fit_forest(vectors: DataFrame, seed: int = 9) -> Forest:
     """Fit on the bounded sample."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0)
-    tree = Tree()
-    tree.grow(units(matrix(rows.combine_chunks())) if len(rows) else np.zeros((0, 1)), np.random.default_rng(seed))
-    return tree
+    forest = Forest()
+    for _, x in by_length(rows.combine_chunks()) if len(rows) else ():
+        forest.plant(units(x), np.random.default_rng(seed))
+    return forest
 
 
-def indexed(vectors: DataFrame, tree: Tree) -> DataFrame:
+def indexed(vectors: DataFrame, forest: Forest) -> DataFrame:
     """(vec_id, embedding, leaf) of every vector."""
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)  # bounded by SAMPLE
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.leaf_of(units(matrix(part.column(1)))))],
-                                                 names=["vec_id", "embedding", "leaf"])
+                leaf = np.empty(part.num_rows, np.int64)
+                for rows, x in by_length(part.column(1)):
+                    leaf[rows] = shared.value.leaf_of(units(x))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf)], names=["vec_id", "embedding", "leaf"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, leaf long")
 
@@ -197,47 +237,65 @@ def k_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def calibrated_visits(index: DataFrame, tree: Tree, is_query: Column, k: int) -> int:
-    """Leaves to visit, so that RECALL of the exact neighbours of the calibration vectors are in visited ones."""
-    rows = (index.where(~is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION).select("vec_id", "embedding").toArrow())
+def calibrated_visits(index: DataFrame, forest: Forest, is_query: Column, k: int) -> dict[int, int]:
+    """Leaves to visit by length, so that RECALL of the exact neighbours of its calibration vectors are in visited ones."""
+    deep = [d for d, tree in forest.trees.items() if tree.leaves > 1]  # each has over LEAF of the sample: at most SAMPLE / LEAF lengths
+    if not deep:
+        return {}
+    d = F.size("embedding")
+    order = Window.partitionBy(d).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
+    rows = (index.where(~is_query & d.isin(deep)).select("vec_id", "embedding", F.row_number().over(order).alias("n"))
+            .where(F.col("n") <= CALIBRATION).select("vec_id", "embedding").toArrow())
     if not rows.num_rows:
-        return tree.leaves
-    ids, q = rows.column(0).to_numpy(), matrix(rows.column(1).combine_chunks())
-    shared = index.sparkSession.sparkContext.broadcast((ids, q))  # CALIBRATION vectors
+        return {}
+    ids, own = rows.column(0).to_numpy(), {x.shape[1]: (r, x) for r, x in by_length(rows.column(1).combine_chunks())}
+    shared = index.sparkSession.sparkContext.broadcast((ids, own))  # CALIBRATION vectors of each deep tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, own = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                yield found_batch(best(ids, q, part.column(0).to_numpy(), matrix(part.column(1)), k))
-
-    nearest_ids = k_best(index.select("vec_id", "embedding").mapInArrow(run, FOUND), k)
-    truth = nearest_ids.join(index.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # at most CALIBRATION * k
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.best_bins(v, tree.leaves), 1)} for i, v in zip(ids, units(q), strict=True)}
-    needed = np.sort([order[r[0]][r[1]] for r in truth])
-    return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)]) if len(needed) else tree.leaves
+                for rows, x in by_length(part.column(1)):
+                    if x.shape[1] in own:
+                        r, q = own[x.shape[1]]
+                        yield found_batch(best(ids[r], q, part.column(0).to_numpy()[rows], x, k))
+
+    vectors = index.where(d.isin(deep))
+    # a vec_id may have vectors of several lengths: the length goes with it
+    keyed = vectors.select("vec_id", d.alias("d"), "leaf").distinct()
+    found = k_best(vectors.select("vec_id", "embedding").mapInArrow(run, FOUND), k)
+    truth = found.join(keyed, "vec_id").select("query_id", "d", "leaf").collect()  # at most CALIBRATION * k of each deep tree
+    visits = {}
+    for size, (r, q) in own.items():
+        first = {int(i): {leaf: n for n, leaf in enumerate(forest.best_bins(v), 1)} for i, v in zip(ids[r], units(q), strict=True)}
+        needed = np.sort([first[t.query_id][t.leaf] for t in truth if t.d == size and t.query_id in first])
+        if len(needed):
+            visits[size] = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)])
+    return visits
 
 
 def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``is_query`` marks, over all other rows."""
     own = clean(vectors)
-    tree = fit_tree(own)
-    index = cut(indexed(own, tree), "ann-index")
-    visits = calibrated_visits(index, tree, is_query, k)
+    forest = fit_forest(own)
+    index = cut(indexed(own, forest), "ann-index")
+    visits = calibrated_visits(index, forest, is_query, k)
     counts = cut(index.groupBy("leaf").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")), "ann-leaves")
-    held = np.zeros(tree.leaves, np.int64)
-    for leaf, ids in counts.select("leaf", "ids").collect():  # one row of each leaf: bounded by SAMPLE
+    held = np.zeros(forest.leaves, np.int64)
+    for leaf, ids in counts.where("leaf >= 0").select("leaf", "ids").collect():  # one row of each leaf of a tree: bounded by SAMPLE
         held[leaf] = ids
-    shared = own.sparkSession.sparkContext.broadcast((tree, held))
+    shared = own.sparkSession.sparkContext.broadcast((forest, held))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared_tree, sizes = shared.value
+        trees, sizes = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                x = units(matrix(part.column(1)))
-                leaves = [shared_tree.best_bins(v, visits, sizes, k + 1) for v in x]
+                leaves: list[list[int]] = [[]] * part.num_rows
+                for rows, x in by_length(part.column(1)):
+                    for row, v in zip(rows.tolist(), units(x), strict=True):
+                        leaves[row] = trees.best_bins(v, visits.get(len(v)), sizes, k + 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "embedding", "leaves"])
 
     sizes = counts.select("leaf", F.expr(f"cast(ceil(n / {SLOT}D) as int)").alias("slots"))
@@ -252,19 +310,19 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFra
         at, ids, held = None, [], []  # the slot at hand, and its vectors
         for b in batches:
             leaf, slot, kind, who = (b.column(c).to_numpy() for c in range(4))
-            x = matrix(b.column(4))
             cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | (slot[1:] != slot[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(leaf)], strict=True):
+                x = matrix(b.column(4).slice(lo, hi - lo))  # one leaf, one length
                 if at != (leaf[lo], slot[lo]):
                     at, ids, held = (leaf[lo], slot[lo]), [], []
                 if kind[lo] == 0:  # vectors come before the queries of their slot
                     ids.append(who[lo:hi])
-                    held.append(x[lo:hi])
+                    held.append(x)
                 elif ids:
                     ids, held = [np.concatenate(ids)], [np.concatenate(held)]
                     for start in range(lo, hi, 256):
                         end = min(hi, start + 256)
-                        yield found_batch(best(who[start:end], x[start:end], ids[0], held[0], k))
+                        yield found_batch(best(who[start:end], x[start - lo : end - lo], ids[0], held[0], k))
 
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = data.union(asked).repartition(parts, "leaf", "slot").sortWithinPartitions("leaf", "slot", "kind", "id").mapInArrow(search, FOUND)
