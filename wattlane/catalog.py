@@ -32,6 +32,7 @@ from wattlane.session import ensure_checkpoint_dir, pin_semantics
 from wattlane.sources import readings as RD
 from wattlane.sources import sinks as SK
 from wattlane.sources import weather as WX
+from wattlane.sources import weather_documents as WD
 from wattlane.sources.readings import load_readings
 from wattlane.streaming import stream as ST
 
@@ -342,6 +343,78 @@ def q_read_weather(spark: SparkSession, d: str) -> DataFrame:
 register("read_weather", f"SELECT * FROM {sql_weather()} w")(q_read_weather)
 
 
+def weather_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two stored answers an event, built from the observations; ``c`` is the weather code.
+    Conditions by c % 19: 1 truncated, 2 junk behind, 3 status 500, 4 no location, 5 an empty body, 6 a temperature that is
+    no number, 7 an older delivery too, 8 numbers as text, 9 an error in place of a body. Places by c % 13: 1 not asked for, 2 status 404, 3 no time."""
+    w = weather(spark, d).withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    c, p = F.col("weather_code") % 19, F.col("weather_code") % 13
+
+    def line(kind: str, body, **other):
+        head = {"location": F.col("location"), "obs_id": F.col("obs_id"), "at": F.col("at"), "status": F.lit(200)} | other
+        return F.to_json(F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in head.items()], body.alias("body")))
+
+    def current(temp, cast: str):
+        return F.struct(F.struct(temp.alias("temperature_2m"), F.col("humidity").cast(cast).alias("relative_humidity_2m"),
+                                 F.col("wind_speed").cast(cast).alias("wind_speed_10m"), F.col("weather_code").alias("weather_code")).alias("current"))
+
+    nothing = F.lit(None).cast("string")
+    full = line("conditions", current(F.col("temp"), "double"))
+    conditions = (F.when(c == 1, F.left(full, F.length(full) - 2)).when(c == 2, F.concat(full, F.lit(" {}")))
+                  .when(c == 3, line("conditions", current(F.col("temp"), "double"), status=F.lit(500)))
+                  .when(c == 4, line("conditions", current(F.col("temp"), "double"), location=nothing))
+                  .when(c == 5, line("conditions", F.create_map(F.lit("elevation"), F.lit(38))))
+                  .when(c == 6, line("conditions", current(F.lit("n/a"), "double")))
+                  .when(c == 8, line("conditions", current(F.col("temp").cast("string"), "string")))
+                  .when(c == 9, line("conditions", F.lit("out of range"))).otherwise(full))
+    before = F.date_format(F.col("ts") - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    older = F.when(c == 7, line("conditions", current(F.lit(99.5), "double"), at=before))
+    address = F.struct(F.struct("city", "town", "village").alias("address"))
+    place = (F.when(p == 1, nothing).when(p == 2, line("place", address, status=F.lit(404)))
+             .when(p == 3, line("place", address, at=nothing)).otherwise(line("place", address)))
+    return w.select(F.explode(F.array(conditions, older, place, F.when(c == 0, F.lit("  ")))).alias("value")).where("value is not null")
+
+
+def q_weather_documents(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "weather-lines")
+    weather_lines(spark, d).write.text(path)
+    return WD.observations(WD.read_weather_documents(spark, path)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def q_weather_documents_set_aside(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "weather-lines")
+    weather_lines(spark, d).write.text(path)
+    return WD.quarantined(WD.read_weather_documents(spark, path)).groupBy("reason").agg(F.count("*").alias("n_lines"))
+
+
+def q_weather_documents_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs from one checkpoint: half of the lines are there for the first, and the places of an event may come before its conditions."""
+    path, out, checkpoint = (scratch_path(spark, f"weather-{x}") for x in ("folder", "taken-in", "checkpoint"))
+    lines = weather_lines(spark, d)
+    for half in (0, 1):
+        lines.where(F.abs(F.xxhash64("value")) % 2 == half).write.mode("append").text(path)
+        WD.follow_weather_documents(spark, path, out, checkpoint, max_files=4).awaitTermination()
+    return WD.observations(spark.read.parquet(out)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+SQL_WEATHER_DOCUMENTS = f"""
+SELECT location, ts, obs_id, CASE WHEN c IN (5, 6) THEN NULL ELSE temp END AS temp, CASE WHEN c = 5 THEN NULL ELSE humidity END AS humidity,
+       CASE WHEN c = 5 THEN NULL ELSE wind_speed END AS wind_speed, CASE WHEN c = 5 THEN NULL ELSE weather_code END AS weather_code,
+       CASE WHEN p IN (1, 2, 3) THEN NULL ELSE city END AS city, CASE WHEN p IN (1, 2, 3) THEN NULL ELSE town END AS town,
+       CASE WHEN p IN (1, 2, 3) THEN NULL ELSE village END AS village
+FROM (SELECT *, weather_code % 19 AS c, weather_code % 13 AS p FROM {sql_weather()} w) v WHERE c NOT IN (1, 2, 3, 4, 9)
+"""
+register("weather_documents", SQL_WEATHER_DOCUMENTS)(q_weather_documents)
+register("weather_documents_stream", SQL_WEATHER_DOCUMENTS)(q_weather_documents_stream)
+register("weather_documents_set_aside", f"""
+SELECT reason, count(*) AS n_lines FROM (
+  SELECT CASE WHEN c IN (1, 2) THEN 'invalid_json' WHEN c = 4 THEN 'no_key' WHEN c IN (3, 9) THEN 'failed' END AS reason
+  FROM (SELECT weather_code % 19 AS c FROM {sql_weather()} w) v
+  UNION ALL SELECT CASE WHEN p = 2 THEN 'failed' WHEN p = 3 THEN 'no_key' END FROM (SELECT weather_code % 13 AS p FROM {sql_weather()} w) v
+) r WHERE reason IS NOT NULL GROUP BY reason
+""")(q_weather_documents_set_aside)
+
+
 def sql_to_fixed(x: str, d: int) -> str:
     """printf rounds the exact binary value like toFixed, except on products
     that round to an exact .5: there the Dekker error term of |x|·10^d decides,

@@ -33,6 +33,12 @@ _TWELVE_HOURS = r"(?i)^[ T]+(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}(?:\.\d+)?))?\s*
 _COMPACT_TIME = r"^[ T](\d{2})(\d{2})(\d{2})?$"
 
 
+def one_json_value(text: Column) -> Column:
+    """Whether the whole text is one JSON value: text behind it could pass as the end of an array or of an object around it, not of both."""
+    return (F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))), F.lit(0)) == 1) & (
+        F.coalesce(F.size(F.json_object_keys(F.concat(F.lit('{"a":'), text, F.lit("}")))), F.lit(0)) == 1)
+
+
 def _let(value: Column, use) -> Column:
     """``use`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

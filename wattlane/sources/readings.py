@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wattlane.functions.numeric import coerce_numeric
 from wattlane.operators.clean import require_columns
-from wattlane.functions.text import parse_timestamp
+from wattlane.functions.text import one_json_value, parse_timestamp
 
 TS_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # keep microseconds in text files
 MEASURES = ["Power_Consumption", "voltage", "current", "temperature", "humidity"]
@@ -145,9 +145,7 @@ def parse_reading_batches(bodies: DataFrame, body_col: str = "body",
     body = F.col(body_col)
     parsed = F.from_json(body, POINT_SCHEMA)
     is_array = body.rlike(r"^\s*\[")
-    # the whole body must be one value: trailing text could pass as the end of an array or of an object around it, not of both
-    whole = (F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))), F.lit(0)) == 1) & (
-        F.coalesce(F.size(F.json_object_keys(F.concat(F.lit('{"a":'), body, F.lit("}")))), F.lit(0)) == 1)
+    whole = one_json_value(body)
     reason = (F.when(body.isNull(), F.lit("null_body"))
               .when(~is_array, F.lit("not_an_array"))
               .when(parsed.isNull() | ~whole, F.lit("invalid_json"))
