@@ -3,7 +3,8 @@
 Every feature family is a ``FeatureFn(frame, spec)`` that adds columns over
 one ordered window spec; ``plans.ordering.over_series`` decides whether the
 spec is a plain per-series window or the chunk+halo plan.  All lags and
-frames of one family share one partitioning and one sort.
+frames of one family share one partitioning and one sort.  The long frames
+(W2, W3) are merged from states of shorter blocks (``merge_blocks``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from wattlane.config import (CHUNK_ROWS, ENERGY_LAGS, HOT_SERIES_ROWS, LONG_FRAME,
-                             ROLLING_3H_PRECEDING, SHORT_FRAME, TRAINING_LAGS, VALUE_LAGS,
+                             ROLLING_3H_PRECEDING, ROLLING_BLOCK, SHORT_FRAME, TRAINING_LAGS, VALUE_LAGS,
                              VALUE_ROLLING)
 from wattlane.functions.calendar import (calendar_columns, cyclic_hour, dow_sunday1,
                                          flag_columns, weather_interactions)
@@ -38,22 +39,61 @@ def energy_lag_cols(spec: WindowSpec, col: str = POWER, lags: Sequence[int] = EN
     return [F.lag(F.col(col), k).over(spec).alias(f"{prefix}{k}") for k in lags]
 
 
-def rolling_24h_cols(spec: WindowSpec, col: str = POWER) -> list[Column]:
-    """mean/std/min/max over the current row and the 23 before it."""
-    w = _rows(spec, SHORT_FRAME - 1)
-    c = F.col(col)
-    return [F.avg(c).over(w).alias("energy_mean_24h"),
-            F.stddev_samp(c).over(w).alias("energy_std_24h"),
-            F.min(c).over(w).alias("energy_min_24h"),
-            F.max(c).over(w).alias("energy_max_24h")]
+def first_block(frame: DataFrame, spec: WindowSpec, col: str, size: int) -> DataFrame:
+    """State of the newest ``size`` rows by an ordinary frame: count ``_n``, mean ``_m``,
+    squared deviations ``_q``, ``_lo`` and ``_hi`` (names end in the size).  NULLs do not count."""
+    c, w = F.col(col), _rows(spec, size - 1)
+    lo, hi = F.min(c).over(w), F.max(c).over(w)
+    # the mean of equal values is that value, without the rounding of sum / count
+    return frame.select("*", F.count(c).over(w).alias(f"_n{size}"), F.when(lo == hi, lo).otherwise(F.avg(c).over(w)).alias(f"_m{size}"),
+                        F.coalesce(F.var_pop(c).over(w) * F.count(c).over(w), F.lit(0.0)).alias(f"_q{size}"),
+                        lo.alias(f"_lo{size}"), hi.alias(f"_hi{size}"))
 
 
-def rolling_7d_cols(spec: WindowSpec, col: str = POWER) -> list[Column]:
-    """mean/std over the current row and the 167 before it."""
-    w = _rows(spec, LONG_FRAME - 1)
-    c = F.col(col)
-    return [F.avg(c).over(w).alias("energy_mean_7d"),
-            F.stddev_samp(c).over(w).alias("energy_std_7d")]
+def merge_blocks(frame: DataFrame, spec: WindowSpec, inner: int, size: int, extremes: bool = False) -> DataFrame:
+    """State of the newest ``size`` rows out of the states of ``inner`` rows that
+    lie whole blocks back (``lag``), over the partitioning and order that are there.
+
+    A row costs ``size / inner`` steps, not ``size``.  States are merged around the
+    newest mean and never subtracted: nothing cancels on long series, equal blocks
+    have deviation 0 between them, and a NaN is gone once it leaves the frame.
+    """
+    if size % inner:
+        raise ValueError(f"{size} is no multiple of {inner}")
+    own, back = frame.columns, range(1, size // inner)
+    fields = ["n", "m", "q", "lo", "hi"] if extremes else ["n", "m", "q"]
+    frame = frame.select("*", *[F.lag(f"_{x}{inner}", inner * k).over(spec).alias(f"_{x}{inner}_{k}") for k in back for x in fields])
+    parts = {x: [F.col(f"_{x}{inner}"), *[F.col(f"_{x}{inner}_{k}") for k in back]] for x in fields}
+    counts = [F.coalesce(n, F.lit(0)) for n in parts["n"]]
+    total, mean = F.col(f"_n{size}"), F.col(f"_m{size}")
+    frame = frame.select("*", sum(counts[1:], counts[0]).alias(f"_n{size}"), F.coalesce(*parts["m"]).alias("_near"))
+    off = [F.when(n > 0, n * (m - F.col("_near"))).otherwise(F.lit(0.0)) for n, m in zip(counts, parts["m"])]
+    sums = [F.when(n > 0, n * m).otherwise(F.lit(0.0)) for n, m in zip(counts, parts["m"])]
+    near = F.col("_near") + sum(off[1:], off[0]) / total
+    # infinite values have no distance from the newest mean
+    frame = frame.select("*", F.when(total > 0, F.when(F.isnan(near), sum(sums[1:], sums[0]) / total).otherwise(near)).alias(f"_m{size}"))
+    dev = [F.when(n > 0, q + n * (m - mean) * (m - mean)).otherwise(F.lit(0.0)) for n, m, q in zip(counts, parts["m"], parts["q"])]
+    ends = [F.least(*parts["lo"]).alias(f"_lo{size}"), F.greatest(*parts["hi"]).alias(f"_hi{size}")] if extremes else []
+    return frame.select(*own, total, mean, sum(dev[1:], dev[0]).alias(f"_q{size}"), *ends)
+
+
+def block_std(size: int) -> Column:
+    """Sample deviation of a block state; NULL below two values."""
+    n = F.col(f"_n{size}")
+    return F.when(n > 1, F.sqrt(F.col(f"_q{size}") / (n - 1)))
+
+
+def rolling_frames(frame: DataFrame, spec: WindowSpec, col: str = POWER) -> DataFrame:
+    """mean/std/min/max over the current row and the 23 before it.
+    W3: mean/std over the current row and the 167 before it, from W2's states."""
+    kept, day, week = frame.columns, SHORT_FRAME, LONG_FRAME
+    frame = first_block(frame, spec, col, ROLLING_BLOCK)
+    frame = merge_blocks(frame, spec, ROLLING_BLOCK, day, extremes=True)
+    frame = frame.select(*kept, *[f"_{x}{day}" for x in ("n", "m", "q", "lo", "hi")])
+    frame = merge_blocks(frame, spec, day, week)
+    return frame.select(*kept, F.col(f"_m{day}").alias("energy_mean_24h"), block_std(day).alias("energy_std_24h"),
+                        F.col(f"_lo{day}").alias("energy_min_24h"), F.col(f"_hi{day}").alias("energy_max_24h"),
+                        F.col(f"_m{week}").alias("energy_mean_7d"), block_std(week).alias("energy_std_7d"))
 
 
 def training_lag_cols(spec: WindowSpec, col: str = POWER) -> list[Column]:
@@ -105,7 +145,7 @@ def rolling_features(df: DataFrame, keys: Sequence[str] = KEYS, col: str = POWER
                      chunk_rows: int = CHUNK_ROWS, num_partitions: int | None = None) -> DataFrame:
     """W2 + W3 over one sort."""
     return over_series(df, keys,
-                       lambda f, s: f.select("*", *rolling_24h_cols(s, col), *rolling_7d_cols(s, col)),
+                       lambda f, s: rolling_frames(f, s, col),
                        halo=LONG_FRAME - 1, **_plan(strategy, hot_rows, chunk_rows, num_partitions))
 
 
@@ -141,7 +181,7 @@ def row_features(readings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The columns of W13 for frames that hold few rows per series (a tail, say):
     plain windows, measures already filled, warm-up rows kept."""
     s = plain_window(list(keys))
-    feats = readings.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
+    feats = rolling_frames(readings.select("*", *energy_lag_cols(s)), s)
     feats = feats.select("*", *calendar_columns("ts")).select("*", *flag_columns())
     return rename_target(feats.select("*", *weather_interactions()))
 
@@ -160,7 +200,7 @@ def serving_features(readings: DataFrame, keys: Sequence[str] = KEYS, impute: bo
     base = df.select(*keys, "ts", "arrival_no", POWER, "voltage", "current", "temperature", "humidity")
 
     def fn(f: DataFrame, s: WindowSpec) -> DataFrame:
-        return f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s))
+        return rolling_frames(f.select("*", *energy_lag_cols(s)), s)
 
     feats = over_series(base, keys, fn, halo=max(max(ENERGY_LAGS), LONG_FRAME - 1), counts=counts,
                         **_plan(strategy, hot_rows, chunk_rows, num_partitions))

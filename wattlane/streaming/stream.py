@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, POWER_DEFAULT
 from wattlane.operators.clean import KEYS, fill_from_means, gate_status
 from wattlane.operators.score import RECENT, ForecastModels, score_recent
-from wattlane.operators.windows import energy_lag_cols, last_n_rows, rolling_24h_cols, rolling_7d_cols
+from wattlane.operators.windows import energy_lag_cols, last_n_rows, rolling_frames
 from wattlane.plans.keys import join_on_keys
 from wattlane.plans.ordering import over_series
 from wattlane.streaming.keyed import COUNTS, MEASURES, NEW, OUTPUT, STATE, SUMS, TOTALS, advance
@@ -66,7 +66,7 @@ def series_totals(batch: DataFrame) -> DataFrame:
 def row_outputs(placed: DataFrame, after: DataFrame, hot_rows: int, chunk_rows: int) -> DataFrame:
     """Lag and rolling features of the rows the batch placed."""
     power = placed.withColumn("Power_Consumption", F.coalesce("Power_Consumption", F.lit(POWER_DEFAULT)))
-    feats = over_series(power, SERIES, lambda f, s: f.select("*", *energy_lag_cols(s), *rolling_24h_cols(s), *rolling_7d_cols(s)),
+    feats = over_series(power, SERIES, lambda f, s: rolling_frames(f.select("*", *energy_lag_cols(s)), s),
                         halo=RECENT, hot_rows=hot_rows, chunk_rows=chunk_rows)
     new = feats.where("not _old").drop("_old").withColumnRenamed("Power_Consumption", "energy_kwh")
     return join_on_keys(new, after.select("series_id", "late_rows", "n_seen"), SERIES, "left")
