@@ -982,6 +982,13 @@ register("sliding_sequences_global", sql_seq_summary("constant"))(
                                                           chunk_rows=1000)))
 
 
+register("sequence_blocks", sql_seq_summary("event_type"))(
+    lambda spark, d: seq_summary(S.block_sequences(S.sequence_blocks(load_readings(spark, d, "event_type")))))
+
+register("sequence_blocks_global", sql_seq_summary("constant"))(
+    lambda spark, d: seq_summary(S.block_sequences(S.sequence_blocks(load_readings(spark, d, "constant"), strategy="chunked", block_windows=256))))
+
+
 def q_latest_sequence(spark: SparkSession, d: str) -> DataFrame:
     s = S.latest_sequence(features_warm(spark, d, "user_id"))
     energy = F.transform("seq", lambda st: st[0])
@@ -1303,6 +1310,17 @@ def q_train_recurrent_model(spark: SparkSession, d: str) -> DataFrame:
 register("train_recurrent_model", ORACLE_SQL["train_sequence_model"].replace("normal_equations", "loss_falls"))(q_train_recurrent_model)
 
 
+def q_train_recurrent_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """M5 over blocks of rows: the same fit, windows cut inside the tasks; served over the windows of the blocks."""
+    blocks = S.sequence_blocks(load_readings(spark, d, "event_type"))
+    net = RN.train_recurrent_blocks(blocks, layers=(8, 4), steps=12, rate=0.02)
+    report = A.evaluate(net.transform(S.block_sequences(blocks)).select("split", "y", "seq_pred"), "y", "seq_pred", ["split"])
+    return report.select("split", "n", F.lit(net.losses[-1] < net.losses[0]).alias("loss_falls"), (F.col("mae") <= F.col("rmse")).alias("errors_ordered"))
+
+
+register("train_recurrent_blocks", ORACLE_SQL["train_recurrent_model"])(q_train_recurrent_blocks)
+
+
 def q_save_load_model(spark: SparkSession, d: str) -> DataFrame:
     f = tree_frame(spark, d)
     model = M.train_gbt(f, **SMALL_GBT)

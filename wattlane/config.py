@@ -14,6 +14,7 @@ ENERGY_LAGS = (1, 2, 3, 24, 48, 168)
 SHORT_FRAME = 24            # rows in the "24h" rolling frame (current row included)
 LONG_FRAME = 168            # rows in the "7d" rolling frame (current row included)
 ROLLING_BLOCK = 6           # rows in the blocks the 24-row states are merged from (a plan parameter; 24 is a multiple)
+BLOCK_WINDOWS = 1024        # windows in one block of sequence_blocks (a plan parameter)
 TRAINING_LAGS = (1, 24)
 ROLLING_3H_PRECEDING = 3    # frame rowsBetween(-3, 0): four rows
 VALUE_LAGS = (1, 2, 3)

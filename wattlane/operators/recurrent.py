@@ -14,7 +14,7 @@ targets (one aggregate).  The fitted network is served through
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -134,27 +134,71 @@ class RecurrentModel:
         return sequences.withColumn(prediction, self.udf()(F.col(seq_col)))
 
 
-def gradient_sums(windows: DataFrame, layers: Sequence[int], weights: np.ndarray, mean: float, scale: float, steps: int) -> tuple[float, float, np.ndarray]:
-    """(windows, squared error, gradient) summed over ``windows`` (x: array<double>, y): one aggregate of a row per parameter."""
+def window_rows(batch: pa.RecordBatch, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and targets of a batch of rows (x: array<double>, y)."""
+    for lo in range(0, batch.num_rows, 2048):
+        part = batch.slice(lo, 2048)
+        yield part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, steps), part.column(1).to_numpy(zero_copy_only=False)
+
+
+def block_rows(batch: pa.RecordBatch, steps: int, share: float = 1.0, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Training windows and targets of a batch of blocks (values, n_train, key hash): strided views over the values.
+    Windows with a NULL or NaN in them or as target do not train; under a ``share`` of 1 the draw hangs on key hash and seed."""
+    for values, n, key in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        if not n:
+            continue
+        v = values.values.to_numpy(zero_copy_only=False)[:steps + n]
+        windows = np.lib.stride_tricks.sliding_window_view(v, steps + 1)
+        take = ~np.isnan(windows).any(axis=1)
+        if share < 1:
+            take &= np.random.default_rng([key & (1 << 63) - 1, seed]).random(n) < share
+        if take.any():
+            yield windows[take, :steps], windows[take, steps]
+
+
+def gradient_sums(data: DataFrame, layers: Sequence[int], weights: np.ndarray, mean: float, scale: float, steps: int,
+                  read: Callable[..., Iterator] = window_rows, **how) -> tuple[float, float, np.ndarray]:
+    """(windows, squared error, gradient) summed over the windows that ``read`` finds in the Arrow batches of ``data``:
+    one aggregate of a row per parameter."""
     layers, size = tuple(layers), len(weights)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, out = Network(1, layers), np.zeros(size + 2)
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                x = (part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, steps, 1) - mean) / scale
-                loss, grad = net.gradient(weights, x, (part.column(1).to_numpy(zero_copy_only=False) - mean) / scale)
-                out += np.concatenate(([part.num_rows, loss], grad))
+            for x, y in read(b, steps, **how):
+                loss, grad = net.gradient(weights, ((x - mean) / scale)[:, :, None], (y - mean) / scale)
+                out += np.concatenate(([len(y), loss], grad))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2)), pa.array(out)], names=["at", "value"])
 
-    rows = windows.select("x", "y").mapInArrow(partial, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    rows = data.mapInArrow(partial, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     total = np.zeros(size + 2)
     for at, value in rows:
         total[at] = value
     return total[0], total[1], total[2:]
 
 
+def _descend(model: RecurrentModel, steps: int, rate: float, sums: Callable[[int, RecurrentModel], tuple]) -> RecurrentModel:
+    """Adam; ``sums(step, model)`` adds up the gradient of a step."""
+    first, second = np.zeros(len(model.weights)), np.zeros(len(model.weights))
+    for k in range(1, steps + 1):
+        count, loss, grad = sums(k, model)
+        if not count:
+            continue
+        model.losses.append(loss / count)
+        grad = grad / count
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
+        model.weights = model.weights - rate * (first / (1 - 0.9 ** k)) / (np.sqrt(second / (1 - 0.999 ** k)) + 1e-8)
+    return model
+
+
+def _start(targets: DataFrame, layers: Sequence[int], seq_len: int, seed: int) -> RecurrentModel:
+    """An unfitted network, scaled by the training targets (one aggregate)."""
+    n, mean, scale = targets.agg(F.count("*"), F.avg("y"), F.stddev_pop("y")).first()
+    if not n:
+        raise ValueError("no whole window to train on")
+    return RecurrentModel(tuple(layers), seq_len, mean, scale or 1.0, Network(1, layers).start(seed))
+
+
 def train_recurrent(sequences: DataFrame, seq_col: str = "seq", label: str = "y", layers: Sequence[int] = LAYERS, steps: int = 200, rate: float = 0.01,
                     batch_share: float = 1.0, seed: int = 42, seq_len: int = SEQUENCE_LENGTH, split_col: str | None = None, train_value: str = "train",
                     key: Sequence[str] = KEY) -> RecurrentModel:
@@ -163,22 +207,33 @@ def train_recurrent(sequences: DataFrame, seq_col: str = "seq", label: str = "y"
     whole = F.col(label).isNotNull() & (F.size(seq_col) == seq_len) & ~F.exists(seq_col, lambda v: v.isNull())
     train = train.where(whole).select(F.col(seq_col).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), *[c for c in key if c in train.columns]).persist()
     keys = [c for c in key if c in train.columns]
+
+    def sums(k: int, m: RecurrentModel) -> tuple:
+        part = train if batch_share >= 1 else train.where(F.pmod(F.xxhash64(*keys, F.lit(seed + k)), F.lit(1 << 20)) < int(batch_share * (1 << 20)))
+        return gradient_sums(part.select("x", "y"), layers, m.weights, m.mean, m.scale, seq_len)
+
     try:
-        n, mean, scale = train.agg(F.count("*"), F.avg("y"), F.stddev_pop("y")).first()
-        if not n:
-            raise ValueError("no whole window to train on")
-        net = Network(1, layers)
-        model = RecurrentModel(tuple(layers), seq_len, mean, scale or 1.0, net.start(seed))
-        first, second = np.zeros(net.size), np.zeros(net.size)
-        for k in range(1, steps + 1):
-            part = train if batch_share >= 1 else train.where(F.pmod(F.xxhash64(*keys, F.lit(seed + k)), F.lit(1 << 20)) < int(batch_share * (1 << 20)))
-            count, loss, grad = gradient_sums(part, layers, model.weights, model.mean, model.scale, seq_len)
-            if not count:
-                continue
-            model.losses.append(loss / count)
-            grad = grad / count
-            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
-            model.weights = model.weights - rate * (first / (1 - 0.9 ** k)) / (np.sqrt(second / (1 - 0.999 ** k)) + 1e-8)
+        return _descend(_start(train, layers, seq_len, seed), steps, rate, sums)
+    finally:
+        train.unpersist()
+
+
+def train_recurrent_blocks(blocks: DataFrame, layers: Sequence[int] = LAYERS, steps: int = 200, rate: float = 0.01, batch_share: float = 1.0,
+                           seed: int = 42, seq_len: int = SEQUENCE_LENGTH, keys: Sequence[str] = ("series_id",)) -> RecurrentModel:
+    """M5 over ``sequence_blocks``: the training windows (the first ``n_train`` of each block) are views inside the tasks, so
+    cache and Arrow batches hold each value once, not ``seq_len`` times. The same steps as ``train_recurrent``; a NaN trains
+    neither as input nor as target."""
+    train = blocks.where("n_train > 0").select("values", "n_train", F.xxhash64(*keys, "block").alias("key")).persist()
+
+    def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, y in block_rows(b, seq_len):
+                yield pa.RecordBatch.from_arrays([pa.array(y)], names=["y"])
+
+    def sums(k: int, m: RecurrentModel) -> tuple:
+        return gradient_sums(train, layers, m.weights, m.mean, m.scale, seq_len, block_rows, share=batch_share, seed=seed + k)
+
+    try:
+        return _descend(_start(train.mapInArrow(targets, "y double"), layers, seq_len, seed), steps, rate, sums)
     finally:
         train.unpersist()
-    return model

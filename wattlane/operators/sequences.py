@@ -4,6 +4,10 @@ Sliding windows are arrays of ``lag`` offsets over the same ordered spec as
 the other lags, so they ride on the same exchange, cost O(1) per row and
 offset, and the chunk+halo plan covers them with a halo of ``seq_len``
 rows.  NULL values keep their slot.
+
+Training reads the same windows from ``sequence_blocks``: overlapping blocks of
+rows that hold every value once (and ``seq_len`` of them twice), so neither a
+shuffle, a cache nor an Arrow batch carries a value ``seq_len`` times.
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from wattlane.config import CHUNK_ROWS, HOT_SERIES_ROWS, SEQUENCE_FEATURES, SEQUENCE_LENGTH
+from wattlane.config import (BLOCK_WINDOWS, CHUNK_ROWS, HOT_SERIES_ROWS, SEQUENCE_FEATURES, SEQUENCE_LENGTH,
+                             VALIDATION_FRACTION)
 from wattlane.operators.clean import KEYS
 from wattlane.operators.windows import last_n_rows
-from wattlane.plans.ordering import ORDER, over_series
+from wattlane.plans.ordering import ORDER, SeriesCounts, over_series, series_row_number, with_chunks
 
 POWER = "Power_Consumption"
 
@@ -55,6 +60,46 @@ def sliding_sequences(df: DataFrame, keys: Sequence[str] = KEYS, col: str = POWE
     return out
 
 
+def sequence_blocks(df: DataFrame, keys: Sequence[str] = KEYS, col: str = POWER, seq_len: int = SEQUENCE_LENGTH,
+                    block_windows: int = BLOCK_WINDOWS, validation_fraction: float = VALIDATION_FRACTION,
+                    order: Sequence[str] = ORDER, strategy: str = "auto", hot_rows: int = HOT_SERIES_ROWS,
+                    num_partitions: int | None = None, counts: SeriesCounts | None = None) -> DataFrame:
+    """W10 for training: one row per series and ``block`` with ``values`` (the
+    ``seq_len`` rows before the block, then its own) and, for each of its windows,
+    the order columns of the row that follows it.  Window ``i`` is
+    ``values[i : i + seq_len]`` and its target ``values[i + seq_len]``; the first
+    ``n_train`` of ``n_windows`` belong to the older part of the series (M10).
+
+    A block has at most ``max(block_windows, seq_len) + seq_len`` values whatever
+    the series holds; hot series are numbered by the chunked plan.
+    """
+    keys, order = list(keys), list(order)
+    rows = df.select(*keys, *order, F.col(col).cast("double").alias("_v"))
+    rows = series_row_number(rows, keys, order, strategy=strategy, hot_rows=hot_rows, num_partitions=num_partitions,
+                             col="_rn", size_col="_size", counts=counts)
+    rows = with_chunks(rows, halo=seq_len, chunk_rows=block_windows, pos_col="_rn")
+    blocks = (rows.groupBy(*keys, F.col("_chunk").alias("block"))
+              .agg(F.array_sort(F.collect_list(F.struct("_rn", *order, "_v"))).alias("_s"), F.max("_size").alias("_size"))
+              .filter(F.size("_s") > F.lit(seq_len)))
+    n = F.size("_s") - F.lit(seq_len)
+    older = F.floor((F.col("_size") - F.lit(seq_len)) * F.lit(1.0 - validation_fraction))
+    before = F.get("_s", F.lit(seq_len))["_rn"] - F.lit(seq_len)
+    return blocks.select(*keys, "block", F.col("_s")["_v"].alias("values"),
+                         *[F.slice(F.col("_s")[c], F.lit(seq_len + 1), n).alias(c) for c in order],
+                         n.alias("n_windows"), F.least(F.greatest(older - before, F.lit(0)), n).cast("int").alias("n_train"))
+
+
+def block_sequences(blocks: DataFrame, keys: Sequence[str] = KEYS, seq_len: int = SEQUENCE_LENGTH,
+                    order: Sequence[str] = ORDER) -> DataFrame:
+    """The windows of ``sequence_blocks`` as rows: keys, order columns, ``seq``,
+    ``y`` and ``split``, as ``time_split`` of ``sliding_sequences`` gives them."""
+    each = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("_i"))
+    i = F.col("_i")
+    return each.select(*keys, *[F.get(c, i).alias(c) for c in order], F.slice("values", i + 1, F.lit(seq_len)).alias("seq"),
+                       F.get("values", i + F.lit(seq_len)).alias("y"),
+                       F.when(i < F.col("n_train"), F.lit("train")).otherwise(F.lit("validation")).alias("split"))
+
+
 def latest_sequence(features: DataFrame, keys: Sequence[str] = KEYS,
                     feature_cols: Sequence[str] = SEQUENCE_FEATURES,
                     seq_len: int = SEQUENCE_LENGTH, order: Sequence[str] = ORDER) -> DataFrame:
