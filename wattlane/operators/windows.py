@@ -71,7 +71,7 @@ def merge_blocks(frame: DataFrame, spec: WindowSpec, inner: int, size: int, extr
     sums = [F.when(n > 0, n * m).otherwise(F.lit(0.0)) for n, m in zip(counts, parts["m"])]
     near = F.col("_near") + sum(off[1:], off[0]) / total
     # infinite values have no distance from the newest mean
-    frame = frame.select("*", F.when(total > 0, F.when(F.isnan(near), sum(sums[1:], sums[0]) / total).otherwise(near)).alias(f"_m{size}"))
+    frame = frame.select("*", F.when(total > 0, F.nanvl(near, sum(sums[1:], sums[0]) / total)).alias(f"_m{size}"))
     dev = [F.when(n > 0, q + n * (m - mean) * (m - mean)).otherwise(F.lit(0.0)) for n, m, q in zip(counts, parts["m"], parts["q"])]
     ends = [F.least(*parts["lo"]).alias(f"_lo{size}"), F.greatest(*parts["hi"]).alias(f"_hi{size}")] if extremes else []
     return frame.select(*own, total, mean, sum(dev[1:], dev[0]).alias(f"_q{size}"), *ends)
