@@ -127,3 +127,43 @@ def test_seen_numbers_are_forgotten_in_time():
     assert soon.fresh(pd.Series([5, 6], dtype="Int64")).tolist() == [False, True]
     late = Seen(*soon.stored(), now=1001 + SEEN_TTL_MS)  # block 0 was touched again, the others were not
     assert late.fresh(pd.Series([5, BLOCK + 1], dtype="Int64")).tolist() == [False, True]
+
+
+def test_a_series_of_few_rows_keeps_a_small_state():
+    """Few deliveries are held as numbers (2 bytes each, not a bitmap of 2 kB a block), many as a bitmap; both say the same."""
+    import pandas as pd
+
+    seen, spread = Seen([], [], [], now=1), list(range(0, 100_000, 7000))
+    assert seen.fresh(pd.Series(spread, dtype="Int64")).all()
+    assert sum(map(len, seen.stored()[1])) == 2 * len(spread)
+    many = list(range(0, BLOCK, 3))
+    assert seen.fresh(pd.Series(many, dtype="Int64")).tolist() == [k not in spread for k in many]
+    assert len(dict(zip(*seen.stored()[:2]))[0]) == BLOCK // 8
+    again = Seen(*seen.stored(), now=2)
+    assert not again.fresh(pd.Series(spread + many, dtype="Int64")).any() and again.fresh(pd.Series([1], dtype="Int64")).all()
+
+
+def test_a_group_gives_out_one_frame_per_chunk():
+    """Stored rows, placed rows and totals of a small series come out together: a frame costs more than its rows."""
+    import pandas as pd
+
+    from wattlane.streaming.keyed import STATE, advance
+
+    class State:
+        exists, get, getCurrentProcessingTimeMs = False, None, lambda self: 1
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def chunk(*numbers):
+        return pd.DataFrame({"micros": [10 * k for k in numbers], "arrival_no": list(numbers), "Power_Consumption": [1.0 * k for k in numbers],
+                             "temperature": [None if k % 2 else 2.0 for k in numbers], "humidity": [3.0] * len(numbers)})
+
+    state = State()
+    first = list(advance(("s",), iter([chunk(2, 1)]), state))
+    assert [f.kind.tolist() for f in first] == [[1, 1, 2]] and len(state.get) == len(STATE.fields)
+    out = list(advance(("s",), iter([chunk(3, 2), chunk(4, 0)]), state))
+    assert [f.kind.tolist() for f in out] == [[0, 0, 1], [1, 2]]
+    assert out[0].arrival_no.tolist() == [1, 2, 3] and out[1].arrival_no.tolist()[0] == 4
+    total = out[1].iloc[-1]
+    assert (total.n_seen, total.late_rows, total.repeated_rows, total.t_cnt, total.t_sum, total.h_sum) == (4, 1, 1, 2, 4.0, 12.0)
