@@ -132,3 +132,11 @@ def test_horizon_one_trains_on_next_row(spark, feats):
     assert models.rf.stages[-1].getLabelCol() == "label"
     out = score_series(frame(spark, hourly(spark, 200)), models).first()
     assert out["status"] == "scored" and out["prediction"] is not None
+
+
+def test_boosting_runs_in_few_tasks(spark):
+    """Tasks of the fit hang on the cores, not on the partitions of the input; no row is lost."""
+    rows = spark.range(500).repartition(40)
+    few = M.in_few_tasks(rows)
+    assert few.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 40
+    assert few.count() == 500 and M.in_few_tasks(spark.range(5).repartition(2)).rdd.getNumPartitions() == 2
