@@ -87,3 +87,22 @@ def test_many_rounds_beat_few_on_unseen_rows(table):
     errors = [held.transform(lambda d, m=B.train_histogram_boosted(train, "y", ["a", "b", "c"], rounds=r): m.transform(d))
               .agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0] for r in (5, 200)]
     assert errors[1] < 0.2 * errors[0]
+
+
+def test_bins_of_rows_are_those_of_the_edges(spark):
+    """Compiled comparisons, no function over an array per row; NULL is below all edges, NaN above."""
+    edges = np.array([-1.0, 0.0, 2.5, 7.0])
+    df = spark.createDataFrame([(v,) for v in (-5.0, -1.0, 0.0, 0.1, 2.5, 7.0, 8.0, float("nan"), None)], "a double")
+    out = df.select("a", B.bin_of("a", edges).alias("bin"))
+    assert [r.bin for r in out.collect()] == [0, 0, 1, 2, 2, 3, 4, 4, 0]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trained_combinations_are_served_from_their_sums(table):
+    """The sums are exactly what the trees give; combinations that did not train go through the trees."""
+    m = B.train_histogram_boosted(table, "y", ["a", "b", "c"], rounds=5, depth=3, max_bins=8)
+    x = np.array([[r.a, r.b, r.c] for r in table.dropna().collect()] + [[9.0, 99.0, -9.0], [-9.0, 0.0, 9.0]])
+    served = m.predict(x)
+    assert len(m.codes) and m.summed == 5
+    m.codes = None
+    assert served.tolist() == m.predict(x).tolist()
