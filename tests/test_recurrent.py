@@ -66,3 +66,13 @@ def test_edge_rows(spark, windows):
     flat = spark.createDataFrame([("s", k, [5.0] * 6, 5.0, "train") for k in range(9)], windows.schema)
     net = R.train_recurrent(flat.unionByName(odd), layers=(2,), steps=2, seq_len=6, batch_share=0.5)
     assert net.mean == 5.0 and all(math.isfinite(p) for p in net.predict(np.full((2, 6), 5.0)))
+
+
+def test_the_fit_is_spread_over_the_cores(spark, windows):
+    """A step costs arithmetic, not bytes: windows that lie in one partition are dealt out, packed, and all of them train."""
+    one = windows.select(F.col("seq").alias("x"), "y").coalesce(1)
+    dealt = R.spread(R.pack(one, 6))
+    assert dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    w = R.Network(1, (4,)).start(5)
+    a, b = R.gradient_sums(one, (4,), w, 0.5, 0.2, 6), R.gradient_sums(dealt, (4,), w, 0.5, 0.2, 6, R.packed_rows)
+    assert a[0] == b[0] == 890 and a[1] == pytest.approx(b[1]) and np.allclose(a[2], b[2])

@@ -62,3 +62,12 @@ def test_a_share_of_the_windows_is_drawn_alike_on_any_partitions(spark):
     whole = R.gradient_sums(train, (2,), one.weights, 0.5, 0.3, 24, R.block_rows)[0]
     part = R.gradient_sums(train, (2,), one.weights, 0.5, 0.3, 24, R.block_rows, share=0.5, seed=10)[0]
     assert 0.3 * whole < part < 0.7 * whole and whole == blocks.agg(F.sum("n_train")).first()[0]
+
+
+def test_no_row_carries_its_block_along(spark):
+    """What reaches a Python function is one window a row, not the block that it was cut from."""
+    out = S.block_sequences(S.sequence_blocks(series(spark), strategy="plain")).select("y", F.pandas_udf(lambda s: s.str.len(), "long")("seq").alias("n"))
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert "slice(" not in lines[at] and "values" not in lines[at + 1].split("Generate")[0]
+    assert out.where("n <> 24").count() == 0
