@@ -10,7 +10,7 @@ from conftest import frame
 from wattlane.operators import windows as W
 from wattlane.operators.metrics import time_split
 from wattlane.operators.sequences import sliding_sequences
-from wattlane.plans.ordering import global_position, series_row_number
+from wattlane.plans.ordering import global_position, over_series, series_row_number
 
 FEATURES = ["energy_lag_1", "energy_lag_24", "energy_lag_168", "energy_min_24h", "energy_max_24h",
             "energy_mean_24h", "energy_std_7d"]
@@ -139,3 +139,15 @@ def test_null_series_key_is_a_series(spark):
         assert got == {None: 36, "y": 16}, kw
     split = {(r["series_id"], r["split"]): r["count"] for r in time_split(df, hot_rows=10).groupBy("series_id", "split").count().collect()}
     assert split[(None, "train")] == 48 and split[(None, "validation")] == 12
+
+
+def test_a_large_series_is_not_one_task(spark):
+    """A series of 300,000 rows is numbered by its stored positions, and cut into chunks that one task holds easily."""
+    df = spark.range(300_000).selectExpr("'s' as series_id", "timestamp_ntz'2024-01-01' as ts", "id as arrival_no", "repeat('x', 20) as wide")
+    numbered = series_row_number(df, ["series_id"], size_col="n")
+    files = numbered.inputFiles()
+    assert files and all("/positions-" in f for f in files)
+    assert numbered.where("rn <> arrival_no or n <> 300000").count() == 0
+    parts = over_series(df, ["series_id"], lambda f, s: f.select("*", F.lag("arrival_no", 24).over(s).alias("lag")), halo=24)
+    assert parts.where("coalesce(arrival_no - lag, 24) <> 24").count() == 0 and parts.where("lag is null").count() == 24
+    assert parts.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300_000
