@@ -167,3 +167,56 @@ def test_a_group_gives_out_one_frame_per_chunk():
     assert out[0].arrival_no.tolist() == [1, 2, 3] and out[1].arrival_no.tolist()[0] == 4
     total = out[1].iloc[-1]
     assert (total.n_seen, total.late_rows, total.repeated_rows, total.t_cnt, total.t_sum, total.h_sum) == (4, 1, 1, 2, 4.0, 12.0)
+
+
+@pytest.mark.parametrize("names", [("a", "b", None), ("a",)])
+def test_series_that_share_a_state_are_placed_as_if_alone(names):
+    """A bucket of series gives out one frame a chunk, and each of its series what it gives out alone."""
+    import pandas as pd
+
+    from wattlane.streaming.keyed import TOTALS, advance
+
+    class State:
+        exists, get, getCurrentProcessingTimeMs = False, None, lambda self: 1
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def chunk(*rows):
+        series, hours, numbers = zip(*rows)
+        return pd.DataFrame({"series_id": pd.Series(series, dtype=object), "micros": pd.Series(hours, dtype="Int64"),
+                             "arrival_no": pd.Series(numbers, dtype="Int64"), "Power_Consumption": [1.0 * (n or 0) for n in numbers],
+                             "temperature": [None if (n or 0) % 3 else 2.0 for n in numbers], "humidity": [3.0] * len(numbers)})
+
+    batches = [[[(s, h, h) for h in range(k, k + 5) for s in names] for k in (0, 5)],
+               [[("a", 3, 30), ("a", 9, 9), ("a", 10, 10), ("a", 10, 10), ("a", None, 11), ("a", 12, None)], [("a", 10, 10), ("a", 13, BLOCK * 3)]],
+               [[(s, 20, 20) for s in names] + [("a", 13, BLOCK * 3), ("new", 1, 1)]]]
+
+    def run_all(wanted):
+        state, out = State(), []
+        for batch in batches:
+            chunks = [c for c in ([r for r in rows if r[0] in wanted] for rows in batch) if c]
+            if chunks:
+                frames = list(advance((7,), iter([chunk(*c) for c in chunks]), state))
+                assert len(frames) <= len(chunks)
+                out += [(len(out), *r) for r in pd.concat(frames).astype(object).where(lambda f: f.notna(), None).itertuples(index=False)]
+        return out
+
+    everything = (*names, "new")
+    together = run_all(everything)
+    for s in everything:
+        mine = [r[1:] for r in together if r[1] == s]
+        assert sorted(map(repr, mine)) == sorted(repr(r[1:]) for r in run_all((s,))) and mine
+    last = [r for r in together if r[1] == "a" and r[2] == TOTALS][-1]
+    assert last[8:11] == (13 + 1, 2, 4)  # placed, late, repeated
+
+
+def test_streams_of_few_and_many_buckets_agree(spark):
+    rows = [r for k in range(7) for r in hourly(spark, 30 + k, series=f"s{k}", arrival_base=1000 * k, power=lambda i: float(i % 7))]
+    rows += hourly(spark, 40, series=None, arrival_base=9000)
+    sliced = time_slices(frame(spark, rows), 3)
+    some = [run(spark, sliced, 3, buckets=b)[:2] for b in (2, 2048)]
+    assert some[0][1] == {**{f"s{k}": (30 + k, 0, 0) for k in range(7)}, None: (40, 0, 0)}
+    assert len(some[0][0]) == len(rows)
+    for out, counts in some[1:]:
+        assert counts == some[0][1] and sorted(map(repr, out)) == sorted(map(repr, some[0][0]))
