@@ -1,8 +1,10 @@
 """Hashed bootstrap: the forest does not depend on the layout, draws are Poisson, rows with a NULL input are skipped."""
 
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,46 @@ def test_draws_are_poisson_and_differ_between_trees(spark):
     for k in range(4):
         assert abs((n.d0 == k).mean() - math.exp(-1) / math.factorial(k)) < 0.015
     assert abs(np.corrcoef(n.d0, n.d1)[0, 1]) < 0.03
+
+
+def test_edges_are_exact_quantiles_of_any_layout(spark):
+    """Quantiles from a sketch hang on the layout as soon as the sketch is compressed."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate((rng.normal(0, 1e6, 60_000), rng.integers(-3, 4, 20_000), [-0.0, 0.0, 1e-300, -1e300, math.inf, -math.inf]))
+    y = np.where(rng.random(len(x)) < 0.9, 1.0, 2.0)
+    rows = spark.createDataFrame(pd.DataFrame({"series_id": "s", "arrival_no": np.arange(len(x)), "x": x, "y": y, "label": x}))
+    want = [np.unique(np.sort(c)[[math.ceil(k / 32 * len(c)) - 1 for k in range(1, 32)]]) for c in (x, y)]
+    for parts in (1, 7):
+        blocks = H._blocks(rows.repartition(parts), ["x", "y"], "label", H.KEY, range(1), 42)
+        for got, exact in zip(H.exact_edges(blocks, 2, len(x), 32), want):
+            assert np.array_equal(got, exact)
+
+
+def test_draws_hash_a_row_once(spark):
+    """The chances share one hash; the counts are those of the chances one by one."""
+    rows = spark.range(2000).select(F.when(F.col("id") % 7 != 0, F.lit("s")).alias("series_id"), F.col("id").alias("arrival_no"))
+    plan = rows.select(H.draws(H.KEY, 1, 42).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 1
+    for r in rows.withColumn("d", H.draws(H.KEY, 1, 42)).collect():
+        u = int(hashlib.md5(":".join(str(v) for v in (r.series_id, r.arrival_no, 1, 42) if v is not None).encode()).hexdigest()[:8], 16)
+        assert r.d == sum(u >= c for c in H.DRAWN_AT_MOST)
+
+
+def test_tree_is_the_best_one_by_hand(spark):
+    """One level, all features: the split with the least squared error over the drawn rows, at least five rows a side."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 9, 300).astype(float), rng.integers(0, 5, 300).astype(float)
+    y = np.where(a > 5, 3.0, 0.0) + b + rng.normal(0, 0.1, 300)
+    rows = spark.createDataFrame(pd.DataFrame({"series_id": "s", "arrival_no": np.arange(300), "a": a, "b": b, "y": y}))
+    w = np.array([r.d for r in rows.orderBy("arrival_no").select(H.draws(H.KEY, 0, 42).alias("d")).collect()], float)
+    m = H.train_hashed_forest(rows, "y", ["a", "b"], numTrees=1, maxDepth=1, featureSubsetStrategy="all")
+
+    def error(left):
+        if min((left & (w > 0)).sum(), (~left & (w > 0)).sum()) < 5:
+            return math.inf
+        return sum((w[s] * (y[s] - np.average(y[s], weights=w[s])) ** 2).sum() for s in (left, ~left))
+
+    best = min((x <= e for x, edges in zip((a, b), m.edges) for e in edges), key=error)
+    want = np.where(best, np.average(y[best], weights=w[best]), np.average(y[~best], weights=w[~best]))
+    got = [r.prediction for r in m.transform(rows).orderBy("arrival_no").collect()]
+    assert np.allclose(got, want, atol=1e-9)
